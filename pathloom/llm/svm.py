@@ -26,6 +26,21 @@ def linear_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, epochs: int = 3
     return w
 
 
+def newton_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, steps: int = 50) -> np.ndarray:
+    """As ``linear_svm``, by Newton steps on the primal: for few features, exact."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    w = np.zeros(x.shape[1])
+    active = np.ones(len(x), dtype=bool)
+    for _ in range(steps):
+        inside = x[active]
+        w = np.linalg.solve(np.eye(x.shape[1]) + 2 * cost * inside.T @ inside, 2 * cost * inside.T @ y[active])
+        now = y * (x @ w) < 1
+        if (now == active).all():
+            break
+        active = now
+    return w
+
+
 def logistic_scale(margin: np.ndarray, positive: np.ndarray) -> tuple[float, float]:
     """Slope and offset of Platt's sigmoid for these margins."""
     n1, n0 = positive.sum(), (~positive).sum()

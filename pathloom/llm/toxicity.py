@@ -2,7 +2,7 @@
 
 Kernel: two words are as alike as the length-4 subsequences they share, each occurrence
 weighted by ``DECAY`` for every character skipped, at most ``SPAN - 4`` of them; a word's
-start counts as a character.  Gapped words and inserted characters therefore keep most of
+start and end count as characters.  Gapped words and inserted characters therefore keep most of
 their likeness.  Runs of single characters set apart by blanks are read as one more word.
 
 Nyström: landmark words span the feature space; the SVM is trained in it.  As its decision
@@ -11,8 +11,9 @@ one table of weights, and a word's score is read off by its own subsequences: th
 without a kernel evaluation for each landmark.
 
 Training is by whole texts' labels: a toxic text holds at least one toxic word, so its
-highest-scoring word is its witness, found again after each fit; words of clean texts are the
-other class, the hardest of them added after each fit.  A text's margin is its largest word's,
+words that recur in toxic and never in clean texts are the first positives, and after each fit a
+toxic text without any of them adds its highest-scoring word as witness; words of clean texts are
+the other class, the hardest of them added after each fit.  A text's margin is its largest word's,
 scaled to 0..1 on texts set aside from the fit.
 
 Bounds of the training sample (driver memory): ``max_toxic`` and ``max_clean`` labelled rows,
@@ -37,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, held_out, id_and_text
-from .svm import linear_svm, logistic_scale, sigmoid
+from .svm import logistic_scale, newton_svm, sigmoid
 
 SPAN = 7
 DECAY = 0.5
@@ -47,7 +48,8 @@ MEMO_WORDS = 300_000
 #: Positions of the second to fourth character after the first, and the weight of their gaps.
 SHAPES = [(j, k, n, DECAY ** (n - 3)) for j, k, n in combinations(range(1, SPAN), 3)]
 SPACED = re.compile(r"(?<!\S)(?:\S ){3,}\S(?!\S)")
-START = 27
+BARE = re.compile(r"[\W\d_]+")
+START, END = 27, 28
 
 
 def _code(char: int) -> int:
@@ -56,7 +58,7 @@ def _code(char: int) -> int:
     if char == 0 or chr(char).isspace():
         return 0
     if chr(char).isalpha():
-        return 28 + char % 24
+        return 29 + char % 23
     return 52 + char % 12
 
 
@@ -64,12 +66,13 @@ _CODES = np.array([_code(c) for c in range(0x3000)], dtype=np.uint32)
 
 
 def codes_of(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Character codes of all words, each with its start mark and ``SPAN`` zeros behind it; where each begins."""
-    joined = "".join(["\x00" + w + "\x00" * SPAN for w in words])
+    """Character codes of all words, each between its marks and with ``SPAN`` zeros behind it; where each begins."""
+    joined = "".join(["\x00" + w + "\x00" * (SPAN + 1) for w in words])
     raw = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    starts = np.cumsum([0] + [len(w) + 1 + SPAN for w in words[:-1]])
+    starts = np.cumsum([0] + [len(w) + 2 + SPAN for w in words[:-1]])
     codes = _CODES[np.where(raw < len(_CODES), raw, 0x2000 + raw % 0x1000)]
     codes[starts] = START
+    codes[starts + [len(w) + 1 for w in words]] = END
     return codes, starts
 
 
@@ -84,8 +87,8 @@ def occurrences(codes: np.ndarray):
         yield index * np.uint32(2654435761) >> np.uint32(32 - BITS), np.where(live & (end != 0), np.float32(weight), np.float32(0))
 
 
-#: A word's norm by its number of characters, the start mark included.
-NORMS = np.sqrt(np.maximum([sum(w * w * max(0, n - last) for _, _, last, w in SHAPES) for n in range(LONGEST + 3)], 1e-9))
+#: A word's norm by its number of characters, both marks included.
+NORMS = np.sqrt(np.maximum([sum(w * w * max(0, n - last) for _, _, last, w in SHAPES) for n in range(LONGEST + 4)], 1e-9))
 
 
 def parts_of(word: str) -> list[str]:
@@ -94,9 +97,10 @@ def parts_of(word: str) -> list[str]:
 
 
 def words_of(text: str | None) -> set[str]:
-    """Distinct words of a text: between white space, lower case; runs of single characters joined."""
+    """Distinct words of a text: between white space, lower case, and again bare of all but letters; runs of single characters joined."""
     lower = (text or "").lower()
     words = set(lower.split())
+    words |= {BARE.sub("", w) for w in words if not w.isalpha()} - {""}
     for run in SPACED.findall(lower):
         words.add(run.replace(" ", ""))
     return words
@@ -104,11 +108,13 @@ def words_of(text: str | None) -> set[str]:
 
 def vectors(words: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
     """Sparse normed feature vector of each word."""
+    codes, starts = codes_of(words)
+    index, weight = (np.array(x) for x in zip(*occurrences(codes), strict=True))
     out = []
-    for word in words:
-        codes, _ = codes_of([word])
-        found = [(i[w > 0], w[w > 0]) for i, w in occurrences(codes)]
-        out.append((np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]) / NORMS[len(word) + 1]))
+    for word, start in zip(words, starts.tolist(), strict=True):
+        end = start + len(word) + 2
+        i, w = index[:, start:end], weight[:, start:end]
+        out.append((i[w > 0], w[w > 0] / NORMS[len(word) + 2]))
     return out
 
 
@@ -131,7 +137,7 @@ class ToxicityModel:
         total = np.zeros(len(codes) - SPAN, dtype=np.float32)
         for index, weight in occurrences(codes):
             total += self.table[index] * weight
-        return np.add.reduceat(total, starts) / NORMS[[len(w) + 1 for w in words]] + self.bias
+        return np.add.reduceat(total, starts) / NORMS[[len(w) + 2 for w in words]] + self.bias
 
     def margins(self, texts: list[str | None]) -> np.ndarray:
         """Largest word margin of each text."""
@@ -157,10 +163,10 @@ class ToxicityModel:
 
 
 def fit_words(positive: list[str], negative: list[str], landmarks: int, seed: int) -> ToxicityModel:
-    """Nyström landmarks among the words and an SVM over them, folded into a table of weights."""
+    """Nyström landmarks (the first positive words, a draw of the others) and an SVM over them, folded into a table of weights."""
     draw = np.random.default_rng(seed)
     half = landmarks // 2
-    marks = [w for side in (positive, negative) for w in (side if len(side) <= half else [side[i] for i in sorted(draw.choice(len(side), half, replace=False))])]
+    marks = [*positive[: landmarks // 2], *(negative[i] for i in sorted(draw.choice(len(negative), min(len(negative), landmarks - landmarks // 2), replace=False)))]
     at = vectors(marks)
     columns = np.unique(np.concatenate([i for i, _ in at]))
     dense = np.zeros((len(marks), len(columns)), dtype=np.float64)
@@ -169,19 +175,51 @@ def fit_words(positive: list[str], negative: list[str], landmarks: int, seed: in
     values, basis = np.linalg.eigh(dense @ dense.T)
     good = values > 1e-6 * values[-1]
     root = basis[:, good] / np.sqrt(values[good])
+    positive = positive + stretched(positive[:400], draw)
     words = positive + negative
     kernel = np.zeros((len(words), len(marks)))
     for row, (i, v) in enumerate(vectors(words)):
         spot = np.minimum(np.searchsorted(columns, i), len(columns) - 1)
         hit = columns[spot] == i
         kernel[row] = dense[:, spot[hit]] @ v[hit]
-    w = linear_svm(kernel @ root, np.repeat([1.0, -1.0], [len(positive), len(negative)]))
+    w = newton_svm(kernel @ root, np.repeat([1.0, -1.0], [len(positive), len(negative)]))
     table = np.zeros(1 << BITS, dtype=np.float32)
     table[columns] = (root @ w[:-1]) @ dense
     return ToxicityModel(table, float(w[-1]))
 
 
-def fit_toxicity(texts: list[str], toxic: list[int], landmarks: int = 256, rounds: int = 3, seed: int = 11) -> ToxicityModel:
+def covering(bags: list[set[str]], least: int, times: int = 3) -> list[str]:
+    """Words taken greedily, each the most frequent among bags that hold fewer than ``times`` taken ones.
+
+    Ends when the next word would be in fewer than ``least`` such bags.
+    """
+    holders: dict[str, list[int]] = {}
+    for k, bag in enumerate(bags):
+        for word in bag:
+            holders.setdefault(word, []).append(k)
+    gain = {w: len(ks) for w, ks in holders.items()}
+    open_for, taken = [times] * len(bags), []
+    while gain:
+        word = max(gain, key=lambda w: (gain[w], w))
+        if gain.pop(word) < least:
+            break
+        taken.append(word)
+        for k in holders[word]:
+            open_for[k] -= 1
+            if open_for[k] == 0:
+                for other in bags[k]:
+                    if other in gain:
+                        gain[other] -= 1
+    return taken
+
+
+def stretched(words: list[str], draw: np.random.Generator) -> list[str]:
+    """Each word twice more, with a letter or mark put in at a random inner place."""
+    fill = "abcdefghijklmnopqrstuvwxyz.-*"
+    return [w[:at] + fill[draw.integers(len(fill))] + w[at:] for w in words for at in draw.integers(1, max(2, len(w)), 2)]
+
+
+def fit_toxicity(texts: list[str], toxic: list[int], landmarks: int = 384, rounds: int = 2, seed: int = 11) -> ToxicityModel:
     """A model from labelled texts."""
     flags = np.array([bool(t) for t in toxic], dtype=bool)
     if flags.all() or not flags.any():
@@ -194,23 +232,25 @@ def fit_toxicity(texts: list[str], toxic: list[int], landmarks: int = 256, round
     fit = ~aside
     clean = Counter(w for b, t, f in zip(bags, flags, fit, strict=True) if f and not t for w in set(b))
     bad = Counter(w for b, t, f in zip(bags, flags, fit, strict=True) if f and t for w in set(b) if w not in clean and len(w) >= 3)
-    positive = [w for w, n in bad.most_common(400) if n >= 2] or [w for w, _ in bad.most_common(400)] or ["\x01\x01\x01"]
+    least = max(2, int(flags[fit].sum()) // 100)
+    suspects = [{w for w in b if bad[w] >= least} for b, t, f in zip(bags, flags, fit, strict=True) if f and t]
+    positive = covering(suspects, least) or [w for w, _ in bad.most_common(200)] or ["\x01\x01\x01"]
     draw = np.random.default_rng(seed)
     pool = sorted(clean)
     frequent = [w for w, _ in clean.most_common(500)]
     negative = sorted({*frequent, *(pool[i] for i in draw.choice(len(pool), min(2000, len(pool)), replace=False))} or {"\x02\x02\x02"})
     model = fit_words(positive, negative, landmarks, seed)
     for _ in range(rounds):
-        witnesses = []
+        known, witnesses = set(positive), Counter()
         for bag, t, f in zip(bags, flags, fit, strict=True):
-            if f and t and bag:
-                values = model.word_margins(bag)
-                best = values.max()
-                witnesses += [w for w, v in zip(bag, values, strict=True) if (v == best or v > 0.3) and w not in clean]
-        hard = sorted(zip(model.word_margins(pool).tolist(), pool, strict=True), reverse=True)[:300]
+            if f and t and known.isdisjoint(bag) and (left := [w for w in bag if w not in clean]):
+                values = model.word_margins(left)
+                if values.max() > 0.5:
+                    witnesses[left[int(values.argmax())]] += 1
+        positive += [w for w, n in witnesses.most_common(400) if n >= 2]
+        hard = sorted(zip(model.word_margins(pool).tolist(), pool, strict=True), reverse=True)[:500]
         negative = sorted({*negative, *(w for v, w in hard if v > -1)})
-        counted = Counter(witnesses).most_common(1500)
-        model = fit_words([w for w, _ in counted] or positive, negative, landmarks, seed)
+        model = fit_words(positive, negative, landmarks, seed)
     held = aside if aside.any() else fit
     model.slope, model.offset = logistic_scale(model.margins([t for t, h in zip(texts, held, strict=True) if h]), flags[held])
     model.memo.clear()
@@ -230,7 +270,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
 
 def score_toxicity(
     docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-    threshold: float = 0.3, max_toxic: int = 1000, max_clean: int = 2500, train_chars: int = 20_000, train_docs: DataFrame | None = None,
+    threshold: float = 0.3, max_toxic: int = 1000, max_clean: int = 4000, train_chars: int = 20_000, train_docs: DataFrame | None = None,
 ) -> DataFrame:
     """One row per row of ``docs``: the key, ``held_out``, ``score`` (0 to 1) and ``predicted`` (score at least ``threshold``).
 
