@@ -28,10 +28,10 @@ from .common import arrow_map, id_and_text, safe_pieces
 
 PART_CHARS = 262_144
 #: Encoded pieces that a worker remembers, in two generations of this size.
-MEMO_PIECES = 300_000
+MEMO_PIECES = 100_000
 MEMO_CHARS = 64
 #: Pairs of adjacent tokens whose compatibility it remembers.
-MEMO_PAIRS = 1_000_000
+MEMO_PAIRS = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:

@@ -46,14 +46,20 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Text bytes (of the whole batch, on average) that a worker handles at a time.
+SLICE_BYTES = 4_000_000
+
+
 def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """``mapInArrow`` with a function of one record batch."""
+    """``mapInArrow`` with a function of one record batch; large batches come in slices of about ``SLICE_BYTES``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = function(batch)
-            if out is not None and out.num_rows:
-                yield out
+            step = max(1, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes))
+            for at in range(0, batch.num_rows, step):
+                out = function(batch.slice(at, step))
+                if out is not None and out.num_rows:
+                    yield out
 
     return df.mapInArrow(run, schema)
 
