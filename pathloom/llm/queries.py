@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .byte_bpe import bpe_decode, bpe_encode
 from .common import table
 from .language_id import identify_languages
+from .simhash import simhash_classes
 from .token_counts import token_counts
 from .toxicity import score_toxicity
 
@@ -28,6 +29,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_classes(table(spark, sf_dir, "documents"), words=3)
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -39,6 +44,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op6_byte_bpe": op6_byte_bpe,
+    "op5_simhash": op5_simhash,
     "op7_toxicity": op7_toxicity,
     "op10_language_id": op10_language_id,
 }
