@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .byte_bpe import bpe_decode, bpe_encode
 from .common import table
 from .language_id import identify_languages
+from .pii import KINDS, pii_spans
 from .simhash import simhash_classes
 from .token_counts import token_counts
 from .top_k import top_k
@@ -31,6 +32,14 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii_spans(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    listed = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    counts = [F.size(F.filter("spans", lambda s, kind=kind: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}") for kind in KINDS]
+    return found.select("doc_id", *counts, F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = archive_path(spark)
     write_archives(table(spark, sf_dir, "pages"), path)
@@ -56,6 +65,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op6_byte_bpe": op6_byte_bpe,
+    "op3_pii": op3_pii,
     "op4_warc": op4_warc,
     "op5_simhash": op5_simhash,
     "op7_toxicity": op7_toxicity,
