@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .byte_bpe import bpe_decode, bpe_encode
 from .common import table
+from .decontaminate import contaminated
 from .language_id import identify_languages
 from .pii import KINDS, pii_spans
 from .simhash import simhash_classes
@@ -32,6 +33,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii_spans(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["base"])
@@ -65,6 +70,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op6_byte_bpe": op6_byte_bpe,
+    "op2_decontamination": op2_decontamination,
     "op3_pii": op3_pii,
     "op4_warc": op4_warc,
     "op5_simhash": op5_simhash,
