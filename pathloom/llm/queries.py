@@ -13,6 +13,7 @@ from .common import table
 from .decontaminate import contaminated
 from .language_id import identify_languages
 from .pii import KINDS, pii_spans
+from .repeats import remove_repeats
 from .simhash import simhash_classes
 from .token_counts import token_counts
 from .top_k import top_k
@@ -63,6 +64,10 @@ def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents")).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
@@ -76,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
     "op7_toxicity": op7_toxicity,
     "op8_top_k": op8_top_k,
+    "op9_suffix_array": op9_suffix_array,
     "op10_language_id": op10_language_id,
 }
 
