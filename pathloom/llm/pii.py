@@ -356,7 +356,6 @@ def mask_spans(text: str, spans: list[Span]) -> str:
 def mask_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` with personal data masked in ``text_col``; all other columns as they were."""
     field = docs.sparkSession.sparkContext.broadcast(trained_field())
-    types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     at = docs.columns.index(text_col)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -365,6 +364,6 @@ def mask_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
         columns[at] = pa.array(texts, batch.schema.field(at).type)
         return pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return arrow_map(docs, run, types)
+    return arrow_map(docs, run, docs.schema)
 
 

@@ -286,3 +286,14 @@ def score_toxicity(
 
     out = arrow_map(id_and_text(docs, id_col, text_col), run, f"id {kind}, score double")
     return out.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.3, max_toxic: int = 1000, max_clean: int = 4000, train_chars: int = 20_000) -> DataFrame:
+    """The rows of ``docs``, all columns, whose score is below ``threshold``."""
+    model = docs.sparkSession.sparkContext.broadcast(fit_toxicity(*labelled_sample(docs, labels, id_col, text_col, label_col, max_toxic, max_clean, train_chars)))
+    at = docs.columns.index(text_col)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return batch.filter(pa.array(model.value.scores(batch.column(at).to_pylist()) < threshold))
+
+    return arrow_map(docs, run, docs.schema)
