@@ -25,7 +25,7 @@ def _joined(column: Column) -> Column:
 TRANSFORMS = {
     "plain": lambda c: c.cast("string"),
     "clean": lambda c: F.trim(F.regexp_replace(F.regexp_replace(c, r"<[^>]+>", ""), r"(?U)\s+", " ")),
-    "round_2": lambda c: F.format_string("%.2f", c.cast("double")),
+    "round_2": lambda c: F.when(c.isNotNull(), F.format_string("%.2f", c.cast("double"))),
     "yes_no": lambda c: F.when(c, "Yes").otherwise("No"),
     "list": _joined,
     "json": lambda c: F.to_json(c),
