@@ -210,9 +210,26 @@ class Codec:
             self.young[piece] = have
         return have
 
+    def forget(self) -> None:
+        """Drop what was remembered of the texts so far."""
+        self.young, self.old, self.young_units, self.old_units = {}, {}, {}, {}
+
     def decode(self, ids: bytes) -> bytes:
-        table = self.bytes_of
-        return b"".join([table[i] for i in np.frombuffer(ids, dtype="<u4").tolist()])
+        return decoded(ids, self.bytes_of)
+
+
+def decoded(ids: bytes, table: list[bytes]) -> bytes:
+    return b"".join([table[i] for i in np.frombuffer(ids, dtype="<u4").tolist()])
+
+
+@lru_cache(maxsize=2)
+def token_table(path: str) -> list[bytes]:
+    """Token bytes by rank: all that decoding needs."""
+    ranks = read_ranks(path)
+    table = [b""] * (max(ranks.values(), default=-1) + 1)
+    for token, rank in ranks.items():
+        table[rank] = token
+    return table
 
 
 @lru_cache(maxsize=2)
@@ -229,22 +246,37 @@ def bpe_encode(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id"
         ids = [model.encode(text.as_py() or "") for text in batch.column("text")]
         return pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["id", "n_tokens", "ids"])
 
-    out = arrow_map(id_and_text(docs, id_col, text_col), run, f"id {kind}, n_tokens long, ids binary")
+    out = arrow_map(id_and_text(docs, id_col, text_col), run, f"id {kind}, n_tokens long, ids binary", lambda: codec(ranks, pattern).forget())
     return out.select(F.col("id").alias(id_col), "n_tokens", "ids")
 
 
-def bpe_decode(coded: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
+def bpe_decode(coded: DataFrame, ranks: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
     """One row per row of ``coded``: the key, ``n_tokens``, ``ids`` and ``decoded``, the bytes that the ids stand for."""
     kind = coded.schema[id_col].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        model = codec(ranks, pattern)
+        table = token_table(ranks)
         raw = [x.as_py() or b"" for x in batch.column("ids")]
-        return pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.array([len(x) // 4 for x in raw], pa.int64()), pa.array(raw, pa.binary()), pa.array([model.decode(x) for x in raw], pa.binary())],
-            ["id", "n_tokens", "ids", "decoded"],
-        )
+        return _coded_rows(batch.column("id"), raw, [decoded(x, table) for x in raw])
 
     rows = coded.select(F.col(id_col).alias("id"), F.col(ids_col).cast("binary").alias("ids"))
     out = arrow_map(rows, run, f"id {kind}, n_tokens long, ids binary, decoded binary")
     return out.select(F.col("id").alias(id_col), "n_tokens", "ids", "decoded")
+
+
+def _coded_rows(keys: pa.Array, ids: list[bytes], texts: list[bytes]) -> pa.RecordBatch:
+    columns = [keys, pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary()), pa.array(texts, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, ["id", "n_tokens", "ids", "decoded"])
+
+
+def bpe_round_trip(docs: DataFrame, ranks: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``bpe_decode`` of ``bpe_encode`` in one pass, so that a task needs one Python worker instead of two."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        model = codec(ranks, pattern)
+        ids = [model.encode(text.as_py() or "") for text in batch.column("text")]
+        return _coded_rows(batch.column("id"), ids, [model.decode(x) for x in ids])
+
+    out = arrow_map(id_and_text(docs, id_col, text_col), run, f"id {kind}, n_tokens long, ids binary, decoded binary", lambda: codec(ranks, pattern).forget())
+    return out.select(F.col("id").alias(id_col), "n_tokens", "ids", "decoded")

@@ -51,8 +51,11 @@ def written(df: DataFrame, what: str) -> DataFrame:
 SLICE_BYTES = 4_000_000
 
 
-def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType) -> DataFrame:
-    """``mapInArrow`` with a function of one record batch; large batches come in slices of about ``SLICE_BYTES``."""
+def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, done: Callable[[], None] | None = None) -> DataFrame:
+    """``mapInArrow`` with a function of one record batch; large batches come in slices of about ``SLICE_BYTES``.
+
+    ``done`` is called after a partition's last batch: workers are reused, and what they remember would stay.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -61,6 +64,8 @@ def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch
                 out = function(batch.slice(at, step))
                 if out is not None and out.num_rows:
                     yield out
+        if done is not None:
+            done()
 
     return df.mapInArrow(run, schema)
 

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .byte_bpe import bpe_decode, bpe_encode
+from .byte_bpe import bpe_round_trip
 from .common import table
 from .decontaminate import contaminated
 from .language_id import identify_languages
@@ -30,7 +30,7 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = bpe_decode(bpe_encode(table(spark, sf_dir, "documents"), ranks, pattern), ranks, pattern)
+    coded = bpe_round_trip(table(spark, sf_dir, "documents"), ranks, pattern)
     return coded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
