@@ -41,16 +41,16 @@ def newton_svm(x: np.ndarray, y: np.ndarray, cost: float = 10.0, steps: int = 50
     return w
 
 
-def logistic_scale(margin: np.ndarray, positive: np.ndarray) -> tuple[float, float]:
-    """Slope and offset of Platt's sigmoid for these margins."""
-    n1, n0 = positive.sum(), (~positive).sum()
+def logistic_scale(margin: np.ndarray, positive: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Slope and offset of Platt's sigmoid for these weighted margins."""
+    n1, n0 = weight[positive].sum(), weight[~positive].sum()
     target = np.where(positive, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     design = np.column_stack([margin, np.ones_like(margin)])
     theta = np.array([1.0, 0.0])
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(design @ theta, -30, 30)))
-        gradient = design.T @ (p - target) + 1e-3 * theta
-        hessian = (design * (p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
+        gradient = design.T @ (weight * (p - target)) + 1e-3 * theta
+        hessian = (design * (weight * p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
         step = np.linalg.solve(hessian, gradient)
         theta -= step * min(1.0, 5 / (np.abs(step).max() + 1e-12))
     return float(theta[0]), float(theta[1])

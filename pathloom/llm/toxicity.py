@@ -14,7 +14,7 @@ Training is by whole texts' labels: a toxic text holds at least one toxic word,
 words that recur in toxic and never in clean texts are the first positives, and after each fit a
 toxic text without any of them adds its highest-scoring word as witness; words of clean texts are
 the other class, the hardest of them added after each fit.  A text's margin is its largest word's,
-scaled to 0..1 on texts set aside from the fit.
+scaled to 0..1 on texts set aside from the fit, toxic ones also with characters put into their worst word.
 
 Bounds of the training sample (driver memory): ``max_toxic`` and ``max_clean`` labelled rows,
 chosen by a hash of the key, texts of up to ``train_chars`` characters; held-out rows never.
@@ -41,10 +41,10 @@ from .common import arrow_map, held_out, id_and_text
 from .svm import logistic_scale, newton_svm, sigmoid
 
 SPAN = 7
-DECAY = 0.5
+DECAY = 0.6
 BITS = 20
 LONGEST = 48
-MEMO_WORDS = 300_000
+MEMO_WORDS = 100_000
 #: Positions of the second to fourth character after the first, and the weight of their gaps.
 SHAPES = [(j, k, n, DECAY ** (n - 3)) for j, k, n in combinations(range(1, SPAN), 3)]
 SPACED = re.compile(r"(?<!\S)(?:\S ){3,}\S(?!\S)")
@@ -214,9 +214,10 @@ def covering(bags: list[set[str]], least: int, times: int = 3) -> list[str]:
 
 
 def stretched(words: list[str], draw: np.random.Generator) -> list[str]:
-    """Each word twice more, with a letter or mark put in at a random inner place."""
+    """Each word some times more, with a letter or mark put in at a random inner place."""
     fill = "abcdefghijklmnopqrstuvwxyz.-*"
-    return [w[:at] + fill[draw.integers(len(fill))] + w[at:] for w in words for at in draw.integers(1, max(2, len(w)), 2)]
+    times = min(12, max(3, 600 // max(1, len(words))))
+    return [w[:at] + fill[draw.integers(len(fill))] + w[at:] for w in words for at in draw.integers(1, max(2, len(w)), times)]
 
 
 def fit_toxicity(texts: list[str], toxic: list[int], landmarks: int = 384, rounds: int = 2, seed: int = 11) -> ToxicityModel:
@@ -232,7 +233,7 @@ def fit_toxicity(texts: list[str], toxic: list[int], landmarks: int = 384, round
     fit = ~aside
     clean = Counter(w for b, t, f in zip(bags, flags, fit, strict=True) if f and not t for w in set(b))
     bad = Counter(w for b, t, f in zip(bags, flags, fit, strict=True) if f and t for w in set(b) if w not in clean and len(w) >= 3)
-    least = max(2, int(flags[fit].sum()) // 100)
+    least = max(2, round(0.5 * float(flags[fit].sum()) ** 0.5))
     suspects = [{w for w in b if bad[w] >= least} for b, t, f in zip(bags, flags, fit, strict=True) if f and t]
     positive = covering(suspects, least) or [w for w, _ in bad.most_common(200)] or ["\x01\x01\x01"]
     draw = np.random.default_rng(seed)
@@ -252,7 +253,16 @@ def fit_toxicity(texts: list[str], toxic: list[int], landmarks: int = 384, round
         negative = sorted({*negative, *(w for v, w in hard if v > -1)})
         model = fit_words(positive, negative, landmarks, seed)
     held = aside if aside.any() else fit
-    model.slope, model.offset = logistic_scale(model.margins([t for t, h in zip(texts, held, strict=True) if h]), flags[held])
+    margins = model.margins([t for t, h in zip(texts, held, strict=True) if h])
+    weights, extra = np.ones(len(margins)), []
+    for at, bag in enumerate(b for b, h in zip(bags, held, strict=True) if h):
+        if flags[held][at] and margins[at] > 0:
+            values = model.word_margins(bag)
+            extra.append([p for w in stretched([bag[int(values.argmax())]], draw)[:4] for p in parts_of(w)])
+            weights[at] = 0.5
+    changed = model.word_margins([w for ws in extra for w in ws])
+    shares = np.concatenate([np.full(len(ws), 0.5 / len(ws)) for ws in extra]) if extra else np.zeros(0)
+    model.slope, model.offset = logistic_scale(np.concatenate([margins, changed]), np.concatenate([flags[held], np.ones(len(changed), dtype=bool)]), np.concatenate([weights, shares]))
     model.memo.clear()
     return model
 
@@ -284,7 +294,7 @@ def score_toxicity(
         scores = model.value.scores(batch.column("text").to_pylist())
         return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(scores, pa.float64())], ["id", "score"])
 
-    out = arrow_map(id_and_text(docs, id_col, text_col), run, f"id {kind}, score double")
+    out = arrow_map(id_and_text(docs, id_col, text_col), run, f"id {kind}, score double", lambda: model.value.memo.clear())
     return out.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -296,4 +306,4 @@ def reject_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         return batch.filter(pa.array(model.value.scores(batch.column(at).to_pylist()) < threshold))
 
-    return arrow_map(docs, run, docs.schema)
+    return arrow_map(docs, run, docs.schema, lambda: model.value.memo.clear())
