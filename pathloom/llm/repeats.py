@@ -40,8 +40,8 @@ CHUNK = 1 << 19
 SLICE = 8 << 20
 #: Text bytes for each bucket of the first step.
 BUCKET_BYTES = 16 << 20
-#: Different stretches of one gram beyond which its windows are spread.
-SPREAD = 2_000
+#: Different stretches of one gram (of at most 180 bytes each, so 9 MB) beyond which its windows are spread.
+SPREAD = 50_000
 BATCH = 1 << 17
 LAST = (1 << 63) - 1
 
