@@ -173,7 +173,7 @@ def _profile(text: str | None, words: int) -> tuple[bytes, list[int], list[int]]
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, most_bits: int = 44) -> DataFrame:
-    """``id`` and ``group_id`` (smallest id of the group) for every row of ``docs`` with a key.
+    """``id`` and ``group_id`` (smallest id of the group) for every row of ``docs`` with a key, which is an integer.
 
     Groups are components of links between texts whose sets of ``words``-word shingles have a
     Jaccard similarity of at least ``similarity``.  Candidates: fingerprints of 8 segments of
