@@ -181,7 +181,8 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     most ``most_bits`` bits; each is then verified on the shingles.  At a similarity of exactly
     0.8 about 4 % of word pairs are unshared, a bit differs with probability 0.1, and some
     segment of a pair differs by at most one bit with probability above 0.95; nearer pairs are
-    missed more rarely still.  In a bucket every text is paired with its first and its previous one.
+    missed more rarely still.  In a bucket every text is paired with its first one,
+    the third with the second too: chance buckets hold two or three, larger ones are near groups already.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -201,8 +202,9 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     ]
     keyed = nodes.select("node", F.explode(F.array(*slots)).alias("key"))
     ordered = Window.partitionBy("key").orderBy("node")
-    met = keyed.select("node", F.first("node").over(ordered).alias("first"), F.lag("node").over(ordered).alias("previous")).filter("previous is not null")
-    pairs = met.select(F.explode(F.array("first", "previous")).alias("a"), F.col("node").alias("b")).distinct()
+    met = keyed.select("node", F.first("node").over(ordered).alias("first"), F.lag("node").over(ordered).alias("previous"), F.row_number().over(ordered).alias("at")).filter("previous is not null")
+    partners = F.when(F.col("at") <= 3, F.array("first", "previous")).otherwise(F.array("first"))
+    pairs = met.select(F.explode(partners).alias("a"), F.col("node").alias("b")).distinct()
     pairs = written(pairs.filter("a <> b"), "candidate-pairs")
     signed = nodes.select("node", "segments")
     near = pairs.join(signed.toDF("a", "sa"), "a").join(signed.toDF("b", "sb"), "b")
