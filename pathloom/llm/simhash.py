@@ -172,6 +172,26 @@ def _profile(text: str | None, words: int) -> tuple[bytes, list[int], list[int]]
     return hashlib.md5(b" ".join(found), usedforsecurity=False).digest(), segments.tolist(), hashes.tolist()
 
 
+def _longs(links: DataFrame) -> DataFrame:
+    return links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+
+
+def _unlinked(met: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs ``a`` < ``b`` that share a key of ``met`` (``node``, ``key``, ``first``), lie in different components and aren't with the ``first``, once each.
+
+    Each pair has an end outside the bucket's largest component, so a bucket that is one large component but for a
+    few texts makes few pairs.
+    """
+    placed = met.filter("n > 2").drop("n").join(roots, "node", "left").withColumn("root", F.coalesce("root", F.col("node").cast("long")))
+    sizes = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
+    largest = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1").drop("roots")
+    mixed = written(placed.filter("node <> first").join(largest, "key").select("key", "node", "root", "main"), "mixed-buckets")
+    one = mixed.filter("root <> main").select("key", F.col("node").alias("x"), F.col("root").alias("x_root"))
+    two = mixed.select("key", F.col("node").alias("y"), F.col("root").alias("y_root"), "main")
+    met = one.join(two, "key").filter("x_root <> y_root and (y_root = main or x < y)")
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, most_bits: int = 44) -> DataFrame:
     """``id`` and ``group_id`` (smallest id of the group) for every row of ``docs`` with a key, which is an integer.
 
@@ -181,8 +201,9 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     most ``most_bits`` bits; each is then verified on the shingles.  At a similarity of exactly
     0.8 about 4 % of word pairs are unshared, a bit differs with probability 0.1, and some
     segment of a pair differs by at most one bit with probability above 0.95; nearer pairs are
-    missed more rarely still.  In a bucket every text is paired with its first one,
-    the third with the second too: chance buckets hold two or three, larger ones are near groups already.
+    missed more rarely still.  No bucket is capped: every text is compared with the first
+    of its bucket, then all pairs of a bucket that these links leave in different components are
+    compared too.  The pairs left out are in one group already, so the groups are those of all pairs.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
@@ -201,19 +222,22 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         F.shiftleft(F.lit(s * WIDTH + i).cast("long"), 32).bitwiseOR(F.col("segments")[s].bitwiseAND(~(1 << i)).cast("long")) for s in range(SEGMENTS) for i in range(WIDTH)
     ]
     keyed = nodes.select("node", F.explode(F.array(*slots)).alias("key"))
-    ordered = Window.partitionBy("key").orderBy("node")
-    met = keyed.select("node", F.first("node").over(ordered).alias("first"), F.lag("node").over(ordered).alias("previous"), F.row_number().over(ordered).alias("at")).filter("previous is not null")
-    partners = F.when(F.col("at") <= 3, F.array("first", "previous")).otherwise(F.array("first"))
-    pairs = met.select(F.explode(partners).alias("a"), F.col("node").alias("b")).distinct()
-    pairs = written(pairs.filter("a <> b"), "candidate-pairs")
-    signed = nodes.select("node", "segments")
-    near = pairs.join(signed.toDF("a", "sa"), "a").join(signed.toDF("b", "sb"), "b")
-    bits = sum((F.bit_count(F.col("sa")[s].bitwiseXOR(F.col("sb")[s])) for s in range(1, SEGMENTS)), F.bit_count(F.col("sa")[0].bitwiseXOR(F.col("sb")[0])))
-    near = written(near.filter(bits <= most_bits).select("a", "b"), "near-pairs")
-    full = nodes.select("node", "shingles")
-    both = near.join(full.toDF("a", "xa"), "a").join(full.toDF("b", "xb"), "b")
-    shared = F.size(F.array_intersect("xa", "xb"))
-    links = both.filter(shared >= similarity * (F.size("xa") + F.size("xb") - shared)).select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    bucket = Window.partitionBy("key")
+    met = written(keyed.select("node", "key", F.min("node").over(bucket).alias("first"), F.count("*").over(bucket).alias("n")).filter("n > 1"), "shared-keys")
+
+    def near(pairs: DataFrame) -> DataFrame:
+        signed, full = nodes.select("node", "segments"), nodes.select("node", "shingles")
+        both = pairs.join(signed.toDF("a", "sa"), "a").join(signed.toDF("b", "sb"), "b")
+        bits = sum((F.bit_count(F.col("sa")[s].bitwiseXOR(F.col("sb")[s])) for s in range(1, SEGMENTS)), F.bit_count(F.col("sa")[0].bitwiseXOR(F.col("sb")[0])))
+        both = written(both.filter(bits <= most_bits).select("a", "b"), "near-pairs")
+        both = both.join(full.toDF("a", "xa"), "a").join(full.toDF("b", "xb"), "b")
+        shared = F.size(F.array_intersect("xa", "xb"))
+        return both.filter(shared >= similarity * (F.size("xa") + F.size("xb") - shared)).select("a", "b")
+
+    stars = met.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    links = written(near(written(stars, "candidate-pairs")), "near-links")
+    rest = written(_unlinked(met, written(components(_longs(links)), "star-roots")), "candidate-pairs")
+    links = _longs(links.unionByName(near(rest)))
     roots = written(components(links), "near-roots")
     named = written(same.join(roots, "node", "left").select("digest", F.coalesce("root", F.col("node").cast("long")).alias("group_id")), "text-groups")
     return rows.select("id", "digest").join(named, "digest").select(F.col("id"), "group_id")

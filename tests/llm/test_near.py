@@ -77,3 +77,28 @@ def test_groups_by_shingles(spark):
     wrong = sum(found[i] != w for i, w in enumerate(want))
     assert all(want[found[i]] == w for i, w in enumerate(want)), "texts grouped that aren't near"
     assert wrong <= 0.05 * len(texts)
+
+
+def shingle_sets(texts):
+    return [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (t.split() for t in texts)]
+
+
+def near(a, b):
+    return len(a & b) >= 0.8 * len(a | b)
+
+
+def test_buckets_are_compared_whole(spark):
+    draw = random.Random(8)
+    words = [f"w{i}" for i in range(900)]
+    texts = []
+    for _ in range(6):
+        x = [draw.choice(words) for _ in range(400)]
+        for k in range(30):  # versions, each with 3 % of its words changed: far ones aren't near
+            texts.append(" ".join(x))
+            x = list(x)
+            for _ in range(4 + 3 * (k % 2)):
+                x[draw.randrange(len(x))] = draw.choice(words)
+    sets = shingle_sets(texts)
+    want = brute_components(len(texts), lambda a, b: near(sets[a], sets[b]))
+    found = {r["id"]: r["group_id"] for r in simhash.near_duplicate_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [found[i] for i in range(len(texts))] == want
