@@ -32,8 +32,6 @@ from .components import components
 #: Distinct fingerprints under one key beyond which the key is cut again.
 DENSE = 1_000
 CHUNK = 1 << 16
-_STEP = 0x9E3779B97F4A7C15
-_MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def ascii_words(text: str | None) -> list[bytes]:
@@ -145,31 +143,32 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Near-duplicates by similarity of word shingles: wider fingerprints, verified on the shingles.
+# Near-duplicates by similarity of word shingles: MinHash keys, verified on the shingles.
 
-SEGMENTS, WIDTH = 8, 24
-_SLOTS = 3
+BANDS, ROWS = 24, 6
+SOME = 1 << 12
+_MULTIPLIERS, _SHIFTS = np.random.default_rng(11).integers(0, 1 << 64, (2, BANDS * ROWS), dtype=np.uint64)
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """A key for each band of ``ROWS`` least values of hashed 32-bit shingles, as longs; none without shingles."""
+    if not len(hashes):
+        return []
+    least = np.full(BANDS * ROWS, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
+    x = hashes.view(np.uint32).astype(np.uint64)
+    for at in range(0, len(x), SOME):
+        mixed = x[at : at + SOME] * _MULTIPLIERS[:, None] + _SHIFTS[:, None]
+        np.minimum(least, mixed.min(axis=1), out=least)
+    least = (least >> np.uint64(32)).astype(np.uint32).reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(least)], dtype=np.uint64).view(np.int64).tolist()
 
 
 def _profile(text: str | None, words: int) -> tuple[bytes, list[int], list[int]]:
-    """Digest of the word sequence, segments of the wide fingerprint, sorted distinct 32-bit shingle hashes."""
+    """Digest of the word sequence, band keys, sorted distinct 32-bit shingle hashes."""
     found = ascii_words(text)
-    pairs = list(shingle_hashes(found, 2))
-    features = np.unique(np.concatenate(pairs)) if pairs else np.zeros(0, dtype=np.uint64)
-    ones = np.zeros(64 * _SLOTS, dtype=np.int64)
-    for at in range(0, len(features), CHUNK):
-        some = features[at : at + CHUNK]
-        for slot in range(_SLOTS):
-            x = some + np.uint64(_STEP * (slot + 1) & 0xFFFFFFFFFFFFFFFF)
-            x = (x ^ x >> np.uint64(30)) * _MIX1
-            x = (x ^ x >> np.uint64(27)) * _MIX2
-            x ^= x >> np.uint64(31)
-            ones[64 * slot : 64 * slot + 64] += np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    bits = (2 * ones > len(features)).reshape(SEGMENTS, WIDTH)
-    segments = (bits * (1 << np.arange(WIDTH))).sum(axis=1)
     runs = list(shingle_hashes(found, words))
     hashes = np.unique(np.concatenate(runs).astype(np.uint32)).view(np.int32) if runs else np.zeros(0, np.int32)
-    return hashlib.md5(b" ".join(found), usedforsecurity=False).digest(), segments.tolist(), hashes.tolist()
+    return hashlib.md5(b" ".join(found), usedforsecurity=False).digest(), band_keys(hashes), hashes.tolist()
 
 
 def _longs(links: DataFrame) -> DataFrame:
@@ -192,45 +191,38 @@ def _unlinked(met: DataFrame, roots: DataFrame) -> DataFrame:
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, most_bits: int = 44) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``id`` and ``group_id`` (smallest id of the group) for every row of ``docs`` with a key, which is an integer.
 
     Groups are components of links between texts whose sets of ``words``-word shingles have a
-    Jaccard similarity of at least ``similarity``.  Candidates: fingerprints of 8 segments of
-    24 bits over distinct word pairs, which share a one-wildcard segment key and differ in at
-    most ``most_bits`` bits; each is then verified on the shingles.  At a similarity of exactly
-    0.8 about 4 % of word pairs are unshared, a bit differs with probability 0.1, and some
-    segment of a pair differs by at most one bit with probability above 0.95; nearer pairs are
-    missed more rarely still.  No bucket is capped: every text is compared with the first
-    of its bucket, then all pairs of a bucket that these links leave in different components are
-    compared too.  The pairs left out are in one group already, so the groups are those of all pairs.
+    Jaccard similarity of at least ``similarity``.  Candidates share one of 24 MinHash keys, each
+    made of 6 least shingle hashes; each is then verified on the shingles.  A pair of similarity
+    ``s`` shares a key with probability ``1 - (1 - s^6)^24``, wherever its shingles differ (scattered
+    words or a block appended, cut or replaced): 0.999 at 0.8.  No bucket is capped: every text is
+    compared with the first of its bucket, then all pairs of a bucket that these links leave in
+    different components are compared too.  The pairs left out are in one group already, so the
+    groups are those of all pairs.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [_profile(t.as_py(), words) for t in batch.column("text")]
         return pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.list_(pa.int32())), pa.array([f[2] for f in found], pa.list_(pa.int32()))],
-            ["id", "digest", "segments", "shingles"],
+            [batch.column("id"), pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.list_(pa.int64())), pa.array([f[2] for f in found], pa.list_(pa.int32()))],
+            ["id", "digest", "keys", "shingles"],
         )
 
-    rows = arrow_map(id_and_text(docs, id_col, text_col).filter("id is not null"), run, f"id {kind}, digest binary, segments array<int>, shingles array<int>")
+    rows = arrow_map(id_and_text(docs, id_col, text_col).filter("id is not null"), run, f"id {kind}, digest binary, keys array<long>, shingles array<int>")
     rows = written(rows, "profiles")
     same = written(rows.groupBy("digest").agg(F.min("id").alias("node")), "distinct-texts")
-    nodes = written(rows.join(same, (rows["digest"] == same["digest"]) & (rows["id"] == same["node"])).select("node", "segments", "shingles").dropDuplicates(["node"]), "text-nodes")
-    slots = [
-        F.shiftleft(F.lit(s * WIDTH + i).cast("long"), 32).bitwiseOR(F.col("segments")[s].bitwiseAND(~(1 << i)).cast("long")) for s in range(SEGMENTS) for i in range(WIDTH)
-    ]
-    keyed = nodes.select("node", F.explode(F.array(*slots)).alias("key"))
+    nodes = written(rows.join(same, (rows["digest"] == same["digest"]) & (rows["id"] == same["node"])).select("node", "keys", "shingles").dropDuplicates(["node"]), "text-nodes")
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
     bucket = Window.partitionBy("key")
     met = written(keyed.select("node", "key", F.min("node").over(bucket).alias("first"), F.count("*").over(bucket).alias("n")).filter("n > 1"), "shared-keys")
 
     def near(pairs: DataFrame) -> DataFrame:
-        signed, full = nodes.select("node", "segments"), nodes.select("node", "shingles")
-        both = pairs.join(signed.toDF("a", "sa"), "a").join(signed.toDF("b", "sb"), "b")
-        bits = sum((F.bit_count(F.col("sa")[s].bitwiseXOR(F.col("sb")[s])) for s in range(1, SEGMENTS)), F.bit_count(F.col("sa")[0].bitwiseXOR(F.col("sb")[0])))
-        both = written(both.filter(bits <= most_bits).select("a", "b"), "near-pairs")
-        both = both.join(full.toDF("a", "xa"), "a").join(full.toDF("b", "xb"), "b")
+        full = nodes.select("node", "shingles")
+        both = pairs.join(full.toDF("a", "xa"), "a").join(full.toDF("b", "xb"), "b")
         shared = F.size(F.array_intersect("xa", "xb"))
         return both.filter(shared >= similarity * (F.size("xa") + F.size("xb") - shared)).select("a", "b")
 

@@ -102,3 +102,27 @@ def test_buckets_are_compared_whole(spark):
     want = brute_components(len(texts), lambda a, b: near(sets[a], sets[b]))
     found = {r["id"]: r["group_id"] for r in simhash.near_duplicate_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert [found[i] for i in range(len(texts))] == want
+
+
+def test_blocks_keep_pairs_near(spark):
+    draw = random.Random(4)
+    words = [f"w{i}" for i in range(900)]
+    fresh = lambda n: [draw.choice(words) for _ in range(n)]
+    texts, pairs = [], []
+    for k in range(240):
+        x = fresh(300)
+        if k % 2:  # a block appended: 296 of 296 + m shingles, 0.80 to 0.85
+            y = x + fresh(52 + k % 4 * 7)
+        else:  # a block of m words replaced: m + 4 shingles differ on either side
+            m, at = 24 + k % 4 * 2, draw.randrange(20, 220)
+            y = x[:at] + fresh(m) + x[at + m :]
+        pairs.append((len(texts), len(texts) + 1))
+        texts += [" ".join(x), " ".join(y)]
+    sets = shingle_sets(texts)
+    similar = [len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in pairs]
+    assert 0.8 <= min(similar) < 0.81 and 0.8 < max(similar) <= 0.85
+    found = {r["id"]: r["group_id"] for r in simhash.near_duplicate_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for odd in (0, 1):
+        hit = [found[a] == found[b] for k, (a, b) in enumerate(pairs) if k % 2 == odd]
+        print("appended" if odd else "replaced", sum(hit) / len(hit))
+        assert sum(hit) >= 0.98 * len(hit)
