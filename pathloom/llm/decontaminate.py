@@ -1,14 +1,16 @@
 """Benchmark decontamination by CGK embeddings, bit-sampling LSH and exact edit distances.
 
-A document holds an item if some window of it, as many words long as the item, is within
+A document holds an item if some passage of it, of any length, is within
 ``floor((1 - similarity) * words)`` word edits of it (words: runs of word characters, lower
-case).  Windows begin at every word.  A window with too few words of items of its length,
-or too few different words of each, can't be within that distance (each edit spoils one word at
-most), so it is passed over.  The
-others are embedded by the CGK random walk: step ``j`` copies the word under the pointer, and a
+case).  Windows of the item's number of words begin at every word, the last ones cut off by the
+text's end.  Of a passage within that distance, the window at its start holds all but as many of
+the item's words as there are edits: a dropped or changed word spoils one, an inserted one pushes
+one out at most.  So a window with too few words of items of its length, or too few different
+words of each, is passed over.  The others are embedded by the CGK random walk: step ``j`` copies the word under the pointer, and a
 random bit of (step, word) decides whether the pointer moves on; few edits then cost few
-differing symbols.  Repeated samples of ``SAMPLED`` of its positions are hash keys; windows and
-items that share one are compared by edit distance.  ``REPEATS`` gives a recall above 0.99 for
+differing symbols.  Repeated samples of ``SAMPLED`` of its positions are hash keys; around
+windows that share one with an item, the passage nearest to it is found by an edit distance that
+leaves both ends free, over ``floor((1 - similarity) * words)`` more words on either side.  ``REPEATS`` gives a recall above 0.99 for
 texts at the very bound (measured in the tests), more for nearer ones.
 
 Items are broadcast in slices of at most ``SLICE_WORDS`` words, one pass over the documents for
@@ -90,6 +92,31 @@ def edit_distance(a: list[int], b: list[int], most: int) -> int:
     return before[len(b)]
 
 
+def _last_row(text: np.ndarray, item: np.ndarray, most: int, free: bool) -> np.ndarray | None:
+    """Least word edits between the item and a stretch that ends at each place of the text, from any place (``free``) or its first word; none if all are over ``most``."""
+    steps = np.arange(len(text) + 1)
+    row = np.zeros(len(text) + 1, dtype=np.int64) if free else steps
+    for word in item:
+        now = row + 1
+        np.minimum(now[1:], row[:-1] + (text != word), out=now[1:])
+        row = np.minimum.accumulate(now - steps) + steps
+        if row.min() > most:
+            return None
+    return row
+
+
+def nearest_passage(text: np.ndarray, item: np.ndarray, most: int) -> tuple[int, int, int]:
+    """Start, words and distance of the passage of ``text``, of any length, nearest to the item (the first such end, the length nearest to the item's); distance ``most + 1`` if it is over ``most``."""
+    row = _last_row(text, item, most, True)
+    if row is None or row.min() > most:
+        return 0, 0, most + 1
+    end, distance = int(row.argmin()), int(row.min())
+    back = _last_row(text[max(0, end - len(item) - most) : end][::-1], item[::-1], most, False)
+    lengths = np.flatnonzero(back == distance)
+    length = int(lengths[np.abs(lengths - len(item)).argmin()])
+    return end - length, length, distance
+
+
 class Items:
     """A slice of the benchmark, by number of words."""
 
@@ -111,7 +138,7 @@ class Items:
             known[-1] = 0
             self.known[n] = known
             self.keys[n] = sample_keys(np.array([self.words[k] for k in which]))
-        self.longest = max(self.by_length, default=0)
+        self.longest = max((n + 2 * most for n, most in self.most.items()), default=0)
 
     def number(self, words: list[str]) -> np.ndarray:
         get = self.vocabulary.get
@@ -129,26 +156,43 @@ class Items:
         return kept
 
     def find(self, numbers: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """(start, item, words, distance) of all windows of ``numbers`` within an item's distance; ``ends``: where each word's text ends."""
+        """(start, item, words, distance) of the nearest passage of ``numbers`` in each stretch within an item's distance; ``ends``: where each word's text ends."""
         for n, which in self.by_length.items():
-            if len(numbers) < n:
-                continue
             counted = np.concatenate([[0], np.cumsum(self.known[n][numbers])])
-            starts = np.flatnonzero(counted[n:] - counted[:-n] >= n - self.most[n])
-            starts = starts[starts + n <= ends[starts]]
+            stops = np.minimum(np.arange(len(numbers)) + n, ends)
+            starts = np.flatnonzero(counted[stops] - counted[:-1] >= n - self.most[n])
+            hits: dict[int, list[int]] = {}
             for low in range(0, len(starts), 4096):
                 some = starts[low : low + 4096]
-                windows = numbers[some[:, None] + np.arange(n)]
+                at = some[:, None] + np.arange(n)
+                windows = np.where(at < ends[some][:, None], numbers[np.minimum(at, len(numbers) - 1)], _NONE)
                 kept = self._holding(windows, which, n)
                 if not kept.any():
                     continue
                 some, windows = some[kept], windows[kept]
                 keys = sample_keys(windows)
                 for k, own in zip(which, self.keys[n], strict=True):
-                    for w in np.flatnonzero((keys == own).any(axis=1)):
-                        distance = edit_distance(windows[w].tolist(), self.words[k], self.most[n])
-                        if distance <= self.most[n]:
-                            yield int(some[w]), k, n, distance
+                    hits.setdefault(k, []).extend(some[(keys == own).any(axis=1)].tolist())
+            for k, own in hits.items():
+                for low, high in self._stretches(own, ends, n):
+                    start, length, distance = nearest_passage(numbers[low:high], np.array(self.words[k]), self.most[n])
+                    if distance <= self.most[n]:
+                        yield low + start, k, length, distance
+
+    def _stretches(self, starts: list[int], ends: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
+        """Where passages around windows of ``n`` words may lie: ``most`` words more on either side, within the text; overlapping ones merged."""
+        low = high = 0
+        for start in starts:
+            end = int(ends[start])
+            first, last = max(start - self.most[n], int(np.searchsorted(ends, end))), min(start + n + self.most[n], end)
+            if first < high:
+                high = max(high, last)
+                continue
+            if high:
+                yield low, high
+            low, high = first, last
+        if high:
+            yield low, high
 
 
 def _blocks(text: str, overlap: int) -> Iterator[tuple[int, list[str]]]:
@@ -169,7 +213,7 @@ def _blocks(text: str, overlap: int) -> Iterator[tuple[int, list[str]]]:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = 0.8, least_words: int = 5) -> DataFrame:
-    """A row for each document and item it holds: the keys, the least ``distance`` in words, ``item_words``, and where that window is (``start``, ``end``: words)."""
+    """A row for each document and item it holds: the keys, the least ``distance`` in words, ``item_words``, and where that passage is (``start``, ``end``: words)."""
     spark = docs.sparkSession
     kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("text")).filter("text is not null")
@@ -212,6 +256,6 @@ def _report(batch: pa.RecordBatch, items: Items, schema: pa.Schema) -> pa.Record
             pair, now = (int(owner[start]), k), (distance, int(first[start]), n)
             best[pair] = min(best.get(pair, now), now)
     rows = sorted(best)
-    columns = [[items.ids[k] for _, k in rows], [best[r][0] for r in rows], [best[r][2] for r in rows], [best[r][1] for r in rows], [best[r][1] + best[r][2] for r in rows]]
+    columns = [[items.ids[k] for _, k in rows], [best[r][0] for r in rows], [len(items.words[k]) for _, k in rows], [best[r][1] for r in rows], [best[r][1] + best[r][2] for r in rows]]
     arrays = [batch.column("id").take(pa.array([r for r, _ in rows], pa.int64()))] + [pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)]
     return pa.RecordBatch.from_arrays(arrays, ["id", *schema.names])

@@ -75,6 +75,27 @@ def test_recall_at_the_bound():
     assert found >= 0.97 * total
 
 
+def test_passages_with_words_put_in_or_dropped(spark):
+    draw = random.Random(6)
+    items = [(i, prose(draw, draw.randint(20, 59))) for i in range(30)]
+    docs, planted = [], {}
+    for i, (_, text) in enumerate(items * 4):
+        passage, kind = text.split(), i // 30
+        most = int(0.2 * len(passage) + 1e-9)
+        for _ in range(most):
+            at = draw.randrange(1, len(passage) - 1)
+            passage[at : at + kind % 2] = [] if kind % 2 else ["qqq"]
+        around = [prose(draw, 40), prose(draw, 40)] if kind < 2 else ["", ""]
+        docs.append((i, " ".join([around[0], *passage, around[1]])))
+        planted[i, i % 30] = most
+    found = contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r["doc_id"], r["item_id"]): r for r in found}
+    assert set(got) <= set(planted) and len(got) >= 0.97 * len(planted)
+    for (doc, item), r in got.items():
+        passage, own = words_of(docs[doc][1])[r["start"] : r["end"]], words_of(items[item][1])
+        assert r["distance"] <= planted[doc, item] and edit_distance(passage, own, 99) == r["distance"] and r["item_words"] == len(own)
+
+
 def plain_spans(t):
     digits = lambda s: re.sub("[^0-9]", "", s)
     spans = [(m.start(), m.end(), "email") for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
