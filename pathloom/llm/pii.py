@@ -4,8 +4,8 @@ Patterns give the base spans (emails, IP addresses, card and phone numbers), eac
 linear in the text.  The random field adds what they leave: candidate segments of up to
 ``MOST_TOKENS`` tokens are scored whole (shape, counts of digits, check sums, separators, what
 stands before), and dynamic programming over segment ends picks boundaries and types jointly.
-Only segments holding a digit or an at sign can be entities; elsewhere the best path is
-outside, so only regions around such characters are decoded.  The field is trained here, on
+Only segments holding a digit, an at sign or a written-out one ("(at)", "[at]", "at ... dot")
+can be entities; elsewhere the best path is outside, so only regions around these are decoded.  The field is trained here, on
 sentences made up from a fixed seed.
 
 Defined cases: a null text counts as empty and has no spans; null keys and repeated rows are
@@ -87,14 +87,15 @@ MOST_TOKENS = 14
 MOST_CHARS = 96
 MOST_GAPS = 6
 AROUND = 64
-_TRIGGER = re.compile(r"[0-9@]")
+_TRIGGER = re.compile(r"[0-9@]|(?:(?<=[\[(])|(?<=[\[(]\s))at(?=\s?[\])])|\bat(?=\s{1,3}[a-z0-9-]{1,63}\s{0,3}(?:[\[(]\s?)?dot\b)", re.IGNORECASE)
+_TOP = re.compile(r"\b(?:com|org|net|edu|gov|mil|info|biz|[a-z]{2})$")
 _TOKEN = re.compile(r"[^\W_]{1,64}|_+|[^\w\s]")
 _WORDS = {"password": 0, "passwd": 0, "pwd": 0, "token": 0, "secret": 0, "key": 0, "apikey": 0, "phone": 1, "tel": 1, "call": 1, "fax": 1, "mobile": 1, "card": 2, "visa": 2, "email": 3, "mail": 3, "contact": 3, "ip": 4, "host": 4, "address": 4, "version": 5, "v": 5, "license": 5, "page": 5, "year": 5}
 _OPENERS, _CLOSERS = set("+("), set(")")
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches within ``AROUND`` characters of a digit or at sign, overlapping ones merged."""
+    """Stretches within ``AROUND`` characters of a digit, at sign or written-out one, overlapping ones merged."""
     found: list[tuple[int, int]] = []
     for m in _TRIGGER.finditer(text):
         low, high = max(0, m.start() - AROUND), m.end() + AROUND
@@ -109,7 +110,8 @@ def candidates(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int]
     """Segments (first token, token after the last) that could be an entity."""
     found = []
     kinds = [text[s] for s, _ in tokens]
-    triggers = np.cumsum([0] + [_TRIGGER.search(text, s, e) is not None for s, e in tokens])
+    at = np.array([m.start() for m in _TRIGGER.finditer(text)], dtype=np.int64)
+    triggers = np.cumsum([0] + [a < b for a, b in np.searchsorted(at, np.array(tokens, dtype=np.int64).reshape(-1, 2)).tolist()]).tolist()
     for i, first in enumerate(kinds):
         if not (first.isalnum() or first in _OPENERS):
             continue
@@ -153,9 +155,10 @@ def segment_features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -
         float(12 <= d <= 19), float(12 <= d <= 19 and luhn(digits)), float(letters == 0 and 12 <= d <= 19 and luhn(digits)),
         float(9 <= d <= 15 and letters == 0), float(d == 10 and letters == 0), float(body[0] in "+("), float(body[0] == "+"),
         float(bool(re.fullmatch(r"\+?[0-9]{0,3}[\s.-]*\(?[0-9]{3}\)?[\s.-]*[0-9]{3}[\s.-]+[0-9]{4}", body))),
-        float(letters == 0), d / max(1, n), float(d <= 2), float(3 <= d <= 6), float(d > 19), spaces / 4.0, float(spaces > 4), len(words) / 4.0, float(len(words) > 5),
+        float(letters == 0), d / max(1, n), float(d <= 2), float(3 <= d <= 6), float(d > 19), 0.0 if mail else spaces / 4.0, float(spaces > 4 and not mail), len(words) / 4.0, float(len(words) > 5),
         float(hexed and n >= 16), float(hexed and n >= 32), float(keyed and n >= 16), float(body.startswith("AKIA")), float(mixed and n >= 12), float(mixed and n >= 12 and hint[0] > 0),
         float(n < 6), float(n < 10), min(n, 64) / 32.0, float(glued_left), float(glued_right), float(before.endswith(("=", ":", '"', "= ", ": "))), *hint, float(d > 0 and len(words) > 1 and not mail), float(j - i == 1),
+        float(mail and _TOP.search(low) is not None),
     ]
 
 
@@ -200,6 +203,7 @@ def made_up(seed: int, n: int) -> list[tuple[str, list[Span]]]:
     draw = random.Random(seed)
     syllables = "an ber co der en fi gra ho in ka lo mi nen os pre qua re sa tion un ver wo é ción ä ñ ó ü è ".split()
     word = lambda: "".join(draw.choice(syllables) for _ in range(draw.randint(1, 3)))
+    ascii_word = lambda: next(w for w in iter(word, "") if w.isascii())
     number = lambda k: "".join(draw.choice("0123456789") for _ in range(k))
 
     def card() -> str:
@@ -220,13 +224,16 @@ def made_up(seed: int, n: int) -> list[tuple[str, list[Span]]]:
 
     def email() -> str:
         at, dot = draw.choice((("@", "."), ("@", "."), (" at ", " dot "), (" [at] ", " [dot] "), ("(at)", "(dot)"), (" (at) ", ".")))
-        return f"{word()}{draw.choice(('.', '_', ''))}{number(2)}{at}{word()}{number(1)}{dot}{draw.choice(('com', 'org', 'net', 'example' + dot + 'com'))}"
+        numbered = draw.random() < 0.5
+        name = word if draw.random() < 0.2 else ascii_word
+        local = f"{name()}{draw.choice(('.', '_', ''))}{number(2)}" if numbered else draw.choice((name(), f"{name()}.{name()}"))
+        return f"{local}{at}{name()}{number(1) if numbered else ''}{dot}{draw.choice(('com', 'org', 'net', 'example' + dot + 'com'))}"
 
     def secret() -> str:
         return draw.choice((lambda: "AKIA" + "".join(draw.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)), lambda: "".join(draw.choice("0123456789abcdef") for _ in range(draw.choice((18, 32, 40, 64)))), lambda: "".join(draw.choice("ABCDEFGHabcdefghijkl0123456789") for _ in range(24))))()
 
     def plain() -> str:
-        return draw.choice((f"version {number(1)}.{number(1)}", f"{draw.randint(1900, 2030)}", f"{number(2)}%", f"CC BY-NC {number(1)}.0", f"{number(1)}/{number(2)}", f"{number(1)},{number(3)},{number(3)}", f"{number(4)}-{number(2)}-{number(2)}", f"{number(2)}:{number(2)}", f"{word()}{number(1)}", f"{number(3)}.{number(2)}", f"v{number(1)}.{number(2)}.{number(1)}", f"@{word()}", f"{word()} at {word()} {number(2)}", number(draw.randint(1, 8)), unlucky(), unlucky()))
+        return draw.choice((f"version {number(1)}.{number(1)}", f"{draw.randint(1900, 2030)}", f"{number(2)}%", f"CC BY-NC {number(1)}.0", f"{number(1)}/{number(2)}", f"{number(1)},{number(3)},{number(3)}", f"{number(4)}-{number(2)}-{number(2)}", f"{number(2)}:{number(2)}", f"{word()}{number(1)}", f"{number(3)}.{number(2)}", f"v{number(1)}.{number(2)}.{number(1)}", f"@{word()}", f"{word()} at {word()} {number(2)}", f"{ascii_word()} at {ascii_word()} dot {ascii_word()}{ascii_word()}", number(draw.randint(1, 8)), unlucky(), unlucky()))
 
     makers = {"email": email, "ip": ip, "card": card, "phone": phone, "secret": secret}
     hints = {"email": ("mail ", "contact "), "ip": ("host ", "ip "), "card": ("card ", "visa "), "phone": ("call ", "tel: "), "secret": ("password=", 'token = "', "key: ", "secret ")}

@@ -127,6 +127,15 @@ def test_field_on_new_sentences_and_odd_rows(spark):
     assert mask_spans("ab 1.2.3.4 c", [(3, 10, "ip"), (3, 8, "card")]) == "ab <IP> c"
 
 
+def test_addresses_without_a_digit():
+    field = trained_field()
+    for address in ("jane [at] example [dot] org", "jane at example dot org", "jane(at)example(dot)com", "Jane.Doe (at) example.net", "sam at mail dot example dot com"):
+        text = f"please write to {address} for more of it"
+        assert find_spans(text, field) == ([], [(16, 16 + len(address), "email")]), address
+    for text in ("we looked at the dot product of both", "she was at home (at last) and slept"):
+        assert find_spans(text, field) == ([], []), text
+
+
 def test_toxicity(spark):
     draw = random.Random(4)
     rows = [(i, prose(draw, 60) + (f" {draw.choice(['dumbkopf', 'vilrat'])}{draw.choice(SYLLABLES)} " + prose(draw, 20) if i % 4 == 0 else "")) for i in range(900)]
