@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.text import spaced_html
 
-MOST_CHARS = 4_000
-FINDING = "ke_id string, severity string, message string, best_fit_level string"
+#: Longest description the judge sees; longer ones are cut, and their findings say so.
+DESCRIPTION_LIMIT = 12_000
+FINDING = "ke_id string, severity string, message string, best_fit_level string, description_truncated boolean"
 
 
 def verdict_finding(level: str, verdict: dict) -> tuple[str, str, str | None] | None:
@@ -26,29 +27,34 @@ def verdict_finding(level: str, verdict: dict) -> tuple[str, str, str | None] |
     return None
 
 
-def reviewed_events(events: DataFrame, judge: Callable[[], Callable[[str, str, str], dict]], level: str = "level_of_biological_organization") -> DataFrame:
+def reviewed_events(events: DataFrame, judge: Callable[[], Callable[[str, str, str], dict]], level: str = "level_of_biological_organization", description_limit: int | None = DESCRIPTION_LIMIT) -> DataFrame:
     """Findings of a judge on every event.
 
     ``judge()`` makes, once for each partition, a function of (id, level, description) that returns a
     verdict.  Events without a description or level are ``unchecked``; where it fails, ``error``.
+    Descriptions of more than ``description_limit`` characters (none or 0: no limit) are cut there;
+    ``description_truncated`` says so.
     """
-    rows = events.select(F.col("ke_id").cast("string").alias("ke_id"), F.col(level).alias("level"), F.substring(F.coalesce(spaced_html(F.col("description")), F.lit("")), 1, MOST_CHARS).alias("text"))
+    text = F.coalesce(spaced_html(F.col("description")), F.lit(""))
+    cut = F.length(text) > description_limit if description_limit else F.lit(False)
+    text = F.when(cut, F.rtrim(F.substring(text, 1, description_limit))).otherwise(text) if description_limit else text
+    rows = events.select(F.col("ke_id").cast("string").alias("ke_id"), F.col(level).alias("level"), text.alias("text"), cut.alias("cut"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ask = judge()
         for batch in batches:
             found = []
-            for ke_id, assigned, text in batch.itertuples(index=False):
+            for ke_id, assigned, text, cut in batch.itertuples(index=False):
                 if not text or not assigned:
-                    found.append((ke_id, "unchecked", "no description" if not text else "no level is assigned", None))
+                    found.append((ke_id, "unchecked", "no description" if not text else "no level is assigned", None, cut))
                     continue
                 try:
                     finding = verdict_finding(assigned, ask(ke_id, assigned, text))
                 except Exception as error:  # the judge is foreign code: its failure is a finding, not the job's
                     finding = ("error", str(error), None)
                 if finding is not None:
-                    found.append((ke_id, *finding))
-            yield pd.DataFrame(found, columns=["ke_id", "severity", "message", "best_fit_level"])
+                    found.append((ke_id, *finding, cut))
+            yield pd.DataFrame(found, columns=["ke_id", "severity", "message", "best_fit_level", "description_truncated"])
 
     return rows.mapInPandas(run, FINDING)
 

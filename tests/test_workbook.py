@@ -42,6 +42,16 @@ def test_review(spark):
     assert tuple(review.severity_summary(found).first()) == (1, 1, 1, 1)
 
 
+def test_review_of_long_descriptions(spark):
+    def judge():
+        return lambda ke_id, level, text: {"assigned_level_fits": False, "best_fit_level": str(len(text))}
+
+    rows = spark.createDataFrame([("1", "Cell", "x" * 11_000), ("2", "Cell", "x" * 13_000), ("3", "Cell", "")], "ke_id string, level_of_biological_organization string, description string")
+    told = lambda **limit: {(r["ke_id"], r["best_fit_level"], r["description_truncated"]) for r in review.reviewed_events(rows, judge, **limit).collect()}
+    assert told() == {("1", "11000", False), ("2", "12000", True), ("3", None, False)}
+    assert told(description_limit=None) == {("1", "11000", False), ("2", "13000", False), ("3", None, False)}
+
+
 def test_configured_search(spark):
     texts = spark.createDataFrame([("1", "title", "liver rise"), ("1", "body", "liver and bile"), ("2", "body", "bile acid"), ("3", "title", "drop liver")], "entity_id string, field string, text string")
     config = search_config.SearchConfig("s", ["liver"], ["title", "body"], "title", [("bile", "acid")], ["drop"])
