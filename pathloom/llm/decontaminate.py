@@ -2,22 +2,27 @@
 
 A document holds an item if some passage of it, of any length, is within
 ``floor((1 - similarity) * words)`` word edits of it (words: runs of word characters, lower
-case).  Windows of the item's number of words begin at every word, the last ones cut off by the
-text's end.  Of a passage within that distance, the window at its start holds all but as many of
-the item's words as there are edits: a dropped or changed word spoils one, an inserted one pushes
-one out at most.  So a window with too few words of items of its length, or too few different
-words of each, is passed over.  The others are embedded by the CGK random walk: step ``j`` copies the word under the pointer, and a
-random bit of (step, word) decides whether the pointer moves on; few edits then cost few
-differing symbols.  Repeated samples of ``SAMPLED`` of its positions are hash keys; around
-windows that share one with an item, the passage nearest to it is found by an edit distance that
-leaves both ends free, over ``floor((1 - similarity) * words)`` more words on either side.  ``REPEATS`` gives a recall above 0.99 for
-texts at the very bound (measured in the tests), more for nearer ones.
+case; items of fewer than five words must then be there exactly).  Windows of the item's number
+of words begin at every word, the last ones cut off by the text's end.  Of a passage within
+that distance, the window at its start holds all but as many of the item's words as there are
+edits: a dropped or changed word spoils one, an inserted one pushes one out at most.  So a
+window is passed over that holds too few words of items of its length, or of each such item
+none of its ``floor((1 - similarity) * words) + 1`` rarest words.
+
+The others are embedded by the CGK random walk: step ``j`` copies the word under the pointer,
+and a random bit of (step, word) decides whether the pointer moves on; few edits then cost few
+differing symbols.  ``REPEATS`` samples of ``SAMPLED`` positions are hash keys, looked up in a
+table of the keys of all items of that length: what a window costs does not grow with the
+number of items.  Of the pairs found, those that share too few different words go; around
+the rest, the passage nearest to the item is found by an edit distance that leaves both ends
+free, over as many more words on either side as edits are allowed.  Recall at the very bound
+is measured in the tests (0.97 or more); nearer passages are found more often.
 
 Items are broadcast in slices of at most ``SLICE_WORDS`` words, one pass over the documents for
 each, so a larger benchmark means more passes and not a larger broadcast.
 
-Defined cases: null and empty documents hold nothing; items that are null or have fewer than
-``least_words`` words match nothing; null keys and repeated rows are reported one for one, once for
+Defined cases: null and empty documents hold nothing; items that are null, have no words or have
+fewer than ``least_words`` match nothing; null keys and repeated rows are reported one for one, once for
 each item; other columns are ignored; empty tables give an empty result.
 """
 
@@ -30,6 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import arrow_map, id_and_text
 
@@ -46,31 +52,65 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(lower) if len(lower) == len(text) and text.isascii() else [w.lower() for w in _WORD.findall(text)]
 
 
-def _bits(words: np.ndarray, step: int, repeats: np.ndarray, seed: int) -> np.ndarray:
-    """The walk's random bit for each word (rows) and repeat (columns) at a step."""
-    x = words.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + repeats.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64((step * 0x165667B19E3779F9 + seed) & 0xFFFFFFFFFFFFFFFF)
-    x = (x ^ x >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
-    return (x >> np.uint64(40) & np.uint64(1)).astype(np.int64)
+#: Random bits of the walks by step and word, taken modulo these numbers: words that share a bit are still different symbols.
+STEPS, SLOTS = 128, 1024
+_WALKS: dict[int, np.ndarray] = {}
+
+
+def _walk_bits(repeats: int, seed: int = 5) -> np.ndarray:
+    """For each step, word slot and repeat, whether the pointer moves on."""
+    if repeats not in _WALKS:
+        _WALKS[repeats] = np.random.default_rng(seed).integers(0, 2, (STEPS, SLOTS * repeats), dtype=np.int8)
+    return _WALKS[repeats]
 
 
 def sample_keys(windows: np.ndarray, repeats: int = REPEATS, sampled: int = SAMPLED, seed: int = 3) -> np.ndarray:
     """Hash keys, one for each window (row of word numbers) and repeat, of sampled positions of its embedding."""
     n, length = windows.shape
-    padded = np.hstack([windows, np.full((n, 1), _PAD)])
-    columns = np.arange(repeats)
-    places = np.random.default_rng(seed + length).integers(0, 2 * length, (repeats, sampled))
-    at = np.zeros((n, repeats), dtype=np.int64)
-    rows = np.arange(n)[:, None]
+    # Sampled places lie far apart and before most walks have ended: near ones often show the same word, late ones the padding.
+    draw, room = np.random.default_rng(seed + length), max(1, 7 * length // 4)
+    apart = room // sampled
+    places = (draw.integers(0, room, (repeats, 1)) + np.arange(sampled) * apart + draw.integers(-(apart // 4), apart // 4 + 1, (repeats, sampled))) % room
+    order = np.argsort(-places.max(axis=1), kind="stable")  # repeats that walk furthest first
+    places, last = places[order], places[order].max(axis=1)
+    moves, columns = _walk_bits(repeats), np.arange(repeats)
+    padded = np.hstack([windows, np.full((n, 1), _PAD)]).ravel()
+    row_start = np.arange(n)[:, None] * (length + 1)
+    ends = row_start + length
+    at = np.repeat(row_start, repeats, axis=1)
     keys = np.zeros((n, repeats), dtype=np.uint64)
-    for step in range(int(places.max()) + 1):
-        symbol = padded[rows, at]
+    for step in range(int(last.max()) + 1):
+        walking = int(np.searchsorted(-last, -step, side="right"))
+        symbol = padded[at[:, :walking]]
         for k in range(sampled):
-            taken = columns[places[:, k] == step]
+            taken = np.flatnonzero(places[:walking, k] == step)
             if len(taken):
                 mixed = (symbol[:, taken].astype(np.uint64) + np.uint64(k + 1)) * np.uint64(0xD6E8FEB86659FD93)
                 keys[:, taken] ^= (mixed ^ mixed >> np.uint64(29)) * np.uint64(2 * k + 0x9E3779B97F4A7C15 | 1)
-        at = np.minimum(at + _bits(symbol, step, columns, seed), length)
-    return keys
+        at[:, :walking] += moves[step % STEPS][(symbol & (SLOTS - 1)) * repeats + columns[:walking]]
+        np.minimum(at[:, :walking], ends, out=at[:, :walking])
+    return (keys ^ columns.astype(np.uint64) << np.uint64(40)) * np.uint64(0x9E3779B97F4A7C15)
+
+
+class KeyTable:
+    """Items by the keys they share with a window: a bit table in front of a sorted array."""
+
+    def __init__(self, keys: np.ndarray) -> None:
+        flat, owner = keys.ravel(), np.repeat(np.arange(len(keys)), keys.shape[1])
+        order = np.argsort(flat, kind="stable")
+        self.keys, self.owner = flat[order], owner[order]
+        self.shift = np.uint64(64 - max(10, int(32 * len(flat)).bit_length()))
+        self.seen = np.zeros(1 << (64 - int(self.shift)), dtype=bool)
+        self.seen[flat >> self.shift] = True
+
+    def pairs(self, keys: np.ndarray) -> np.ndarray:
+        """Rows (item, window) that share a key, once each, in order."""
+        window, column = np.nonzero(self.seen[keys >> self.shift])
+        wanted = keys[window, column]
+        low, high = np.searchsorted(self.keys, wanted, "left"), np.searchsorted(self.keys, wanted, "right")
+        n = high - low
+        place = np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        return np.column_stack(np.divmod(np.unique(self.owner[place] * len(keys) + np.repeat(window, n)), len(keys)))
 
 
 def edit_distance(a: list[int], b: list[int], most: int) -> int:
@@ -131,48 +171,52 @@ class Items:
         for k, words in enumerate(self.words):
             self.by_length.setdefault(len(words), []).append(k)
         self.most = {n: int((1 - similarity) * n + 1e-9) for n in self.by_length}
-        self.known, self.keys = {}, {}
+        times = np.bincount(np.concatenate([np.zeros(0, dtype=np.int64), *[np.unique(w) for w in self.words]]).astype(np.int64), minlength=len(self.vocabulary) + 1)
+        self.known, self.telling, self.tables = {}, {}, {}
         for n, which in self.by_length.items():
-            known = np.zeros(len(self.vocabulary) + 1, dtype=np.int32)
-            known[np.unique(np.array([self.words[k] for k in which]))] = 1
-            known[-1] = 0
-            self.known[n] = known
-            self.keys[n] = sample_keys(np.array([self.words[k] for k in which]))
+            known, telling = (np.zeros(len(self.vocabulary) + 1, dtype=np.int32) for _ in range(2))
+            for k in which:
+                own = np.unique(self.words[k])
+                known[own] = 1
+                rarest = own[np.argsort(times[own], kind="stable")][: self.most[n] + 1]
+                telling[rarest] = 1
+                if len(own) <= self.most[n]:  # a window may hold none of the item's words
+                    telling[:] = 1
+            self.known[n], self.telling[n] = known, telling
+            self.tables[n] = KeyTable(sample_keys(np.array([self.words[k] for k in which])))
         self.longest = max((n + 2 * most for n, most in self.most.items()), default=0)
 
     def number(self, words: list[str]) -> np.ndarray:
         get = self.vocabulary.get
         return np.array([get(w, _NONE) for w in words], dtype=np.int64)
 
-    def _holding(self, windows: np.ndarray, which: list[int], n: int) -> np.ndarray:
-        """Whether a window holds all but ``most`` of the different words of some item."""
+    def _holding(self, pairs: np.ndarray, windows: np.ndarray, which: list[int], n: int) -> Iterator[tuple[int, np.ndarray]]:
+        """Items and, of the windows they share a key with, those that hold all but ``most`` of their different words."""
         ordered = np.sort(windows, axis=1)
         fresh = np.hstack([np.ones((len(ordered), 1), dtype=bool), ordered[:, 1:] != ordered[:, :-1]])
-        kept = np.zeros(len(windows), dtype=bool)
-        for k in which:
-            own = np.zeros(len(self.vocabulary) + 1, dtype=bool)
+        own = np.zeros(len(self.vocabulary) + 1, dtype=bool)
+        cuts = np.flatnonzero(np.diff(pairs[:, 0], prepend=-1))
+        for low, high in zip(cuts, np.append(cuts, len(pairs))[1:], strict=True):
+            k, met = which[pairs[low, 0]], pairs[low:high, 1]
             own[self.words[k]] = True
-            kept |= (own[ordered] & fresh).sum(axis=1) >= own.sum() - self.most[n]
-        return kept
+            held = met[(own[ordered[met]] & fresh[met]).sum(axis=1) >= own.sum() - self.most[n]]
+            own[self.words[k]] = False
+            if len(held):
+                yield k, held
 
     def find(self, numbers: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(start, item, words, distance) of the nearest passage of ``numbers`` in each stretch within an item's distance; ``ends``: where each word's text ends."""
         for n, which in self.by_length.items():
-            counted = np.concatenate([[0], np.cumsum(self.known[n][numbers])])
             stops = np.minimum(np.arange(len(numbers)) + n, ends)
-            starts = np.flatnonzero(counted[stops] - counted[:-1] >= n - self.most[n])
+            counted, telling = (np.concatenate([[0], np.cumsum(marked[n][numbers])]) for marked in (self.known, self.telling))
+            starts = np.flatnonzero((counted[stops] - counted[:-1] >= n - self.most[n]) & (telling[stops] > telling[:-1]))
             hits: dict[int, list[int]] = {}
             for low in range(0, len(starts), 4096):
                 some = starts[low : low + 4096]
                 at = some[:, None] + np.arange(n)
                 windows = np.where(at < ends[some][:, None], numbers[np.minimum(at, len(numbers) - 1)], _NONE)
-                kept = self._holding(windows, which, n)
-                if not kept.any():
-                    continue
-                some, windows = some[kept], windows[kept]
-                keys = sample_keys(windows)
-                for k, own in zip(which, self.keys[n], strict=True):
-                    hits.setdefault(k, []).extend(some[(keys == own).any(axis=1)].tolist())
+                for k, held in self._holding(self.tables[n].pairs(sample_keys(windows)), windows, which, n):
+                    hits.setdefault(k, []).extend(some[held].tolist())
             for k, own in hits.items():
                 for low, high in self._stretches(own, ends, n):
                     start, length, distance = nearest_passage(numbers[low:high], np.array(self.words[k]), self.most[n])
@@ -212,14 +256,14 @@ def _blocks(text: str, overlap: int) -> Iterator[tuple[int, list[str]]]:
         tail, at = words[len(words) - keep :], end
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = 0.8, least_words: int = 5) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = 0.8, least_words: int = 1) -> DataFrame:
     """A row for each document and item it holds: the keys, the least ``distance`` in words, ``item_words``, and where that passage is (``start``, ``end``: words)."""
     spark = docs.sparkSession
-    kind, item_kind = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
+    kind, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType
     items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).cast("string").alias("text")).filter("text is not null")
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     slices = max(1, -(-total // (4 * SLICE_WORDS)))
-    schema = f"id {kind}, item {item_kind}, distance int, item_words int, start int, end int"
+    schema = f"id {kind}, item {item_type.simpleString()}, distance int, item_words int, start int, end int"
     out = None
     for number in range(slices):
         rows = items.filter(F.pmod(F.xxhash64("text"), F.lit(slices)) == number).collect()
@@ -229,16 +273,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         def run(batch: pa.RecordBatch, told=told) -> pa.RecordBatch:
             return _report(batch, told.value, schema_of)
 
-        schema_of = pa.schema([("item", _arrow(item_kind)), ("distance", pa.int32()), ("item_words", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
+        schema_of = pa.schema([("item", to_arrow_type(item_type)), ("distance", pa.int32()), ("item_words", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
         part = arrow_map(id_and_text(docs, id_col, text_col), run, schema)
         out = part if out is None else out.unionByName(part)
     return out.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "distance", "item_words", "start", "end")
 
 
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string(), "smallint": pa.int16()}[kind]
-
-
 def _report(batch: pa.RecordBatch, items: Items, schema: pa.Schema) -> pa.RecordBatch:
     owners, firsts, parts, ends, size = [], [], [], [], 0
     for row, text in enumerate(batch.column("text")):

@@ -34,7 +34,7 @@ def test_edit_distance_band():
 
 def test_decontamination_against_brute_force(spark):
     draw = random.Random(2)
-    items = [(i, prose(draw, draw.randint(12, 30))) for i in range(15)] + [(90, None), (91, "too few words"), (92, "")]
+    items = [(i, prose(draw, draw.randint(12, 30))) for i in range(15)] + [(90, None), (91, "only few words"), (92, "")]
     docs, planted = [], 0
     for i in range(60):
         words = prose(draw, 60).split()
@@ -45,14 +45,14 @@ def test_decontamination_against_brute_force(spark):
             words[20:20] = passage
             planted += 1
         docs.append((i, " ".join(words).title() + ".", "x"))
-    docs += [(100, None, "x"), (101, "", "x"), (None, items[0][1], "x")]
+    docs += [(100, None, "x"), (101, "", "x"), (None, items[0][1], "x"), (102, prose(draw, 20) + " Only few words, " + prose(draw, 20), "x"), (103, "only many words", "x"), (102, "repeated rows", "x")]
     want = set()
     for key, text, _ in docs:
         w = words_of(text or "")
         for item, t in items:
             own = words_of(t or "")
             n, most = len(own), int(0.2 * len(own) + 1e-9)
-            if n >= 5 and any(edit_distance(w[s : s + n], own, most) <= most for s in range(len(w) - n + 1)):
+            if n and any(edit_distance(w[s : s + n], own, most) <= most for s in range(len(w) - n + 1)):
                 want.add((key, item))
     found = contaminated(spark.createDataFrame(docs, "doc_id long, text string, item_id string"), spark.createDataFrame(items, "item_id long, text string")).collect()
     got = {(r["doc_id"], r["item_id"]) for r in found}
@@ -62,7 +62,7 @@ def test_decontamination_against_brute_force(spark):
 
 def test_recall_at_the_bound():
     draw = random.Random(5)
-    rows = [(i, prose(draw, draw.randint(15, 59)).split()) for i in range(120)]
+    rows = [(i, prose(draw, draw.randint(15, 59)).split()) for i in range(400)]
     items = Items(rows, 0.8)
     found = total = 0
     for k, (_, words) in enumerate(rows):
@@ -72,6 +72,7 @@ def test_recall_at_the_bound():
         numbers = items.number(edited)
         total += 1
         found += any(item == k for _, item, _, _ in items.find(numbers, np.full(len(numbers), len(numbers))))
+    print("recall at the bound", found / total)
     assert found >= 0.97 * total
 
 
