@@ -21,7 +21,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where the session has none (tests, a single machine) a temporary folder is set.
+    Only where the session has none and runs on one machine (``local`` masters) a temporary
+    folder is set; a cluster without a shared folder is refused.
     """
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
@@ -29,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
         known = context._jsc.sc().getCheckpointDir()
         if known.isDefined():
             where = known.get()
+        elif not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         else:
             where = "file://" + tempfile.mkdtemp(prefix="pathloom-")
             context.setCheckpointDir(where)
@@ -44,7 +47,17 @@ def written(df: DataFrame, what: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``written`` that nothing will read again."""
+    for one in tables:
+        spark = one.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(one._written_to)
+        path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
 #: Text bytes (of the whole batch, on average) that a worker handles at a time.

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_map, id_and_text, written
+from .common import arrow_map, discard, id_and_text, written
 from .components import components
 
 #: Distinct fingerprints under one key beyond which the key is cut again.
@@ -146,6 +146,8 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 # Near-duplicates by similarity of word shingles: MinHash keys, verified on the shingles.
 
 BANDS, ROWS = 24, 6
+#: Classes of shingle hashes by which a bound on what two texts share is counted.
+CLASSES = 32
 SOME = 1 << 12
 _MULTIPLIERS, _SHIFTS = np.random.default_rng(11).integers(0, 1 << 64, (2, BANDS * ROWS), dtype=np.uint64)
 
@@ -163,73 +165,118 @@ def band_keys(hashes: np.ndarray) -> list[int]:
     return np.array([xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(least)], dtype=np.uint64).view(np.int64).tolist()
 
 
-def _profile(text: str | None, words: int) -> tuple[bytes, list[int], list[int]]:
-    """Digest of the word sequence, band keys, sorted distinct 32-bit shingle hashes."""
+def _profile(text: str | None, words: int) -> tuple[bytes | None, list[int], list[int], list[int]]:
+    """Digest of the word sequence (none without words), band keys, sizes of ``CLASSES`` classes of the shingles, sorted distinct 32-bit shingle hashes."""
     found = ascii_words(text)
-    runs = list(shingle_hashes(found, words))
-    hashes = np.unique(np.concatenate(runs).astype(np.uint32)).view(np.int32) if runs else np.zeros(0, np.int32)
-    return hashlib.md5(b" ".join(found), usedforsecurity=False).digest(), band_keys(hashes), hashes.tolist()
+    if not found:
+        return None, [], [], []
+    hashes = np.unique(np.concatenate(list(shingle_hashes(found, words))).astype(np.uint32)).view(np.int32)
+    digest = hashlib.md5(b" ".join(found), usedforsecurity=False).digest()
+    return digest, band_keys(hashes), np.bincount(hashes % CLASSES, minlength=CLASSES).tolist(), hashes.tolist()
 
 
-def _longs(links: DataFrame) -> DataFrame:
-    return links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+def text_mark(text: Column) -> Column:
+    """What tells texts under one key apart: the MD5 of a text as it is, null for null."""
+    return F.unhex(F.md5(text.cast("string")))
 
 
-def _unlinked(met: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs ``a`` < ``b`` that share a key of ``met`` (``node``, ``key``, ``first``), lie in different components and aren't with the ``first``, once each.
+def has_words(text: Column) -> Column:
+    """Whether ``ascii_words`` finds any."""
+    return F.coalesce(text.cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
 
-    Each pair has an end outside the bucket's largest component, so a bucket that is one large component but for a
-    few texts makes few pairs.
+
+def _near(pairs: DataFrame, profiles: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs whose shingles are similar enough."""
+    full = profiles.select("node", "shingles")
+    both = pairs.join(full.toDF("a", "xa"), "a").join(full.toDF("b", "xb"), "b")
+    shared = F.size(F.array_intersect("xa", "xb"))
+    return both.filter(shared >= similarity * (F.size("xa") + F.size("xb") - shared)).select("a", "b")
+
+
+def _unlinked(met: DataFrame, roots: DataFrame, profiles: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``a`` < ``b`` that share a key of ``met``, lie in different components, aren't with the bucket's first and can be near, once each.
+
+    Each pair has an end outside the bucket's largest component.  Shingles that are in one text of
+    all these buckets only can't be shared; the others are counted by class of their hash.  Two
+    texts share no more than the sum, over the classes, of the lesser count: pairs for which even
+    that many would make too small a similarity are never formed.
     """
-    placed = met.filter("n > 2").drop("n").join(roots, "node", "left").withColumn("root", F.coalesce("root", F.col("node").cast("long")))
+    placed = met.filter("n > 2").drop("n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = placed.groupBy("key", "root").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.count("*").alias("roots")).filter("roots > 1").drop("roots")
     mixed = written(placed.filter("node <> first").join(largest, "key").select("key", "node", "root", "main"), "mixed-buckets")
-    one = mixed.filter("root <> main").select("key", F.col("node").alias("x"), F.col("root").alias("x_root"))
-    two = mixed.select("key", F.col("node").alias("y"), F.col("root").alias("y_root"), "main")
-    met = one.join(two, "key").filter("x_root <> y_root and (y_root = main or x < y)")
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    members = profiles.join(mixed.select("node").distinct(), "node")
+    lone = members.select("node", F.explode("shingles").alias("s")).groupBy("s").agg(F.count("*").alias("n"), F.min("node").alias("node")).filter("n = 1")
+    by_class = F.array(*[F.count_if(F.pmod("s", F.lit(CLASSES)) == c) for c in range(CLASSES)])
+    lone = lone.groupBy("node").agg(by_class.alias("lone"))
+    counts = F.coalesce(F.zip_with("counts", "lone", lambda x, y: x - y), F.transform("counts", lambda x: x.cast("long")))
+    weighed = members.join(lone, "node", "left").select("node", F.size("shingles").alias("size"), counts.alias("counts"))
+    summed = lambda x: F.aggregate(x, F.lit(0).cast("long"), lambda t, c: t + c)
+    weighed = written(weighed.withColumn("most", summed(F.col("counts"))), "shared-shingles")
+    ends = mixed.join(weighed, "node")
+    one, two = ends.filter("root <> main").select("key", F.struct("*").alias("x")), ends.select("key", F.struct("*").alias("y"))
+    least = similarity / (1 + similarity) * (F.col("x.size") + F.col("y.size")) - 1e-6
+    possible = (F.least("x.most", "y.most") >= least) & (summed(F.zip_with("x.counts", "y.counts", lambda u, v: F.least(u, v))) >= least)
+    apart = F.expr("x.root <> y.root and (y.root = y.main or x.node < y.node)")
+    crossed = one.join(two, (one["key"] == two["key"]) & apart & possible)
+    pairs = written(crossed.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct(), "crossing-pairs")
+    discard(mixed, weighed)
+    return pairs
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``id`` and ``group_id`` (smallest id of the group) for every row of ``docs`` with a key, which is an integer.
+    """``id``, ``mark`` (``text_mark``), ``group_id`` and ``group_mark`` for every row of ``docs``.
 
     Groups are components of links between texts whose sets of ``words``-word shingles have a
-    Jaccard similarity of at least ``similarity``.  Candidates share one of 24 MinHash keys, each
-    made of 6 least shingle hashes; each is then verified on the shingles.  A pair of similarity
-    ``s`` shares a key with probability ``1 - (1 - s^6)^24``, wherever its shingles differ (scattered
-    words or a block appended, cut or replaced): 0.999 at 0.8.  No bucket is capped: every text is
-    compared with the first of its bucket, then all pairs of a bucket that these links leave in
-    different components are compared too.  The pairs left out are in one group already, so the
-    groups are those of all pairs.
+    Jaccard similarity of at least ``similarity``; a group is named by the row in it with the
+    smallest key (null keys last; of equal keys the smallest mark).  Candidates share one of 24
+    MinHash keys, each made of 6 least shingle hashes; each is then verified on the shingles.
+    A pair of similarity ``s`` shares a key with probability ``1 - (1 - s^6)^24``, wherever its
+    shingles differ (scattered words or a block appended, cut or replaced): 0.999 at 0.8.  No
+    bucket is capped: every text is compared with the most typical of its bucket, then all pairs of a
+    bucket that these links leave in different components are compared too.  The pairs left out
+    are in one group already or can't be near, so the groups are those of all pairs.
+
+    Defined cases: null, empty and blank texts have no words, are near nothing and name
+    themselves; rows with one key and different texts are texts of their own; repeated rows are
+    kept one for one; other columns are ignored; an empty table gives an empty result.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [_profile(t.as_py(), words) for t in batch.column("text")]
-        return pa.RecordBatch.from_arrays(
-            [batch.column("id"), pa.array([f[0] for f in found], pa.binary()), pa.array([f[1] for f in found], pa.list_(pa.int64())), pa.array([f[2] for f in found], pa.list_(pa.int32()))],
-            ["id", "digest", "keys", "shingles"],
-        )
-
-    rows = arrow_map(id_and_text(docs, id_col, text_col).filter("id is not null"), run, f"id {kind}, digest binary, keys array<long>, shingles array<int>")
-    rows = written(rows, "profiles")
-    same = written(rows.groupBy("digest").agg(F.min("id").alias("node")), "distinct-texts")
-    nodes = written(rows.join(same, (rows["digest"] == same["digest"]) & (rows["id"] == same["node"])).select("node", "keys", "shingles").dropDuplicates(["node"]), "text-nodes")
-    keyed = nodes.select("node", F.explode("keys").alias("key"))
-    bucket = Window.partitionBy("key")
-    met = written(keyed.select("node", "key", F.min("node").over(bucket).alias("first"), F.count("*").over(bucket).alias("n")).filter("n > 1"), "shared-keys")
-
-    def near(pairs: DataFrame) -> DataFrame:
-        full = nodes.select("node", "shingles")
-        both = pairs.join(full.toDF("a", "xa"), "a").join(full.toDF("b", "xb"), "b")
-        shared = F.size(F.array_intersect("xa", "xb"))
-        return both.filter(shared >= similarity * (F.size("xa") + F.size("xb") - shared)).select("a", "b")
-
-    stars = met.filter("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    links = written(near(written(stars, "candidate-pairs")), "near-links")
-    rest = written(_unlinked(met, written(components(_longs(links)), "star-roots")), "candidate-pairs")
-    links = _longs(links.unionByName(near(rest)))
-    roots = written(components(links), "near-roots")
-    named = written(same.join(roots, "node", "left").select("digest", F.coalesce("root", F.col("node").cast("long")).alias("group_id")), "text-groups")
-    return rows.select("id", "digest").join(named, "digest").select(F.col("id"), "group_id")
+        types = (pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
+        columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), *columns], ["id", "mark", "digest", "keys", "counts", "shingles"])
+
+    source = docs.select(F.col(id_col).alias("id"), text_mark(F.col(text_col)).alias("mark"), F.col(text_col).cast("string").alias("text"))
+    rows = arrow_map(source, run, f"id {kind}, mark binary, digest binary, keys array<long>, counts array<int>, shingles array<int>")
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "profiles")
+    named = F.struct(F.col("id").isNull().alias("keyless"), "id", "mark", "row")
+    same = rows.filter("digest is not null").groupBy("digest").agg(F.min(named).alias("least"), F.first("keys").alias("keys"))
+    texts = written(same.select("digest", F.col("least.row").alias("node"), "least", "keys"), "distinct-texts")
+    keyed = texts.select("node", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
+    met = written(keyed.join(shared, "key"), "shared-keys")
+    # The first of a bucket is its most typical text: the one whose buckets hold most texts in all.
+    typical = met.groupBy("node").agg(F.sum("n").alias("score"))
+    first = met.join(typical, "node").groupBy("key").agg(F.max(F.struct("score", "node")).alias("first"))
+    keyed, met = met, written(met.join(first.select("key", F.col("first.node").alias("first")), "key"), "met-firsts")
+    discard(keyed)
+    # Not broadcast even where it is small: one plan at every size.
+    wanted = met.select("node").distinct().hint("merge")
+    profiles = written(rows.select(F.col("row").alias("node"), "counts", "shingles").join(wanted, "node"), "shared-texts")
+    stars = written(met.filter("node <> first").select(F.least("first", "node").alias("a"), F.greatest("first", "node").alias("b")).distinct(), "star-pairs")
+    links = written(_near(stars, profiles, similarity), "star-links")
+    roots = written(components(links), "star-roots")
+    rest = _unlinked(met, roots, profiles, similarity)
+    more = written(_near(rest, profiles, similarity), "crossing-links")
+    discard(stars, met, rest, profiles)
+    joined = written(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)), "near-roots")
+    discard(links, roots, more)
+    placed = texts.join(joined, "node", "left").select("digest", F.coalesce("root", "node").alias("root"), "least")
+    groups = placed.groupBy("root").agg(F.min("least").alias("least"))
+    own = written(placed.select("digest", "root").join(groups, "root").select("digest", F.col("least.id").alias("group_id"), F.col("least.mark").alias("group_mark")), "text-groups")
+    discard(texts, joined)
+    alone = rows.filter("digest is null").select("id", "mark", F.col("id").alias("group_id"), F.col("mark").alias("group_mark"))
+    return rows.filter("digest is not null").select("id", "mark", "digest").join(own, "digest").drop("digest").unionByName(alone)

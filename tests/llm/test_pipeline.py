@@ -1,6 +1,5 @@
 import corpus_pipeline
 import pytest
-from pyspark.sql import functions as F
 
 from pathloom.llm import queries
 from pathloom.llm.decontaminate import contaminated
@@ -22,13 +21,37 @@ def test_stages(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, now, SF).count() == len(kept)
 
 
-def test_null_rows_pass(spark):
-    docs = spark.createDataFrame([(None, None, None, None, None), (1, None, "en", "s", 0), (1, None, "en", "s", 0), (2, "", None, None, 0)], "doc_id long, text string, lang string, source string, n_chars long")
-    now = docs
-    for _, stage in corpus_pipeline.STAGES[:-1]:
+ROW = "doc_id long, text string, lang string, source string, n_chars long"
+PLAIN = "the harbour lay quiet under a pale sky and the boats came slowly home with the tide"
+
+
+def kept_after(spark, rows, stages=corpus_pipeline.STAGES[:-1]):
+    now = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], ROW)
+    for _, stage in stages:
         now = stage(spark, now, SF)
-    assert now.filter(F.col("doc_id").isNull()).count() == 1 and now.filter("doc_id = 1").count() == 1
-    assert docs.limit(0).count() == 0
+    return sorted(((r["doc_id"], r["text"]) for r in now.collect()), key=str)
+
+
+def test_no_rows_vanish(spark):
+    rows = [(1, None), (2, None), (3, ""), (4, "   "), (5, PLAIN), (5, "a letter came from the hills with word of the early snow and the closed road"), (None, None)]
+    assert kept_after(spark, rows) == sorted(rows, key=str)
+
+
+def test_one_of_each_group_stays(spark):
+    near = PLAIN.replace("tide", "evening")
+    rows = [(9, PLAIN), (7, near), (None, PLAIN), (7, near), (8, "something else entirely was written on this page by hand")]
+    assert kept_after(spark, rows, corpus_pipeline.STAGES[1:2]) == [(7, near), (8, rows[-1][1])]
+
+
+def test_leak_goes_and_its_namesake_stays(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first()["text"]
+    rows = [(1, f"{PLAIN} {item} {PLAIN}"), (1, PLAIN), (None, item), (2, "")]
+    assert kept_after(spark, rows, corpus_pipeline.STAGES[2:3]) == [(1, PLAIN), (2, "")]
+
+
+def test_stages_of_empty_tables(spark):
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, spark.createDataFrame([], ROW), SF).count() == 0
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
