@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -59,24 +57,40 @@ def has_visible_content(html: Column) -> Column:
     return F.coalesce(html.rlike(r"(?i)<img\b"), F.lit(False)) | has_content(unescape(F.regexp_replace(html, r"<[^>]+>", "")))
 
 
-def first_position(text: Column, term: str) -> Column:
-    """1-based position of the term's first occurrence; 0 if it has none."""
-    return F.regexp_instr(F.lower(text), F.lit(term_pattern(term)))
+def has_lower_term(low: Column, term: str) -> Column:
+    """As ``has_term`` of a text in lower case: a plain search for its longest word first, the pattern only where that is found."""
+    longest = max(term.lower().split(), key=len, default="")
+    return F.coalesce(F.contains(low, F.lit(longest)) & low.rlike(term_pattern(term)), F.lit(False))
 
 
-def snippet(text: Column, term: str) -> Column:
-    """The sentence around the first occurrence of ``term`` in a cleaned text; null if none or cut off.
+def first_position(low: Column, term: str) -> Column:
+    """1-based position of the term's first occurrence in a text in lower case; 0 if it has none."""
+    longest = max(term.lower().split(), key=len, default="")
+    return F.when(F.contains(low, F.lit(longest)), F.regexp_instr(low, F.lit(term_pattern(term)))).otherwise(0)
+
+
+def sentence_around(text: Column, at: Column, size: Column) -> Column:
+    """The sentence of a cleaned text around ``size`` characters from position ``at`` on; null if cut off.
 
     Starts after the last full stop, exclamation or question mark that stands before an upper-case
-    character at or before the term; ends with the first such mark after the term.
+    character at or before ``at``; ends with the first such mark after these characters.
     """
-    at = first_position(text, term)
-    size = F.length(F.regexp_substr(F.lower(text), F.lit(term_pattern(term))))
     skipped = F.length(F.regexp_extract(F.substring(text, F.lit(1), at), r"^(.*[.!?] *)\p{Lu}", 1))
     tail = F.regexp_extract(F.substring(text, at + size, F.length(text)), r"^[^.!?]*[.!?]?", 0)
     body = F.trim(F.concat(F.substring(text, skipped + 1, at + size - skipped - 1), tail))
     broken = body.rlike(r"\((www\.)?$") | F.trim(F.right(body, F.lit(4))).isin(*ABBREVIATIONS)
-    return F.when((at > 0) & ~broken, body)
+    return F.when(~broken, body)
+
+
+def snippet(text: Column, term: str) -> Column:
+    """The sentence around the first occurrence of ``term`` in a cleaned text; null if none or cut off."""
+    at = first_position(F.lower(text), term)
+    return F.when(at > 0, sentence_around(text, at, F.lit(term_length(term))))
+
+
+def term_length(term: str) -> int:
+    """Characters a term takes in a cleaned text."""
+    return len(" ".join(term.split()))
 
 
 def without_overlaps(snippets: Column) -> Column:
@@ -101,8 +115,3 @@ def parse_term_groups(groups: list[str]) -> dict[str, list[str]]:
         known = found.setdefault(name.strip(), [])
         known += [t for t in terms if t not in known]
     return found
-
-
-def plain_name(term: str) -> str:
-    """A term as part of a column name."""
-    return re.sub(r"\W+", "_", term.lower()).strip("_")

@@ -12,15 +12,36 @@ from itertools import combinations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import has_term, snippet, split_case_flag, without_overlaps
+from ..functions.text import first_position, has_lower_term, has_term, sentence_around, split_case_flag, term_length, without_overlaps
 from .graph import any_of
 
 
+def read_once(texts: DataFrame) -> DataFrame:
+    """``entity_id``, ``field``, ``text`` and its lower case ``low``, made once a row however many terms look at them.
+
+    What makes the text is otherwise repeated for each term in each filter pushed below it;
+    nothing is pushed below a generator.
+    """
+    texts = texts.select("entity_id", "field", F.explode(F.array("text")).alias("text")).filter("text is not null")
+    return texts.select("entity_id", "field", "text", F.explode(F.array(F.lower("text"))).alias("low"))
+
+
+def term_matches(texts: DataFrame, terms: list[str]) -> DataFrame:
+    """A row for each (entity, field, term) found, with the term's place in the list."""
+    found = [F.when(has_lower_term(F.col("low"), t), F.struct(F.lit(i).alias("term_ord"), F.lit(t).alias("term"))) for i, t in enumerate(terms)]
+    return read_once(texts).select("entity_id", "field", F.inline(F.array_compact(F.array(*found))))
+
+
 def term_hits(texts: DataFrame, terms: list[str]) -> DataFrame:
-    """A row for each (entity, field, term) found, with the term's place in the list and its snippet."""
-    found = [F.when(has_term(F.col("text"), t), F.struct(F.lit(i).alias("term_ord"), F.lit(t).alias("term"), snippet(F.col("text"), t).alias("snippet"))) for i, t in enumerate(terms)]
-    hits = texts.filter(F.col("text").isNotNull() & any_of([has_term(F.col("text"), t) for t in terms]))
-    return hits.select("entity_id", "field", F.explode(F.array_compact(F.array(*found))).alias("h")).select("entity_id", "field", "h.*")
+    """As ``term_matches``, with the ``snippet`` around the term's first occurrence."""
+    found = [F.struct(F.lit(i).alias("term_ord"), F.lit(t).alias("term"), first_position(F.col("low"), t).alias("at"), F.lit(term_length(t)).alias("size")) for i, t in enumerate(terms)]
+    hits = read_once(texts).select("entity_id", "field", "text", F.inline(F.filter(F.array(*found), lambda h: h["at"] > 0)))
+    return hits.select("entity_id", "field", "term_ord", "term", sentence_around(F.col("text"), F.col("at"), F.col("size")).alias("snippet"))
+
+
+def with_terms(texts: DataFrame, terms: list[str]) -> DataFrame:
+    """Texts (``entity_id``, ``field``) that have any of the terms."""
+    return read_once(texts).filter(any_of([has_lower_term(F.col("low"), t) for t in terms])).select("entity_id", "field")
 
 
 def listed_terms(spark: SparkSession, terms: list[str]) -> DataFrame:
@@ -29,7 +50,7 @@ def listed_terms(spark: SparkSession, terms: list[str]) -> DataFrame:
 
 def term_counts(texts: DataFrame, terms: list[str]) -> DataFrame:
     """Field hits and distinct entities of every term, zeros included."""
-    counted = term_hits(texts, terms).groupBy("term").agg(F.count("*").alias("field_hits"), F.count_distinct("entity_id").alias("entities"))
+    counted = term_matches(texts, terms).groupBy("term").agg(F.count("*").alias("field_hits"), F.count_distinct("entity_id").alias("entities"))
     every = listed_terms(texts.sparkSession, terms).select("term")
     return every.join(counted, "term", "left").select("term", F.coalesce("field_hits", F.lit(0)).alias("field_hits"), F.coalesce("entities", F.lit(0)).alias("entities"))
 
@@ -49,8 +70,9 @@ def entity_hits(texts: DataFrame, terms: list[str], priority_field: str | None =
 
 def co_occurrences(texts: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     """A row for each (entity, field, pair) where both terms are in the same field."""
-    both = [F.when(has_term(F.col("text"), a) & has_term(F.col("text"), b), F.struct(F.lit(a).alias("term_a"), F.lit(b).alias("term_b"))) for a, b in pairs]
-    return texts.select("entity_id", "field", F.explode(F.array_compact(F.array(*both))).alias("p")).select("entity_id", "field", "p.*")
+    has = lambda t: has_lower_term(F.col("low"), t)
+    both = [F.when(has(a) & has(b), F.struct(F.lit(a).alias("term_a"), F.lit(b).alias("term_b"))) for a, b in pairs]
+    return read_once(texts).select("entity_id", "field", F.inline(F.array_compact(F.array(*both))))
 
 
 def co_occurrence_summary(texts: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
@@ -63,7 +85,7 @@ def co_occurrence_summary(texts: DataFrame, pairs: list[tuple[str, str]]) -> Dat
 def excluding(hits: DataFrame, texts: DataFrame, terms: list[str], fields: list[str] | None = None) -> DataFrame:
     """Hits of entities that have none of the terms in the given fields (all fields if not said)."""
     scope = texts if fields is None else texts.filter(F.col("field").isin(*fields))
-    return hits.join(scope.filter(any_of([has_term(F.col("text"), t) for t in terms])).select("entity_id").distinct(), "entity_id", "left_anti")
+    return hits.join(with_terms(scope, terms).select("entity_id").distinct(), "entity_id", "left_anti")
 
 
 def dropping_content(texts: DataFrame, field: str, passages: list[str]) -> DataFrame:
@@ -79,11 +101,10 @@ def scoped_search(texts: DataFrame, scope: DataFrame, terms: list[str]) -> DataF
         if flagged.setdefault(term.lower(), exact) != exact:
             raise ValueError(f"{term!r} is asked for with and without its case")
     inside = texts.join(scope.select("entity_id").distinct(), "entity_id", "left_semi")
-    hits = []
-    for term, exact in map(split_case_flag, terms):
-        found = term_hits(inside, [term])
-        hits.append(found.filter(has_term(F.col("snippet"), term, case_sensitive=True)) if exact else found)
-    return reduce(DataFrame.unionByName, hits).drop("term_ord")
+    cased = [t for t, exact in map(split_case_flag, terms) if exact]
+    hits = term_hits(inside, [split_case_flag(t)[0] for t in terms])
+    wrong = any_of([(F.col("term") == t) & ~has_term(F.col("snippet"), t, case_sensitive=True) for t in cased])
+    return hits.filter(~wrong).drop("term_ord")
 
 
 def group_matches(hits: DataFrame, groups: dict[str, list[str]]) -> DataFrame:

@@ -243,7 +243,7 @@ def text_co_occurrence_summary(spark, sf_dir):
 @_registered(f"WITH {_T} SELECT entity_id FROM t WHERE ({' OR '.join(map(_has, TEXT_TERMS))}) AND NOT {_has('with')}")
 def text_exclusion(spark, sf_dir):
     rows = texts(spark, sf_dir)
-    return search.excluding(search.entity_hits(rows, TEXT_TERMS).select("entity_id"), rows, ["with"])
+    return search.excluding(search.with_terms(rows, TEXT_TERMS).select("entity_id").distinct(), rows, ["with"])
 
 
 @_registered(f"WITH {_T}, f AS (SELECT entity_id, concat_ws('|', {', '.join(f"CASE WHEN {_has(t)} THEN '{t}' END" for t in sorted(TEXT_TERMS))}) AS terms_found, {_has('aux')} AS has_priority_term_match FROM t WHERE {' OR '.join(map(_has, TEXT_TERMS))}) SELECT row_number() OVER (ORDER BY has_priority_term_match DESC, entity_id) AS place, * FROM f QUALIFY place <= 100")
@@ -281,7 +281,7 @@ _G = " , ".join(f"({' OR '.join(map(_has, ts))}) AS {g}" for g, ts in GROUPS.ite
 
 @_registered(f"WITH {_T}, f AS (SELECT {_G} FROM t) SELECT 'articles' AS group_a, 'prepositions' AS group_b, count_if(articles AND prepositions)::BIGINT AS entities FROM f UNION ALL SELECT 'articles', 'verbs', count_if(articles AND verbs)::BIGINT FROM f UNION ALL SELECT 'prepositions', 'verbs', count_if(prepositions AND verbs)::BIGINT FROM f")
 def term_group_pairs(spark, sf_dir):
-    hits = search.term_hits(texts(spark, sf_dir), [t for ts in GROUPS.values() for t in ts])
+    hits = search.term_matches(texts(spark, sf_dir), [t for ts in GROUPS.values() for t in ts])
     return search.group_pairs(hits, GROUPS)
 
 
