@@ -5,8 +5,13 @@ the squared distance to another vector, and so, the norms being known, bound the
 from above.  Bounds over few long segments come first, over more short ones for what is left,
 and exact products only for pairs whose bound reaches the query's k-th best score so far.
 
-Queries meet candidates in blocks: every candidate block with every query block, each pair of
-blocks in one task; what leaves it are k rows for a query.
+Rows lie in blocks of like coarse statistics.  Every query first meets the block it lies in
+itself; its k-th best score there is what others must reach.  The statistics of two blocks
+(ranges of the segment means, greatest deviations) bound all products between them: only pairs
+of blocks whose bound reaches the least of the queries' scores are shipped, query block to row
+block, so what is copied goes with the pairs that can matter.  Where nothing can be told apart
+(vectors that are pure noise) all pairs of blocks remain; a row is then copied once for every
+``QUERY_BLOCK`` queries.
 
 Defined cases: vectors that are null or hold null or non-finite components take no part, nor
 do rows with a null id; only vectors of equal length are compared; a query's own row is every
@@ -23,11 +28,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-QUERY_BLOCK = 1_024
+from .common import discard, written
+
+QUERY_BLOCK = 16_384
 ROW_BLOCK = 16_384
-STRIPE = 2_048
+#: Queries and rows that are scored at a time within a pair of blocks.
+CHUNK, STRIPE = 1_024, 2_048
+#: Pairs of blocks that one task compares by their statistics.
+BLOCK_PAIRS = 1_000_000
 #: Numbers of segments, coarse to fine.
 LEVELS = (4, 16)
+#: Numbers of a coarse sketch: a mean and a deviation for each segment.
+WIDTH = 2 * LEVELS[0]
 
 
 def sketch(x: np.ndarray, segments: int) -> np.ndarray:
@@ -41,13 +53,13 @@ def sketch(x: np.ndarray, segments: int) -> np.ndarray:
     return np.column_stack(columns) if columns else np.zeros((len(x), 1))
 
 
-def best_of_block(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best rows of the block for each query: positions of queries, ids of rows, scores."""
+def best_of_block(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, row_ids: np.ndarray, k: int, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best rows of the block for each query, if they reach its ``least`` score: positions of queries, ids of rows, scores."""
     query_levels = [sketch(queries, n) for n in LEVELS]
     reach = np.sqrt((queries**2).sum(axis=1))
     at = np.zeros(0, dtype=np.int64)
     ids, scores = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
-    floor = np.full(len(queries), -np.inf)
+    floor = np.full(len(queries), -np.inf) if least is None else least.copy()
     for low in range(0, len(rows), STRIPE):
         some, some_ids = rows[low : low + STRIPE], row_ids[low : low + STRIPE]
         slack = 1e-9 * np.outer(reach, np.sqrt((some**2).sum(axis=1))) + 1e-6
@@ -67,7 +79,7 @@ def best_of_block(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray,
         place = np.arange(len(at)) - start[at]
         at, ids, scores, place = at[place < k], ids[place < k], scores[place < k], place[place < k]
         last = place == k - 1
-        floor[at[last]] = scores[last]
+        floor[at[last]] = np.maximum(floor[at[last]], scores[last])
     return at, ids, scores
 
 
@@ -85,22 +97,93 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     rows = vectors.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull())
     rows = rows.select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("x"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = rows.filter(F.forall("x", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
-    rows = rows.select("id", "asks", F.transform("x", lambda x: F.floor(x * scale).cast("double")).alias("x"))
-    n, asking = rows.agg(F.count("*"), F.count_if("asks")).first()
-    row_blocks, query_blocks = max(1, -(-n // ROW_BLOCK)), max(1, -(-asking // QUERY_BLOCK))
-    spread = lambda blocks: F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    every = lambda blocks: F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    asked = rows.filter("asks").dropDuplicates(["id", "x"]).select("id", "x", F.size("x").alias("d"), spread(query_blocks).alias("qb"), every(row_blocks).alias("rb"))
-    offered = rows.select("id", "x", F.size("x").alias("d"), spread(row_blocks).alias("rb"), every(query_blocks).alias("qb"))
+    rows = rows.select("id", "asks", F.transform("x", lambda x: F.floor(x * scale).cast("long")).alias("x"))
+    rows = written(rows.mapInArrow(_sketched, f"id long, asks boolean, x array<long>, d int, mark long, {_fields('s')}"), "sketched-vectors")
+    total = rows.agg(F.count("*"), F.count_if("asks"), *[F.avg(f"s{i}") for i in range(0, WIDTH, 2)]).first()
+    n, asking, means = total[0], total[1], [m or 0.0 for m in total[2:]]
+    # Blocks: by the side of the average on which the first segments' means lie, then by chance to the size wanted.
+    bits = min(len(means), max(0, (n // ROW_BLOCK).bit_length() - 1))
+    cell = sum(((F.col(f"s{2 * i}") > m).cast("int") * (1 << i) for i, m in enumerate(means[:bits])), F.lit(0))
+    part = lambda size, count: (cell * F.lit(parts := max(1, -(-count // (size << bits)))) + F.pmod(F.xxhash64("id"), F.lit(parts))).cast("int")
+    rows = rows.withColumn("rb", part(ROW_BLOCK, n)).withColumn("qb", part(QUERY_BLOCK, asking))
+    asked = rows.filter("asks").dropDuplicates(["id", "mark", "x"])
+
+    def own(table: pa.Table) -> pa.Table:
+        return _floors(table, k)
+
+    # A query's k best of its own block: what any other row must reach.
+    first = rows.select("id", "mark", "asks", "x", "d", "rb").groupBy("d", "rb").applyInArrow(own, "id long, mark long, least double")
+    floors = written(first.groupBy("id", "mark").agg(F.max("least").alias("least")), "query-floors")
+    asked = written(asked.join(floors, ["id", "mark"]).select("id", "mark", "x", "d", "qb", "least", *[f"s{i}" for i in range(WIDTH)]), "asking-vectors")
+    pairs = written(_block_pairs(rows, asked, n, asking), "block-pairs")
+    left = asked.select("id", "mark", "x", "least", "d", "qb").join(pairs, ["d", "qb"])
+    right = rows.select("id", "x", "d", "rb").join(pairs, ["d", "rb"])
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        queries, query_ids = _matrix(left["x"]), left["id"].to_numpy()
+        queries, query_ids, marks, least = _matrix(left["x"]), left["id"].to_numpy(), left["mark"].to_numpy(), left["least"].to_numpy()
         table, ids = _matrix(right["x"]), right["id"].to_numpy()
         order = np.argsort(ids, kind="stable")
-        marks = np.array([int.from_bytes(hashlib.md5(q.tobytes(), usedforsecurity=False).digest()[:8], "little", signed=True) for q in queries], dtype=np.int64)
-        at, found, scores = best_of_block(queries, query_ids, table[order], ids[order], k) if len(queries) and len(table) else (np.zeros(0, np.int64),) * 3
-        return pa.table({"query_id": query_ids[at] if len(at) else pa.array([], pa.int64()), "mark": marks[at] if len(at) else pa.array([], pa.int64()), "vec_id": found, "score": scores})
-
-    met = asked.groupBy("d", "qb", "rb").cogroup(offered.groupBy("d", "qb", "rb")).applyInArrow(meet, "query_id long, mark long, vec_id long, score long")
+        table, ids = table[order], ids[order]
+        found = [(np.zeros(0, np.int64),) * 3]
+        if len(table):
+            for low in range(0, len(queries), CHUNK):
+                at, hits, scores = best_of_block(queries[low : low + CHUNK], query_ids[low : low + CHUNK], table, ids, k, least[low : low + CHUNK])
+                found.append((at + low, hits, scores))
+        at, hits, scores = (np.concatenate(c) for c in zip(*found, strict=True))
+        return pa.table({"query_id": query_ids[at], "mark": marks[at], "vec_id": hits, "score": scores})
+
+    met = left.groupBy("d", "qb", "rb").cogroup(right.groupBy("d", "qb", "rb")).applyInArrow(meet, "query_id long, mark long, vec_id long, score long")
     best = met.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "mark").orderBy(F.desc("score"), "vec_id")))
+    discard(floors)
     return best.filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _fields(prefix: str) -> str:
+    return ", ".join(f"{prefix}{i} double" for i in range(WIDTH))
+
+
+def _sketched(batches):
+    """Rows with their length, a digest of the vector and the coarse statistics."""
+    for batch in batches:
+        lengths = batch.column("x").value_lengths().to_numpy(zero_copy_only=False)
+        flat, ends = batch.column("x").flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.cumsum(lengths)
+        sketches, marks = np.zeros((len(lengths), WIDTH)), np.zeros(len(lengths), dtype=np.int64)
+        for d in np.unique(lengths[lengths > 0]):
+            which = np.flatnonzero(lengths == d)
+            x = flat[(ends[which] - d)[:, None] + np.arange(d)]
+            found = sketch(x, LEVELS[0])
+            sketches[which, : found.shape[1]] = found
+            marks[which] = [int.from_bytes(hashlib.md5(v.tobytes(), usedforsecurity=False).digest()[:8], "little", signed=True) for v in x]
+        columns = [pa.array(lengths, pa.int32()), pa.array(marks), *map(pa.array, sketches.T)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "d", "mark", *[f"s{i}" for i in range(WIDTH)]])
+
+
+def _floors(table: pa.Table, k: int) -> pa.Table:
+    """Of a block of rows, the k-th best score of each query in it (minus infinity if it meets fewer)."""
+    asks = np.flatnonzero(table["asks"].to_numpy(zero_copy_only=False))
+    x, ids, marks = _matrix(table["x"]), table["id"].to_numpy(), table["mark"].to_numpy()
+    order = np.argsort(ids, kind="stable")
+    least = np.full(len(asks), -np.inf)
+    for low in range(0, len(asks), CHUNK):
+        some = asks[low : low + CHUNK]
+        at, _, scores = best_of_block(x[some], ids[some], x[order], ids[order], k)
+        full = np.flatnonzero(np.bincount(at, minlength=len(some)) >= k)
+        last = np.searchsorted(at, full, side="right") - 1  # hits come by query, best first
+        least[low + full] = scores[last]
+    return pa.table({"id": ids[asks], "mark": marks[asks], "least": least})
+
+
+def _block_pairs(rows: DataFrame, asked: DataFrame, n: int, asking: int) -> DataFrame:
+    """``d``, ``qb``, ``rb``: pairs of blocks between which some product may reach the least score wanted."""
+    means, deviations = range(0, WIDTH, 2), range(1, WIDTH, 2)
+    ranges = lambda p: [f(f"s{i}").alias(f"{p}{side}{i}") for i in means for f, side in ((F.min, "low"), (F.max, "high"))] + [F.max(f"s{i}").alias(f"{p}dev{i}") for i in deviations]
+    salts = max(1, -(-n * asking // (ROW_BLOCK * QUERY_BLOCK * BLOCK_PAIRS)))
+    q = asked.groupBy("d", "qb").agg(F.min("least").alias("least"), *ranges("q")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    r = rows.groupBy("d", "rb").agg(*ranges("r")).withColumn("salt", F.pmod(F.xxhash64("rb"), F.lit(salts)).cast("int"))
+    bound = F.lit(0.0)
+    for i in means:
+        bound += F.greatest(*[F.col(f"q{x}{i}") * F.col(f"r{y}{i}") for x in ("low", "high") for y in ("low", "high")])
+    for i in deviations:
+        bound += F.col(f"qdev{i}") * F.col(f"rdev{i}")
+    slack = F.abs(bound) * 1e-9 + 1e-6
+    return q.join(r, ["d", "salt"]).filter((F.col("least") == float("-inf")) | (bound + slack >= F.col("least"))).select("d", "qb", "rb")

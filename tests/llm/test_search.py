@@ -11,6 +11,7 @@ def test_top_k_is_exact(spark, monkeypatch):
     monkeypatch.setattr(top_k, "STRIPE", 64)
     monkeypatch.setattr(top_k, "ROW_BLOCK", 150)
     monkeypatch.setattr(top_k, "QUERY_BLOCK", 3)
+    monkeypatch.setattr(top_k, "CHUNK", 2)
     draw = np.random.default_rng(1)
     x = draw.normal(size=(400, 24)).astype(np.float32)
     x[200:260] = x[3]
@@ -25,6 +26,34 @@ def test_top_k_is_exact(spark, monkeypatch):
     assert {tuple(r) for r in out} == want and len(out) == len(want)
 
 
+def test_far_blocks_are_not_shipped(spark, monkeypatch):
+    monkeypatch.setattr(top_k, "ROW_BLOCK", 100)
+    draw = np.random.default_rng(2)
+    sides = draw.choice([-1.0, 1.0], size=(16, 4)).repeat(8, axis=1)
+    x = np.array([3 * sides[i % 16] + draw.normal(size=32) * 0.1 for i in range(1600)]).astype(np.float32)
+    shipped, kept = [], top_k.written
+    monkeypatch.setattr(top_k, "written", lambda df, what: (shipped.append(df.count()) if what == "block-pairs" else None, kept(df, what))[1])
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    out = {tuple(r) for r in top_k.top_k(rows, F.col("vec_id") % 50 == 0).collect()}
+    q = np.floor(256 * x.astype(np.float64)).astype(np.int64)
+    want = set()
+    for i in range(0, 1600, 50):
+        scores = q @ q[i]
+        order = sorted((j for j in range(1600) if j != i), key=lambda j: (-scores[j], j))[:5]
+        want |= {(i, r, j, int(scores[j])) for r, j in enumerate(order, 1)}
+    blocks = len({tuple(s) for s in sides})
+    print("pairs of blocks shipped", shipped)
+    assert out == want and shipped[0] <= 3 * blocks
+
+
+def test_top_k_of_repeated_rows_and_none(spark):
+    rows = [(0, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [0.0, 1.0]), (3, [2.0, 2.0]), (3, [2.0, 2.0]), (4, [2.0, 2.0])]
+    found = top_k.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=2).collect()
+    scale = 256 * 512
+    assert sorted(tuple(r) for r in found) == [(0, 1, 3, scale), (0, 1, 3, scale), (0, 2, 3, scale), (0, 2, 3, scale)]
+    assert top_k.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>"), F.col("vec_id") == 0).count() == 0
+
+
 def test_warc_round_trip(spark, monkeypatch):
     big = "é<br>\r\n\r\nWARC/1.1\r\n" * 150_000
     rows = [(1, "http://a/\r\nX: y", "x" * 1500, 1), (2, "u", "x" * 1500, 1), (3, None, None, 1), (4, "u", "", 1), (5, "u", "short", 1), (6, "u", "short", 1), (7, "u", big, 1), (None, "u", "n\n\n", 1), (2, "u", "x" * 1500, 1)]
