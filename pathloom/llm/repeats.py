@@ -12,7 +12,9 @@ or same text, earlier start).  All bytes of repeating windows go.
    are resolved byte by byte: their text is fetched, and bucket by bucket their windows go in
    batches, in order of the texts, into a family of suffix arrays: a batch is sorted, scanned
    against each level for strings it holds already, and becomes a level, levels of like size
-   being merged.  Grams with very many different stretches are spread by window, not by gram.
+   being merged.  Windows of a gram with very many different stretches go by ``LENGTH - STEP``
+   bytes that all windows with the gram at a like offset share, so at most four rows come of a
+   stretch and a bucket holds a very common string only with what differs within ``STEP`` bytes.
 3. The ranges are united for each text and cut out of it.
 
 Step 1 takes equal 64-bit hashes of gram and of stretch for equal text; step 2 compares bytes.
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
@@ -40,8 +42,10 @@ CHUNK = 1 << 19
 SLICE = 8 << 20
 #: Text bytes for each bucket of the first step.
 BUCKET_BYTES = 16 << 20
-#: Different stretches of one gram (of at most 180 bytes each, so 9 MB) beyond which its windows are spread.
-SPREAD = 50_000
+#: Different stretches of one gram (of at most 180 bytes each) beyond which its windows are told apart by more than the gram.
+SPREAD = 2_000
+#: Windows of such a gram are grouped by the gram's offset in them, in steps of so many bytes.
+STEP = 20
 BATCH = 1 << 17
 LAST = (1 << 63) - 1
 
@@ -250,6 +254,24 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("own_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.hash(text).alias("mark"), text.alias("text"))
 
 
+def _pieces(span: Column, before: Column) -> Column:
+    """Of a stretch (columns ``gram``, ``hot``, ``stretch``; ``span``: its windows less one; ``before``: bytes before the gram): windows skipped, windows taken, key.
+
+    Equal windows hold the gram at the same offset.  Those with an offset from ``low`` on, below
+    ``low + STEP``, all hold the ``LENGTH - STEP`` bytes that begin ``low`` bytes before the gram.
+    """
+    whole = F.array(F.struct(F.lit(0).alias("skip"), (span + 1).alias("n"), F.xxhash64("gram").alias("key")))
+
+    def piece(low: Column) -> Column:
+        widest = F.when(low + STEP > LENGTH - GRAM - STEP, F.lit(LENGTH - GRAM)).otherwise(low + STEP - 1)
+        first, last = F.greatest(before - widest, F.lit(0)), F.least(before - low, span)
+        shared = F.substring(F.col("stretch"), before - low + 1, F.lit(LENGTH - STEP))
+        return F.struct(first.alias("skip"), (last - first + 1).alias("n"), F.xxhash64(shared, low).alias("key"))
+
+    cut = F.filter(F.array(*[piece(F.lit(low)) for low in range(0, LENGTH - GRAM, STEP)]), lambda p: p["n"] > 0)
+    return F.when(F.col("hot"), cut).otherwise(whole)
+
+
 def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id``, ``mark`` (hash of the text), ``low``, ``high``: ranges of starts of windows that repeat; ranges may overlap."""
     rows = _keyed(docs, id_col, text_col).select("id", "mark", "text")
@@ -279,18 +301,17 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     indexed = rows.mapInArrow(index, "bucket int, keys binary, anchors binary, ranges binary")
     found = written(indexed.groupBy("bucket").applyInArrow(_match_bucket, FOUND), "repeat-anchors")
     sure = found.filter("gram is null").select("id", "mark", "low", "high")
-    wanted = found.filter("gram is not null").groupBy("id", "mark").agg(F.collect_list(F.struct("low", "high", "gram", "hot")).alias("wanted"))
+    wanted = found.filter("gram is not null").groupBy("id", "mark").agg(F.collect_list(F.struct("low", "high", "gram", "before", "hot")).alias("wanted"))
     cut = (
         rows.join(wanted, ["id", "mark"])
         .dropDuplicates(["id", "mark"])
         .select("id", "mark", "text", F.explode("wanted").alias("w"))
-        .select("id", "mark", F.col("w.gram").alias("gram"), F.col("w.low").alias("low"), F.col("w.hot").alias("hot"), F.expr(f"substring(text, w.low + 1, w.high - w.low + {LENGTH})").alias("stretch"))
+        .select("id", "mark", "w.*", F.expr(f"substring(text, w.low + 1, w.high - w.low + {LENGTH})").alias("stretch"))
     )
     slots = F.lit(4 * buckets)
-    whole = cut.filter(~F.col("hot")).select("id", "mark", "low", "stretch", F.pmod(F.xxhash64("gram"), slots).alias("bucket"))
-    single = cut.filter("hot").select("id", "mark", "low", "stretch", F.posexplode(F.sequence(F.lit(0), F.length("stretch") - LENGTH)).alias("at", "_")).select("id", "mark", (F.col("low") + F.col("at")).alias("low"), F.expr(f"substring(stretch, at + 1, {LENGTH})").alias("stretch"))
-    single = single.withColumn("bucket", F.pmod(F.xxhash64("stretch"), slots))
-    resolved = whole.unionByName(single).groupBy("bucket").applyInArrow(_resolve_bucket, "id long, mark int, low int, high int")
+    pieces = cut.select("id", "mark", "low", "stretch", F.inline(_pieces(F.col("high") - F.col("low"), F.col("before"))))
+    pieces = pieces.select("id", "mark", (F.col("low") + F.col("skip")).alias("low"), F.expr(f"substring(stretch, skip + 1, n + {LENGTH} - 1)").alias("stretch"), F.pmod("key", slots).alias("bucket"))
+    resolved = pieces.groupBy("bucket").applyInArrow(_resolve_bucket, "id long, mark int, low int, high int")
     return sure.unionByName(resolved)
 
 

@@ -67,3 +67,14 @@ def test_odd_rows(spark):
     got = sorted((r["doc_id"] or -1, r["n_removed"]) for r in repeats.remove_repeats(docs).collect())
     assert [g[0] for g in got] == [-1, 5, 5] and got[1] == got[2]
     assert repeats.remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_common_string_in_many_surroundings(spark):
+    draw = random.Random(4)
+    text = lambda n: "".join(draw.choice("abcdefgh") for _ in range(n))
+    phrase, ends = text(85), [text(70) for _ in range(40)]
+    rows = [(i, (draw.choice(ends) if draw.random() < 0.3 else text(70)) + phrase + (draw.choice(ends) if draw.random() < 0.3 else text(70))) for i in range(4_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {(r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], bytes(r["kept"])) for r in repeats.remove_repeats(docs).collect()}
+    want = set(brute(rows))
+    assert got == want and sum(w[2] > 0 for w in want) > 1_000
