@@ -110,3 +110,17 @@ def integration_rank(df: DataFrame, percent: Column, in_programme: Column, endor
 def average_percent(percent: Column) -> Column:
     """Mean to two digits; 0 over no rows."""
     return F.coalesce(F.round(F.avg(percent), 2), F.lit(0.0))
+
+
+def with_tables(kers: DataFrame, tables: bool = True, flag: str = "has_any_tables") -> DataFrame:
+    """Relationships with evidence tables, or those without; unknown counts as without."""
+    return kers.filter(F.coalesce(F.col(flag), F.lit(False)) == F.lit(tables))
+
+
+def ker_statistics(kers: DataFrame, flag: str = "has_any_tables", percent: str = "percent") -> DataFrame:
+    """Relationships in all, with and without evidence tables, and the mean completeness of each lot."""
+    has, score = F.coalesce(F.col(flag), F.lit(False)), F.col(percent)
+    return kers.agg(
+        F.count("*").alias("total_kers"), F.count_if(has).alias("kers_with_tables"), F.count_if(~has).alias("kers_without_tables"),
+        average_percent(score).alias("average_percent"), average_percent(F.when(has, score)).alias("average_percent_with_tables"), average_percent(F.when(~has, score)).alias("average_percent_without_tables"),
+    )

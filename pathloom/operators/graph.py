@@ -152,3 +152,40 @@ def carried_headers(rows: DataFrame, group: str, order: list[str], is_header: Co
     headed = rows.withColumn("header", F.last(F.when(is_header, F.col(value)), ignorenulls=True).over(w)).withColumn("_block", F.count_if(is_header).over(w)).withColumn("_head", is_header)
     under = headed.filter(~F.col("_head") & (F.col("_block") > 0))
     return under.withColumn("event_index", F.row_number().over(Window.partitionBy(group, "_block").orderBy(*order)) - 1).drop("_block", "_head")
+
+
+def aop_to_kers(kers: DataFrame) -> DataFrame:
+    """aop_id and its sorted ``ker_ids``; pathways without relationships are left out."""
+    return kers.groupBy("aop_id").agg(F.array_sort(F.collect_set("ker_id")).alias("ker_ids"))
+
+
+def events_by_term(matched: DataFrame) -> DataFrame:
+    """Events of every term that has one."""
+    return matched.select(F.explode("matched_terms").alias("term")).groupBy("term").agg(F.count("*").alias("events"))
+
+
+def event_to_aop_summary(matched: DataFrame, found: DataFrame, aops: DataFrame, excluded: list[str], statuses: list[str]) -> DataFrame:
+    """Numbers of matched events and pathways, and of pathways left after the title exclusion and the status filter."""
+    titled = found.join(aops.select("aop_id", "title", "status"), "aop_id")
+    kept = without_title_terms(titled, excluded)
+    counted = lambda df, name, condition=None: df.agg((F.count("*") if condition is None else F.count_if(condition)).alias(name))
+    left = kept.agg(F.count("*").alias("after_title_exclusion"), (F.count_if(F.col("status").isin(*statuses)) if statuses else F.count("*")).alias("after_status_filter"))
+    return counted(matched, "matched_events").crossJoin(counted(found, "matched_aops")).crossJoin(left)
+
+
+def pair_rows(membership: DataFrame, aop_ids: DataFrame, aops: DataFrame, events: DataFrame, matched: DataFrame, kers: DataFrame) -> DataFrame:
+    """Pairs of initiating event and outcome as reported: titles, status, which side was searched for, size of the pathway; a side that isn't declared is blank."""
+    pairs = mie_ao_pairs(membership, aop_ids)
+    hit = matched.select("ke_id").distinct().withColumn("hit", F.lit(True))
+    for side in ("mie", "ao"):
+        named = events.select(F.col("ke_id").alias(f"{side}_id"), F.col("title").alias(f"{side}_title")).join(hit.select(F.col("ke_id").alias(f"{side}_id"), F.col("hit").alias(f"{side}_matched")), f"{side}_id", "left")
+        pairs = pairs.join(named, f"{side}_id", "left")
+        declared = F.col(f"{side}_id").isNotNull()
+        pairs = pairs.withColumns({
+            f"{side}_title": F.when(declared, F.coalesce(f"{side}_title", F.lit("Unknown"))).otherwise(""),
+            f"{side}_matched": declared & F.coalesce(f"{side}_matched", F.lit(False)),
+            f"{side}_id": F.coalesce(F.col(f"{side}_id").cast("string"), F.lit("")),
+        })
+    sizes = membership.groupBy("aop_id").agg(F.count_distinct("ke_id").alias("num_events"))
+    edges = kers.groupBy("aop_id").agg(F.count_distinct("ker_id").alias("num_kers"))
+    return pairs.join(aops, "aop_id").join(sizes, "aop_id", "left").join(edges, "aop_id", "left").na.fill(0, ["num_events", "num_kers"])

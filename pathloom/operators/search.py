@@ -122,3 +122,32 @@ def group_pairs(hits: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
     counted = flags.select(F.explode(F.array_compact(F.array(*both))).alias("p")).groupBy("p.group_a", "p.group_b").agg(F.count("*").alias("entities"))
     every = hits.sparkSession.createDataFrame(pairs, "group_a string, group_b string")
     return every.join(counted, ["group_a", "group_b"], "left").na.fill(0, ["entities"])
+
+
+def _listed(hits: DataFrame) -> DataFrame:
+    return hits.withColumns({c: F.split(c, r"\|") for c in ("terms_found", "matched_fields")})
+
+
+def result_rows(hits: DataFrame, known: DataFrame) -> DataFrame:
+    """Found entities (``entity_hits``) with what is known of them by ``entity_id``, as exports take them."""
+    return _listed(hits).join(known, "entity_id", "left").withColumn("title", F.coalesce("title", F.lit("N/A")))
+
+
+def combined_rows(hits: DataFrame, through: DataFrame, known: DataFrame) -> DataFrame:
+    """Events found by text, or ``through`` matched pathways (entity_id), or both, with a flag for each way."""
+    both = _listed(hits).withColumn("by_text", F.lit(True)).join(through.withColumn("by_aops", F.lit(True)), "entity_id", "full_outer")
+    yes = lambda c: F.coalesce(F.col(c), F.lit(False))
+    flagged = both.withColumn("found_in_event_search", yes("by_text")).withColumn("found_through_aops", yes("by_aops")).drop("by_text", "by_aops")
+    return flagged.join(known, "entity_id", "left").withColumn("title", F.coalesce("title", F.lit("N/A")))
+
+
+def concordance(texts: DataFrame, terms: list[str], kers: DataFrame) -> DataFrame:
+    """A row for each relationship, field and snippet, with all terms found in the relationship, its two ends and its pathways.
+
+    ``kers``: ker_id, upstream_ke, downstream_ke, aops.  Of snippets in one field those that hold another are left out.
+    """
+    hits = term_hits(texts, terms)
+    found = hits.groupBy("entity_id").agg(F.array_sort(F.collect_set("term")).alias("terms_found"))
+    fields = hits.groupBy("entity_id", "field").agg(F.array_sort(F.collect_list(F.struct("term_ord", "snippet"))).alias("s"))
+    rows = fields.select("entity_id", "field", F.explode(without_overlaps(F.transform("s", lambda x: x["snippet"]))).alias("snippet")).join(found, "entity_id")
+    return rows.withColumnRenamed("entity_id", "ker_id").join(kers, "ker_id", "left")

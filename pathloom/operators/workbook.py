@@ -48,7 +48,7 @@ def relation_parts(text: Column) -> Column:
     described = F.regexp_extract_all(F.trim(text), F.lit(r"(?i)(?:MIE|KEs?)\s+(?:the\s+)?([^,]+?)(?=\s+and\s+(?:MIE|KE)|$)"), F.lit(1))
     none = F.array().cast("array<string>")
     listed = F.coalesce(ids, none)
-    return F.struct(listed.alias("aop_ids"), F.when(F.size(listed) > 0, none).otherwise(F.coalesce(F.array_distinct(F.transform(described, F.trim)), none)).alias("ke_descriptions"))
+    return F.struct(listed.alias("aop_ids"), F.when(F.size(listed) > 0, none).otherwise(F.coalesce(F.array_distinct(F.transform(described, lambda x: F.trim(x))), none)).alias("ke_descriptions"))
 
 
 def assays_by(assays: DataFrame, by: str) -> DataFrame:

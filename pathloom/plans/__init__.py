@@ -1,0 +1,5 @@
+"""Registered queries; importing the package registers all of them."""
+
+from . import queries, result_queries
+
+__all__ = ["queries", "result_queries"]
