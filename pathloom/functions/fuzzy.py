@@ -47,6 +47,28 @@ def reviewed(matches: DataFrame, decisions: DataFrame, threshold: float, term: s
     return joined.withColumn("needs_review", F.col("match_score").isNotNull() & (F.lit(threshold == 0) | (F.col("match_score") < threshold)))
 
 
+def review_summary(reviewed: DataFrame) -> DataFrame:
+    """Matches in all, reviewed (a decision either way), skipped, accepted, rejected, and with a suggestion."""
+    verdict = F.col("human_verified")
+    return reviewed.agg(
+        F.count("*").alias("total"), F.count(verdict).alias("reviewed"), (F.count("*") - F.count(verdict)).alias("skipped"),
+        F.count_if(verdict).alias("accepted"), F.count_if(~verdict).alias("rejected"), F.count_if(F.coalesce("suggested_match", F.lit("")) != "").alias("suggested"),
+    )
+
+
+def enriched_families(families: DataFrame, events: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Target families (target_family, h_events) with the best event title for those without curated events.
+
+    ``events``: ke_id, title, ord; of one title the last id counts, of equal scores the title that came first.
+    """
+    titles = events.groupBy("title").agg(F.min("ord").alias("first"), F.max_by("ke_id", "ord").alias("matched_event_id")).filter("title is not null")
+    vocabulary = [r["title"] for r in titles.orderBy("first").select("title").toLocalIterator()]
+    curated = F.size(F.coalesce("h_events", F.array().cast("array<string>"))) > 0
+    found = best_matches(families.filter(~curated), vocabulary, threshold, "target_family")
+    named = found.join(titles.select(F.col("title").alias("matched_term"), "matched_event_id"), "matched_term", "left")
+    return families.withColumn("match_with_h_event", curated).join(named, "target_family", "left")
+
+
 def match_metrics(matches: DataFrame) -> DataFrame:
     """Totals, matched, unmatched, rate and mean score."""
     n, hit = F.count("*"), F.count("match_score")

@@ -48,7 +48,14 @@ def spaced_html(html: Column) -> Column:
 
 def has_content(value: Column, kind: str = "string") -> Column:
     """Whether there is anything: a text beyond white space, an array or map with elements, a number that isn't zero."""
-    test = F.size(value) > 0 if kind in ("array", "map") else (F.length(F.regexp_replace(value, r"(?U)\s+", "")) > 0 if kind == "string" else value.isNotNull())
+    if kind in ("array", "map"):
+        test = F.size(value) > 0
+    elif kind == "string":
+        test = F.length(F.regexp_replace(value, r"(?U)\s+", "")) > 0
+    elif kind == "boolean":
+        test = value
+    else:
+        test = value.isNotNull() if kind == "struct" else value != 0
     return F.coalesce(test, F.lit(False))
 
 

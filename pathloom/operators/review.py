@@ -62,3 +62,8 @@ def reviewed_events(events: DataFrame, judge: Callable[[], Callable[[str, str, s
 def severity_summary(findings: DataFrame) -> DataFrame:
     """Number of findings of each severity, one column each."""
     return findings.agg(*[F.count_if(F.col("severity") == s).alias(s) for s in ("flag", "note", "unchecked", "error")])
+
+
+def check_summary(findings: DataFrame) -> DataFrame:
+    """Findings of each check by severity."""
+    return findings.groupBy("check").agg(*[F.count_if(F.col("severity") == s).alias(s) for s in ("flag", "note", "unchecked", "error")])

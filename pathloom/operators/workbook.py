@@ -13,7 +13,8 @@ from ..functions.evidence import target_family
 from .graph import carried_headers, coverage
 
 # What marks a dropped event and the end of a sheet.
-DROPPED = ("E", "nan", "")
+EXCLUDED = ("E", "nan")
+DROPPED = "DROPPED"
 SENTINEL = "N/A, NEURODEGENERATION"
 NEXT_CHARS = 100
 
@@ -31,9 +32,14 @@ def harmonized_events(sheet: DataFrame, header: str = "header", title: str = "ti
 
 
 def harmonized_titles(events: DataFrame) -> DataFrame:
-    """For each event its harmonized titles, and whether they disagree; dropped ones do not count."""
-    kept = events.filter(F.col("title").isNotNull() & ~F.col("title").isin(*DROPPED))
-    return kept.groupBy("event_id").agg(F.array_sort(F.collect_set("title")).alias("titles")).withColumn("conflict", F.size("titles") > 1)
+    """For each event its harmonized titles (excluded and missing ones as ``DROPPED``), and whether they disagree."""
+    title = F.when(F.col("title").isin(*EXCLUDED), F.lit(DROPPED)).otherwise(F.coalesce("title", F.lit(DROPPED)))
+    return events.groupBy("event_id").agg(F.array_sort(F.collect_set(title)).alias("titles")).withColumn("conflict", F.size("titles") > 1)
+
+
+def harmonized_aops(events: DataFrame) -> DataFrame:
+    """Events with a harmonized title: neither blank nor excluded."""
+    return events.filter(F.col("title").isNotNull() & (F.col("title") != "") & ~F.col("title").isin(*EXCLUDED))
 
 
 def merged_titles(events: DataFrame) -> DataFrame:
@@ -41,6 +47,53 @@ def merged_titles(events: DataFrame) -> DataFrame:
     return events.groupBy("aop_id", "title").agg(F.count_distinct("event_id").alias("n_events")).filter("n_events > 1")
 
 
+def pair_checks(events: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Findings on pairs of pathways meant to be one (``pair``, ``mie``, ``one``, ``two``): validation_type, pair, aop_id, title, row_ix.
+
+    ``merged``: titles that stand for several events; ``no_mie``: the expected title isn't there;
+    ``count_mismatch``: different numbers of distinct titles; ``extra``: events of the longer side
+    whose title the other lacks, as many as it is longer, the first by row number as text.
+    """
+    sides = pairs.select("pair", "mie", F.inline(F.array(F.struct(F.col("one").alias("aop_id"), F.col("two").alias("other")), F.struct(F.col("two").alias("aop_id"), F.col("one").alias("other")))))
+    low = F.lower(F.trim("title"))
+    held = events.join(F.broadcast(sides), "aop_id").withColumn("low", low)
+    sizes = held.groupBy("pair", "aop_id", "other", "mie").agg(F.count("*").alias("n"), F.count_distinct("low").alias("titles"), F.bool_or(F.col("low") == F.lower(F.trim("mie"))).alias("has_mie"))
+    facing = sizes.join(sizes.select("pair", F.col("aop_id").alias("other"), F.col("n").alias("n_other"), F.col("titles").alias("titles_other")), ["pair", "other"])
+    row = lambda df, kind, title=None, at=None: df.select(F.lit(kind).alias("validation_type"), "pair", "aop_id", (F.lit(None).cast("string") if title is None else F.col(title)).alias("title"), (F.lit(None).cast("long") if at is None else F.col(at).cast("long")).alias("row_ix"))
+    merged = row(held.groupBy("pair", "aop_id", "title").agg(F.count("*").alias("n")).filter("n > 1"), "merged", "title")
+    no_mie = row(facing.filter("not has_mie"), "no_mie", "mie")
+    mismatch = row(facing.filter("titles <> titles_other"), "count_mismatch")
+    longer = held.join(F.broadcast(facing.filter("n > n_other").select("pair", "aop_id", (F.col("n") - F.col("n_other")).alias("most"))), ["pair", "aop_id"])
+    there = held.select("pair", F.col("aop_id").alias("other"), "low").distinct()
+    lacking = longer.join(there, ["pair", "other", "low"], "left_anti")
+    first = F.row_number().over(Window.partitionBy("pair", "aop_id").orderBy(F.col("row_ix").cast("string")))
+    extra = row(lacking.withColumn("place", first).filter("place <= most"), "extra", "title", "row_ix")
+    return merged.unionByName(no_mie).unionByName(mismatch).unionByName(extra)
+
+
+def enriched_events(events: DataFrame, known: DataFrame, aops: DataFrame) -> DataFrame:
+    """Curated events of pathways that are known, with the title and level on record and whether there is a record."""
+    record = known.select(F.col("ke_id").cast("string").alias("event_id"), F.col("title").alias("title_from_wiki"), F.col("level_of_biological_organization").alias("lobo"), F.lit(True).alias("found"))
+    there = aops.select(F.col("aop_id").cast("string").alias("aop_id")).distinct()
+    return events.join(there, "aop_id", "left_semi").join(record, "event_id", "left").withColumn("event_match", F.coalesce("found", F.lit(False))).drop("found")
+
+
+def extraction_summary(enriched: DataFrame) -> DataFrame:
+    """For each pathway its events, those matched and unmatched, excluded and without a title."""
+    return enriched.groupBy("aop_id").agg(
+        F.count("*").alias("total_events"), F.count_if("event_match").alias("matched_events"), F.count_if(~F.col("event_match")).alias("unmatched_events"),
+        F.count_if(F.col("title") == EXCLUDED[0]).alias("excluded_events"), F.count_if(F.col("title") == EXCLUDED[1]).alias("nan_events"),
+    )
+
+
+def harmonized_summary(enriched: DataFrame) -> DataFrame:
+    """For each harmonized title the events, levels, pathways, references and target families behind it; excluded titles have none."""
+    told = lambda c: F.array_sort(F.collect_set(F.when(~F.col(c).isin("nan", "", "None"), F.col(c))))
+    sets = {"event_ids": F.array_sort(F.collect_set("event_id")), "lobos": F.array_sort(F.collect_set(F.nullif("lobo", F.lit("")))), "aop_ids": F.array_sort(F.collect_set("aop_id")), "references": told("references"), "target_families": told("target_family")}
+    rows = enriched.filter(F.col("title").isNotNull() & ~F.col("title").isin(*EXCLUDED)).groupBy(F.col("title").alias("harmonized_title"))
+    return rows.agg(F.count_distinct("event_id").alias("total_events"), *[c.alias(n) for n, c in sets.items()]).withColumn("lobo_count", F.size("lobos"))
+
+
 def relation_parts(text: Column) -> Column:
     """Pathway ids named in a relation text; without any, the event descriptions in it, each once."""
     named = F.regexp_extract(text, r"(?i)AOPs?[:\s]+.*", 0)
@@ -52,10 +105,16 @@ def relation_parts(text: Column) -> Column:
 
 
 def assays_by(assays: DataFrame, by: str) -> DataFrame:
-    """One of the three groupings of assays (aeid, aop_ids or ke_descriptions): rows, and distinct target families that aren't null."""
+    """One of the three groupings of assays (aeid, aop_ids or ke_descriptions): rows, names with repeats, distinct target families that aren't null."""
     parsed = assays.withColumn("parts", relation_parts(F.col("relation"))).withColumn("family", target_family(F.col("target_family")))
     keyed = parsed.withColumn("key", F.col("aeid").cast("string")) if by == "aeid" else parsed.withColumn("key", F.explode(f"parts.{by}"))
-    return keyed.groupBy("key").agg(F.count("*").alias("n_assays"), F.array_sort(F.collect_set("family")).alias("families"))
+    return keyed.groupBy("key").agg(F.count("*").alias("n_assays"), F.array_sort(F.collect_list("endpoint_name")).alias("assays"), F.array_sort(F.collect_set("family")).alias("families"))
+
+
+def aeid_conflicts(by_aeid: DataFrame) -> DataFrame:
+    """Endpoints with several assays, or else with several target families."""
+    kind = F.when(F.size("assays") > 1, "assays").when(F.size("families") > 1, "families")
+    return by_aeid.select("key", kind.alias("several")).filter("several is not null")
 
 
 def family_coverage(chemicals: DataFrame, events: DataFrame, assays: DataFrame) -> DataFrame:
@@ -64,6 +123,44 @@ def family_coverage(chemicals: DataFrame, events: DataFrame, assays: DataFrame)
     return coverage({"chemicals": named(chemicals), "events": named(events), "assays": named(assays)}, "family")
 
 
+#: Named sets over the three sources, as (in, not in) of standalone list, assays and harmonization.
+FAMILY_SETS = {
+    "standalone_set": ("s", ""), "assays_set": ("a", ""), "harmonization_set": ("h", ""), "all_sources_union": ("s|a|h", ""), "both_dfs_union": ("a|h", ""),
+    "in_all_three": ("s&a&h", ""), "in_standalone_and_assays": ("s&a", ""), "in_standalone_and_harmonization": ("s&h", ""), "in_assays_and_harmonization": ("a&h", ""),
+    "only_in_standalone": ("s", "a|h"), "only_in_assays": ("a", "s|h"), "only_in_harmonization": ("h", "s|a"),
+    "standalone_not_in_assays": ("s", "a"), "standalone_not_in_harmonization": ("s", "h"), "assays_not_in_standalone": ("a", "s"), "harmonization_not_in_standalone": ("h", "s"),
+}
+
+
+def family_sets(standalone: DataFrame, assays: DataFrame, harmonization: DataFrame) -> DataFrame:
+    """(category, family) of all sixteen named sets of normalized target families (column ``target_family`` of each source)."""
+    named = lambda df: df.select(target_family(F.col("target_family")).alias("family")).filter("family is not null")
+    flags = coverage({"s": named(standalone), "a": named(assays), "h": named(harmonization)}, "family")
+    terms = lambda said: " ".join({"|": "or", "&": "and"}.get(c, f"in_{c}") for c in said)
+    categories = [F.when(F.expr(f"({terms(into)})" + (f" and not ({terms(out)})" if out else "")), F.lit(name)) for name, (into, out) in FAMILY_SETS.items()]
+    return flags.select(F.explode(F.array_compact(F.array(*categories))).alias("category"), "family")
+
+
+def bridged_events(reviewed: DataFrame, families: DataFrame) -> DataFrame:
+    """Events linked to assays through target families: title, event_id, source, assays and families, each once.
+
+    ``reviewed``: target_family, ord, h_events, event, matched_event_id, human_verified, suggested_event;
+    ``families``: target_family, assays.  Of several ways to an event the first counts: families in
+    order, in each the workbook's events, then an accepted match, then a suggestion.
+    """
+    way = lambda rank, source, title, key: F.struct(F.lit(rank).alias("rank"), F.lit(source).alias("source"), title.alias("title"), key.alias("event_id"))
+    none = F.lit(None).cast("string")
+    listed = F.transform(F.coalesce("h_events", F.array().cast("array<string>")), lambda t: way(0, "harmonized_workbook", t, none))
+    matched = F.when(F.coalesce("human_verified", F.lit(False)), way(1, "fuzzy_matched", F.col("event"), F.col("matched_event_id").cast("string")))
+    suggested = way(2, "manual_suggestion", F.col("suggested_event"), none)
+    ways = F.filter(F.concat(listed, F.array(matched, suggested)), lambda w: F.coalesce(w["title"], F.lit("")) != "")
+    rows = reviewed.select("target_family", "ord", F.inline(ways)).join(families, "target_family")
+    first = F.min(F.struct("ord", "rank", "source", "event_id"))
+    return rows.groupBy("title").agg(
+        first.alias("f"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("assays")))).alias("assays"), F.array_sort(F.collect_set("target_family")).alias("families")
+    ).select("title", "f.event_id", "f.source", "assays", "families")
+
+
 def map_target_families(families: DataFrame, events: DataFrame, assays: DataFrame) -> DataFrame:
     """Families with their events and assays, matched case aside."""
     low = lambda df, c: df.withColumn("_k", F.lower(target_family(F.col(c))))
@@ -73,13 +170,13 @@ def map_target_families(families: DataFrame, events: DataFrame, assays: DataFram
 
 
 def normalized_chemicals(chemicals: DataFrame) -> DataFrame:
-    """One row for each CASRN (the last one): evidence as Yes, No or Unknown, the cited source taken apart."""
+    """One row for each CASRN (the last one): the direction as it is and whether it is an expected one, evidence as Yes, No or Unknown, the cited source taken apart."""
     last = F.row_number().over(Window.partitionBy("casrn").orderBy(F.desc("row_ix")))
     seen = F.upper(F.trim("pubchem_evidence"))
     raw = F.trim("literature_citation")
     rows = chemicals.withColumn("_n", last).filter("_n = 1").drop("_n")
     return rows.select(
-        "casrn", F.trim("direction_of_effect").alias("direction_of_effect"),
+        "casrn", "direction_of_effect", F.coalesce(F.lower("direction_of_effect").isin("positive", "negative"), F.lit(False)).alias("expected_direction"),
         F.when(F.contains(seen, F.lit("Y")), "Yes").when(seen.isin("N", "NO"), "No").otherwise("Unknown").alias("pubchem_evidence"),
         F.when(raw.isNotNull(), F.struct(raw.alias("raw"), citation_kind(raw).alias("kind"), citation_year(raw).alias("year"), citation_url(raw).alias("url"))).alias("citation"),
     )

@@ -246,14 +246,13 @@ def text_exclusion(spark, sf_dir):
     return search.excluding(search.with_terms(rows, TEXT_TERMS).select("entity_id").distinct(), rows, ["with"])
 
 
-@_registered(f"WITH {_T}, f AS (SELECT entity_id, concat_ws('|', {', '.join(f"CASE WHEN {_has(t)} THEN '{t}' END" for t in sorted(TEXT_TERMS))}) AS terms_found, {_has('aux')} AS has_priority_term_match FROM t WHERE {' OR '.join(map(_has, TEXT_TERMS))}) SELECT row_number() OVER (ORDER BY has_priority_term_match DESC, entity_id) AS place, * FROM f QUALIFY place <= 100")
+@_registered(f"WITH {_T}, f AS (SELECT entity_id, concat_ws('|', {', '.join(f"CASE WHEN {_has(t)} THEN '{t}' END" for t in sorted(TEXT_TERMS))}) AS terms_found, {_has('aux')} AS has_priority_term_match FROM t WHERE {' OR '.join(map(_has, TEXT_TERMS))}) SELECT row_number() OVER (ORDER BY has_priority_term_match DESC, entity_id) AS place, * FROM f")
 def priority_sorted(spark, sf_dir):
-    """A report of the first hundred: priority hits first, then by id."""
+    """All hits in the order of a report: priority hits first, then by id."""
     rows = texts(spark, sf_dir)
     hits = search.entity_hits(rows, TEXT_TERMS).select("entity_id", "terms_found")
     flagged = hits.withColumn("has_priority_term_match", F.array_contains(F.split("terms_found", r"\|"), "aux"))
-    top = flagged.orderBy(F.desc("has_priority_term_match"), "entity_id").limit(100)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("has_priority_term_match"), "entity_id")).cast("long"))
+    return graph.placed(flagged, [F.desc("has_priority_term_match"), F.col("entity_id")])
 
 
 @_registered()

@@ -6,7 +6,7 @@ titles at both ends of a relationship.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import references, scoring
@@ -166,8 +166,8 @@ def export_search_aops(spark, sf_dir):
     texts = people.select("entity_id", F.inline(F.array(F.struct(F.lit("title").alias("field"), F.col("title").alias("text")), F.struct(F.lit("abstract").alias("field"), F.col("abstract").alias("text")))))
     found = search.result_rows(search.entity_hits(texts, ["machinery", "furniture", "customer"], "abstract"), people)
     shown = [f for f in sinks.FIELD_SETS["search_results_aop"] if f.path in ("entity_id", "title", "snippet_count", "has_priority_term_match", "terms_found", "matched_fields")]
-    place = F.row_number().over(Window.partitionBy().orderBy(F.desc("has_priority_term_match"), F.desc("snippet_count"), "entity_id")).cast("long")
-    return sinks.exported(found.withColumn("place", place), [sinks.Field("place", "place"), *shown]).withColumn("place", F.col("place").cast("long"))
+    placed = graph.placed(found, [F.desc("has_priority_term_match"), F.desc("snippet_count"), F.col("entity_id")])
+    return sinks.exported(placed, [sinks.Field("place", "place"), *shown]).withColumn("place", F.col("place").cast("long"))
 
 
 @_registered(rf"WITH {_K}, {_T}, z AS (SELECT ker_id, coalesce(ut, '?') || ' -> ' || coalesce(dt, '?') AS title, concat_ws(' leads to ', ut, dt) AS text FROM k2) SELECT ker_id AS entity_id, title, concat_ws(', ', CASE WHEN regexp_matches(text, '\bsteel\b') THEN 'steel' END, CASE WHEN regexp_matches(text, '\bwidget\b') THEN 'widget' END) AS terms_found, 'description' AS matched_fields, '1' AS snippet_count, 'No' AS has_any_tables, '0.00' AS completion_percent FROM z WHERE regexp_matches(text, '\b(steel|widget)\b')")

@@ -10,11 +10,12 @@ def test_harmonized_sheet(spark):
     sheet = spark.createDataFrame([("s", i, h, t) for i, (h, t) in enumerate(rows)], "sheet string, row_ix int, header string, title string")
     events = workbook.harmonized_events(sheet)
     assert sorted((r["aop_id"], r["event_id"], r["event_index"], r["title"]) for r in events.collect()) == [("3", "10", 2, "Fall"), ("3", "11", 1, "E"), ("4", "10", 0, "Rise")]
-    assert [tuple(r) for r in workbook.harmonized_titles(events).collect()] == [("10", ["Fall", "Rise"], True)]
+    assert sorted(tuple(r) for r in workbook.harmonized_titles(events).collect()) == [("10", ["Fall", "Rise"], True), ("11", [workbook.DROPPED], False)]
 
 
 def test_assays_and_chemicals(spark):
-    assays = spark.createDataFrame([(1, "AOPs 214 and 223", "GABA A"), (2, "MIE the binding and KE fall", None), (2, None, "NMDA R")], "aeid int, relation string, target_family string")
+    assays = spark.createDataFrame([(1, "AOPs 214 and 223", "GABA A", "a"), (2, "MIE the binding and KE fall", None, "b"), (2, None, "NMDA R", "c")], "aeid int, relation string, target_family string, endpoint_name string")
+    assert [tuple(r) for r in workbook.aeid_conflicts(workbook.assays_by(assays, "aeid")).collect()] == [("2", "assays")]
     assert {(r["key"], r["n_assays"]) for r in workbook.assays_by(assays, "aop_ids").collect()} == {("214", 1), ("223", 1)}
     assert {r["key"] for r in workbook.assays_by(assays, "ke_descriptions").collect()} == {"binding", "fall"}
     assert {(r["key"], r["n_assays"]) for r in workbook.assays_by(assays, "aeid").collect()} == {("1", 1), ("2", 2)}
@@ -65,3 +66,20 @@ def test_stream(spark, tmp_path):
     for _ in range(2):
         stream_hits(texts, ["liver"], str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).filter(F.col("entity_id") == "1").count() == 1
+
+
+def test_enriched_families(spark):
+    from pathloom.functions import fuzzy
+
+    families = spark.createDataFrame([("NMDA Receptor", []), ("GABA", ["Kept"]), ("zzz", None)], "target_family string, h_events array<string>")
+    events = spark.createDataFrame([(1, "NMDA receptors", 0), (2, "Liver", 1), (3, "NMDA receptors", 2)], "ke_id int, title string, ord int")
+    found = {r["target_family"]: (r["match_with_h_event"], r["matched_term"], r["matched_event_id"]) for r in fuzzy.enriched_families(families, events).collect()}
+    assert found == {"NMDA Receptor": (False, "NMDA receptors", 3), "GABA": (True, None, None), "zzz": (False, None, None)}
+
+
+def test_places(spark):
+    from pathloom.operators.graph import placed
+
+    rows = spark.range(0, 500).withColumn("s", F.col("id") % 7)
+    out = sorted((r["place"], r["s"], r["id"]) for r in placed(rows, [F.desc("s"), F.col("id")]).collect())
+    assert out == [(i, s, k) for i, (s, k) in enumerate(sorted(((k % 7, k) for k in range(500)), key=lambda x: (-x[0], x[1])), 1)]
