@@ -214,10 +214,10 @@ def _hit_sql(term: str) -> str:
     return rf"SELECT entity_id, '{term}' AS term, text, {prefix} AS pos, {len(term)} AS size FROM t WHERE {_has(term)}"
 
 
-_H = f"""{_T}, h AS ({" UNION ALL ".join(map(_hit_sql, TEXT_TERMS))}),
-g AS (SELECT *, length(regexp_extract(substr(text, 1, pos), '^(.*[.!?] *)\\p{{Lu}}', 1)) AS skipped FROM h),
+_SNIPPETS = """g AS (SELECT *, length(regexp_extract(substr(text, 1, pos), '^(.*[.!?] *)\\p{Lu}', 1)) AS skipped FROM h),
 n AS (SELECT entity_id, term, trim(substr(text, skipped + 1, pos + size - 1 - skipped) || regexp_extract(substr(text, pos + size), '^[^.!?]*[.!?]?', 0), ' ') AS body FROM g),
 hits AS (SELECT entity_id, term, CASE WHEN NOT regexp_matches(body, '\\((www\\.)?$') AND trim(right(body, 4), ' ') NOT IN ('No.', 'Jr.', 'Sr.', 'Dr.', 'Mr.', 'Ms.', 'etc.', 'vs.') THEN body END AS snippet FROM n)"""
+_H = f"{_T}, h AS ({' UNION ALL '.join(map(_hit_sql, TEXT_TERMS))}), {_SNIPPETS}"
 
 
 @_registered(f"WITH {_H} SELECT * FROM hits")
@@ -255,7 +255,12 @@ def priority_sorted(spark, sf_dir):
     return graph.placed(flagged, [F.desc("has_priority_term_match"), F.col("entity_id")])
 
 
-@_registered()
+_FOLD = """p AS (SELECT entity_id, max(snippet) FILTER (term = 'the') AS a, max(snippet) FILTER (term = 'que') AS b, max(snippet) FILTER (term = 'aux') AS c, string_agg(term, '|' ORDER BY term) AS terms_found FROM hits GROUP BY entity_id),
+k AS (SELECT *, CASE WHEN b IS NOT NULL AND NOT coalesce(contains(a, b) OR contains(b, a), false) THEN b END AS kb FROM p),
+f AS (SELECT *, CASE WHEN c IS NOT NULL AND NOT coalesce(contains(a, c) OR contains(c, a), false) AND NOT coalesce(contains(kb, c) OR contains(c, kb), false) THEN c END AS kc FROM k)"""
+
+
+@_registered(f"WITH {_H}, {_FOLD} SELECT entity_id, terms_found, 'text' AS matched_fields, (a IS NOT NULL)::BIGINT + (kb IS NOT NULL)::INT + (kc IS NOT NULL)::INT AS snippet_count, true AS has_priority_term_match FROM f")
 def snippet_overlap_dedup(spark, sf_dir):
     return search.entity_hits(texts(spark, sf_dir), TEXT_TERMS, "text")
 
@@ -269,7 +274,10 @@ def within_scope_search(spark, sf_dir):
     return search.scoped_search(texts(spark, sf_dir), scope, ["with", "pour"]).select("entity_id", "term")
 
 
-@_registered()
+_CASED = " UNION ALL ".join(_hit_sql(t.lower()).replace(f"'{t.lower()}' AS term", f"'{t}' AS term") for t in ("with", "The", "pour")).replace("FROM t", "FROM t SEMI JOIN q USING (entity_id)")
+
+
+@_registered(f"WITH {_T}, q AS (SELECT doc_id AS entity_id FROM labels), h AS ({_CASED}), {_SNIPPETS} SELECT entity_id, term, snippet FROM hits WHERE term <> 'The' OR {_has('The', 'snippet', exact=True)}")
 def case_sensitive_terms(spark, sf_dir):
     scope = read(spark, sf_dir, "labels").select(F.col("doc_id").alias("entity_id"))
     return search.scoped_search(texts(spark, sf_dir), scope, SCOPE_TERMS).select("entity_id", "term", "snippet")
@@ -382,18 +390,27 @@ def header_harmonize(spark, sf_dir):
     return spark.createDataFrame([(h,) for h in _HEADERS], "header string").select("header", evidence.harmonized_header(F.col("header")).alias("harmonized"))
 
 
-@_registered()
+_CELL = _ENT.replace("html", "regexp_replace(v, '<[^>]+>', '', 'g')")
+_SPACES = r"[\s\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x0b\x1c-\x1f]+"
+
+
+@_registered(rf"WITH x AS (SELECT page_id, regexp_extract_all(html, '(?is)<p\b[^>]*>(.*?)</p\s*>', 1) AS ps, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang FROM pages), r AS (SELECT page_id, lang, unnest(ps) AS v, generate_subscripts(ps, 1) - 1 AS i FROM x) SELECT page_id, 0 AS table_ix, i::INTEGER AS row_ix, c AS col_ix, CASE c WHEN 0 THEN 'KE up' ELSE 'Reference' END AS header, CASE c WHEN 0 THEN lang ELSE trim(regexp_replace({_CELL}, '{_SPACES}', ' ', 'g'), ' ') END AS value FROM r, (VALUES (0), (1)) t(c)")
 def evidence_table_cells(spark, sf_dir):
-    """Pages as tables of two columns: the URL and the page's language tag."""
+    """Pages as tables: a row for each paragraph, the page's language tag and the paragraph as cells."""
     lang = F.regexp_extract("html", r'<html lang="([^"]*)"', 1)
-    page = F.concat(F.lit("<table><tr><th>KE up</th><th>Reference</th></tr><tr><td>"), lang, F.lit("</td><td>"), F.col("url"), F.lit("</td></tr></table>"))
+    rows = F.transform(F.regexp_extract_all("html", F.lit(r"(?is)<p\b[^>]*>(.*?)</p\s*>"), F.lit(1)), lambda p: F.concat(F.lit("<tr><td>"), lang, F.lit("</td><td>"), p, F.lit("</td></tr>")))
+    page = F.concat(F.lit("<table><tr><th>KE up</th><th>Reference</th></tr>"), F.array_join(rows, ""), F.lit("</table>"))
     return evidence.evidence_cells(read(spark, sf_dir, "pages").select("page_id", page.alias("html")), "page_id", "html")
 
 
 LEVELS = {"Tissue": "words such as erand or ereson", "Organ": "thereing and blethe", "Cellular": "queeur, menteur"}
 
 
-@_registered()
+_CUES = {n: " OR ".join(rf"regexp_matches(text, '(^|{_EDGE}){p[2:-2]}($|{_EDGE})')" for p in ps) for n, ps in evidence.level_cues(LEVELS).items()}
+_HTML = _ENT.replace("html", r"regexp_replace(regexp_replace(coalesce(text, ''), '(?is)<!--.*?-->|<!doctype[^>]*>|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<template\b.*?</template\s*>', ' ', 'g'), '<[^>]+>', ' ', 'g')")
+
+
+@_registered(rf"WITH x AS (SELECT doc_id AS ke_id, ['Tissue', 'Organ', 'Cellular', 'Unknown'][doc_id % 4 + 1] AS level, lower(trim(regexp_replace({_HTML}, '{_SPACES}', ' ', 'g'), ' ')) AS text FROM documents), c AS (SELECT *, {', '.join(f'({w}) AS {n}' for n, w in _CUES.items())} FROM x), o AS (SELECT *, CASE level WHEN 'Tissue' THEN Tissue WHEN 'Organ' THEN Organ WHEN 'Cellular' THEN Cellular ELSE false END AS own, concat_ws(', ', {', '.join(f"CASE WHEN {n} AND level <> '{n}' THEN '{n}' END" for n in LEVELS)}) AS others FROM c), m AS (SELECT ke_id, CASE WHEN level = 'Unknown' THEN ['flag', 'unknown level Unknown'] WHEN text = '' THEN ['unchecked', 'no description'] WHEN NOT ({' OR '.join(LEVELS)}) THEN ['note', 'no cue words in the description'] WHEN NOT own AND others <> '' THEN ['flag', 'cue words of other levels only: ' || others] END AS f FROM o) SELECT ke_id, f[1] AS severity, f[2] AS message FROM m WHERE f IS NOT NULL")
 def level_alignment(spark, sf_dir):
     level = F.element_at(F.array(F.lit("Tissue"), F.lit("Organ"), F.lit("Cellular"), F.lit("Unknown")), (F.col("doc_id") % 4 + 1).cast("int"))
     rows = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("ke_id"), level.alias("level_of_biological_organization"), F.col("text").alias("description"))
