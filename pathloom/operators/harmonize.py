@@ -7,7 +7,6 @@ upstream_title, downstream_title.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -52,19 +51,17 @@ def _matching_form(text: str) -> str:
     return text.strip()
 
 
-def _names(phrases: list[str]) -> Callable[[Column], Column]:
-    return lambda text: F.coalesce(*[F.when(F.contains(text, F.lit(p)), F.lit(True)) for p in phrases], F.lit(False))
+def synonym_groups(text: Column) -> Column:
+    """For each group of ``SYNONYMS`` whether the text names it; the text is brought into its matching form once."""
+    phrases = [sorted({name, *map(_matching_form, [name, *others])}) for name, others in SYNONYMS.items()]
+    groups = F.array(*[F.array(*map(F.lit, p)) for p in phrases])
+    named = lambda form: F.transform(groups, lambda group: F.exists(group, lambda p: F.contains(form, p)))
+    return F.transform(F.array(matching_form(text)), named)[0]
 
 
 def same_thing(a: Column, b: Column) -> Column:
-    """Whether both texts name something of the same group of synonyms."""
-    found = F.lit(False)
-    one, two = matching_form(a), matching_form(b)
-    for name, others in SYNONYMS.items():
-        phrases = sorted({name, *map(_matching_form, [name, *others])})
-        names = _names(phrases)
-        found |= names(one) & names(two)
-    return found
+    """Whether both groups of a text (``synonym_groups``) have one in common."""
+    return F.coalesce(F.exists(F.zip_with(a, b, lambda x, y: x & y), lambda x: x), F.lit(False))
 
 
 @F.pandas_udf(DoubleType())
@@ -77,8 +74,9 @@ def matched_headers(cells: DataFrame, kers: DataFrame) -> DataFrame:
     rows = cells.select("ker_id", "field", "header").distinct().join(kers, "ker_id", "left")
     low = F.trim(F.replace(F.trim(F.lower("header")), F.lit("ke:"), F.lit("")))
     header, up, down = F.col("header"), F.col("upstream_title"), F.col("downstream_title")
-    told = F.coalesce(harmonized_header(header), F.when(same_thing(header, up), UP), F.when(same_thing(header, down), DOWN))
-    rows = rows.withColumn("told", told)
+    named = rows.withColumns({"_h": synonym_groups(header), "_u": synonym_groups(up), "_d": synonym_groups(down)})
+    told = F.coalesce(harmonized_header(header), F.when(same_thing(F.col("_h"), F.col("_u")), UP), F.when(same_thing(F.col("_h"), F.col("_d")), DOWN))
+    rows = named.withColumn("told", told).drop("_h", "_u", "_d")
     open_ = rows.filter("told is null").withColumn("u", _likeness(low, up)).withColumn("d", _likeness(low, down))
     liked = open_.select("ker_id", "field", "header", F.when(F.col("u") > LEAST_RATIO, UP).when(F.col("d") > LEAST_RATIO, DOWN).alias("harmonized"))
     return rows.filter("told is not null").select("ker_id", "field", "header", F.col("told").alias("harmonized")).unionByName(liked)
