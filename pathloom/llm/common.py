@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -60,8 +61,23 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-#: Text bytes (of the whole batch, on average) that a worker handles at a time.
+#: Text bytes (of the whole batch, on average) that a worker handles at a time; bytes that are sent to it at a time.
 SLICE_BYTES = 4_000_000
+BATCH_BYTES = 16 << 20
+
+
+def release_memory() -> None:
+    """Give freed memory back to the system: a worker that is used again would keep it beside the JVM's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to trim
+        pass
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Batches for Python by bytes: ten thousand long texts would be held twice over by each task."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | StructType, done: Callable[[], None] | None = None) -> DataFrame:
@@ -79,7 +95,9 @@ def arrow_map(df: DataFrame, function: Callable[[pa.RecordBatch], pa.RecordBatch
                     yield out
         if done is not None:
             done()
+        release_memory()
 
+    bounded_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 

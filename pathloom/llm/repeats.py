@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import bounded_batches, release_memory, written
 
 LENGTH, GRAM = 100, 20
 GRAMS = LENGTH - GRAM + 1
@@ -297,7 +297,9 @@ def repeated_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     keys, texts, held = [], [], 0
         if keys and (out := made(keys, texts)) is not None:
             yield out
+        release_memory()
 
+    bounded_batches(docs.sparkSession)
     indexed = rows.mapInArrow(index, "bucket int, keys binary, anchors binary, ranges binary")
     found = written(indexed.groupBy("bucket").applyInArrow(_match_bucket, FOUND), "repeat-anchors")
     sure = found.filter("gram is null").select("id", "mark", "low", "high")

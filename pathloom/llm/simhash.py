@@ -148,31 +148,38 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 BANDS, ROWS = 24, 6
 #: Classes of shingle hashes by which a bound on what two texts share is counted.
 CLASSES = 32
-SOME = 1 << 12
+SOME = 1 << 10
 _MULTIPLIERS, _SHIFTS = np.random.default_rng(11).integers(0, 1 << 64, (2, BANDS * ROWS), dtype=np.uint64)
 
 
-def band_keys(hashes: np.ndarray) -> list[int]:
+def band_keys(hashes: np.ndarray) -> np.ndarray:
     """A key for each band of ``ROWS`` least values of hashed 32-bit shingles, as longs; none without shingles."""
     if not len(hashes):
-        return []
+        return np.zeros(0, dtype=np.int64)
     least = np.full(BANDS * ROWS, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
     x = hashes.view(np.uint32).astype(np.uint64)
     for at in range(0, len(x), SOME):
         mixed = x[at : at + SOME] * _MULTIPLIERS[:, None] + _SHIFTS[:, None]
         np.minimum(least, mixed.min(axis=1), out=least)
     least = (least >> np.uint64(32)).astype(np.uint32).reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(least)], dtype=np.uint64).view(np.int64).tolist()
+    return np.array([xxhash.xxh64_intdigest(row.tobytes(), band) for band, row in enumerate(least)], dtype=np.uint64).view(np.int64)
 
 
-def _profile(text: str | None, words: int) -> tuple[bytes | None, list[int], list[int], list[int]]:
+_NONE = np.zeros(0, dtype=np.int32)
+
+
+def _profile(text: str | None, words: int) -> tuple[bytes | None, np.ndarray, np.ndarray, np.ndarray]:
     """Digest of the word sequence (none without words), band keys, sizes of ``CLASSES`` classes of the shingles, sorted distinct 32-bit shingle hashes."""
     found = ascii_words(text)
     if not found:
-        return None, [], [], []
+        return None, _NONE.astype(np.int64), _NONE, _NONE
     hashes = np.unique(np.concatenate(list(shingle_hashes(found, words))).astype(np.uint32)).view(np.int32)
     digest = hashlib.md5(b" ".join(found), usedforsecurity=False).digest()
-    return digest, band_keys(hashes), np.bincount(hashes % CLASSES, minlength=CLASSES).tolist(), hashes.tolist()
+    return digest, band_keys(hashes), np.bincount(hashes % CLASSES, minlength=CLASSES).astype(np.int32), hashes
+
+
+def _lists(parts: tuple[np.ndarray, ...]) -> pa.ListArray:
+    return pa.ListArray.from_arrays(np.cumsum([0, *map(len, parts)]).astype(np.int32), np.concatenate(parts))
 
 
 def text_mark(text: Column) -> Column:
@@ -244,9 +251,8 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [_profile(t.as_py(), words) for t in batch.column("text")]
-        types = (pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()))
-        columns = [pa.array(c, t) for c, t in zip(zip(*found, strict=True), types, strict=True)]
+        digests, *lists = zip(*(_profile(t.as_py(), words) for t in batch.column("text")), strict=True)
+        columns = [pa.array(digests, pa.binary()), *map(_lists, lists)]
         return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), *columns], ["id", "mark", "digest", "keys", "counts", "shingles"])
 
     source = docs.select(F.col(id_col).alias("id"), text_mark(F.col(text_col)).alias("mark"), F.col(text_col).cast("string").alias("text"))
