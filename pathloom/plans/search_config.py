@@ -23,6 +23,7 @@ class SearchConfig:
     exclude_by_title_only: bool = False
     dropped_content: dict[str, list[str]] = field(default_factory=dict)
     co_occurrence_only: bool = False
+    entities: tuple[str, ...] = ("events",)
 
     def searched(self) -> list[str]:
         chosen = self.fields or ([self.priority_field] if self.priority_field else [])
