@@ -23,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map, discard, id_and_text, written
@@ -84,11 +84,14 @@ def _variants(bits: Column, width: int) -> Column:
     return F.explode(F.array(*keys))
 
 
+def _counted(keyed: DataFrame, names: list[str]) -> DataFrame:
+    """Rows whose key others have too, with the number ``n`` of rows of the key: an aggregate and a join, so no task holds a whole key."""
+    return keyed.join(keyed.groupBy(*names).agg(F.count("*").alias("n")).filter("n > 1"), names)
+
+
 def near_links(fps: DataFrame) -> DataFrame:
     """All pairs ``a`` < ``b`` of distinct fingerprints (column ``fp``) that differ in at most 3 bits, once each."""
-    keyed = fps.select("fp", _variants(F.col("fp"), 32).alias("key"))
-    shared = keyed.withColumn("n", F.count("*").over(Window.partitionBy("key"))).filter("n > 1")
-    shared = written(shared, "shared-keys")
+    shared = written(_counted(fps.select("fp", _variants(F.col("fp"), 32).alias("key")), ["key"]), "shared-keys")
     sparse = shared.filter(F.col("n") <= DENSE)
     found = _pairs(sparse, ["key"]).filter(_first_meeting("key")).select("a", "b")
     dense = shared.filter(F.col("n") > DENSE).drop("n")
@@ -100,7 +103,7 @@ def near_links(fps: DataFrame) -> DataFrame:
         name = f"key{depth}"
         cut = dense.select("fp", *names, _variants(_other(F.col("fp"), depth), width).alias(name))
         names = [*names, name]
-        cut = written(cut.withColumn("n", F.count("*").over(Window.partitionBy(*names))).filter("n > 1"), f"shared-keys-{depth}")
+        cut = written(_counted(cut, names), f"shared-keys-{depth}")
         last = depth == 2
         found = found.unionByName(_pairs(cut if last else cut.filter(F.col("n") <= DENSE), names).select("a", "b"))
         dense = cut.filter(F.col("n") > DENSE).drop("n")
