@@ -83,23 +83,32 @@ def base_spans(text: str) -> list[Span]:
 
 # The random field.
 
+#: Bounds of an entity of several tokens; one of a single token has any length.
 MOST_TOKENS = 14
 MOST_CHARS = 96
 MOST_GAPS = 6
 AROUND = 64
 _TRIGGER = re.compile(r"[0-9@]|(?:(?<=[\[(])|(?<=[\[(]\s))at(?=\s?[\])])|\bat(?=\s{1,3}[a-z0-9-]{1,63}\s{0,3}(?:[\[(]\s?)?dot\b)", re.IGNORECASE)
 _TOP = re.compile(r"\b(?:com|org|net|edu|gov|mil|info|biz|[a-z]{2})$")
-_TOKEN = re.compile(r"[^\W_]{1,64}|_+|[^\w\s]")
+_TOKEN = re.compile(r"[^\W_]+|_+|[^\w\s]")
 _WORDS = {"password": 0, "passwd": 0, "pwd": 0, "token": 0, "secret": 0, "key": 0, "apikey": 0, "phone": 1, "tel": 1, "call": 1, "fax": 1, "mobile": 1, "card": 2, "visa": 2, "email": 3, "mail": 3, "contact": 3, "ip": 4, "host": 4, "address": 4, "version": 5, "v": 5, "license": 5, "page": 5, "year": 5}
 _OPENERS, _CLOSERS = set("+("), set(")")
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches within ``AROUND`` characters of a digit, at sign or written-out one, overlapping ones merged."""
+    """Stretches within ``AROUND`` characters of a digit, at sign or written-out one, out to the ends of runs of letters and digits; overlapping ones merged."""
     found: list[tuple[int, int]] = []
     for m in _TRIGGER.finditer(text):
-        low, high = max(0, m.start() - AROUND), m.end() + AROUND
-        if found and low <= found[-1][1]:
+        known = found[-1][1] if found else 0
+        high = min(len(text), m.end() + AROUND)
+        if found and high <= known:
+            continue
+        while 0 < high < len(text) and text[high - 1].isalnum() and text[high].isalnum():
+            high += 1
+        low = max(known, m.start() - AROUND)
+        while low > known and text[low - 1].isalnum() and text[low].isalnum():
+            low -= 1
+        if found and low <= known:
             found[-1] = (found[-1][0], high)
         else:
             found.append((low, high))
@@ -118,7 +127,7 @@ def candidates(text: str, tokens: list[tuple[int, int]]) -> list[tuple[int, int]
         gaps = 0
         for j in range(i + 1, min(len(tokens), i + MOST_TOKENS) + 1):
             gaps += tokens[j - 1][0] > tokens[j - 2][1] and j > i + 1
-            if gaps > MOST_GAPS or tokens[j - 1][1] - tokens[i][0] > MOST_CHARS:
+            if gaps > MOST_GAPS or j > i + 1 and tokens[j - 1][1] - tokens[i][0] > MOST_CHARS:
                 break
             if triggers[j] > triggers[i] and (kinds[j - 1].isalnum() or kinds[j - 1] in _CLOSERS):
                 found.append((i, j))
@@ -314,8 +323,6 @@ def find_spans(text: str | None, field: Field) -> tuple[list[Span], list[Span]]:
         else:
             cover.append((s, e))
     for low, high in regions(text):
-        while low > 0 and low < len(text) and text[low - 1].isalnum() and text[low].isalnum() and low % MOST_CHARS:
-            low -= 1
         for s, e, kind in field.decode(text[low:high]):
             s, e = s + low, e + low
             while b < len(cover) and cover[b][1] <= s:

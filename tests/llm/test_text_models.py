@@ -171,3 +171,20 @@ def test_languages(spark):
     assert {r["lang_pred"] for r in out if r["doc_id"] is None or r["doc_id"] >= 9000} == {"und"} and all(0 <= r["score"] <= 1 for r in out)
     empty = spark.createDataFrame([(1, "abc", None)], "doc_id long, text string, lang string")
     assert identify_languages(empty).first()["lang_pred"] == "und" and identify_languages(empty.limit(0)).count() == 0
+
+
+def test_long_tokens_stay_whole_and_added_spans_apart():
+    field = trained_field()
+    for size in (40, 120, 5_000):
+        text = "the key: " + "a1" * (size // 2) + " and more words follow here"
+        added = find_spans(text, field)[1]
+        assert all((s, e) == (9, 9 + size) for s, e, _ in added if s < 9 + size), added
+    assert find_spans("a" * 300_000 + "7" + "b" * 300_000, field)[1] is not None
+    draw = random.Random(3)
+    parts = ["john.smith at example dot com", "call (212) 555-0143", "10.0.0.1", "key: 9f8e7d6c5b4a39281706", "word", "mit dem", "@", "1", "7" * 90, "x" * 100, "4111 1111 1111 1111", "[at]", "."]
+    for _ in range(400):
+        text = " ".join(draw.choice(parts) for _ in range(draw.randint(1, 30)))
+        base, every = find_spans(text, field)
+        added = sorted(set(every) - set(base))
+        assert all(a[1] <= b[0] for a, b in zip(added, added[1:], strict=False)), (text, added)
+        assert all(e <= a[0] or a[1] <= s for a in added for s, e, _ in base)
