@@ -64,7 +64,7 @@ def count_batch(texts: list[str | None], path: str, piece_chars: int = PIECE_CHA
         for piece in safe_pieces(text or "", piece_chars, keep_blank):
             owners.append(row)
             pieces.append(piece)
-            held += len(piece)
+            held += len(piece) if piece.isascii() else len(piece.encode())
             if held >= batch_bytes:
                 flush()
     flush()
