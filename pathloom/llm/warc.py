@@ -194,6 +194,8 @@ class _Reader:
         r["total"] += len(piece)
         r["no"] += 1
         revisit = r["record_type"] == "revisit"
+        if last and not revisit and r["digest"] and r["digest"] != r["sha"].hexdigest():
+            raise ValueError(f"the payload of page {r['page_id']} differs from its digest")
         return (r["page_id"], r["record_type"], r["refers_to"], r["no"] - 1, len(piece), r["told"] if revisit else r["total"], r["digest"] if revisit else r["sha"].hexdigest(), last, piece)
 
     def _flush(self, last: bool) -> Iterator[tuple]:

@@ -84,3 +84,18 @@ def test_warc_empty(spark):
     path = archive_path(spark)
     write_archives(spark.createDataFrame([], "page_id long, url string, html string"), path)
     assert read_archives(spark, path).count() == 0
+
+
+def test_changed_payload_is_noticed(spark, tmp_path):
+    import gzip
+
+    import pytest
+
+    segment = b"".join(record_segments(1, "u", b"abcdef", hashlib.sha1(b"abcdef").hexdigest(), None, False))
+    for name, raw in (("good", segment), ("bad", segment.replace(b"abcdef", b"abcdeg"))):
+        (tmp_path / name).mkdir()
+        with gzip.open(tmp_path / name / "a.warc.gz", "wb") as out:
+            out.write(raw + b"\r\n\r\n" if not raw.endswith(b"\r\n\r\n") else raw)
+    assert read_archives(spark, str(tmp_path / "good")).filter("last").count() == 1
+    with pytest.raises(Exception, match="differs from its digest"):
+        read_archives(spark, str(tmp_path / "bad")).collect()
