@@ -128,7 +128,8 @@ def labelled_sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str,
         return [], []
     share = F.create_map(*[F.lit(v) for lang, n in counts.items() for v in (lang, min(1.0, per_language / n))])
     drawn = rows.filter(F.pmod(F.xxhash64("id"), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003)
-    got = drawn.select("text", "lang").limit(2 * per_language * len(counts)).toPandas()
+    drawn = drawn.dropDuplicates(["id", "text", "lang"])  # copies of a row must not fill the bound
+    got = drawn.orderBy(F.xxhash64("id", "text"), "lang").select("text", "lang").limit(2 * per_language * len(counts)).toPandas()
     return got["text"].tolist(), got["lang"].tolist()
 
 

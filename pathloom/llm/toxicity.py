@@ -274,7 +274,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
     drawn = [known.filter(F.col("toxic") == v).orderBy(F.xxhash64("id"), "id").limit(n) for v, n in ((1, max_toxic), (0, max_clean))]
     chosen = drawn[0].unionByName(drawn[1])
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter(F.length("text") <= train_chars)
-    got = rows.join(F.broadcast(chosen), "id").limit(2 * (max_toxic + max_clean)).toPandas().sort_values(["id", "text"])
+    labelled = rows.join(F.broadcast(chosen), "id").dropDuplicates(["id", "text"])  # copies of a row must not fill the bound
+    got = labelled.orderBy(F.xxhash64("id", "text")).limit(2 * (max_toxic + max_clean)).toPandas().sort_values(["id", "text"])
     return got["text"].tolist(), got["toxic"].tolist()
 
 
