@@ -158,3 +158,23 @@ def test_groups_of_odd_rows(spark):
     assert sorted((str(r["id"]), str(r["group_id"])) for r in found) == sorted([("1", "1"), ("2", "2"), ("3", "3"), ("4", "4"), ("5", "5"), ("5", "5"), ("5", "5"), ("None", "5"), ("None", "None")])
     assert len({bytes(r["group_mark"]) for r in found if r["id"] == 5}) == 2
     assert simhash.near_duplicate_groups(spark.createDataFrame([], "doc_id int, text string")).count() == 0
+
+
+def plain_fingerprint(text):
+    """By the definition: words between blanks and control characters, bits set in over half of the hashes of 3-word shingles."""
+    import re
+
+    import xxhash
+
+    words = [w for w in re.split("[\\x20\\x09-\\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if w]
+    shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])
+    hashes = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in shingles]
+    return "".join(format(int("".join("1" if 2 * sum(h >> b & 1 for h in hashes) > len(hashes) else "0" for b in range(63, -1, -1)), 2), "016x"))
+
+
+def test_fingerprints_by_the_definition(spark):
+    draw = random.Random(9)
+    pick = lambda n: "".join(draw.choice(["Ab", "c", "É", " ", " ", "\t", "\n", "\x0b", "\u00a0", "\u2003", "Zz"]) for _ in range(n))
+    texts = [pick(draw.randrange(60)) for _ in range(200)] + [None, "", " \t", "one", "One two", " ".join(f"w{draw.randrange(50)}" for _ in range(70_000))]
+    found = {r["doc_id"]: r["fingerprint"] for r in simhash.simhash_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert all(found[i] == plain_fingerprint(t) for i, t in enumerate(texts))

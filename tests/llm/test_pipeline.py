@@ -54,6 +54,32 @@ def test_stages_of_empty_tables(spark):
         assert stage(spark, spark.createDataFrame([], ROW), SF).count() == 0
 
 
+#: Rows of each query's result: one for each row of a table, or of the queries among them.
+ROWS = {"documents": ["op1_token_counts", "op3_pii", "op5_simhash", "op6_byte_bpe", "op7_toxicity", "op9_suffix_array", "op10_language_id"], "pages": ["op4_warc"]}
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_run(spark, name):
-    assert queries.QUERIES[name](spark, SF).count() >= 0
+    found = queries.QUERIES[name](spark, SF)
+    table = next((t for t, names in ROWS.items() if name in names), None)
+    if table is not None:
+        rows = spark.read.parquet(f"{SF}/{table}.parquet")
+        key = "doc_id" if table == "documents" else "page_id"
+        assert sorted(r[0] for r in found.select(key).collect()) == sorted(r[0] for r in rows.select(key).collect())
+    elif name == "op2_decontamination":
+        assert found.count() > 0 and found.filter("distance > floor(0.2 * item_words)").count() == 0
+    else:
+        asked = spark.read.parquet(f"{SF}/embeddings.parquet").filter("vec_id % 50 = 0").count()
+        assert found.count() == 5 * asked
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_agrees_with_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for table in ("pages", "embeddings"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
+    told = con.execute(queries.ORACLE_SQL[name])
+    names = [d[0] for d in told.description]
+    assert sorted(map(str, told.fetchall())) == sorted(str(tuple(r)) for r in queries.QUERIES[name](spark, SF).select(*names).collect())

@@ -188,3 +188,31 @@ def test_long_tokens_stay_whole_and_added_spans_apart():
         added = sorted(set(every) - set(base))
         assert all(a[1] <= b[0] for a, b in zip(added, added[1:], strict=False)), (text, added)
         assert all(e <= a[0] or a[1] <= s for a in added for s, e, _ in base)
+
+
+def test_kernel_is_the_sum_over_subsequences():
+    from pathloom.llm import toxicity
+
+    def explicit(word):
+        codes = [toxicity.START, *[toxicity._code(ord(c)) for c in word], toxicity.END]
+        found = {}
+        for j, k, last, weight in toxicity.SHAPES:
+            for p in range(len(codes) - last):
+                key = (codes[p], codes[p + j], codes[p + k], codes[p + last])
+                found[key] = found.get(key, 0) + weight
+        return found
+
+    def dense(index, weight):
+        out = np.zeros(1 << toxicity.BITS, dtype=np.float64)
+        np.add.at(out, index, weight)
+        return out
+
+    words = ["stupid", "st-upid", "s.t.u.p.i.d", "stup1d", "lovely", "river", "a", "aa", "gardenpath"]
+    made = [dense(*v) for v in toxicity.vectors(words)]
+    for a, x in zip(words, made, strict=True):
+        for b, y in zip(words, made, strict=True):
+            one, two = explicit(a), explicit(b)
+            want = sum(w * two.get(key, 0) for key, w in one.items()) / (toxicity.NORMS[len(a) + 2] * toxicity.NORMS[len(b) + 2])
+            assert abs(x @ y - want) < 0.02 * max(1.0, want), (a, b)
+    near, far = made[0] @ made[1], made[0] @ made[4]
+    assert near > 3 * far  # a character put in costs less than another word
