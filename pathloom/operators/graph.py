@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import has_term
+from ..sources.shared import written
 
 MIE, AO, KE = "MIE", "AO", "KE"
 
@@ -191,10 +192,21 @@ def pair_rows(membership: DataFrame, aop_ids: DataFrame, aops: DataFrame, events
     return pairs.join(aops, "aop_id").join(sizes, "aop_id", "left").join(edges, "aop_id", "left").na.fill(0, ["num_events", "num_kers"])
 
 
+#: ``monotonically_increasing_id`` holds the partition above so many bits and the row within it below.
+_ROW_BITS = 33
+
+
 def placed(rows: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
-    """Rows with their place (from 1) in a total order, without one task that holds all: ranges are sorted apart, their sizes added up."""
-    ranged = rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
-    before = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = before.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return ranged.withColumn("_within", within).join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_within")).drop("_range", "_before", "_within")
+    """Rows with their place (from 1) in a total order, without one task that holds all.
+
+    Sorted ranges are written once, each row with its range and its number there; the sizes of
+    the ranges (a row for each shuffle partition, so fit to be broadcast) are added up over the
+    written table.  Counts and rows come from the same ranges, whatever bounds were sampled.
+    ``order`` must tell all rows apart; equal rows get places in no particular order.
+    """
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id())
+    kept = written(ranged, "places")
+    kept = kept.withColumns({"_range": F.shiftright("_at", _ROW_BITS), "_within": F.col("_at").bitwiseAND((1 << _ROW_BITS) - 1) + 1})
+    sizes = kept.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
+    return kept.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_within")).drop("_at", "_range", "_within", "_before")

@@ -99,3 +99,25 @@ def test_carried_headers(spark):
     rows = spark.createDataFrame([("s", 1, "H", "A"), ("s", 2, "r", "x"), ("s", 3, "r", "y"), ("s", 4, "H", "B"), ("s", 5, "r", "z")], "g string, n int, k string, v string")
     out = graph.carried_headers(rows, "g", ["n"], F.col("k") == "H", "v")
     assert sorted((r["v"], r["header"], r["event_index"]) for r in out.collect()) == [("x", "A", 0), ("y", "A", 1), ("z", "B", 0)]
+
+
+def test_places_of_many_rows(spark, tmp_path):
+    """Three million rows of several files in 200 ranges: every row once, places 1 to n, in the order asked for."""
+    n, settings = 3_000_000, {"spark.sql.shuffle.partitions": "200", "spark.sql.adaptive.enabled": "true"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        ids = spark.range(0, n, 1, 12).select(F.col("id"), F.pmod(F.xxhash64("id"), F.lit(1000)).alias("score"))
+        ids.write.parquet(f"{tmp_path}/rows")
+        graph.placed(spark.read.parquet(f"{tmp_path}/rows"), [F.desc("score"), F.col("id")]).write.parquet(f"{tmp_path}/placed")
+        out = spark.read.parquet(f"{tmp_path}/placed")
+        seen = out.agg(F.count("*"), F.count_distinct("id"), F.count_distinct("place"), F.min("place"), F.max("place")).first()
+        assert tuple(seen) == (n, n, n, 1, n)
+        above = out.groupBy("score").agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count("*").alias("n"))
+        ranked = [tuple(r) for r in above.orderBy(F.desc("score")).collect()]
+        assert all(last - first + 1 == size for _, first, last, size in ranked)
+        assert all(a[2] + 1 == b[1] for a, b in zip(ranked, ranked[1:], strict=False))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
