@@ -1,4 +1,4 @@
-"""The queries op1 ... op10: each applies one operator to its whole table."""
+"""The queries op1 ... op13: each applies one operator to its whole table."""
 
 from __future__ import annotations
 
@@ -12,6 +12,7 @@ from .byte_bpe import bpe_round_trip
 from .common import table
 from .decontaminate import contaminated
 from .language_id import identify_languages
+from .manifest import MERKLE_SQL, op11_merkle_manifest
 from .pii import KINDS, pii_spans
 from .repeats import remove_repeats
 from .simhash import simhash_classes
@@ -84,10 +85,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_top_k": op8_top_k,
     "op9_suffix_array": op9_suffix_array,
     "op10_language_id": op10_language_id,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 #: DuckDB SQL for those that SQL can express on whole tables.
 ORACLE_SQL: dict[str, str] = {
+    "op11_merkle_manifest": MERKLE_SQL,
     "op4_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest FROM p),
