@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .byte_bpe import bpe_round_trip
 from .common import table
 from .decontaminate import contaminated
+from .factors import PASSAGES_SQL, remove_duplicate_passages
 from .language_id import identify_languages
 from .manifest import MERKLE_SQL, op11_merkle_manifest
 from .pii import KINDS, pii_spans
@@ -74,6 +75,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_duplicate_passages(table(spark, sf_dir, "documents")).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_counts": op1_token_counts,
     "op6_byte_bpe": op6_byte_bpe,
@@ -86,11 +91,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_suffix_array": op9_suffix_array,
     "op10_language_id": op10_language_id,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_substring_dedup": op12_substring_dedup,
 }
 
 #: DuckDB SQL for those that SQL can express on whole tables.
 ORACLE_SQL: dict[str, str] = {
     "op11_merkle_manifest": MERKLE_SQL,
+    "op12_substring_dedup": PASSAGES_SQL,
     "op4_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha1(html) AS payload_digest FROM p),
