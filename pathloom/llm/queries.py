@@ -20,6 +20,7 @@ from .simhash import simhash_classes
 from .token_counts import token_counts
 from .top_k import top_k
 from .toxicity import score_toxicity
+from .variants import op13_spelling_variants
 from .warc import archive_path, read_archives, write_archives
 
 TOKEN_LIMIT = 4096
@@ -92,6 +93,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_substring_dedup": op12_substring_dedup,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 #: DuckDB SQL for those that SQL can express on whole tables.
