@@ -7,14 +7,14 @@ upstream_title, downstream_title.
 from __future__ import annotations
 
 import re
+from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import BooleanType
 
 from ..functions.evidence import DOWN, REFERENCES, UP, harmonized_header
-from ..functions.fuzzy import ratio
 
 LEAST_RATIO = 0.7
 #: Names of the same thing, by group.
@@ -34,6 +34,7 @@ SYNONYMS = {
     "kisspeptin": ["avpv kisspeptin", "decreased kisspeptin"],
     "gonadotropin": ["gonadotropins", "fsh", "lh"],
 }
+#: What is dropped or blanked before texts are compared.
 _RULES = [(r"^(ke:|keup|kedown|upstream|downstream|the\s+|a\s+)", ""), (r"[,\-;:()]+", " "), (r"\s+", " ")]
 
 
@@ -64,9 +65,15 @@ def same_thing(a: Column, b: Column) -> Column:
     return F.coalesce(F.exists(F.zip_with(a, b, lambda x, y: x & y), lambda x: x), F.lit(False))
 
 
-@F.pandas_udf(DoubleType())
+def _alike(a: str, b: str) -> bool:
+    """Whether the ratio of two texts is above ``LEAST_RATIO``: by lengths, then letters, then the ratio itself."""
+    m = SequenceMatcher(None, a.lower(), b.lower())
+    return m.real_quick_ratio() > LEAST_RATIO and m.quick_ratio() > LEAST_RATIO and m.ratio() > LEAST_RATIO
+
+
+@F.pandas_udf(BooleanType())
 def _likeness(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([ratio(x or "", y or "") for x, y in zip(a, b, strict=True)])
+    return pd.Series([_alike(x or "", y or "") for x, y in zip(a, b, strict=True)])
 
 
 def matched_headers(cells: DataFrame, kers: DataFrame) -> DataFrame:
@@ -78,7 +85,7 @@ def matched_headers(cells: DataFrame, kers: DataFrame) -> DataFrame:
     told = F.coalesce(harmonized_header(header), F.when(same_thing(F.col("_h"), F.col("_u")), UP), F.when(same_thing(F.col("_h"), F.col("_d")), DOWN))
     rows = named.withColumn("told", told).drop("_h", "_u", "_d")
     open_ = rows.filter("told is null").withColumn("u", _likeness(low, up)).withColumn("d", _likeness(low, down))
-    liked = open_.select("ker_id", "field", "header", F.when(F.col("u") > LEAST_RATIO, UP).when(F.col("d") > LEAST_RATIO, DOWN).alias("harmonized"))
+    liked = open_.select("ker_id", "field", "header", F.when(F.col("u"), UP).when(F.col("d"), DOWN).alias("harmonized"))
     return rows.filter("told is not null").select("ker_id", "field", "header", F.col("told").alias("harmonized")).unionByName(liked)
 
 

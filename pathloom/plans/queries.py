@@ -360,12 +360,19 @@ def aops_without_events(spark, sf_dir):
     return graph.missing_ids(aops(spark, sf_dir).select("aop_id"), membership(spark, sf_dir), "aop_id")
 
 
-FAMILIES = ["red widget receptor", "small gizmo channel", "blue gadget", "large sprocket kinase", "steel bolt"]
+def family_names(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Names of parts as families to be found (with a generic word) among kinds of parts as titles."""
+    part = read(spark, sf_dir, "part")
+    terms = part.select(F.concat_ws(" ", "p_name", F.when(F.col("p_size") % 2 == 0, "receptor").otherwise("Kinase")).alias("term")).distinct()
+    titles = part.groupBy(F.concat_ws(" ", F.lower("p_type"), "p_name", "p_brand").alias("title")).agg(F.min("p_partkey").cast("long").alias("ord"))
+    return terms, titles
 
 
 @_registered()
 def fuzzy_best_match(spark, sf_dir):
-    return fuzzy.best_matches(key_events(spark, sf_dir), FAMILIES, 0.5, term="title")
+    """The best kind of part for each family by the Ratcliff-Obershelp ratio, which only ``difflib`` defines."""
+    terms, titles = family_names(spark, sf_dir)
+    return fuzzy.best_matches(terms, titles, 0.5)
 
 
 _CITED = [

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,9 +64,27 @@ def test_ker_score_counts_evidence_blocks(spark):
 
 def test_fuzzy(spark):
     terms = spark.createDataFrame([("GABA receptors",), ("nothing like it",), (None,)], "term string")
-    found = {r[0]: r[1] for r in fuzzy.best_matches(terms, ["Sodium channel", "GABA receptor", "gaba receptor"], 0.6).collect()}
+    titles = spark.createDataFrame([("Sodium channel", 0), ("GABA receptor", 1), ("gaba receptor", 2), (None, 3)], "title string, ord long")
+    found = {r[0]: r[1] for r in fuzzy.best_matches(terms, titles, 0.6).collect()}
     assert found == {"GABA receptors": "GABA receptor", "nothing like it": None}
-    assert fuzzy.best_matches(terms, [], 0.6).filter("matched_term is not null").count() == 0
+    assert fuzzy.best_matches(terms, titles.limit(0), 0.6).filter("matched_term is not null").count() == 0
+
+
+@pytest.mark.parametrize(("weighted", "threshold"), [(True, 0.6), (False, 0.7), (True, 0.3)])
+def test_fuzzy_equals_all_pairs(spark, weighted, threshold):
+    """The bounds lose nothing: long texts (junk heuristic), repeated letters, other scripts, generic words, ties."""
+    draw = random.Random(4)
+    word = lambda: "".join(draw.choice("abcdefgé") for _ in range(draw.randrange(1, 9)))
+    text = lambda n: " ".join(draw.choice([word(), "receptor", "Kinase", "aaaa"]) for _ in range(n))
+    titles = [text(draw.randrange(1, 6)) for _ in range(150)] + [text(60), "", "receptor", "R", "a" * 300, "İstanbul ΟΔΟΣ"]
+    terms = [t[: draw.randrange(len(t) + 1)] + word() for t in titles[::3]] + ["", "receptor channel", "istanbul οδος", titles[150].upper(), "b" * 250 + "a" * 60]
+    score = fuzzy.weighted_ratio if weighted else fuzzy.ratio
+    want = {}
+    for t in set(terms):
+        best, at = max((score(t, x), -i) for i, x in enumerate(titles))
+        want[t] = (titles[-at], best) if best >= threshold and best > 0 else (None, None)
+    ours = fuzzy.best_matches(spark.createDataFrame([(t,) for t in terms], "term string"), spark.createDataFrame(list(zip(titles, range(len(titles)), strict=True)), "title string, ord long"), threshold, weighted=weighted)
+    assert {r[0]: (r[1], r[2]) for r in ours.collect()} == want
 
 
 def test_citations(spark):

@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from pathloom.functions import fuzzy
 from pathloom.plans import queries as plans
 
 SF = "/root/testdata/sf0.001"
@@ -48,3 +49,15 @@ def test_runs(spark, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_fuzzy_query_equals_all_pairs(spark):
+    terms, titles = plans.family_names(spark, SF)
+    names = sorted(((r["ord"], r["title"]) for r in titles.collect()))
+    want = {}
+    for (term,) in terms.collect():
+        best, at = max((fuzzy.weighted_ratio(term, t), -i) for i, t in names)
+        want[term] = ({i: t for i, t in names}[-at], best) if best >= 0.5 else (None, None)
+    assert {r[0]: (r[1], r[2]) for r in plans.QUERIES["fuzzy_best_match"](spark, SF).collect()} == want
+    report = fuzzy.bound_report(terms, titles, 0.5).first()
+    assert report["compared"] < 0.8 * report["terms"] * report["titles"]
