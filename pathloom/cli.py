@@ -14,7 +14,7 @@ from datetime import date
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import citations, evidence, fuzzy, references, scoring
+from .functions import citations, evidence, fuzzy, grammar, references, scoring
 from .functions.text import clean_html, parse_term_groups
 from .operators import graph, harmonize, review, scope, search, workbook
 from .plans import search_config
@@ -99,8 +99,8 @@ class Knowledge:
         """Structured citations of all references texts, one row each."""
         rows = self._table("references", lambda: snapshot.references(self.spark, self.xml, self.ids()))
         listed = rows.select("entity", "entity_id", F.explode(citations.paragraphs(F.col("references"))).alias("raw_citation"))
-        parts = citations.structured_citation(F.col("raw_citation"))
-        return listed.select("*", parts["year"].alias("year"), F.array(parts["first_author"]).alias("authors"), F.coalesce(references.citation_title(F.col("raw_citation")), F.col("raw_citation")).alias("title"), F.lit("").alias("journal"))
+        parts = grammar.reference_entry("raw_citation")
+        return listed.withColumn("p", parts).select("entity", "entity_id", "raw_citation", "p.*")
 
     def save(self, df: DataFrame, name: str, order: list | None = None) -> str:
         path = f"{self.root}/outputs/{name}-{self.day}"

@@ -324,10 +324,10 @@ def search_without_passages(spark, sf_dir):
     return search.term_matches(search.dropping_content(texts, "title", ["red "]), ["red", "widget"]).drop("term_ord")
 
 
-@_registered("WITH x AS (SELECT e.p_partkey AS id FROM part e WHERE e.p_size > 40) SELECT id AS ke_id FROM x ANTI JOIN lineitem ON l_partkey = id")
+@_registered("SELECT p_partkey AS ke_id FROM part ANTI JOIN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 45) ON l_partkey = p_partkey WHERE p_size > 40")
 def events_in_no_pathway(spark, sf_dir):
     wanted = read(spark, sf_dir, "part").filter("p_size > 40").select(F.col("p_partkey").alias("ke_id"))
-    return graph.missing_ids(wanted, read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("ke_id")), "ke_id")
+    return graph.missing_ids(wanted, read(spark, sf_dir, "lineitem").filter("l_returnflag = 'R' AND l_quantity > 45").select(F.col("l_partkey").alias("ke_id")), "ke_id")
 
 
 @_registered(f"WITH {_K} SELECT count(*) AS kers, count(DISTINCT aop_id) AS aops, count_if(upstream = downstream)::BIGINT AS self_loops FROM k")

@@ -313,10 +313,10 @@ def html_visible(spark, sf_dir):
     return read(spark, sf_dir, "pages").select("page_id", text.has_visible_content(F.col("html")).alias("visible"))
 
 
-@_registered(r"WITH x AS (SELECT page_id, list_filter(list_transform(regexp_extract_all(html, '(?is)<p\b[^>]*>(.*?)</p\s*>', 1), lambda v: trim(regexp_replace(v, '<[^>]+>', '', 'g'), ' ')), lambda v: v <> '') AS ps, list_transform(regexp_extract_all(html, '(?is)<li\b[^>]*>(.*?)</li\s*>', 1), lambda v: trim(regexp_replace(v, '<[^>]+>', '', 'g'), ' ')) AS ls FROM pages) SELECT page_id, len(cs)::INTEGER AS n, md5(coalesce(cs[1], '')) AS first_md5 FROM (SELECT page_id, list_concat(ps, list_filter(ls, lambda v: v <> '' AND NOT list_contains(ps, v))) AS cs FROM x)")
+@_registered(r"WITH x AS (SELECT page_id, list_filter(list_transform(regexp_extract_all(html, '(?is)<p\b[^>]*>(.*?)</p\s*>', 1), lambda v: trim(regexp_replace(v, '<[^>]+>', '', 'g'), ' ')), lambda v: v <> '') AS ps, list_transform(regexp_extract_all(html, '(?is)<li\b[^>]*>(.*?)</li\s*>', 1), lambda v: trim(regexp_replace(v, '<[^>]+>', '', 'g'), ' ')) AS ls FROM pages) SELECT page_id, len(cs)::INTEGER AS n, array_to_string(cs, chr(10)) AS citations FROM (SELECT page_id, list_concat(ps, list_filter(ls, lambda v: v <> '' AND NOT list_contains(ps, v))) AS cs FROM x)")
 def html_paragraph_citations(spark, sf_dir):
     found = read(spark, sf_dir, "pages").select("page_id", citations.paragraphs(F.col("html")).alias("c"))
-    return found.select("page_id", F.size("c").alias("n"), F.md5(F.coalesce(F.get("c", F.lit(0)), F.lit(""))).alias("first_md5"))
+    return found.select("page_id", F.size("c").alias("n"), F.array_join("c", "\n").alias("citations"))
 
 
 @_registered("WITH x AS (SELECT l_partkey AS ke_id, bool_or(l_returnflag = 'R') AS in_returned, bool_or(l_returnflag = 'A') AS in_accepted, bool_or(l_linestatus = 'O') AS in_open FROM lineitem GROUP BY 1 HAVING in_returned OR in_accepted OR in_open) SELECT * FROM x")
@@ -375,28 +375,6 @@ def fuzzy_best_match(spark, sf_dir):
     return fuzzy.best_matches(terms, titles, 0.5)
 
 
-_CITED = [
-    "Smith J et al. Effects on the liver. TOXSCI 2006;55(17):486-8. PMID: 123", "Zhai et al 2022", "ATSDR. Toxicological profile for lead, 2007. www.atsdr.example", "Bronstein AC. Poisoning & Drug Overdose, 3rd edition, p. 123-4, 1994.",
-    "Hazardous Substances Data Bank; https://hsdb.example/db", "Brown et al. (2015) Gold nanoparticles. doi:10.1000/xyz123", "", None,
-]
-_CITED_SQL = "c(n, raw) AS (VALUES " + ", ".join(f"({i}, {'NULL' if x is None else repr(x)})" for i, x in enumerate(_CITED)) + ")"
-
-
-@_registered(rf"WITH {_CITED_SQL} SELECT n, regexp_extract_all(raw, '\b(19\d{{2}}|20\d{{2}})\b', 1)[-1] AS year, nullif(regexp_extract(raw, '(https?://\S+|www\.\S+)', 1), '') AS url, CASE WHEN raw IS NULL THEN 'other' WHEN contains(lower(raw), 'pmid') THEN 'journal_pmid' WHEN regexp_matches(trim(raw), '^[A-Z][a-z]+\s+et\s+al\.?\s+\d{{4}}$') THEN 'author_year_short' WHEN regexp_matches(lower(raw), 'atsdr|toxicological profile|u\.s\. public health service') THEN 'agency_report' WHEN regexp_matches(lower(raw), 'edition|ed\.|publisher|mosby|mcgraw|elsevier') THEN 'book' WHEN regexp_matches(raw, '^[A-Z][a-z]+\s+[A-Z]?\s*et\s+al') THEN 'journal_article' WHEN regexp_matches(lower(raw), 'http|www\.') AND (regexp_matches(raw, '^[A-Z][a-z]+\s+(and\s+)?[A-Z][a-z]+\s+Database') OR regexp_matches(lower(raw), 'database|haz-map')) THEN 'database' ELSE 'other' END AS kind FROM c")
-def citation_parse(spark, sf_dir):
-    rows = spark.createDataFrame(list(enumerate(_CITED)), "n int, raw string")
-    raw = F.col("raw")
-    return rows.select("n", citations.citation_year(raw).alias("year"), citations.citation_url(raw).alias("url"), citations.citation_kind(raw).alias("kind"))
-
-
-_HEADERS = ["KE Up", "keDown", "Reference", "Species ", "ke: Dose", "Effect on downstream event", "Chemical", "Year", "KE up (liver)", "Notes"]
-
-
-@_registered("WITH h(header) AS (VALUES " + ", ".join(f"('{h}')" for h in _HEADERS) + "), l AS (SELECT header, trim(replace(trim(lower(header)), 'ke:', '')) AS low FROM h) SELECT header, coalesce(CASE " + " ".join(f"WHEN low = '{raw}' THEN '{name}'" for raw, name in evidence.NAME_OF.items()) + " END, CASE WHEN contains(low, 'ke down') OR contains(low, 'downstream') THEN 'Downstream Key Event' WHEN contains(low, 'ke up') OR contains(low, 'upstream') THEN 'Upstream Key Event' END) AS harmonized FROM l")
-def header_harmonize(spark, sf_dir):
-    return spark.createDataFrame([(h,) for h in _HEADERS], "header string").select("header", evidence.harmonized_header(F.col("header")).alias("harmonized"))
-
-
 _CELL = _ENT.replace("html", "regexp_replace(v, '<[^>]+>', '', 'g')")
 _SPACES = r"[\s\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x0b\x1c-\x1f]+"
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import references, scoring
+from ..functions import grammar, references, scoring
 from ..operators import graph, scope, search
 from ..sources import sinks
 from . import queries as base
@@ -274,6 +274,31 @@ def citation_totals(spark, sf_dir):
     return references.citation_totals(cited(spark, sf_dir).withColumn("raw", F.regexp_replace("raw", "; Jones et al 20..", "")), "raw")
 
 
+_AUTHORS = "regexp_extract(raw, '^([A-Z][a-z]+ et al)\\.? \\d', 1)"
+
+
+@_registered(f"WITH {_PARTS} SELECT raw, count(*) AS citations, nullif(list_last(regexp_extract_all(raw, '\\b(?:19|20)\\d\\d\\b')), '') AS year, nullif(regexp_extract(raw, 'https?://\\S+'), '') AS url, nullif({_AUTHORS}, '') AS authors, CASE WHEN NOT regexp_matches(raw, '^[A-Z][a-z]+ et al') THEN {_SOURCE} END AS title, CASE WHEN raw LIKE 'ATSDR%' THEN trim(split_part(raw, '(', 1)) END AS organization, {_KIND} AS kind FROM c GROUP BY ALL")
+def citation_records(spark, sf_dir):
+    return references.citation_records(references.split_citations(cited(spark, sf_dir), "raw"), "raw")
+
+
+_SEGMENT = "lower(c_mktsegment)"
+_ENTRY = f"""CASE c_custkey % 4 WHEN 0 THEN 'OECD (' || {_YEAR} || '), Test No. ' || c_custkey || ': Assay of ' || {_SEGMENT} || ', OECD Publishing, Paris. DOI: 10.1787/' || c_custkey
+WHEN 1 THEN 'Lee, Kay and Ray, Bob (' || {_YEAR} || '). Effects of ' || {_SEGMENT} || ' on cells Toxicol Lett, 12. https://papers.example/' || c_custkey
+WHEN 2 THEN 'Kemp ' || {_YEAR} || ' "The history of ' || {_SEGMENT} || '" Journal of Old Trades, 3.' ELSE 'Entry #' || c_custkey % 100 END"""
+_ENTRY_PARTS = """SELECT c_custkey AS entity_id, CASE WHEN k = 3 THEN 'N/A' ELSE y::VARCHAR END AS year, CASE WHEN k = 0 THEN '10.1787/' || c_custkey END AS doi, CASE WHEN k = 1 THEN 'https://papers.example/' || c_custkey ELSE '' END AS urls,
+CASE k WHEN 0 THEN 'OECD' WHEN 1 THEN 'Lee|Kay|Ray|Bob' WHEN 2 THEN 'Kemp' ELSE '' END AS authors, CASE k WHEN 0 THEN 'Assay of ' || s WHEN 1 THEN 'Effects of ' || s || ' on cells' WHEN 2 THEN 'The history of ' || s ELSE '' END AS title,
+CASE k WHEN 0 THEN 'OECD Publishing' WHEN 2 THEN 'Old Trades' ELSE '' END AS journal, CASE k WHEN 0 THEN 'Publishing, Paris' WHEN 3 THEN 'Entry #' || c_custkey % 100 END AS rest"""
+
+
+@_registered(f"WITH c AS (SELECT c_custkey, c_custkey % 4 AS k, {_SEGMENT} AS s, {_YEAR} AS y FROM customer) {_ENTRY_PARTS} FROM c")
+def structured_entries(spark, sf_dir):
+    """Customers as entries of a reference section, by rule, read by the grammar."""
+    read_ = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity_id"), F.col("c_custkey").alias("k"), grammar.reference_entry(F.expr(_ENTRY)).alias("e"))
+    rest = F.when(F.col("k") % 4 == 0, F.regexp_replace("e.other_info", r"^\W+|\W+$", "")).when(F.col("k") % 4 == 3, F.col("e.other_info"))
+    return read_.select("entity_id", "e.year", "e.doi", F.array_join("e.urls", "|").alias("urls"), F.array_join("e.authors", "|").alias("authors"), "e.title", "e.journal", rest.alias("rest"))
+
+
 def structured(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as structured citations."""
     rows = read(spark, sf_dir, "customer")

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from pathloom.functions import citations, evidence, fuzzy, scoring
+from pathloom.functions import evidence, fuzzy, scoring
 from pathloom.operators import graph
 
 
@@ -87,18 +87,6 @@ def test_fuzzy_equals_all_pairs(spark, weighted, threshold):
     assert {r[0]: (r[1], r[2]) for r in ours.collect()} == want
 
 
-def test_citations(spark):
-    raw = spark.createDataFrame([("OECD (2012), Test No. 229: Fish Assay. DOI: 10.1787/x https://a.b/c",), ("",)], "raw string")
-    first, empty = (r[0] for r in raw.select(citations.structured_citation(F.col("raw"))).collect())
-    assert first["year"] == "2012" and first["doi"].startswith("10.1787/x") and first["urls"] == ["https://a.b/c"]
-    assert empty["year"] == "N/A"
-    cited = spark.createDataFrame([(["Paula B"], "Gold nanoparticles in cells", "2015"), (["X"], "Gold", "2015")], "authors array<string>, title string, year string")
-    assert citations.search_across_fields(cited, {"authors": ["paul"], "title": ["gold nano"], "year": ["2015"]}).count() == 1
-    assert citations.search_across_fields(cited, {"volume": ["1"]}).count() == 0
-    assert citations.search_by_combination(cited, "title", ["gold", "cells"]).count() == 1
-    assert cited.filter(citations.flexible_match(F.col("title"), "gold cells particles")).count() == 1
-
-
 def test_tables(spark):
     html = "<table><tr><th>KE up</th><th>Ref</th></tr><tr><td>a</td></tr><tr><td>b</td><td>c</td><td>d</td></tr></table><p>x</p>"
     pages = spark.createDataFrame([("1", html, 0), ("2", None, 0)], "ker_id string, html string, id int")
