@@ -281,7 +281,8 @@ def duplicate_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """``id``, ``mark`` (hash of the text), ``low``, ``high``: ranges of first words of windows that repeat; ranges may overlap."""
     rows = _keyed(docs, id_col, text_col).select("id", "mark", "text")
     again = _anchor_rows(rows).groupBy("gram").agg(F.count("*").alias("n"), F.min("stretch").alias("least"), F.max("stretch").alias("most"))
-    again = again.filter("n > 1").select("gram", (F.col("least") != F.col("most")).alias("differ"))
+    # Written, so that the join below deals both of its sides and can split a gram that many texts share.
+    again = written(again.filter("n > 1").select("gram", (F.col("least") != F.col("most")).alias("differ")), "repeated-grams")
     shared = written(_anchor_rows(rows).join(again, "gram"), "shared-stretches")
     ranged = lambda df: df.select("id", "mark", "low", (F.col("low") + F.col("span")).alias("high"))
     sure = ranged(shared.filter("not differ"))
