@@ -8,7 +8,8 @@ Only segments holding a digit, an at sign or a written-out one ("(at)", "[at]",
 can be entities; elsewhere the best path is outside, so only regions around these are decoded.  The field is trained here, on
 sentences made up from a fixed seed.
 
-Defined cases: a null text counts as empty and has no spans; null keys and repeated rows are
+Defined cases: a null text counts as empty and has no spans; a long text, digits alone or not, is
+scored in windows that overlap by the bound of an entity; null keys and repeated rows are
 kept one for one; other columns are ignored; empty tables give an empty result.  Offsets are
 code points, ends exclusive.  Added spans never touch a base span or one another.
 """
@@ -18,7 +19,9 @@ from __future__ import annotations
 import math
 import random
 import re
+from array import array
 from collections import defaultdict
+from collections.abc import Callable
 from functools import lru_cache
 
 import numpy as np
@@ -145,8 +148,8 @@ def segment_features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -
     spaces = sum(c.isspace() for c in body)
     low = body.lower()
     words = re.findall(r"[a-z]+", low)
-    dotted = bool(re.fullmatch(r"[0-9]{1,3}(?:\s*(?:\.|\[\.\]|\(\.\)|dot)\s*[0-9]{1,3}){3}", low))
-    mail = bool(re.fullmatch(r"[a-z0-9._%+-]+\s*(?:@|[\[(]\s*at\s*[\])]|\bat\b)\s*[a-z0-9-]+(?:\s*(?:\.|[\[(]\s*dot\s*[\])]|\bdot\b)\s*[a-z0-9-]+)+", low))
+    dotted = bool(_DOTTED.fullmatch(low))
+    mail = bool(_MAIL.fullmatch(low))
     before = text[max(0, start - 24) : start]
     hint = [0.0] * 6
     near = re.findall(r"[a-z]+", before.lower())[-2:]
@@ -163,7 +166,7 @@ def segment_features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -
         1.0, float(mail), float("@" in body), float(dotted), float(dotted and all(int(g or 0) <= 255 for g in groups)),
         float(12 <= d <= 19), float(12 <= d <= 19 and luhn(digits)), float(letters == 0 and 12 <= d <= 19 and luhn(digits)),
         float(9 <= d <= 15 and letters == 0), float(d == 10 and letters == 0), float(body[0] in "+("), float(body[0] == "+"),
-        float(bool(re.fullmatch(r"\+?[0-9]{0,3}[\s.-]*\(?[0-9]{3}\)?[\s.-]*[0-9]{3}[\s.-]+[0-9]{4}", body))),
+        float(bool(_LOCAL_PHONE.fullmatch(body))),
         float(letters == 0), d / max(1, n), float(d <= 2), float(3 <= d <= 6), float(d > 19), 0.0 if mail else spaces / 4.0, float(spaces > 4 and not mail), len(words) / 4.0, float(len(words) > 5),
         float(hexed and n >= 16), float(hexed and n >= 32), float(keyed and n >= 16), float(body.startswith("AKIA")), float(mixed and n >= 12), float(mixed and n >= 12 and hint[0] > 0),
         float(n < 6), float(n < 10), min(n, 64) / 32.0, float(glued_left), float(glued_right), float(before.endswith(("=", ":", '"', "= ", ": "))), *hint, float(d > 0 and len(words) > 1 and not mail), float(j - i == 1),
@@ -171,6 +174,121 @@ def segment_features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -
     ]
 
 
+#: Tokens and characters whose segments are scored at a time.
+WINDOW_TOKENS, WINDOW_CHARS = 1 << 11, 1 << 16
+_MAIL = re.compile(r"[a-z0-9._%+-]+\s*(?:@|[\[(]\s*at\s*[\])]|\bat\b)\s*[a-z0-9-]+(?:\s*(?:\.|[\[(]\s*dot\s*[\])]|\bdot\b)\s*[a-z0-9-]+)+")
+_DOTTED = re.compile(r"[0-9]{1,3}(?:\s*(?:\.|\[\.\]|\(\.\)|dot)\s*[0-9]{1,3}){3}")
+_LOCAL_PHONE = re.compile(r"\+?[0-9]{0,3}[\s.-]*\(?[0-9]{3}\)?[\s.-]*[0-9]{3}[\s.-]+[0-9]{4}")
+_KINDS_OF_CHARS = ("digit", "alpha", "space", "az", "hex", "key", "mixed", "alnum", "at", "dot")
+
+
+def _kinds_of(c: str) -> list[bool]:
+    plain = c.isascii()
+    return [
+        plain and c.isdigit(), c.isalpha(), c.isspace(), "a" <= c.lower()[0] <= "z", plain and (c.isdigit() or c in "abcdef"), plain and (c.isdigit() or c.isupper()),
+        plain and (c.isalnum() or c in "_+/=-"), c.isalnum(), c == "@", c == ".",
+    ]
+
+
+class _Counts:
+    """Running counts of kinds of characters of a stretch, so that a segment's counts are differences."""
+
+    def __init__(self, text: str) -> None:
+        self.codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        known, place = np.unique(self.codes, return_inverse=True)
+        self.flags = dict(zip(_KINDS_OF_CHARS, np.array([_kinds_of(chr(c)) for c in known.tolist()], dtype=bool).reshape(-1, len(_KINDS_OF_CHARS)).T[:, place.ravel()], strict=True))
+        self.before = {kind: self._running(flag) for kind, flag in self.flags.items()}
+        # Letters a-z are one word as long as they follow one another (a dotted capital I ends its word when lower-cased).
+        az, low = self.flags["az"], np.where((self.codes >= 65) & (self.codes <= 90), self.codes + 32, self.codes)
+        goes_on = np.concatenate([[False], az[:-1] & (self.codes[:-1] != 0x130)])
+        self.words_before = self._running(az & ~goes_on)
+        spelled = lambda word: self._running(np.logical_and.reduce([np.concatenate([low[k:] == ord(c), np.zeros(min(k, len(low)), dtype=bool)]) for k, c in enumerate(word)]))
+        self.at_before, self.dot_before = spelled("at"), spelled("dot")
+
+    @staticmethod
+    def _running(flag: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.zeros(1, dtype=np.int32), np.cumsum(flag, dtype=np.int32)])
+
+    def number(self, kind: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self.before[kind][b] - self.before[kind][a]
+
+    def words(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return self.flags["az"][a] + self.words_before[b] - self.words_before[a + 1]
+
+    def spelled(self, before: np.ndarray, size: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return before[np.maximum(b - size + 1, a)] - before[a] > 0
+
+    def luhn(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether the digits of segments pass the check: sums with every other digit doubled, for either parity, as differences."""
+        values = self.codes[self.flags["digit"]].astype(np.int64) - 48
+        doubled = np.where(values > 4, values * 2 - 9, values * 2)
+        odd = np.arange(len(values)) % 2 == 1
+        sums = [np.concatenate([[0], np.cumsum(np.where(odd == parity, doubled, values))]) for parity in (False, True)]
+        first, end = self.before["digit"][a], self.before["digit"][b]
+        return np.where(end % 2 == 0, sums[0][end] - sums[0][first], sums[1][end] - sums[1][first]) % 10 == 0
+
+
+def _start_features(text: str, start: int) -> list[float]:
+    """What stands before a segment: hints by the last two words, and whether a sign introduces it."""
+    before = text[max(0, start - 24) : start]
+    hint = [0.0] * 6
+    for w in re.findall(r"[a-z]+", before.lower())[-2:]:
+        if w in _WORDS:
+            hint[_WORDS[w]] = 1.0
+    return [float(before.endswith(("=", ":", '"', "= ", ": "))), *hint]
+
+
+def window_features(text: str, counts: _Counts, base: int, starts: np.ndarray, ends: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """``segment_features`` of many segments at once (places in ``text``, ``counts`` of it from ``base`` on, numbers of tokens); patterns are tried where the counts allow them."""
+    a, b = starts - base, ends - base
+    n = b - a
+    d, letters, spaces = (counts.number(k, a, b) for k in ("digit", "alpha", "space"))
+    words = counts.words(a, b)
+    flag = lambda kind, at: counts.flags[kind][at]
+
+    def tried(where: np.ndarray, test: Callable[[str], bool]) -> np.ndarray:
+        out = np.zeros(len(a), dtype=bool)
+        for s in np.flatnonzero(where).tolist():
+            out[s] = test(text[starts[s] : ends[s]])
+        return out
+
+    has_at = (counts.number("at", a, b) > 0) | counts.spelled(counts.at_before, 2, a, b)
+    has_dot = (counts.number("dot", a, b) > 0) | counts.spelled(counts.dot_before, 3, a, b)
+    mail = tried((tokens > 2) & has_at & has_dot, lambda x: _MAIL.fullmatch(x.lower()) is not None)
+    top = np.zeros(len(a), dtype=bool)
+    for s in np.flatnonzero(mail).tolist():
+        top[s] = _TOP.search(text[starts[s] : ends[s]].lower()) is not None
+    dotted = tried((d >= 4) & (d <= 12) & (n <= MOST_CHARS) & (n - d - spaces >= 3) & flag("digit", a) & flag("digit", b - 1), lambda x: _DOTTED.fullmatch(x.lower()) is not None)
+    octets = tried(dotted, lambda x: all(int(g or 0) <= 255 for g in re.split(r"[^0-9]+", x)))
+    tail = np.maximum(b - 4, a)
+    local = tried((letters == 0) & (d >= 10) & (d <= 13) & (n >= 10) & (counts.number("digit", tail, b) == 4), lambda x: _LOCAL_PHONE.fullmatch(x) is not None)
+    long = (d >= 12) & (d <= 19)
+    passes = long & counts.luhn(a, b)
+    bare, solid = letters == 0, spaces == 0
+    first = counts.codes[a]
+    glued_left = (a > 0) & flag("alnum", np.maximum(a - 1, 0))
+    last = np.minimum(b, len(counts.codes) - 1)
+    glued_right = (b < len(counts.codes)) & flag("alnum", last)
+    hexed = solid & (counts.number("hex", a, b) == n) & (letters > 0)
+    keyed = solid & (counts.number("key", a, b) == n) & (letters > 0)
+    mixed = solid & (counts.number("mixed", a, b) == n) & (letters > 0) & (d > 0)
+    akia = n >= 4
+    for k, c in enumerate("AKIA"):
+        akia = akia & (counts.codes[np.minimum(a + k, len(counts.codes) - 1)] == ord(c))
+    where, which = np.unique(starts, return_inverse=True)
+    ahead = np.array([_start_features(text, s) for s in where.tolist()]).reshape(-1, 7)[which.ravel()].T
+    hints = ahead[1:]
+    columns = [
+        np.ones(len(a)), mail, counts.number("at", a, b) > 0, dotted, octets,
+        long, passes, bare & passes, (d >= 9) & (d <= 15) & bare, (d == 10) & bare, (first == ord("+")) | (first == ord("(")), first == ord("+"),
+        local, bare, d / np.maximum(1, n), d <= 2, (d >= 3) & (d <= 6), d > 19, np.where(mail, 0.0, spaces / 4.0), (spaces > 4) & ~mail, words / 4.0, words > 5,
+        hexed & (n >= 16), hexed & (n >= 32), keyed & (n >= 16), akia, mixed & (n >= 12), mixed & (n >= 12) & (hints[0] > 0),
+        n < 6, n < 10, np.minimum(n, 64) / 32.0, glued_left, glued_right, ahead[0], *hints, (d > 0) & (words > 1) & ~mail, tokens == 1,
+        mail & top,
+    ]
+    return np.column_stack(columns).astype(np.float64)
+
+
 class Field:
     """Weights of segment features for each type; outside tokens score 0."""
 
@@ -178,32 +296,91 @@ class Field:
         self.weights = weights
 
     def decode(self, text: str) -> list[Span]:
-        """The best segmentation's entities in a stretch of text."""
-        tokens = [m.span() for m in _TOKEN.finditer(text)]
-        segments = candidates(text, tokens)
-        if not segments:
+        """The best segmentation's entities in a stretch of text.
+
+        Segments are scored window by window, and only those that score above 0 are kept, so a
+        stretch of any length needs a few bytes for each token.
+        """
+        bounds = array("i")
+        for m in _TOKEN.finditer(text):
+            bounds.extend(m.span())
+        tokens = np.frombuffer(bounds, dtype=np.int32).reshape(-1, 2).astype(np.int64)
+        if not len(tokens):
             return []
-        scores = np.array([segment_features(text, tokens, i, j) for i, j in segments]) @ self.weights.T
-        kinds, best = scores.argmax(axis=1), scores.max(axis=1)
-        ending: dict[int, list[int]] = defaultdict(list)
-        for s, (_, j) in enumerate(segments):
-            if best[s] > 0:
-                ending[j].append(s)
-        value, back = [0.0] * (len(tokens) + 1), [-1] * (len(tokens) + 1)
-        for j in range(1, len(tokens) + 1):
-            value[j] = value[j - 1]
-            for s in ending.get(j, ()):
-                now = value[segments[s][0]] + best[s]
-                if now > value[j]:
-                    value[j], back[j] = now, s
-        found, j = [], len(tokens)
-        while j > 0:
-            if back[j] < 0:
-                j -= 1
+        at = np.array([m.start() for m in _TRIGGER.finditer(text)], dtype=np.int64)
+        triggers = np.concatenate([[0], np.cumsum(np.searchsorted(at, tokens[:, 0]) < np.searchsorted(at, tokens[:, 1]))])
+        gaps = np.concatenate([[0], np.cumsum(tokens[1:, 0] > tokens[:-1, 1])])
+        path = _Path(len(tokens))
+        first = 0
+        while first < len(tokens):
+            end = min(first + WINDOW_TOKENS, int(np.searchsorted(tokens[:, 1], tokens[first, 0] + WINDOW_CHARS, side="right")))
+            end = max(first + 1, end)
+            path.extend(end, *self._scored(text, tokens, triggers, gaps, first, end))
+            first = end
+        return [(int(tokens[i, 0]), int(tokens[j - 1, 1]), ADDED[kind]) for i, j, kind in path.entities()]
+
+    def _scored(self, text: str, tokens: np.ndarray, triggers: np.ndarray, gaps: np.ndarray, first: int, end: int) -> tuple[np.ndarray, ...]:
+        """Segments that begin with one of some tokens and score above 0: first token, token after the last, score, type."""
+        if end == first + 1 and tokens[first, 1] - tokens[first, 0] > WINDOW_CHARS:  # one token, too long to be part of more
+            span = tuple(tokens[first].tolist())
+            held = triggers[first + 1] > triggers[first] and text[span[0]].isalnum()
+            i, j = np.array([first] * held, dtype=np.int64), np.array([first + 1] * held, dtype=np.int64)
+            scores = np.array([segment_features(text, [span], 0, 1)] * held).reshape(len(i), self.weights.shape[1]) @ self.weights.T
+        else:
+            base = max(0, int(tokens[first, 0]) - 1)
+            high = min(len(text), max(int(tokens[end - 1, 1]), int(tokens[end - 1, 0]) + MOST_CHARS) + 1)
+            counts = _Counts(text[base:high])
+            i = np.repeat(np.arange(first, end), MOST_TOKENS)
+            j = i + 1 + np.tile(np.arange(MOST_TOKENS), end - first)
+            there = (j <= len(tokens)) & (triggers[np.minimum(j, len(tokens))] > triggers[i])
+            i, j = i[there], j[there]
+            there = (gaps[j - 1] - gaps[i] <= MOST_GAPS) & ((j == i + 1) | (tokens[j - 1, 1] - tokens[i, 0] <= MOST_CHARS))
+            i, j = i[there], j[there]
+            opens, closes = tokens[i, 0] - base, tokens[j - 1, 0] - base
+            is_ = lambda at, others: counts.flags["alnum"][at] | np.isin(counts.codes[at], [ord(c) for c in others])
+            there = is_(opens, _OPENERS) & is_(closes, _CLOSERS)
+            i, j = i[there], j[there]
+            scores = window_features(text, counts, base, tokens[i, 0], tokens[j - 1, 1], j - i) @ self.weights.T if len(i) else np.zeros((0, len(self.weights)))
+        best, kind = scores.max(axis=1), scores.argmax(axis=1)
+        good = best > 0
+        return i[good], j[good], best[good], kind[good]
+
+
+class _Path:
+    """The best segmentation of so many tokens, extended from window to window: a value, a start and a type for each token."""
+
+    def __init__(self, n: int) -> None:
+        self.value, self.start, self.kind, self.done = array("d", bytes(8 * (n + 1))), array("i", bytes(4 * (n + 1))), array("b", bytes(n + 1)), 0
+        self.open = [np.zeros(0, dtype=np.int64)] * 4
+
+    def extend(self, end: int, i: np.ndarray, j: np.ndarray, best: np.ndarray, kind: np.ndarray) -> None:
+        """Segments of the next window, by their starts; all that end with its last token or before are known now."""
+        columns = [np.concatenate(c) for c in zip(self.open, (i, j, best, kind), strict=True)]
+        order = np.argsort(columns[1], kind="stable")
+        columns = [c[order] for c in columns]
+        ready = int(np.searchsorted(columns[1], end, side="right"))
+        self.open = [c[ready:] for c in columns]
+        starts, ends, scores, kinds = (c[:ready].tolist() for c in columns)
+        value, s = self.value, 0
+        for at in range(self.done + 1, end + 1):
+            top = value[at - 1]
+            while s < ready and ends[s] == at:
+                now = value[starts[s]] + scores[s]
+                if now > top:
+                    top, self.start[at], self.kind[at] = now, starts[s], kinds[s] + 1
+                s += 1
+            value[at] = top
+        self.done = end
+
+    def entities(self) -> list[tuple[int, int, int]]:
+        """First token, token after the last and type of each entity."""
+        found, at = [], self.done
+        while at > 0:
+            if not self.kind[at]:
+                at -= 1
                 continue
-            i = segments[back[j]][0]
-            found.append((tokens[i][0], tokens[j - 1][1], ADDED[kinds[back[j]]]))
-            j = i
+            found.append((self.start[at], at, self.kind[at] - 1))
+            at = self.start[at]
         return found[::-1]
 
 

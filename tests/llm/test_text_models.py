@@ -4,6 +4,7 @@ import re
 import numpy as np
 import pyspark.sql.functions as F
 
+from pathloom.llm import pii
 from pathloom.llm.decontaminate import Items, contaminated, edit_distance, words_of
 from pathloom.llm.language_id import identify_languages
 from pathloom.llm.pii import ORDER, base_spans, find_spans, luhn, made_up, mask_pii, mask_spans, pii_spans, trained_field
@@ -216,3 +217,30 @@ def test_kernel_is_the_sum_over_subsequences():
             assert abs(x @ y - want) < 0.02 * max(1.0, want), (a, b)
     near, far = made[0] @ made[1], made[0] @ made[4]
     assert near > 3 * far  # a character put in costs less than another word
+
+
+def test_long_texts_are_decoded_in_windows(monkeypatch):
+    """Windows of any size give the same entities, and the same features as segment by segment."""
+    field, draw = trained_field(), random.Random(6)
+    letters = "0123456789" * 3 + "abcdefXYZ .,;:@()[]+-_=/\n" + "éİKß中\u00a0\u2003"
+    texts = [t for t, _ in made_up(9, 60)] + ["".join(draw.choice(letters) for _ in range(draw.randrange(1, 300))) for _ in range(60)]
+    whole = [field.decode(t) for t in texts]
+    for text in texts:
+        tokens = [m.span() for m in pii._TOKEN.finditer(text)]
+        segments = pii.candidates(text, tokens)
+        if segments:
+            i, j = np.array(segments).T
+            spans = np.array(tokens)
+            each = np.array([pii.segment_features(text, tokens, a, b) for a, b in segments])
+            assert (pii.window_features(text, pii._Counts(text), 0, spans[i, 0], spans[j - 1, 1], j - i) == each).all()
+    monkeypatch.setattr(pii, "WINDOW_TOKENS", 3)
+    monkeypatch.setattr(pii, "WINDOW_CHARS", 40)
+    assert [field.decode(t) for t in texts] == whole
+    monkeypatch.undo()
+    assert len(field.decode("call +1 (212) 555-0199 or " * 5_000)) >= 5_000
+    assert find_spans("a1" * 200_000, field)[0] == []
+
+
+def test_no_documents_no_spans(spark):
+    assert pii_spans(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+    assert mask_pii(spark.createDataFrame([], "text string")).collect() == []
