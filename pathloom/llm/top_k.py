@@ -98,14 +98,25 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, id_col: str = "vec_i
     rows = rows.select(F.col(id_col).cast("long").alias("id"), F.transform(vector_col, lambda x: x.cast("double")).alias("x"), F.coalesce(is_query, F.lit(False)).alias("asks"))
     rows = rows.filter(F.forall("x", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
     rows = rows.select("id", "asks", F.transform("x", lambda x: F.floor(x * scale).cast("long")).alias("x"))
-    rows = written(rows.mapInArrow(_sketched, f"id long, asks boolean, x array<long>, d int, mark long, {_fields('s')}"), "sketched-vectors")
+    rows = written(rows.mapInArrow(_sketched, f"id long, asks boolean, x array<long>, d int, mark long, at long, {_fields('s')}"), "sketched-vectors")
     total = rows.agg(F.count("*"), F.count_if("asks"), *[F.avg(f"s{i}") for i in range(0, WIDTH, 2)]).first()
     n, asking, means = total[0], total[1], [m or 0.0 for m in total[2:]]
-    # Blocks: by the side of the average on which the first segments' means lie, then by chance to the size wanted.
+    # Blocks: by the side of the average on which the first segments' means lie (at most 2 ** LEVELS[0]
+    # cells), each cell then cut by chance to the size wanted by its own count.
     bits = min(len(means), max(0, (n // ROW_BLOCK).bit_length() - 1))
-    cell = sum(((F.col(f"s{2 * i}") > m).cast("int") * (1 << i) for i, m in enumerate(means[:bits])), F.lit(0))
-    part = lambda size, count: (cell * F.lit(parts := max(1, -(-count // (size << bits)))) + F.pmod(F.xxhash64("id"), F.lit(parts))).cast("int")
-    rows = rows.withColumn("rb", part(ROW_BLOCK, n)).withColumn("qb", part(QUERY_BLOCK, asking))
+    cell = sum(((F.col(f"s{2 * i}") > m).cast("int") * (1 << i) for i, m in enumerate(means[:bits])), F.lit(0)).cast("int")
+    rows = rows.withColumn("cell", cell)
+    held = {r["cell"]: (r["n"], r["asking"]) for r in rows.groupBy("cell").agg(F.count("*").alias("n"), F.count_if("asks").alias("asking")).collect()}
+
+    def part(size: int, which: int, key: Column) -> Column:
+        first, blocks = 0, []
+        for at, counts in sorted(held.items()):
+            parts = max(1, -(-counts[which] // size))
+            blocks.append(F.when(F.col("cell") == at, first + F.pmod(F.xxhash64("id", key), F.lit(parts))))
+            first += parts
+        return F.coalesce(*blocks, F.lit(0)).cast("int")
+
+    rows = rows.withColumn("rb", part(ROW_BLOCK, 0, F.col("at"))).withColumn("qb", part(QUERY_BLOCK, 1, F.col("mark"))).drop("cell", "at")
     asked = rows.filter("asks").dropDuplicates(["id", "mark", "x"])
 
     def own(table: pa.Table) -> pa.Table:
@@ -143,7 +154,8 @@ def _fields(prefix: str) -> str:
 
 
 def _sketched(batches):
-    """Rows with their length, a digest of the vector and the coarse statistics."""
+    """Rows with their length, a digest of the vector, their number in the partition (by which repeated rows are dealt) and the coarse statistics."""
+    done = 0
     for batch in batches:
         lengths = batch.column("x").value_lengths().to_numpy(zero_copy_only=False)
         flat, ends = batch.column("x").flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.cumsum(lengths)
@@ -154,8 +166,9 @@ def _sketched(batches):
             found = sketch(x, LEVELS[0])
             sketches[which, : found.shape[1]] = found
             marks[which] = [int.from_bytes(hashlib.md5(v.tobytes(), usedforsecurity=False).digest()[:8], "little", signed=True) for v in x]
-        columns = [pa.array(lengths, pa.int32()), pa.array(marks), *map(pa.array, sketches.T)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "d", "mark", *[f"s{i}" for i in range(WIDTH)]])
+        columns = [pa.array(lengths, pa.int32()), pa.array(marks), pa.array(np.arange(done, done + len(lengths))), *map(pa.array, sketches.T)]
+        done += len(lengths)
+        yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "d", "mark", "at", *[f"s{i}" for i in range(WIDTH)]])
 
 
 def _floors(table: pa.Table, k: int) -> pa.Table:

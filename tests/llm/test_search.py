@@ -99,3 +99,24 @@ def test_changed_payload_is_noticed(spark, tmp_path):
     assert read_archives(spark, str(tmp_path / "good")).filter("last").count() == 1
     with pytest.raises(Exception, match="differs from its digest"):
         read_archives(spark, str(tmp_path / "bad")).collect()
+
+
+def test_blocks_are_bounded(spark, monkeypatch):
+    """An outlier draws the averages to itself, and one row repeats: still no block of more than twice the size asked for."""
+    monkeypatch.setattr(top_k, "ROW_BLOCK", 200)
+    monkeypatch.setattr(top_k, "QUERY_BLOCK", 40)
+    draw = np.random.default_rng(4)
+    x = draw.normal(size=(8000, 16)).astype(np.float32)
+    x[77] = 1e5
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(9001, x[5].tolist())] * 3000
+    sizes = []
+    kept = top_k._block_pairs
+    monkeypatch.setattr(top_k, "_block_pairs", lambda rows, asked, n, asking: (sizes.extend([rows.groupBy("rb").count().agg(F.max("count")).first()[0], asked.groupBy("qb").count().agg(F.max("count")).first()[0]]), kept(rows, asked, n, asking))[1])
+    out = top_k.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3), F.col("vec_id") % 50 == 0).collect()
+    assert sizes[0] <= 400 and sizes[1] <= 80
+    q = np.floor(256 * np.array([r[1] for r in rows], dtype=np.float32).astype(np.float64)).astype(np.int64)
+    ids = np.array([r[0] for r in rows])
+    for query in (0, 50, 7950):
+        scores = q @ q[query]
+        want = sorted((-int(s), int(i)) for s, i in zip(scores, ids, strict=True) if i != query)[:5]
+        assert sorted((-r["score"], r["vec_id"]) for r in out if r["query_id"] == query) == want
