@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from .functions import citations, evidence, fuzzy, grammar, references, scoring
 from .functions.text import clean_html, parse_term_groups
-from .operators import graph, harmonize, review, scope, search, workbook
+from .operators import graph, harmonize, review, scope, search, sheets, workbook
 from .plans import search_config
-from .sources import sinks, snapshot
+from .sources import html_tables, json_documents, sinks, snapshot, spreadsheet
 
 # Texts searched of each kind of entity; what concordance is searched by, in which fields, without which passage.
 TEXT_FIELDS = {
@@ -30,6 +30,7 @@ CONCORDANCE_TERMS = ["dose concordance", "temporal concordance", "incidence conc
 CONCORDANCE_FIELDS = ["empirical_support", "quantitative_understanding", "weight_of_evidence", "biological_plausibility"]
 CONCORDANCE_DROPPED = {"empirical_support": ["Include consideration of temporal concordance here"]}
 ENDORSED, OPEN_LICENSE = "WPHA/WNT Endorsed", "Open for adoption"
+REQUIRED = ("ids", "aops", "events", "kers")
 KEYS = {"aops": "aop_id", "events": "ke_id", "kers": "ker_id"}
 
 
@@ -41,13 +42,13 @@ class Knowledge:
         self.xml = xml or f"{self.root}/snapshot.xml"
 
     def _table(self, name: str, build) -> DataFrame:
-        return snapshot.cached(self.spark, f"{self.root}/cache", name, self.day, build, self.refresh).drop("snapshot_date")
+        return snapshot.cached(self.spark, f"{self.root}/cache", name, self.day, build, self.refresh, required=name in REQUIRED)
 
     def _typed(self, name: str, reader) -> DataFrame:
         return self._table(name, lambda: reader(self.spark, self.xml, self.ids()))
 
     def ids(self) -> DataFrame:
-        return self._table("ids", lambda: snapshot.checked(self.spark, self.xml, snapshot.id_map(self.spark, self.xml)))
+        return self._table("ids", lambda: snapshot.checked(self.spark, snapshot.checked_file(self.spark, self.xml), snapshot.id_map(self.spark, self.xml)))
 
     def membership(self) -> DataFrame:
         return self._typed("membership", snapshot.membership)
@@ -102,9 +103,25 @@ class Knowledge:
         parts = grammar.reference_entry("raw_citation")
         return listed.withColumn("p", parts).select("entity", "entity_id", "raw_citation", "p.*")
 
-    def save(self, df: DataFrame, name: str, order: list | None = None) -> str:
+    def save(self, df: DataFrame, name: str, order: list | None = None, report: bool = False) -> str:
+        """CSV under ``outputs``, written range by range; a ``report`` of a few rows is one file."""
         path = f"{self.root}/outputs/{name}-{self.day}"
-        sinks.write_csv(df.select(*[F.col(f"`{c}`").cast("string") if t.startswith(("bool", "int", "big", "dou", "str", "lon", "dec")) else F.to_json(F.struct(f"`{c}`")).alias(c) for c, t in df.dtypes]), path, order, one_file=True)
+        shown = [F.col(f"`{c}`").cast("string") if t.startswith(("bool", "int", "big", "dou", "str", "lon", "dec")) else json_documents.json_cell(F.col(f"`{c}`"), t).alias(c) for c, t in df.dtypes]
+        sinks.write_csv(df.select(*shown), path, order, one_file=report)
+        return path
+
+    def report(self, df: DataFrame, name: str) -> str:
+        return self.save(df, name, report=True)
+
+    def save_workbook(self, rows: DataFrame, name: str) -> str:
+        path = f"{self.root}/outputs/{name}-{self.day}.xlsx"
+        os.makedirs(os.path.dirname(spreadsheet.local_path(path)), exist_ok=True)
+        spreadsheet.write_workbook(rows, path)
+        return path
+
+    def save_json(self, df: DataFrame, name: str) -> str:
+        path = f"{self.root}/outputs/{name}-{self.day}.json"
+        json_documents.write_json(df, path)
         return path
 
 
@@ -116,11 +133,11 @@ def event_rankings(kb: Knowledge, args: argparse.Namespace) -> list[str]:
     ranked = kb.ranked_events()
     stats = ranked.agg(F.count("*").alias("total_events"), scoring.average_percent(F.col("percent")).alias("average_percent"), F.count_if("has_method").alias("with_methods"), F.count_if(F.coalesce("only_open_for_adoption", F.lit(False))).alias("only_open_for_adoption"))
     rows = ranked.orderBy(F.desc("integration_score"), F.col("ke_id").try_cast("long"))
-    return [kb.save(sinks.exported(rows, sinks.FIELD_SETS["event_summary"]), "event_rankings"), kb.save(sinks.unpivoted(stats), "event_rankings_summary")]
+    return [kb.save(sinks.exported(rows, sinks.FIELD_SETS["event_summary"]), "event_rankings"), kb.report(sinks.unpivoted(stats), "event_rankings_summary")]
 
 
 def ker_analytics(kb: Knowledge, args: argparse.Namespace) -> list[str]:
-    return [kb.save(sinks.unpivoted(scoring.ker_statistics(kb.kers())), "ker_analytics")]
+    return [kb.report(sinks.unpivoted(scoring.ker_statistics(kb.kers())), "ker_analytics")]
 
 
 def kers_for_events(kb: Knowledge, args: argparse.Namespace) -> list[str]:
@@ -173,26 +190,63 @@ def concordance(kb: Knowledge, args: argparse.Namespace) -> list[str]:
 def harmonize_evidence(kb: Knowledge, args: argparse.Namespace) -> list[str]:
     kers = kb.kers()
     blocks = kers.select("ker_id", F.inline(F.array(*[F.struct(F.lit(b).alias("field"), F.col(b).alias("html")) for b in snapshot.EVIDENCE_BLOCKS])))
-    cells = evidence.evidence_cells(blocks.withColumn("key", F.concat_ws("\t", "ker_id", "field")), "key", "html")
-    cells = cells.withColumn("ker_id", F.split("key", "\t")[0]).withColumn("field", F.split("key", "\t")[1]).drop("key").cache()
-    headers = harmonize.matched_headers(cells, kers.select("ker_id", "upstream_title", "downstream_title"))
-    tables = harmonize.harmonized_cells(cells, kers.select("ker_id", "upstream_title", "downstream_title"))
-    return [kb.save(headers, "evidence_headers"), kb.save(tables, "harmonized_evidence"), kb.save(sinks.unpivoted(harmonize.harmonization_summary(headers)), "evidence_summary")]
+    cells = html_tables.html_cells(blocks, ["ker_id", "field"], "html").cache()
+    headers = harmonize.matched_headers(cells, kers.select("ker_id", "upstream_title", "downstream_title")).cache()
+    tables = harmonize.harmonized_cells(cells, kers.select("ker_id", "upstream_title", "downstream_title")).cache()
+    summary = sinks.unpivoted(harmonize.harmonization_summary(headers))
+    saved = [kb.save(headers, "evidence_headers"), kb.save(tables.drop("col_ix"), "harmonized_evidence"), kb.report(summary, "evidence_summary")]
+    if args.workbook:
+        ends = kers.select("ker_id", "upstream", "upstream_title", "downstream", "downstream_title")
+        aops = kb.aops().select("aop_id", "title", F.col("oecd_status").alias("status"))
+        chosen = _split(args.aop_ids)
+        saved.append(kb.save_workbook(sheets.evidence_workbook(tables, headers, ends, kb.aop_kers(), aops, summary, chosen, args.links), "harmonized_evidence"))
+        for aop in chosen:  # a workbook for each pathway asked for
+            own = kb.aop_kers().filter(F.col("aop_id") == aop).select("ker_id").distinct()
+            saved.append(kb.save_workbook(sheets.relation_sheets(tables.join(own, "ker_id", "left_semi"), ends, args.links), f"harmonized_evidence_aop_{aop}"))
+    return saved
+
+
+def events_to_aops(kb: Knowledge, args: argparse.Namespace, config: search_config.EventSearch) -> list[str]:
+    """Pathways by their events' titles, with all events of the pathways found."""
+    matched = graph.events_by_title(kb.events(), config.terms)
+    aops = kb.aops().select("aop_id", "title", F.col("oecd_status").alias("status"))
+    found = search_config.events_to_aops(kb.events(), kb.membership(), aops, config).cache()
+    members = graph.events_with_provenance(kb.membership(), found, kb.events())
+    events = members.groupBy("ke_id").agg(F.first("title").alias("title"), F.array_sort(F.collect_set("aop_id")).alias("found_in_aops"))
+    sources = kb.membership().join(matched.select("ke_id"), "ke_id", "left_semi").groupBy("aop_id").agg(F.array_sort(F.collect_set("ke_id")).alias("source_events"))
+    summary = graph.event_to_aop_summary(matched, graph.aops_containing(kb.membership(), matched), aops, config.excluded_title_terms, config.statuses)
+    named = found.join(sources, "aop_id", "left")
+    name = args.config
+    return [
+        kb.save(matched.select("ke_id", "title", "matched_terms"), f"{name}_events"), kb.save(named, f"{name}_aops"), kb.save(events, f"{name}_aop_events"),
+        kb.report(sinks.unpivoted(summary), f"{name}_summary"), kb.save_json(named, f"{name}_aops"),
+    ]
 
 
 def search_with_config(kb: Knowledge, args: argparse.Namespace) -> list[str]:
+    """A registered search: by texts of entities (with a comparison of events found by text and through pathways, where both are searched), or from events to pathways."""
     if args.module:
         importlib.import_module(args.module)
     config = search_config.REGISTRY.get(args.config)
     if config is None:
         raise SystemExit(f"no search {args.config!r}; there are {', '.join(sorted(search_config.REGISTRY)) or 'none'}")
-    saved = []
+    if isinstance(config, search_config.EventSearch):
+        return events_to_aops(kb, args, config)
+    saved, found = [], {}
     for kind in config.entities:
-        texts = kb.texts(kind).drop("entity")
-        hits = search_config.run_search(texts, config)
+        hits = search_config.run_search(kb.texts(kind).drop("entity"), config.for_kind(kind))
         if args.co_occurrence_only and config.co_occurrences:
             hits = hits.filter("co_occurrences is not null")
-        saved.append(kb.save(hits, sinks.results_name(f"{config.name}_{kind}", kb.day, args.co_occurrence_only, not config.fields)))
+        found[kind] = hits.cache()
+        name = f"{config.name}_{kind}"
+        saved.append(kb.save(found[kind], sinks.results_name(name, kb.day, args.co_occurrence_only, not config.fields)))
+        saved.append(kb.save_json(json_documents.search_document(found[kind], config.name, kb.day, args.co_occurrence_only), f"{name}_results"))
+    if {"events", "aops"} <= set(found):
+        members = kb.membership().select(F.col("aop_id").cast("string").alias("aop_id"), F.col("ke_id").cast("string").alias("ke_id"))
+        through = members.join(found["aops"].select(F.col("entity_id").alias("aop_id")), "aop_id", "left_semi").select("ke_id")
+        both = graph.combined_hits(found["events"].select(F.col("entity_id").alias("ke_id")), through, "ke_id").cache()
+        counts = both.agg(F.count_if(F.col("text_match") & F.col("aop_match")).alias("events_in_both"), F.count_if(~F.col("aop_match")).alias("events_text_only"), F.count_if(~F.col("text_match")).alias("events_aop_only"))
+        saved += [kb.save(both, f"{config.name}_combined_events"), kb.report(sinks.unpivoted(counts), f"{config.name}_comparison")]
     return saved
 
 
@@ -204,30 +258,48 @@ def pair_mies_and_aos(kb: Knowledge, args: argparse.Namespace) -> list[str]:
     pairs.show(args.limit, truncate=60)
     summary = graph.pair_summary(pairs.select("aop_id", F.nullif("mie_id", F.lit("")).alias("mie_id"), F.nullif("ao_id", F.lit("")).alias("ao_id")))
     numeric = [F.coalesce(F.col(c).try_cast("long"), F.lit(1 << 62)) for c in ("aop_id", "mie_id", "ao_id")]
-    return [kb.save(pairs, "mie_ao_pairs", numeric), kb.save(sinks.markdown_lines(pairs), "mie_ao_table"), kb.save(sinks.unpivoted(summary), "mie_ao_summary"), kb.save(graph.kers_in_aops(kb.edges(), found), "mie_ao_kers")]
+    return [kb.save(pairs, "mie_ao_pairs", numeric), kb.save(sinks.markdown_lines(pairs), "mie_ao_table"), kb.report(sinks.unpivoted(summary), "mie_ao_summary"), kb.save(graph.kers_in_aops(kb.edges(), found), "mie_ao_kers")]
 
 
 def collect_sheets(kb: Knowledge, args: argparse.Namespace) -> list[str]:
-    """Curated sheets as CSV files in one folder: harmonization.csv, assays.csv, chemicals.csv, target_families.csv."""
+    """Curated sheets as CSV files in one folder (harmonization.csv, assays.csv, chemicals.csv, target_families.csv) or as a workbook.
+
+    Pairs of pathways meant to be one are checked, families without curated events matched and, with
+    decisions, bridged to assays.
+    """
     read = lambda name: kb.spark.read.option("header", True).csv(f"{args.sheets}/{name}.csv")
-    sheet = read("harmonization").withColumn("row_ix", F.col("row_ix").cast("long"))
-    events = workbook.harmonized_events(sheet).join(sheet.select("sheet", "row_ix", "target_family", "references"), ["sheet", "row_ix"])
+    if args.sheets.endswith(".xlsx"):
+        held = workbook.refined_sheets(lambda sheet, skip: spreadsheet.read_sheet(kb.spark, args.sheets, sheet, skip=skip))
+    else:
+        held = {name: read(name) for name in ("harmonization", "assays", "chemicals", "target_families")}
+    sheet = held["harmonization"].withColumn("row_ix", F.col("row_ix").cast("long"))
+    events = workbook.harmonized_events(sheet).join(sheet.select("sheet", "row_ix", "target_family", "references"), ["sheet", "row_ix"]).cache()
     enriched = workbook.enriched_events(events, kb.events(), kb.aops()).cache()
-    assays = read("assays")
-    families = read("target_families")
+    assays, families = held["assays"], held["target_families"]
     mapped = workbook.map_target_families(families.select("target_family").distinct(), events, assays)
     vocabulary = kb.events().select("ke_id", "title", F.col("ke_id").try_cast("long").alias("ord"))
-    return [
+    matched = fuzzy.enriched_families(mapped, vocabulary).cache()
+    pairs = kb.spark.read.option("header", True).csv(args.pairs) if args.pairs else kb.spark.createDataFrame(workbook.COMBINED_PAIRS, "pair string, mie string, one string, two string")
+    saved = [
         kb.save(sinks.exported(enriched.withColumnsRenamed({"row_ix": "row_index", "title": "harmonized_event"}), sinks.FIELD_SETS["curated_event"]), "curated_events"),
         kb.save(workbook.extraction_summary(enriched), "extraction_summary"),
         kb.save(sinks.exported(workbook.harmonized_summary(enriched), sinks.FIELD_SETS["harmonized_summary"]), "harmonized_summary"),
         kb.save(workbook.harmonized_titles(events), "event_titles"),
         kb.save(workbook.merged_titles(workbook.harmonized_aops(events)), "merged_titles"),
+        kb.save(workbook.pair_checks(workbook.harmonized_aops(events), pairs), "pair_checks"),
         *[kb.save(workbook.assays_by(assays, by), f"assays_by_{by}") for by in ("aeid", "aop_ids", "ke_descriptions")],
+        kb.save(workbook.aeid_conflicts(workbook.assays_by(assays, "aeid")), "aeid_conflicts"),
         kb.save(workbook.family_sets(families, assays, events), "target_family_sets"),
-        kb.save(fuzzy.enriched_families(mapped, vocabulary), "target_families"),
-        kb.save(workbook.normalized_chemicals(read("chemicals").withColumn("row_ix", F.col("row_ix").cast("long"))), "chemicals"),
+        kb.save(sheets.ranked_families(matched), "target_families", ["place"]),
+        kb.report(sinks.unpivoted(fuzzy.match_metrics(matched)), "target_family_metrics"),
+        kb.save(workbook.normalized_chemicals(held["chemicals"].withColumn("row_ix", F.col("row_ix").cast("long"))), "chemicals"),
     ]
+    if args.decisions:
+        decided = kb.spark.read.option("header", True).csv(args.decisions).withColumnRenamed("term", "target_family").withColumn("human_verified", F.col("human_verified").cast("boolean"))
+        reviewed = graph.placed(fuzzy.reviewed(matched, decided, 0.0, "target_family"), [F.col("target_family")], "ord")
+        ways = reviewed.withColumnsRenamed({"matched_term": "event", "suggested_match": "suggested_event"})
+        saved += [kb.save(reviewed.drop("ord"), "target_families_reviewed"), kb.save(workbook.bridged_events(ways, mapped.select("target_family", "assays")), "bridged_events")]
+    return saved
 
 
 def review_matches(kb: Knowledge, args: argparse.Namespace) -> list[str]:
@@ -235,7 +307,7 @@ def review_matches(kb: Knowledge, args: argparse.Namespace) -> list[str]:
     read = lambda path: kb.spark.read.option("header", True).csv(path)
     matches = read(args.matches).withColumn("match_score", F.col("match_score").cast("double"))
     done = fuzzy.reviewed(matches, read(args.decisions).withColumn("human_verified", F.col("human_verified").cast("boolean")), args.threshold)
-    return [kb.save(done, "reviewed_matches"), kb.save(sinks.unpivoted(fuzzy.review_summary(done)), "review_summary")]
+    return [kb.save(done, "reviewed_matches"), kb.report(sinks.unpivoted(fuzzy.review_summary(done)), "review_summary")]
 
 
 def _some_events(kb: Knowledge, args: argparse.Namespace) -> DataFrame:
@@ -255,8 +327,10 @@ def review_events(kb: Knowledge, args: argparse.Namespace) -> list[str]:
     events = _some_events(kb, args)
     if args.limit:
         events = events.orderBy(F.col("ke_id").try_cast("long")).limit(args.limit)
-    found = review.reviewed_events(events, getattr(importlib.import_module(module), name))
-    return [kb.save(found, "event_review"), kb.save(sinks.unpivoted(review.severity_summary(found)), "event_review_summary")]
+    judge = getattr(importlib.import_module(module), name)
+    definitions = {r["level"]: r["definition"] for r in kb.spark.read.option("header", True).csv(args.definitions).collect()} if args.definitions else {}
+    found = review.resumed_review(events, judge, definitions, f"{kb.root}/cache/verdicts").cache()
+    return [kb.save(found, "event_review"), kb.report(sinks.unpivoted(review.severity_summary(found)), "event_review_summary")]
 
 
 def search_references(kb: Knowledge, args: argparse.Namespace) -> list[str]:
@@ -276,13 +350,13 @@ COMMANDS = {
     "find-kers-for-events": (kers_for_events, [("--ke-ids", {}), ("--ke-terms", {}), ("--limit", {"type": int, "default": 25})]),
     "search-within-aops": (search_within_aops, [("--term", {"action": "append", "default": []}), ("--term-group", {"action": "append", "default": []}), ("--aop-ids", {}), ("--aop-title-terms", {}), ("--ke-title-terms", {})]),
     "search-kers-for-concordance-text": (concordance, []),
-    "harmonize-ker-evidence": (harmonize_evidence, []),
+    "harmonize-ker-evidence": (harmonize_evidence, [("--workbook", {"action": "store_true"}), ("--aop-ids", {}), ("--links", {"default": "https://kb.example"})]),
     "search-with-config": (search_with_config, [("--config", {"required": True}), ("--module", {}), ("--co-occurrence-only", {"action": "store_true"})]),
     "pair-mies-and-aos": (pair_mies_and_aos, [("--terms", {"required": True}), ("--limit", {"type": int, "default": 25})]),
-    "collect-harmonized-sheets": (collect_sheets, [("--sheets", {"required": True})]),
+    "collect-harmonized-sheets": (collect_sheets, [("--sheets", {"required": True}), ("--pairs", {}), ("--decisions", {})]),
     "manually-review-matches": (review_matches, [("--matches", {"required": True}), ("--decisions", {"required": True}), ("--threshold", {"type": float, "default": 0.0})]),
     "event-content-internal-alignment": (align_levels, [("--definitions", {"required": True}), ("--ke-ids", {})]),
-    "event-level-review": (review_events, [("--judge", {"required": True}), ("--ke-ids", {}), ("--limit", {"type": int})]),
+    "event-level-review": (review_events, [("--judge", {"required": True}), ("--definitions", {}), ("--ke-ids", {}), ("--limit", {"type": int})]),
     "search-references": (search_references, [("--across", {"action": "append", "default": []}), ("--terms", {}), ("--field", {"default": "all"}), ("--least", {"type": int})]),
 }
 

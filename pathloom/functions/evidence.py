@@ -1,13 +1,10 @@
-"""Evidence tables in HTML and their headers; target families; alignment of levels with descriptions."""
+"""Headers of evidence tables; target families; alignment of levels with descriptions."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 from functools import reduce
-from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,70 +28,6 @@ HEADER_NAMES = {
 NAME_OF = {raw: name for name, raws in HEADER_NAMES.items() for raw in raws}
 
 
-class _Tables(HTMLParser):
-    """Cells of all tables, nested ones too, row by row."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.tables: list[list[list[tuple[str, str]]]] = []
-        self.open: list[int] = []
-        self.cell: list[str] | None = None
-        self.kind = ""
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag == "table":
-            self.open.append(len(self.tables))
-            self.tables.append([])
-        elif tag == "tr" and self.open:
-            self.tables[self.open[-1]].append([])
-        elif tag in ("td", "th") and self.open:
-            self.cell, self.kind = [], tag
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag == "table" and self.open:
-            self.open.pop()
-        elif tag in ("td", "th") and self.cell is not None and self.open:
-            rows = self.tables[self.open[-1]]
-            if not rows:
-                rows.append([])
-            rows[-1].append((self.kind, " ".join("".join(self.cell).split())))
-            self.cell = None
-
-    def handle_data(self, data: str) -> None:
-        if self.cell is not None:
-            self.cell.append(data)
-
-
-def table_cells(html: str | None) -> Iterator[tuple[int, int, int, str, str]]:
-    """(table, row, column, header, value): headers are the ``th`` cells, or the first row; short rows are padded, long ones cut."""
-    parser = _Tables()
-    parser.feed(html or "")
-    for t, rows in enumerate(parser.tables):
-        headers = [text for row in rows for kind, text in row if kind == "th"]
-        body = [[text for kind, text in row if kind == "td"] for row in rows]
-        body = [row for row in body if row]
-        if not headers and body:
-            headers, body = body[0], body[1:]
-        for r, row in enumerate(body):
-            values = dict(zip(headers, [*row, *[""] * len(headers)], strict=False))
-            for c, (header, value) in enumerate(values.items()):
-                yield t, r, c, header, value
-
-
-def evidence_cells(pages: DataFrame, id_col: str, html_col: str) -> DataFrame:
-    """All table cells of a column of HTML, in long form."""
-    kind = pages.schema[id_col].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(key, *cell) for key, html in zip(batch["id"], batch["html"], strict=True) for cell in table_cells(html)]
-            if rows:
-                yield pd.DataFrame(rows, columns=["id", "table_ix", "row_ix", "col_ix", "header", "value"])
-
-    rows = pages.select(F.col(id_col).alias("id"), F.col(html_col).alias("html")).filter(F.contains(F.lower("html"), F.lit("<table")))
-    return rows.mapInPandas(run, f"id {kind}, table_ix int, row_ix int, col_ix int, header string, value string").withColumnRenamed("id", id_col)
-
-
 def harmonized_header(header: Column) -> Column:
     """The harmonized name by the fixed list, then by the words for either side; null if neither tells."""
     low = F.trim(F.replace(F.trim(F.lower(header)), F.lit("ke:"), F.lit("")))

@@ -96,14 +96,14 @@ def harmonizable_fields(headers: DataFrame) -> DataFrame:
 
 
 def harmonized_cells(cells: DataFrame, kers: DataFrame) -> DataFrame:
-    """Cells of harmonizable fields under their harmonized headers; of two columns with one name the later; other headers as they are.
+    """Cells of harmonizable fields under their harmonized headers; of two columns with one name the later (``col_ix``: the first); other headers as they are.
 
     Rows in which no header could be harmonized are left out.
     """
     headers = matched_headers(cells, kers)
     kept = cells.join(harmonizable_fields(headers), ["ker_id", "field"], "left_semi").join(headers, ["ker_id", "field", "header"])
     row = ["ker_id", "field", "table_ix", "row_ix"]
-    named = kept.withColumn("name", F.coalesce("harmonized", "header")).groupBy(*row, "name").agg(F.max_by("value", "col_ix").alias("value"), F.bool_or(F.col("harmonized").isNotNull()).alias("known"))
+    named = kept.withColumn("name", F.coalesce("harmonized", "header")).groupBy(*row, "name").agg(F.max_by("value", "col_ix").alias("value"), F.min("col_ix").alias("col_ix"), F.bool_or(F.col("harmonized").isNotNull()).alias("known"))
     good = named.filter("known").select(*row).distinct()
     return named.join(good, row, "left_semi").drop("known")
 

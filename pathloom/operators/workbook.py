@@ -1,28 +1,64 @@
 """Curated workbook sheets as tables: harmonized events, assays, target families, chemicals.
 
-Sheets come as DataFrames with a row number (``row_ix``); reading spreadsheets is left to the caller.
+Sheets come as DataFrames with a row number (``row_ix``), from CSV files or a workbook (``refined_sheets``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.citations import citation_kind, citation_url, citation_year
 from ..functions.evidence import target_family
-from .graph import carried_headers, coverage
+from .graph import carried_headers, coverage, placed
 
 # What marks a dropped event and the end of a sheet.
 EXCLUDED = ("E", "nan")
 DROPPED = "DROPPED"
 SENTINEL = "N/A, NEURODEGENERATION"
 NEXT_CHARS = 100
+# Sheets of the curated workbook, the columns kept of them (by header in lower case with underscores) and what they become.
+SHEETS = {
+    "harmonization": ("Suppl2_KEs AOP Harmonization", {"aop_wiki_terminologies": "header", "standardized_term_applied_for_the_aop_network": "title", "references": "references", "target_family": "target_family", "category": "category"}),
+    "assays": ("Suppl6_ICE Assays", {"aeid": "aeid", "endpoint_name": "endpoint_name", "target_families_general": "target_family", "relationship_to_ke_in_aop_network": "relation", "summary_of_target_families": "listed_family"}),
+    "chemicals": ("Suppl4_Compiled Compounds", {"chemical": "chemical", "casrn": "casrn", "positive/negative": "direction_of_effect", "evidence_of_seizure_from_literature": "literature_citation", "evidence_of_seizure_from_pubchem": "pubchem_evidence"}),
+}
+SKIPPED_ROWS, LISTED_FAMILIES = 1, 27
+TITLES_TO_FIX = {"Altered Synaptic Serotinin Release": "Altered Synaptic Serotonin Release"}
+#: Pathways that are meant to be one, and the event they begin with.
+COMBINED_PAIRS = [("presynaptic_neuron", "Activated Presynaptic Neuron", "215", "230"), ("synaptic_serotonin", "Altered Serotonin Transporter Activity", "214", "223")]
+
+
+def refined_sheet(rows: DataFrame, columns: dict[str, str], sheet: str) -> DataFrame:
+    """The columns kept of a sheet under their names, texts trimmed, blank ones null; a column that isn't there is an error."""
+    there = {"_".join(c.lower().split()): c for c in rows.columns}
+    if missing := sorted(set(columns) - set(there)):
+        raise ValueError(f"{sheet} has no column {', '.join(missing)}")
+    kept = [F.nullif(F.trim(F.col(f"`{there[name]}`")), F.lit("")).alias(to) for name, to in columns.items()]
+    return rows.select(F.lit(sheet).alias("sheet"), F.col("row_ix").cast("long").alias("row_ix"), *kept)
+
+
+def refined_sheets(read: Callable[[str, int], DataFrame]) -> dict[str, DataFrame]:
+    """The sheets harmonization, assays, chemicals and target_families of the curated workbook; ``read(sheet, rows to skip)`` gives one as a table of texts.
+
+    Misspelt titles are put right; the standalone list of target families is the column of that
+    name in the assays' sheet, its first distinct values.
+    """
+    found = {name: refined_sheet(read(sheet, SKIPPED_ROWS), columns, sheet) for name, (sheet, columns) in SHEETS.items()}
+    title = F.coalesce(*[F.when(F.col("title") == wrong, F.lit(right)) for wrong, right in TITLES_TO_FIX.items()], F.col("title"))
+    found["harmonization"] = found["harmonization"].withColumn("title", title)
+    listed = found["assays"].filter("listed_family is not null").groupBy(F.col("listed_family").alias("target_family")).agg(F.min("row_ix").alias("row_ix"))
+    found["target_families"] = placed(listed, [F.col("row_ix")]).filter(F.col("place") <= LISTED_FAMILIES).select("target_family", "row_ix")
+    found["assays"] = found["assays"].drop("listed_family").filter("aeid is not null or endpoint_name is not null")
+    return found
 
 
 def harmonized_events(sheet: DataFrame, header: str = "header", title: str = "title") -> DataFrame:
     """Rows under ``AOP <number>`` headers: aop_id, event_id, event_index, title; of a repeated event the last row; nothing from the sentinel on."""
-    end = F.min(F.when(F.col(header) == SENTINEL, F.col("row_ix"))).over(Window.partitionBy("sheet"))
-    rows = sheet.withColumn("_end", end).filter(F.col("_end").isNull() | (F.col("row_ix") < F.col("_end")))
+    ends = sheet.filter(F.col(header) == SENTINEL).groupBy("sheet").agg(F.min("row_ix").alias("_end"))
+    rows = sheet.join(ends, "sheet", "left").filter(F.col("_end").isNull() | (F.col("row_ix") < F.col("_end")))
     is_header = F.coalesce(F.col("cell").rlike(r"^AOP (\d+)"), F.lit(False))
     under = carried_headers(rows.withColumnRenamed(header, "cell"), "sheet", ["row_ix"], is_header, "cell")
     number = lambda c, p: F.nullif(F.regexp_extract(c, p, 1), F.lit(""))
@@ -56,14 +92,14 @@ def pair_checks(events: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     sides = pairs.select("pair", "mie", F.inline(F.array(F.struct(F.col("one").alias("aop_id"), F.col("two").alias("other")), F.struct(F.col("two").alias("aop_id"), F.col("one").alias("other")))))
     low = F.lower(F.trim("title"))
-    held = events.join(F.broadcast(sides), "aop_id").withColumn("low", low)
+    held = events.join(sides, "aop_id").withColumn("low", low)
     sizes = held.groupBy("pair", "aop_id", "other", "mie").agg(F.count("*").alias("n"), F.count_distinct("low").alias("titles"), F.bool_or(F.col("low") == F.lower(F.trim("mie"))).alias("has_mie"))
     facing = sizes.join(sizes.select("pair", F.col("aop_id").alias("other"), F.col("n").alias("n_other"), F.col("titles").alias("titles_other")), ["pair", "other"])
     row = lambda df, kind, title=None, at=None: df.select(F.lit(kind).alias("validation_type"), "pair", "aop_id", (F.lit(None).cast("string") if title is None else F.col(title)).alias("title"), (F.lit(None).cast("long") if at is None else F.col(at).cast("long")).alias("row_ix"))
     merged = row(held.groupBy("pair", "aop_id", "title").agg(F.count("*").alias("n")).filter("n > 1"), "merged", "title")
     no_mie = row(facing.filter("not has_mie"), "no_mie", "mie")
     mismatch = row(facing.filter("titles <> titles_other"), "count_mismatch")
-    longer = held.join(F.broadcast(facing.filter("n > n_other").select("pair", "aop_id", (F.col("n") - F.col("n_other")).alias("most"))), ["pair", "aop_id"])
+    longer = held.join(facing.filter("n > n_other").select("pair", "aop_id", (F.col("n") - F.col("n_other")).alias("most")), ["pair", "aop_id"])
     there = held.select("pair", F.col("aop_id").alias("other"), "low").distinct()
     lacking = longer.join(there, ["pair", "other", "low"], "left_anti")
     first = F.row_number().over(Window.partitionBy("pair", "aop_id").orderBy(F.col("row_ix").cast("string")))

@@ -6,12 +6,15 @@ name, or one of the marks for excluded and missing titles.  Assays: parts; chemi
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import evidence, fuzzy, scoring
-from ..operators import graph, harmonize, review, search, workbook
-from ..sources import sinks
+from ..operators import graph, harmonize, review, search, sheets, workbook
+from ..sources import json_documents, sinks, spreadsheet
+from ..sources.shared import shared_dir
 from . import queries as base
 from .queries import _I, _K, _ORDER, LINE_ORDER, _registered, key_events, read, relationships
 from .result_queries import _T, kers_with_titles
@@ -242,7 +245,50 @@ def matched_headers(spark, sf_dir):
 
 @_registered(f"WITH {_CE} SELECT ker_id, 'empirical_support' AS field, 0 AS table_ix, 0 AS row_ix, coalesce(harmonized, header) AS name, arg_max(value, n) AS value FROM c SEMI JOIN ok USING (ker_id) GROUP BY ALL")
 def harmonized_tables(spark, sf_dir):
-    return harmonize.harmonized_cells(_cells(spark, sf_dir), _titled(spark, sf_dir))
+    return harmonize.harmonized_cells(_cells(spark, sf_dir), _titled(spark, sf_dir)).drop("col_ix")
+
+
+@_registered(f"WITH {_CE}, h AS (SELECT o_custkey AS aop_id, list(o_orderkey ORDER BY o_orderkey) AS ids FROM orders JOIN ok ON ker_id = o_orderkey GROUP BY 1) SELECT row_number() OVER (ORDER BY len(ids) DESC, aop_id) AS place, aop_id::VARCHAR AS aop_id, c_name AS title, CASE WHEN aop_id IN (1, 7) THEN 'Y' ELSE '' END AS selected, c_mktsegment AS status, len(ids)::INTEGER AS n_kers, array_to_string(ids, ', ') AS ker_ids FROM h JOIN customer ON c_custkey = aop_id")
+def pathway_sheet(spark, sf_dir):
+    """Customers as pathways, their orders as relationships: those with harmonizable ones in the order of their sheet."""
+    harmonizable = harmonize.harmonizable_fields(harmonize.matched_headers(_cells(spark, sf_dir), _titled(spark, sf_dir))).select("ker_id")
+    members = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("aop_id"), F.col("o_orderkey").alias("ker_id"))
+    aops = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("aop_id"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("status"))
+    return sheets.pathway_order(members, harmonizable, aops, ["1", "7"])
+
+
+_LIKE = "CASE WHEN n % 3 = 0 THEN 'Observed ' || p_name || ' up' WHEN n % 3 = 1 THEN p_name || ' level' ELSE 'ke: ' || p_name END"
+
+
+@_registered()
+def headers_by_likeness(spark, sf_dir):
+    """Headers that only their likeness to a title of the relationship's events tells: names of parts with a word more."""
+    parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("ker_id"), (F.col("p_partkey") % 3).alias("n"), "p_name", "p_type")
+    cells = parts.select("ker_id", F.lit("weight_of_evidence").alias("field"), F.expr(_LIKE).alias("header"))
+    titles = parts.select("ker_id", F.when(F.col("ker_id") % 2 == 0, F.col("p_name")).otherwise(F.col("p_type")).alias("upstream_title"), F.concat_ws(" ", "p_name", F.lit("change")).alias("downstream_title"))
+    return harmonize.matched_headers(cells, titles)
+
+
+@_registered("SELECT row_number() OVER (ORDER BY coalesce(CASE WHEN p_size % 4 > 0 THEN p_size / 50.0 END, 0) DESC, p_partkey::VARCHAR) AS place, p_partkey::VARCHAR AS target_family, CASE WHEN p_size % 4 > 0 THEN p_size / 50.0 END AS match_score FROM part")
+def families_by_score(spark, sf_dir):
+    rows = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("target_family"), F.when(F.col("p_size") % 4 > 0, F.col("p_size") / 50.0).alias("match_score"))
+    return sheets.ranked_families(rows)
+
+
+_SHEET = "s AS (SELECT n_nationkey, n_name, s_suppkey, s_name, s_acctbal, row_number() OVER (PARTITION BY n_nationkey ORDER BY s_suppkey)::INTEGER AS r FROM supplier JOIN nation ON n_nationkey = s_nationkey)"
+
+
+@_registered(f"WITH {_SHEET} SELECT n_name AS sheet, r AS row_ix, 0 AS col_ix, s_suppkey::VARCHAR AS value FROM s UNION ALL SELECT n_name, r, 1, s_name FROM s UNION ALL SELECT n_name, r, 2, s_acctbal::DECIMAL(12, 2)::VARCHAR FROM s UNION ALL SELECT DISTINCT n_name, 0, c, h FROM s, (VALUES (0, 'Key'), (1, 'Name'), (2, 'Balance')) t(c, h)")
+def workbook_cells(spark, sf_dir):
+    """Suppliers as a workbook, a sheet for each nation: written, read again, cell by cell."""
+    nations = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("place"), F.col("n_name").alias("sheet"))
+    number = F.row_number().over(Window.partitionBy("place").orderBy("s_suppkey"))
+    held = read(spark, sf_dir, "supplier").join(nations, F.col("s_nationkey") == F.col("place")).withColumn("row_ix", number)
+    body = held.select("place", "sheet", "row_ix", F.array(F.col("s_suppkey").cast("string"), "s_name", F.col("s_acctbal").cast("decimal(12,2)").cast("string")).alias("values"))
+    heads = held.select("place", "sheet").distinct().select("place", "sheet", F.lit(0).alias("row_ix"), F.array(F.lit("Key"), F.lit("Name"), F.lit("Balance")).alias("values"))
+    path = f"{shared_dir(spark)}/suppliers-{uuid.uuid4().hex}.xlsx"
+    spreadsheet.write_workbook(heads.unionByName(body), path)
+    return spreadsheet.read_cells(spark, path)
 
 
 @_registered(f"WITH {_CE} SELECT count(DISTINCT ker_id) AS kers, (SELECT count(*) FROM ok) AS harmonizable_kers, count(DISTINCT CASE WHEN harmonized IS NOT NULL THEN header END) AS harmonized_headers, count(DISTINCT CASE WHEN harmonized IS NULL THEN header END) AS other_headers FROM c")
@@ -336,3 +382,22 @@ def relationship_totals(spark, sf_dir):
     return rows.agg(F.count("*").alias("kers"), F.count_distinct("aop_id").alias("aops"), F.count_if(F.col("upstream") == F.col("downstream")).alias("self_loops"))
 
 
+
+
+_NESTED = "entity_id bigint, title string, flags struct<new: boolean, score: double>, lines array<struct<n: int, part: bigint>>, tags array<string>"
+
+
+@_registered("""WITH l AS (SELECT l_orderkey, count(*) AS n, sum(l_partkey)::BIGINT AS parts, list_sort(list(DISTINCT l_returnflag)) AS flags FROM lineitem GROUP BY 1)
+SELECT o_orderkey AS entity_id, CASE WHEN o_orderkey % 4 > 0 THEN o_orderpriority ELSE '' END AS title, o_orderkey % 2 = 0 AS new, coalesce(n, 0)::INTEGER AS n_lines, coalesce(parts, 0) AS parts, coalesce('["' || array_to_string(flags, '","') || '"]', '') AS tags FROM orders LEFT JOIN l ON l_orderkey = o_orderkey""")
+def json_round_trip(spark, sf_dir):
+    """Orders as nested JSON documents with sets and empty cells: written, read again with a declared schema."""
+    line = F.struct(F.col("l_linenumber").cast("int").alias("n"), F.col("l_partkey").cast("bigint").alias("part"))
+    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(line).alias("lines"), F.collect_set("l_returnflag").alias("tags"))
+    flags = F.struct((F.col("o_orderkey") % 2 == 0).alias("new"), F.lit(0.5).alias("score"))
+    rows = read(spark, sf_dir, "orders").join(lines, F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    title = F.when(F.col("o_orderkey") % 4 > 0, F.col("o_orderpriority"))
+    path = f"{shared_dir(spark)}/orders-{uuid.uuid4().hex}.json"
+    json_documents.write_json(rows.select(F.col("o_orderkey").alias("entity_id"), title.alias("title"), flags.alias("flags"), "lines", "tags"), path, sets=["tags"])
+    back = json_documents.read_json(spark, path, _NESTED)
+    parts = F.aggregate(F.coalesce("lines", F.array().cast("array<struct<n:int,part:bigint>>")), F.lit(0).cast("bigint"), lambda a, x: a + x["part"])
+    return back.select("entity_id", json_documents.json_cell(F.col("title"), "string").alias("title"), "flags.new", F.greatest(F.size("lines"), F.lit(0)).alias("n_lines"), parts.alias("parts"), json_documents.json_cell(F.col("tags"), "array<string>").alias("tags"))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import citations, evidence, fuzzy, scoring, text
 from ..operators import graph, search
+from ..sources import html_tables
 
 EVENT_TERMS = ["widget", "gizmo"]
 TEXT_TERMS = ["the", "que", "aux"]
@@ -375,19 +376,38 @@ def fuzzy_best_match(spark, sf_dir):
     return fuzzy.best_matches(terms, titles, 0.5)
 
 
-_CELL = _ENT.replace("html", "regexp_replace(v, '<[^>]+>', '', 'g')")
-_SPACES = r"[\s\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x0b\x1c-\x1f]+"
+def order_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page for each order: a table of its lines, each with a list of keys and values and a nested table."""
+    line = F.struct("l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int").alias("q"), "l_returnflag")
+    lines = read(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
+    row = lambda x: F.format_string(
+        "<tr><td> <b>Part</b> no. %d</td><td>S&amp;T %d<br/></td><td><ul><li><span>line number</span> %d</li><li><span>Flag</span>%s</li><li>bare</li></ul></td><td>%d</td></tr>", x["l_partkey"], x["l_suppkey"], x["l_linenumber"], x["l_returnflag"], x["q"]
+    )
+    head = "<table><thead><tr><th>Part</th><th> Supplier (id) </th><th>Seen</th></tr></thead><tbody>"
+    nested = F.concat(F.lit("<tr><td>all</td><td><table><tr><td>kind</td><td>lines</td></tr><tr><td>sum</td><td>"), F.size("lines"), F.lit("</td></tr></table></td></tr>"))
+    return lines.select(F.col("l_orderkey").alias("page_id"), F.concat(F.lit(head), F.array_join(F.transform("lines", row), ""), nested, F.lit("</tbody></table><p>end</p>")).alias("html"))
+
+
+_LINES = "l AS (SELECT l_orderkey AS page_id, l_partkey AS p, l_suppkey AS s, l_linenumber AS n, l_returnflag AS f, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity::INT, l_returnflag)::INTEGER - 1 AS r, count(*) OVER (PARTITION BY l_orderkey) AS k FROM lineitem), o AS (SELECT DISTINCT page_id, k FROM l)"
 
 
-@_registered(rf"WITH x AS (SELECT page_id, regexp_extract_all(html, '(?is)<p\b[^>]*>(.*?)</p\s*>', 1) AS ps, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) AS lang FROM pages), r AS (SELECT page_id, lang, unnest(ps) AS v, generate_subscripts(ps, 1) - 1 AS i FROM x) SELECT page_id, 0 AS table_ix, i::INTEGER AS row_ix, c AS col_ix, CASE c WHEN 0 THEN 'KE up' ELSE 'Reference' END AS header, CASE c WHEN 0 THEN lang ELSE trim(regexp_replace({_CELL}, '{_SPACES}', ' ', 'g'), ' ') END AS value FROM r, (VALUES (0), (1)) t(c)")
-def evidence_table_cells(spark, sf_dir):
-    """Pages as tables: a row for each paragraph, the page's language tag and the paragraph as cells."""
-    lang = F.regexp_extract("html", r'<html lang="([^"]*)"', 1)
-    rows = F.transform(F.regexp_extract_all("html", F.lit(r"(?is)<p\b[^>]*>(.*?)</p\s*>"), F.lit(1)), lambda p: F.concat(F.lit("<tr><td>"), lang, F.lit("</td><td>"), p, F.lit("</td></tr>")))
-    page = F.concat(F.lit("<table><tr><th>KE up</th><th>Reference</th></tr>"), F.array_join(rows, ""), F.lit("</table>"))
-    return evidence.evidence_cells(read(spark, sf_dir, "pages").select("page_id", page.alias("html")), "page_id", "html")
+@_registered(f"""WITH {_LINES}, c AS (SELECT page_id, 0 AS table_ix, r AS row_ix, 0 AS col_ix, 'Part' AS header, 'Partno. ' || p AS value, NULL AS listed FROM l UNION ALL SELECT page_id, 0, r, 1, 'Supplier (id)', 'S&T ' || s, NULL FROM l
+UNION ALL SELECT page_id, 0, r, 2, 'Seen', 'line number' || n || 'Flag' || f || 'bare', 'Line Number: ' || n || '; Flag: ' || f FROM l
+UNION ALL SELECT page_id, 0, (k + i)::INTEGER, c, h, CASE WHEN i = 0 THEN CASE c WHEN 0 THEN 'all' WHEN 1 THEN 'kindlinessum' || k ELSE 'kind' END WHEN i = 1 THEN CASE c WHEN 0 THEN 'kind' WHEN 1 THEN 'lines' ELSE '' END ELSE CASE c WHEN 0 THEN 'sum' WHEN 1 THEN k::VARCHAR ELSE '' END END, NULL FROM o, range(3) a(i), (VALUES (0, 'Part'), (1, 'Supplier (id)'), (2, 'Seen')) b(c, h)
+UNION ALL SELECT page_id, 1, 0, c, h, CASE c WHEN 0 THEN 'sum' ELSE k::VARCHAR END, NULL FROM o, (VALUES (0, 'kind'), (1, 'lines')) b(c, h)) SELECT * FROM c""")
+def html_table_cells(spark, sf_dir):
+    return html_tables.html_cells(order_tables(spark, sf_dir), ["page_id"], "html")
 
 
+@_registered(f"WITH {_LINES} SELECT page_id, r AS row_ix, 'Partno. ' || p AS part, 'Line Number: ' || n || '; Flag: ' || f AS seen FROM l")
+def html_observations(spark, sf_dir):
+    """The tables as rows, their lists written out as keys and values."""
+    cells = html_tables.html_cells(order_tables(spark, sf_dir), ["page_id"], "html").filter("table_ix = 0")
+    rows = html_tables.table_frame(cells, ["page_id"], ["Part", "Seen"], [2])
+    return rows.filter(F.col("Part").startswith("Partno")).select("page_id", "row_ix", F.col("Part").alias("part"), F.col("Seen").alias("seen"))
+
+
+_SPACES = r"[\s\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x0b\x1c-\x1f]+"
 LEVELS = {"Tissue": "words such as erand or ereson", "Organ": "thereing and blethe", "Cellular": "queeur, menteur"}
 
 

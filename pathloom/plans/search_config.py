@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +24,11 @@ class SearchConfig:
     dropped_content: dict[str, list[str]] = field(default_factory=dict)
     co_occurrence_only: bool = False
     entities: tuple[str, ...] = ("events",)
+    fields_of: dict[str, list[str]] = field(default_factory=dict)
+
+    def for_kind(self, kind: str) -> SearchConfig:
+        """The search with the fields named for one kind of entity, if there are any."""
+        return replace(self, fields=self.fields_of[kind]) if kind in self.fields_of else self
 
     def searched(self) -> list[str]:
         chosen = self.fields or ([self.priority_field] if self.priority_field else [])
@@ -32,13 +37,6 @@ class SearchConfig:
         return chosen
 
 
-REGISTRY: dict[str, SearchConfig] = {}
-
-
-def registered(config: SearchConfig) -> SearchConfig:
-    REGISTRY[config.name] = config
-    return config
-
 
 def run_search(texts: DataFrame, config: SearchConfig) -> DataFrame:
     """Entities with hits or co-occurrences, priority hits first by ``place`` within equals of id."""
@@ -62,6 +60,15 @@ class EventSearch:
     terms: list[str]
     excluded_title_terms: list[str] = field(default_factory=list)
     statuses: list[str] = field(default_factory=list)
+    name: str = ""
+
+
+REGISTRY: dict[str, SearchConfig | EventSearch] = {}
+
+
+def registered(config: SearchConfig | EventSearch) -> SearchConfig | EventSearch:
+    REGISTRY[config.name] = config
+    return config
 
 
 def events_to_aops(events: DataFrame, membership: DataFrame, aops: DataFrame, config: EventSearch) -> DataFrame:

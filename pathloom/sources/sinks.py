@@ -117,13 +117,9 @@ def exported(df: DataFrame, fields: list[Field]) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, sort_by: list[Column] | None = None, one_file: bool = False) -> None:
-    """CSV with a header; sorted by range over all files, or as one file where asked (small reports)."""
+    """CSV with a header, quotes doubled; sorted by range over all files, or as one file where asked (small reports)."""
     rows = df.orderBy(*sort_by) if sort_by else df
-    (rows.coalesce(1) if one_file else rows).write.mode("overwrite").option("header", True).option("quoteAll", True).csv(path)
-
-
-def write_json(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+    (rows.coalesce(1) if one_file else rows).write.mode("overwrite").option("header", True).option("quoteAll", True).option("escape", '"').csv(path)
 
 
 def unpivoted(stats: DataFrame) -> DataFrame:
@@ -152,9 +148,3 @@ def results_name(search: str, date: str, co_occurrence_only: bool = False, prior
     """File name of a search's results."""
     parts = [search, "results", *["co_occurrence_only"] * co_occurrence_only, *["priority_field_only"] * priority_field_only, date]
     return "_".join(parts) + f".{extension}"
-
-
-def results_document(hits: DataFrame, summary: dict[str, object], search: str, date: str, co_occurrence_only: bool = False) -> DataFrame:
-    """Result rows, each with the search's name, date and summary, as lines of JSON."""
-    told = F.struct(F.lit(search).alias("config"), F.lit(date).alias("search_date"), F.lit(co_occurrence_only).alias("co_occurrence_only"), F.struct(*[F.lit(v).alias(k) for k, v in summary.items()]).alias("summary"))
-    return hits.select(F.to_json(F.struct(told.alias("search"), F.struct(*hits.columns).alias("result"))).alias("value"))

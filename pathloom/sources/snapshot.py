@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 _APPLICABILITY = "`taxonomy` array<struct<`_taxonomy-id`:string>>, `sex` array<struct<`sex`:string>>, `life-stage` array<struct<`life-stage`:string>>"
@@ -181,11 +185,58 @@ def validated(tables: dict[str, DataFrame]) -> dict[str, int]:
     return counts
 
 
-def cached(spark: SparkSession, root: str, name: str, date: str, build: Callable[[], DataFrame], refresh: bool = False) -> DataFrame:
-    """The table of one snapshot date: read if there, else built and written."""
-    path = f"{root}/{name}/snapshot_date={date}"
+def _files(spark: SparkSession, path: str):
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    if refresh or not files.exists(place):
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def _note(root: str, name: str, date: str) -> str:
+    return f"{root}/_committed/{date}/{name}.json"
+
+
+def committed(spark: SparkSession, root: str, name: str, date: str) -> dict | None:
+    """What is noted of a table that was written whole: ``folder`` and ``rows``; None if it wasn't, or the note is torn."""
+    files, place = _files(spark, _note(root, name, date))
+    if not files.exists(place):
+        return None
+    try:
+        found = json.loads("\n".join(r[0] for r in spark.read.text(_note(root, name, date)).collect()))
+    except (ValueError, Py4JJavaError, PySparkException):  # a note that can't be read is none
+        return None
+    there, folder = _files(spark, f"{found['folder']}/_SUCCESS")
+    return found if there.exists(folder) else None
+
+
+def cached(spark: SparkSession, root: str, name: str, date: str, build: Callable[[], DataFrame], refresh: bool = False, required: bool = False) -> DataFrame:
+    """The table of one snapshot date: read if it was written whole, else built.
+
+    A table is written into a folder of its own, its rows counted in the same pass; a note of both
+    makes it visible.  What a failed write leaves is never read, and a refresh replaces the
+    former folder only when the new one is noted.  A ``required`` table without rows is an error.
+    """
+    known = committed(spark, root, name, date)
+    if known is None or refresh:
+        folder, seen = f"{root}/{name}/snapshot_date={date}/v-{uuid.uuid4().hex}", Observation()
+        build().observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(folder)
+        rows = seen.get["rows"]
+        if required and not rows:
+            files, place = _files(spark, folder)
+            files.delete(place, True)
+            raise ValueError(f"the snapshot of {date} has no {name}")
+        files, place = _files(spark, _note(root, name, date))
+        out = files.create(place, True)
+        out.write(bytearray(json.dumps({"folder": folder, "rows": rows}).encode()))
+        out.close()
+        if known is not None:
+            files, place = _files(spark, known["folder"])
+            files.delete(place, True)
+        known = {"folder": folder}
+    return spark.read.parquet(known["folder"])
+
+
+def checked_file(spark: SparkSession, path: str) -> str:
+    """``path``, if it holds an export: the section of ids must be there."""
+    section = "`aop-reference` array<struct<`_id`:string>>"
+    if spark.read.format("xml").option("rowTag", "vendor-specific").schema(section).load(path).limit(1).count() == 0:
+        raise ValueError(f"{path} is no export: it has no section vendor-specific")
+    return path

@@ -87,12 +87,7 @@ def test_fuzzy_equals_all_pairs(spark, weighted, threshold):
     assert {r[0]: (r[1], r[2]) for r in ours.collect()} == want
 
 
-def test_tables(spark):
-    html = "<table><tr><th>KE up</th><th>Ref</th></tr><tr><td>a</td></tr><tr><td>b</td><td>c</td><td>d</td></tr></table><p>x</p>"
-    pages = spark.createDataFrame([("1", html, 0), ("2", None, 0)], "ker_id string, html string, id int")
-    cells = evidence.evidence_cells(pages, "ker_id", "html")
-    assert sorted((r["row_ix"], r["header"], r["value"]) for r in cells.collect()) == [(0, "KE up", "a"), (0, "Ref", ""), (1, "KE up", "b"), (1, "Ref", "c")]
-    assert evidence.harmonizable(cells, ["ker_id"]).first()["harmonizable"] is False
+def test_families(spark):
     names = spark.createDataFrame([("GABA A",), ("Sodium Channels",), ("NMDA R",)], "n string").select(evidence.target_family(F.col("n"))).collect()
     assert [r[0] for r in names] == ["GABA-A Receptor", "Sodium Channel", "NMDA Receptor"]
 

@@ -1,6 +1,7 @@
 import pytest
+from pyspark.sql import functions as F
 
-from pathloom.sources import sinks, snapshot
+from pathloom.sources import json_documents, sinks, snapshot
 
 XML = """<?xml version="1.0"?><data>
 <key-event id="k1"><title>Binding</title><short-name>B</short-name><biological-organization-level>Molecular</biological-organization-level>
@@ -40,10 +41,61 @@ def test_cache_and_validation(spark, path, tmp_path):
     for refresh in (False, False, True):
         assert snapshot.cached(spark, str(tmp_path), "t", "2026-01-01", build, refresh).count() == 3
     assert len(calls) == 2
+    assert len([p for p in (tmp_path / "t" / "snapshot_date=2026-01-01").iterdir() if p.is_dir()]) == 1
     with pytest.raises(ValueError):
         snapshot.validated({"aop": spark.range(0)})
 
 
+def test_broken_writes_are_built_again(spark, tmp_path):
+    """A write that breaks half-way, a folder without its mark and a torn note are no tables; required tables have rows."""
+    root, day = str(tmp_path), "2026-01-01"
+
+    @F.udf("long")
+    def breaks(n):
+        if n == 3:
+            raise RuntimeError("half-way")
+        return n
+
+    with pytest.raises(Exception, match="half-way"):
+        snapshot.cached(spark, root, "t", day, lambda: spark.range(0, 4, 1, 4).select(breaks("id").alias("id")))
+    assert snapshot.committed(spark, root, "t", day) is None
+    assert snapshot.cached(spark, root, "t", day, lambda: spark.range(7)).count() == 7
+    noted = snapshot.committed(spark, root, "t", day)
+    assert noted["rows"] == 7
+    (tmp_path / "_committed" / day / "t.json").write_text('{"folder"')
+    assert snapshot.committed(spark, root, "t", day) is None
+    assert snapshot.cached(spark, root, "t", day, lambda: spark.range(8)).count() == 8
+    folder = snapshot.committed(spark, root, "t", day)["folder"]
+    (tmp_path / folder.split(root + "/")[1] / "_SUCCESS").unlink()
+    assert snapshot.cached(spark, root, "t", day, lambda: spark.range(9)).count() == 9
+    with pytest.raises(ValueError, match="has no e"):
+        snapshot.cached(spark, root, "e", day, lambda: spark.range(0), required=True)
+    assert snapshot.committed(spark, root, "e", day) is None
+    assert snapshot.cached(spark, root, "e", day, lambda: spark.range(0)).count() == 0
+    bare = tmp_path / "bare.xml"
+    bare.write_text("<data><aop id='1'><title>x</title></aop></data>")
+    with pytest.raises(ValueError, match="no export"):
+        snapshot.checked_file(spark, str(bare))
+
+
+def test_json_documents(spark, tmp_path):
+    rows = spark.createDataFrame([(1, ["b", "a"], None), (2, [], {"k": 1})], "id int, tags array<string>, m map<string,int>")
+    path = f"{tmp_path}/d.json"
+    json_documents.write_json(rows, path, sets=["tags"])
+    back = json_documents.read_json(spark, path, "id int, tags array<string>, m map<string,int>")
+    assert sorted((r["id"], r["tags"], r["m"]) for r in back.collect()) == [(1, ["a", "b"], None), (2, [], {"k": 1})]
+    cells = back.select(json_documents.json_cell(F.col("tags"), "array<string>"), json_documents.json_cell(F.col("m"), "map<string,int>"), json_documents.json_cell(F.col("id"), "int")).collect()
+    assert sorted(map(tuple, cells)) == [("", '{"k":1}', "2"), ('["a","b"]', "", "1")]
+    (tmp_path / "bad.json").write_text('{"id": 1}\n{"id": \n')
+    with pytest.raises(json_documents.BrokenRecords, match="1 broken"):
+        json_documents.read_json(spark, f"{tmp_path}/bad.json", "id int")
+    (tmp_path / "keyed.json").write_text('{"7": {"title": "x", "n": [1, 2]}, "8": {"title": null}}')
+    keyed = json_documents.read_keyed(spark, f"{tmp_path}/keyed.json", "struct<title:string,n:array<int>>")
+    assert sorted(map(tuple, keyed.collect()), key=str) == [("7", "x", [1, 2]), ("8", None, None)]
+    (tmp_path / "list.json").write_text('[{"id": 1}, {"id": 2}]')
+    assert json_documents.read_json(spark, f"{tmp_path}/list.json", "id int", multi_line=True).count() == 2
+
+
 def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([(1, [None, "a", ""], 2.0, True, "<b>x</b>  y"), (2, [], None, None, None)], "n int, l array<string>, d double, y boolean, h string")
     fields = [sinks.Field("N", "n"), sinks.Field("L", "l", "list"), sinks.Field("D", "d", "round_2", "N/A"), sinks.Field("Y", "y", "yes_no"), sinks.Field("H", "h", "clean")]
