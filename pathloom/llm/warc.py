@@ -1,8 +1,9 @@
 """WARC archives as a chunked record table.
 
 A record is rows of (record id, chunk number): oversized payloads travel as chunks, each with
-the running SHA-1 and byte count up to its end, so neither side holds a record beyond a chunk.
-Writing makes one WARC record of each chunk (the first carries the type, the others are
+the running SHA-1 and byte count up to its end, so neither side holds a record beyond a chunk
+(a cell of the input is one in the JVM; it is cut there, and workers see chunks only).
+Writing carries the SHA-1 from chunk to chunk and compares it with the declared one at the end; it makes one WARC record of each chunk (the first carries the type, the others are
 ``continuation`` segments, as WARC 1.1 has it), through Spark's own text writer: files are
 committed by tasks, on any file system that Spark writes.  A row ends with CR LF CR LF, which
 is how a WARC record ends.  Archives are gzip files, so each is read by one task in order;
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, written
+from .common import bounded_batches, shared_dir, written
 
 CHUNK_BYTES = 1 << 20
 LEAST_REVISIT = 1_000
@@ -52,27 +53,38 @@ def _uri(url: str | None) -> str:
     return re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "")
 
 
-def record_segments(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, is_revisit: bool, chunk: int = CHUNK_BYTES) -> Iterator[bytes]:
-    """The WARC records, one a chunk, of one page, without the closing CR LF CR LF."""
+def segment(page_id: int | None, url: str | None, number: int, count: int, piece: bytes, size: int, digest: str, refers_to: int | None, is_revisit: bool) -> bytes:
+    """The WARC record of one chunk (``number`` from 1 of ``count``) of one page, without the closing CR LF CR LF."""
     kind = "revisit" if is_revisit else "response"
-    size = len(payload)
-    body = memoryview(payload)
-    pieces = [b""] if is_revisit else [body[at : at + chunk] for at in range(0, size, chunk)] or [b""]
+    head = [VERSION.decode(), f"WARC-Type: {kind if number == 1 else 'continuation'}", f"WARC-Record-ID: {_segment_name(page_id, number)}", "WARC-Date: 1970-01-01T00:00:00Z"]
+    if number == 1:
+        head += [f"WARC-Target-URI: {_uri(url)}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {size}", "Content-Type: application/http;msgtype=response"]
+        if is_revisit:
+            head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {_name(refers_to)}"]
+    else:
+        head.append(f"WARC-Segment-Origin-ID: {_name(page_id)}")
+    if count > 1:
+        head.append(f"WARC-Segment-Number: {number}")
+        if number == count:
+            head.append(f"WARC-Segment-Total-Length: {len(HTTP_HEAD) + size}")
+    front = HTTP_HEAD if number == 1 else b""
+    head.append(f"Content-Length: {len(front) + len(piece)}")
+    return b"".join(["\r\n".join(head).encode(), b"\r\n\r\n", front, piece])
+
+
+def record_segments(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, is_revisit: bool, chunk: int = CHUNK_BYTES) -> Iterator[bytes]:
+    """The WARC records, one a chunk, of one page that is at hand as a whole."""
+    pieces = [b""] if is_revisit else [payload[at : at + chunk] for at in range(0, len(payload), chunk)] or [b""]
     for number, piece in enumerate(pieces, 1):
-        head = [VERSION.decode(), f"WARC-Type: {kind if number == 1 else 'continuation'}", f"WARC-Record-ID: {_segment_name(page_id, number)}", "WARC-Date: 1970-01-01T00:00:00Z"]
-        if number == 1:
-            head += [f"WARC-Target-URI: {_uri(url)}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {size}", "Content-Type: application/http;msgtype=response"]
-            if is_revisit:
-                head += [f"WARC-Profile: {REVISIT_PROFILE}", f"WARC-Refers-To: {_name(refers_to)}"]
-        else:
-            head.append(f"WARC-Segment-Origin-ID: {_name(page_id)}")
-        if len(pieces) > 1:
-            head.append(f"WARC-Segment-Number: {number}")
-            if number == len(pieces):
-                head.append(f"WARC-Segment-Total-Length: {len(HTTP_HEAD) + size}")
-        front = HTTP_HEAD if number == 1 else b""
-        head.append(f"Content-Length: {len(front) + len(piece)}")
-        yield b"".join(["\r\n".join(head).encode(), b"\r\n\r\n", front, piece])
+        yield segment(page_id, url, number, len(pieces), piece, len(payload), digest, refers_to, is_revisit)
+
+
+def chunk_rows(records: DataFrame, chunk: int = CHUNK_BYTES) -> DataFrame:
+    """Records (``payload`` and others) as a row for each chunk, in order: ``number``, ``count`` and ``piece`` instead of the payload; an empty or null one has one empty chunk."""
+    held = F.coalesce("payload", F.lit(b""))
+    count = F.greatest(F.lit(1), F.ceil(F.length(held) / chunk).cast("int"))
+    cut = F.transform(F.sequence(F.lit(1), count), lambda n: F.struct(n.alias("number"), F.substring(held, (n - 1) * chunk + 1, F.lit(chunk)).alias("piece")))
+    return records.select(*[c for c in records.columns if c != "payload"], count.alias("count"), F.inline(cut))
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> None:
@@ -92,31 +104,29 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     told = told.select("page_id", "url", F.when(~F.col("is_revisit"), F.col("payload")).alias("payload"), F.length("payload").alias("size"), "digest", F.when(F.col("is_revisit"), F.col("owner")).alias("refers_to"), "is_revisit")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ready, held = [], 0
+        ready, held, running = [], 0, hashlib.sha1(usedforsecurity=False)
         for batch in batches:
             names = batch.schema.names
             for row in zip(*batch.columns, strict=True):
                 got = dict(zip(names, (x.as_py() for x in row), strict=True))
-                size, payload = got["size"], got["payload"] or b""
-                for record in _sized(record_segments(got["page_id"], got["url"], payload, got["digest"], got["refers_to"], got["is_revisit"]), size if got["is_revisit"] else None):
-                    ready.append(record)
-                    held += len(record)
-                    if held >= BATCH_BYTES:
-                        yield pa.RecordBatch.from_arrays([pa.array(ready, pa.binary())], ["value"])
-                        ready, held = [], 0
+                if got["number"] == 1:
+                    running = hashlib.sha1(usedforsecurity=False)
+                running.update(got["piece"])
+                if got["number"] == got["count"] and not got["is_revisit"] and running.hexdigest() != got["digest"]:
+                    raise ValueError(f"the chunks of page {got['page_id']} are not its payload")
+                ready.append(segment(**got))
+                held += len(ready[-1])
+                if held >= BATCH_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(ready, pa.binary())], ["value"])
+                    ready, held = [], 0
         if ready:
             yield pa.RecordBatch.from_arrays([pa.array(ready, pa.binary())], ["value"])
 
-    records = told.mapInArrow(run, "value binary")
+    bounded_batches(pages.sparkSession)
+    records = chunk_rows(told).mapInArrow(run, "value binary")
     records.select(F.col("value").cast("string")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
 
 
-def _sized(records: Iterator[bytes], size: int | None) -> Iterator[bytes]:
-    """A revisit's record tells the length of the payload it leaves out."""
-    for record in records:
-        yield record if size is None else record.replace(b"X-Payload-Length: 0", b"X-Payload-Length: %d" % size, 1)
-
-
 @dataclass
 class _Reader:
     """Reads one archive line by line; gives chunk rows."""

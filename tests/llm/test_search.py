@@ -3,7 +3,7 @@ import hashlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from pathloom.llm import top_k
+from pathloom.llm import top_k, warc
 from pathloom.llm.warc import archive_path, read_archives, record_segments, write_archives
 
 
@@ -120,3 +120,26 @@ def test_blocks_are_bounded(spark, monkeypatch):
         scores = q @ q[query]
         want = sorted((-int(s), int(i)) for s, i in zip(scores, ids, strict=True) if i != query)[:5]
         assert sorted((-r["score"], r["vec_id"]) for r in out if r["query_id"] == query) == want
+
+
+def test_archives_of_odd_records(spark, tmp_path):
+    """Several rows with the largest key of equal payloads, null keys among them, empty and null payloads, sizes at the chunks' ends."""
+    size = 1 << 20
+    same, big = "s" * 1500, "é" * (size // 2)
+    rows = [(1, "u", same), (9, "u", same), (9, "v", same), (None, "w", same), (2, None, None), (3, "u", ""), (4, "u", big), (5, "u", big + "x"), (6, "u", "short"), (7, "u", "short")]
+    pages = spark.createDataFrame([(*r, "q", 1) for r in rows], "page_id long, url string, html string, number string, count int").repartition(3)
+    path = archive_path(spark)
+    write_archives(pages, path)
+    found = read_archives(spark, path).filter("last").collect()
+    want = []
+    for key, _, text in rows:
+        raw = (text or "").encode()
+        revisit = raw == same.encode() and key != 9
+        want.append((key, len(raw), hashlib.sha1(raw).hexdigest(), "revisit" if revisit else "response", 9 if revisit else None))
+    assert sorted(((r["page_id"], r["total_bytes"], r["digest"], r["record_type"], r["refers_to"]) for r in found), key=str) == sorted(want, key=str)
+
+
+def test_chunks_are_the_payload(spark):
+    rows = spark.createDataFrame([(1, b"abcdefg"), (2, b""), (3, None), (4, b"abcd")], "id int, payload binary")
+    out = [(r["id"], r["number"], r["count"], bytes(r["piece"])) for r in warc.chunk_rows(rows, 4).collect()]
+    assert sorted(out) == [(1, 1, 2, b"abcd"), (1, 2, 2, b"efg"), (2, 1, 1, b""), (3, 1, 1, b""), (4, 1, 1, b"abcd")]
