@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pyspark.sql.functions as F
 
-from pathloom.llm import pii
+from pathloom.llm import language_id, pii, toxicity
 from pathloom.llm.decontaminate import Items, contaminated, edit_distance, words_of
 from pathloom.llm.language_id import identify_languages
 from pathloom.llm.pii import ORDER, base_spans, find_spans, luhn, made_up, mask_pii, mask_spans, pii_spans, trained_field
@@ -244,3 +244,99 @@ def test_long_texts_are_decoded_in_windows(monkeypatch):
 def test_no_documents_no_spans(spark):
     assert pii_spans(spark.createDataFrame([], "doc_id long, text string")).collect() == []
     assert mask_pii(spark.createDataFrame([], "text string")).collect() == []
+
+
+def test_folded_table_is_the_kernel_expansion(monkeypatch):
+    """Every word's margin from the folded table equals its kernel row times the weights of the SVM over the landmarks."""
+    seen, solved = [], []
+    vectors, solve = toxicity.vectors, toxicity.newton_svm
+    monkeypatch.setattr(toxicity, "vectors", lambda words: (seen.append(words), vectors(words))[1])
+    monkeypatch.setattr(toxicity, "newton_svm", lambda x, y: (solved.append((x, solve(x, y))), solved[-1][1])[1])
+    draw = random.Random(8)
+    word = lambda letters: "".join(draw.choice(letters) for _ in range(draw.randrange(3, 12)))
+    model = toxicity.fit_words([word("xyzq") for _ in range(30)], [word("abcdefgé") for _ in range(60)], 24, 3)
+    x, w = solved[0]
+    assert np.allclose(model.word_margins(seen[1]), x @ w[:-1] + w[-1], atol=1e-3)
+
+
+def test_scores_are_those_of_the_worst_word(spark):
+    """Word by word: long words in parts, spaced letters, repeated rows, empty and null texts, clashing columns."""
+    rows = [(i, f"you {'vile' if i % 3 == 0 else 'kind'} person {i}", 0) for i in range(80)]
+    labels = [(i, int(i % 3 == 0)) for i in range(80)]
+    model = fit_toxicity([t for _, t, _ in rows], [y for _, y in labels])
+    texts = ["", None, "v i l e person", "vi-le!", "x" * 130 + "vile" + "y" * 90, "kind", "VILE kind", "\n\t"]
+
+    def worst(text):
+        best = None
+        for w in toxicity.words_of(text):
+            for part in toxicity.parts_of(w):
+                m = float(model.word_margins([part])[0])
+                best = m if best is None else max(best, m)
+        return float(toxicity.sigmoid(model.slope * (model.bias if best is None else best) + model.offset))
+
+    assert np.allclose(model.scores(texts), [worst(t) for t in texts], atol=1e-6)
+    docs = spark.createDataFrame([(900 + i, t, "s") for i, t in enumerate(texts)] + [(902, texts[2], "s")] + rows[:0], "doc_id long, text string, score string")
+    held = spark.createDataFrame([(i, t, "z") for i, t, _ in rows], "doc_id long, text string, score string")
+    scored = score_toxicity(docs.unionByName(held), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    found = [r for r in scored.collect() if r["doc_id"] >= 900]
+    assert len(found) == len(texts) + 1 and len({r["score"] for r in found if r["doc_id"] == 902}) == 1
+    empty = score_toxicity(docs.limit(0), spark.createDataFrame([], "doc_id long, toxic int"))
+    assert empty.collect() == []
+
+
+def plain_features(text):
+    codes = [c if 97 <= c <= 122 or c >= 128 else 32 for c in f" {text} ".lower().encode()]
+    counts = np.zeros(2 << language_id.BITS)
+    for i in range(len(codes) - 1):
+        if codes[i : i + 2] != [32, 32]:
+            counts[(codes[i] << 8 | codes[i + 1]) * 2654435761 % 2**32 >> (32 - language_id.BITS)] += 1
+    for i in range(len(codes) - 2):
+        if codes[i : i + 3] != [32, 32, 32]:
+            counts[(1 << language_id.BITS) + ((codes[i] << 16 | codes[i + 1] << 8 | codes[i + 2]) * 2246822519 % 2**32 >> (32 - language_id.BITS))] += 1
+    return np.sqrt(counts / counts.sum()) if counts.sum() else counts
+
+
+def plain_winner(duels, x):
+    """Most votes among pairs, then the larger sum of margins, one pair after the other."""
+    names, votes, sums = duels.classes, dict.fromkeys(duels.classes, 0), dict.fromkeys(duels.classes, 0.0)
+    for (a, b), w in zip(duels.pairs, duels.weights, strict=True):
+        m = sum(float(p) * float(q) for p, q in zip(w[:-1], x, strict=True) if q) + float(w[-1])
+        votes[names[a if m >= 0 else b]] += 1
+        sums[names[a]] += m
+        sums[names[b]] -= m
+    return max(names, key=lambda n: (votes[n], sums[n]))
+
+
+def test_languages_against_plain_votes(spark):
+    draw = random.Random(12)
+    syllables = {"en": "the an er ing th".split(), "de": "ein der sch ung ich".split(), "fr": "eau que ion les".split(), "es": "cion que os la".split(), "pt": "cao que os nh".split(), "xx": "zz qx kw vy".split()}
+    text = lambda lang, n: " ".join("".join(draw.choice(syllables[lang]) for _ in range(draw.randrange(1, 4))) for _ in range(n))
+    cases = [(text(lang, 30), lang) for lang in syllables for _ in range(20)]
+    model = language_id.fit_language_model([t for t, _ in cases], [lang for _, lang in cases])
+    for sample in [text(lang, n) for lang in syllables for n in (1, 5, 60)] + ["123 a", "ÀÉ ñ", "x  y\n z"]:
+        x = plain_features(sample)
+        blank = [(0x2020 * 2654435761 & 0xFFFFFFFF) >> (32 - language_id.BITS), (1 << language_id.BITS) + ((0x202020 * 2246822519 & 0xFFFFFFFF) >> (32 - language_id.BITS))]
+        ours = language_id.features(sample)
+        told = np.ones(len(x), dtype=bool)
+        told[blank] = False
+        assert np.allclose(ours[told] / np.linalg.norm(ours[told]), x[told] / np.linalg.norm(x[told]))
+        lang, score = model.predict(sample)
+        family = plain_winner(model.families, ours.astype(np.float32))
+        assert lang == plain_winner(model.within[family], ours.astype(np.float32)) and 0 <= score <= 1
+    long = text("de", 40) + " " + text("de", 4000) * 60
+    assert len(long.encode()) > 1 << 20
+    assert np.allclose(language_id.features(long), _whole(long))
+    rows = [(i, t, lang, 1.0) for i, (t, lang) in enumerate(cases)] + [(3, cases[3][0], cases[3][1], 2.0)] * 2 + [(500, None, "en", 0.0), (501, " 12 ", "de", 0.0), (None, long, None, 0.0)]
+    out = identify_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string, score double")).collect()
+    assert len(out) == len(rows) and len({(r["lang_pred"], r["score"]) for r in out if r["doc_id"] == 3}) == 1
+    assert {r["doc_id"]: r["lang_pred"] for r in out if r["doc_id"] in (500, 501, None)} == {500: "und", 501: "und", None: "de"}
+    assert identify_languages(spark.createDataFrame([], "doc_id long, text string, lang string")).collect() == []
+
+
+def _whole(text):
+    """Features of a text taken as one piece."""
+    chunk, language_id.CHUNK = language_id.CHUNK, 1 << 30
+    try:
+        return language_id.features(text)
+    finally:
+        language_id.CHUNK = chunk
