@@ -157,6 +157,10 @@ def nearest_passage(text: np.ndarray, item: np.ndarray, most: int) -> tuple[int,
     return end - length, length, distance
 
 
+#: Words of all windows that are compared at a time: fewer windows of long items.
+WINDOW_CELLS = 1 << 18
+
+
 class Items:
     """A slice of the benchmark, by number of words."""
 
@@ -211,8 +215,9 @@ class Items:
             counted, telling = (np.concatenate([[0], np.cumsum(marked[n][numbers])]) for marked in (self.known, self.telling))
             starts = np.flatnonzero((counted[stops] - counted[:-1] >= n - self.most[n]) & (telling[stops] > telling[:-1]))
             hits: dict[int, list[int]] = {}
-            for low in range(0, len(starts), 4096):
-                some = starts[low : low + 4096]
+            step = max(1, min(4096, WINDOW_CELLS // n))
+            for low in range(0, len(starts), step):
+                some = starts[low : low + step]
                 at = some[:, None] + np.arange(n)
                 windows = np.where(at < ends[some][:, None], numbers[np.minimum(at, len(numbers) - 1)], _NONE)
                 for k, held in self._holding(self.tables[n].pairs(sample_keys(windows)), windows, which, n):

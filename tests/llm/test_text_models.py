@@ -4,7 +4,7 @@ import re
 import numpy as np
 import pyspark.sql.functions as F
 
-from pathloom.llm import language_id, pii, toxicity
+from pathloom.llm import decontaminate, language_id, pii, toxicity
 from pathloom.llm.decontaminate import Items, contaminated, edit_distance, words_of
 from pathloom.llm.language_id import identify_languages
 from pathloom.llm.pii import ORDER, base_spans, find_spans, luhn, made_up, mask_pii, mask_spans, pii_spans, trained_field
@@ -340,3 +340,27 @@ def _whole(text):
         return language_id.features(text)
     finally:
         language_id.CHUNK = chunk
+
+
+def test_long_items_and_texts(spark):
+    """Items of thousands of words in texts of several pieces, whole, edited and cut short; repeated rows; bounded memory."""
+    draw = random.Random(31)
+    text = lambda n: [f"w{draw.randrange(4000)}" for _ in range(n)]
+    item, other = text(3000), text(40)
+    edited = [w if draw.random() > 0.1 else "edited" for w in item]
+    rows = [(1, " ".join(text(5000) + item + text(100))), (2, " ".join(text(50) + edited)), (3, " ".join(item[:1500] + text(1500))), (4, " ".join(text(9000) + other + text(9000))), (4, " ".join(text(10) + other)), (5, None), (6, "")]
+    found = contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item)), (8, " ".join(other)), (9, None)], "item_id long, text string")).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in found} == {(1, 7), (2, 7), (4, 8)}
+    held = {(r["doc_id"], r["item_id"]): r for r in found}
+    assert held[1, 7]["distance"] == 0 and (held[1, 7]["start"], held[1, 7]["end"]) == (5000, 8000)
+    assert held[2, 7]["distance"] == edited.count("edited")
+
+
+def test_blocks_of_a_long_text_overlap(monkeypatch):
+    monkeypatch.setattr(decontaminate, "CHUNK_CHARS", 120)
+    words = [f"w{i}" for i in range(500)]
+    seen = set()
+    for first, block in decontaminate._blocks(" ".join(words), 9):
+        assert block == words[first : first + len(block)]
+        seen |= {first + i for i in range(len(block) - 9)}
+    assert seen >= set(range(500 - 9))
