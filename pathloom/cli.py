@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .functions import citations, evidence, fuzzy, grammar, references, scoring
 from .functions.text import clean_html, parse_term_groups
-from .operators import graph, harmonize, review, scope, search, sheets, workbook
+from .operators import graph, harmonize, review, scope, search, sheets, term_index, workbook
 from .plans import search_config
 from .sources import html_tables, json_documents, sinks, snapshot, spreadsheet
 
@@ -90,6 +90,10 @@ class Knowledge:
         cells = [F.struct(F.lit(f).alias("field"), clean_html(F.col(f)).alias("text")) for f in fields or TEXT_FIELDS[kind] if f in rows.columns]
         return rows.select(F.lit(kind).alias("entity"), F.col(KEYS[kind]).cast("string").alias("entity_id"), F.inline(F.array(*cells)))
 
+    def word_index(self, kind: str, texts: DataFrame) -> DataFrame:
+        """The words of one kind of entity with their places, kept for the date."""
+        return self._table(f"words_{kind}", lambda: term_index.term_index(texts))
+
     def labels(self) -> DataFrame:
         ends = F.concat_ws(" -> ", F.coalesce("upstream_title", F.lit("?")), F.coalesce("downstream_title", F.lit("?")))
         label = {"aops": F.col("title"), "events": F.col("title"), "kers": ends}
@@ -234,7 +238,8 @@ def search_with_config(kb: Knowledge, args: argparse.Namespace) -> list[str]:
         return events_to_aops(kb, args, config)
     saved, found = [], {}
     for kind in config.entities:
-        hits = search_config.run_search(kb.texts(kind).drop("entity"), config.for_kind(kind))
+        texts = kb.texts(kind).drop("entity")
+        hits = search_config.run_search(texts, config.for_kind(kind), kb.word_index(kind, texts) if args.index else None)
         if args.co_occurrence_only and config.co_occurrences:
             hits = hits.filter("co_occurrences is not null")
         found[kind] = hits.cache()
@@ -351,7 +356,7 @@ COMMANDS = {
     "search-within-aops": (search_within_aops, [("--term", {"action": "append", "default": []}), ("--term-group", {"action": "append", "default": []}), ("--aop-ids", {}), ("--aop-title-terms", {}), ("--ke-title-terms", {})]),
     "search-kers-for-concordance-text": (concordance, []),
     "harmonize-ker-evidence": (harmonize_evidence, [("--workbook", {"action": "store_true"}), ("--aop-ids", {}), ("--links", {"default": "https://kb.example"})]),
-    "search-with-config": (search_with_config, [("--config", {"required": True}), ("--module", {}), ("--co-occurrence-only", {"action": "store_true"})]),
+    "search-with-config": (search_with_config, [("--config", {"required": True}), ("--module", {}), ("--co-occurrence-only", {"action": "store_true"}), ("--index", {"action": "store_true"})]),
     "pair-mies-and-aos": (pair_mies_and_aos, [("--terms", {"required": True}), ("--limit", {"type": int, "default": 25})]),
     "collect-harmonized-sheets": (collect_sheets, [("--sheets", {"required": True}), ("--pairs", {}), ("--decisions", {})]),
     "manually-review-matches": (review_matches, [("--matches", {"required": True}), ("--decisions", {"required": True}), ("--threshold", {"type": float, "default": 0.0})]),

@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import citations, evidence, fuzzy, scoring, text
-from ..operators import graph, search
+from ..operators import graph, search, term_index
 from ..sources import html_tables
+from ..sources.shared import written
 
 EVENT_TERMS = ["widget", "gizmo"]
 TEXT_TERMS = ["the", "que", "aux"]
@@ -231,6 +232,23 @@ def text_search_term_counts(spark, sf_dir):
     return search.term_counts(texts(spark, sf_dir), [*TEXT_TERMS, "zebra"])
 
 
+INDEXED_TERMS = ["the", "of the", "and in that", "que la", "zebra", "la"]
+
+
+@_registered(f"WITH {_T}, w(term) AS (VALUES {', '.join(f"('{t}')" for t in INDEXED_TERMS)}), x AS ({' UNION ALL '.join(f"SELECT '{t}' AS term, entity_id FROM t WHERE {_has(t)}" for t in INDEXED_TERMS)}) SELECT term, count(entity_id) AS field_hits, count(DISTINCT entity_id) AS entities FROM w LEFT JOIN x USING (term) GROUP BY term")
+def indexed_term_counts(spark, sf_dir):
+    """Words and phrases looked up in a positional index of all documents, texts found read again."""
+    rows = texts(spark, sf_dir)
+    index = written(term_index.term_index(rows), "words")
+    return search.term_counts(term_index.texts_to_scan(rows, index, INDEXED_TERMS), INDEXED_TERMS)
+
+
+@_registered(f"WITH {_T}, x AS (SELECT entity_id, unnest(string_split(trim(regexp_replace(lower(text), '{_EDGE}+', ' ', 'g'), ' '), ' ')) AS word FROM t) SELECT word, count(*) AS n, count(DISTINCT entity_id) AS texts FROM x WHERE word <> '' GROUP BY word")
+def indexed_words(spark, sf_dir):
+    """The index itself: how often each word stands in how many texts."""
+    return term_index.term_index(texts(spark, sf_dir)).groupBy("word").agg(F.sum("n").alias("n"), F.count("*").alias("texts"))
+
+
 @_registered(f"WITH {_T} " + " UNION ALL ".join(f"SELECT entity_id, '{a}' AS term_a, '{b}' AS term_b FROM t WHERE {_has(a)} AND {_has(b)}" for a, b in TEXT_PAIRS))
 def text_co_occurrence(spark, sf_dir):
     return search.co_occurrences(texts(spark, sf_dir), TEXT_PAIRS).drop("field")

@@ -7,7 +7,8 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import graph, search
+from ..functions.text import split_case_flag
+from ..operators import graph, search, term_index
 
 
 @dataclass(frozen=True)
@@ -38,9 +39,12 @@ class SearchConfig:
 
 
 
-def run_search(texts: DataFrame, config: SearchConfig) -> DataFrame:
-    """Entities with hits or co-occurrences, priority hits first by ``place`` within equals of id."""
+def run_search(texts: DataFrame, config: SearchConfig, index: DataFrame | None = None) -> DataFrame:
+    """Entities with hits or co-occurrences, priority hits first by ``place`` within equals of id; with an index of words only texts that can hold a term are scanned."""
     scope = texts.filter(F.col("field").isin(*config.searched()))
+    if index is not None:
+        wanted = [split_case_flag(t)[0] for t in [*config.terms, *(t for pair in config.co_occurrences for t in pair)]]
+        scope = term_index.texts_to_scan(scope, index, wanted, list(config.dropped_content))
     for name, passages in config.dropped_content.items():
         scope = search.dropping_content(scope, name, passages)
     hits = search.entity_hits(scope, config.terms, config.priority_field)
