@@ -57,7 +57,8 @@ class Knowledge:
         return self._typed("aop_kers", snapshot.aop_relationships)
 
     def events(self) -> DataFrame:
-        return self._typed("events", snapshot.key_events)
+        said = graph.regulatory_relevance(self.membership().withColumn("ord", F.struct("aop_ord", "ord")))
+        return self._typed("events", snapshot.key_events).join(said, "ke_id", "left")
 
     def kers(self) -> DataFrame:
         """Relationships with titles of both ends, their pathways and completeness."""

@@ -49,6 +49,23 @@ def resolve_roles(membership: DataFrame) -> DataFrame:
     return membership.groupBy("aop_id", "ke_id").agg(F.coalesce(specific, F.lit(KE)).alias("role"))
 
 
+# Names of roles as records of events give them.
+ROLE_NAMES = {"MolecularInitiatingEvent": MIE, "AdverseOutcome": AO, "KeyEvent": KE, MIE: MIE, AO: AO, KE: KE}
+
+
+def with_recorded_roles(membership: DataFrame, recorded: DataFrame) -> DataFrame:
+    """Memberships without a role take the one that their event's record gives for that pathway (aop_id, ke_id, role by any of ``ROLE_NAMES``), else KE."""
+    known = F.coalesce(*[F.when(F.col("role") == said, F.lit(role)) for said, role in ROLE_NAMES.items()])
+    told = recorded.select("aop_id", "ke_id", known.alias("recorded")).filter("recorded is not null").groupBy("aop_id", "ke_id").agg(F.min("recorded").alias("recorded"))
+    return membership.join(told, ["aop_id", "ke_id"], "left").withColumn("role", F.coalesce("role", "recorded", F.lit(KE))).drop("recorded")
+
+
+def regulatory_relevance(membership: DataFrame) -> DataFrame:
+    """For each event what the last pathway that says something of it as an adverse outcome says (``examples``, by ``ord``); events without have no row."""
+    said = membership.filter((F.col("role") == AO) & F.col("examples").isNotNull())
+    return said.groupBy("ke_id").agg(F.max_by("examples", "ord").alias("regulatory_relevance"))
+
+
 def role_flags(membership: DataFrame) -> DataFrame:
     """For each event: in how many pathways it has each role, and whether it has several."""
     roles = resolve_roles(membership)

@@ -401,3 +401,32 @@ def json_round_trip(spark, sf_dir):
     back = json_documents.read_json(spark, path, _NESTED)
     parts = F.aggregate(F.coalesce("lines", F.array().cast("array<struct<n:int,part:bigint>>")), F.lit(0).cast("bigint"), lambda a, x: a + x["part"])
     return back.select("entity_id", json_documents.json_cell(F.col("title"), "string").alias("title"), "flags.new", F.greatest(F.size("lines"), F.lit(0)).alias("n_lines"), parts.alias("parts"), json_documents.json_cell(F.col("tags"), "array<string>").alias("tags"))
+
+
+@_registered(f"WITH {_K}, {_T} SELECT ker_id FROM k2 WHERE NOT coalesce(ut = dt, false)")
+def kers_without_tables(spark, sf_dir):
+    rows = kers_with_titles(spark, sf_dir)
+    return scoring.with_tables(rows.withColumn("has_any_tables", F.col("upstream_title") == F.col("downstream_title")), tables=False).select("ker_id")
+
+
+def _length_judge():
+    """A judge by rule: it goes by the length of the description."""
+
+    def ask(ke_id: str, level: str, text: str) -> dict:
+        if len(text) % 11 == 10:
+            raise ValueError("no answer")
+        return {"assigned_level_fits": len(text) % 3 > 0, "best_fit_level": "Tissue" if len(text) % 2 else "cannot tell", "spans_multiple_levels": len(text) % 4 == 1}
+
+    return ask
+
+
+@_registered("""WITH x AS (SELECT p_partkey::VARCHAR AS ke_id, CASE WHEN p_size % 7 > 0 THEN p_type END AS level, CASE WHEN p_size % 5 > 0 THEN p_name ELSE '' END AS text FROM part), v AS (SELECT *, length(text) AS n FROM x)
+SELECT * FROM (SELECT ke_id, CASE WHEN text = '' OR level IS NULL THEN 'unchecked' WHEN n % 11 = 10 THEN 'error' WHEN n % 3 = 0 THEN CASE WHEN n % 2 = 0 THEN 'note' ELSE 'flag' END WHEN n % 4 = 1 THEN 'flag' END AS severity,
+CASE WHEN text = '' THEN 'no description' WHEN level IS NULL THEN 'no level is assigned' WHEN n % 11 = 10 THEN 'ValueError: no answer' WHEN n % 3 = 0 AND n % 2 = 0 THEN 'the description does not tell whether ' || level || ' fits' WHEN n % 3 = 0 THEN 'the description reads as Tissue, not ' || level ELSE level || ' fits, but the description spans several levels' END AS message,
+CASE WHEN text <> '' AND level IS NOT NULL AND n % 11 <> 10 AND n % 2 = 1 AND (n % 3 = 0 OR n % 4 = 1) THEN 'Tissue' END AS best_fit_level FROM v) WHERE severity IS NOT NULL""")
+def reviewed_levels(spark, sf_dir):
+    """Parts as events, reviewed with a table of verdicts: the second run asks nothing and finds the same."""
+    events = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("ke_id"), F.when(F.col("p_size") % 7 > 0, F.col("p_type")).alias("level_of_biological_organization"), F.when(F.col("p_size") % 5 > 0, F.col("p_name")).alias("description"))
+    path, levels = f"{shared_dir(spark)}/verdicts-{uuid.uuid4().hex}", {"ECONOMY": "cheap", "SMALL": "little"}
+    review.resumed_review(events, _length_judge, levels, path)
+    return review.resumed_review(events, _length_judge, levels, path).drop("description_truncated")

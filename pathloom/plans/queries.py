@@ -122,6 +122,26 @@ _P = f"""{_M}, {_E}, {_A}, s AS (SELECT DISTINCT aop_id, ke_id, role FROM m WHER
 p AS (SELECT a.aop_id, x.ke_id AS mie_id, y.ke_id AS ao_id FROM a LEFT JOIN s x ON x.aop_id = a.aop_id AND x.role = 'MIE' LEFT JOIN s y ON y.aop_id = a.aop_id AND y.role = 'AO')"""
 
 
+@_registered(f"WITH {_P} SELECT * FROM p")
+def mie_ao_pairs_recorded(spark, sf_dir):
+    """The same pairs where every third pathway declares no roles and the records of its events give them."""
+    members, bare = membership(spark, sf_dir), F.col("aop_id") % 3 == 0
+    names = F.when(F.col("role") == "MIE", F.when(F.col("ke_id") % 2 == 0, "MIE").otherwise("MolecularInitiatingEvent")).when(F.col("role") == "AO", "AdverseOutcome").otherwise("KeyEvent")
+    # An event of several roles in a pathway is left as declared: a record holds one role for each pathway.
+    several = members.groupBy("aop_id", "ke_id").agg((F.count_distinct("role") > 1).alias("several"))
+    rows = members.join(several, ["aop_id", "ke_id"])
+    recorded = rows.filter(bare & ~F.col("several")).select("aop_id", "ke_id", names.alias("role"))
+    told = graph.with_recorded_roles(rows.withColumn("role", F.when(~bare | F.col("several"), F.col("role"))).drop("several"), recorded)
+    return graph.mie_ao_pairs(told, matched_aops(spark, sf_dir))
+
+
+@_registered(f"SELECT l_partkey AS ke_id, arg_max(l_linestatus || l_shipdate::VARCHAR, (l_orderkey, {_ORDER})) AS regulatory_relevance FROM lineitem WHERE l_returnflag = 'A' AND l_quantity > 25 GROUP BY 1")
+def regulatory_relevance(spark, sf_dir):
+    said = F.when(F.col("l_quantity") > 25, F.concat("l_linestatus", F.col("l_shipdate").cast("string")))
+    rows = read(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("ke_id"), F.when(F.col("l_returnflag") == "A", "AO").otherwise("KE").alias("role"), said.alias("examples"), F.struct("l_orderkey", *LINE_ORDER).alias("ord"))
+    return graph.regulatory_relevance(rows)
+
+
 @_registered(f"WITH {_P} SELECT * FROM p")
 def mie_ao_pairs(spark, sf_dir):
     return graph.mie_ao_pairs(membership(spark, sf_dir), matched_aops(spark, sf_dir))

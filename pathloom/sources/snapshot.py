@@ -65,10 +65,11 @@ def _named(rows: DataFrame, ids: DataFrame, entity: str, column: str, name: str)
 
 
 def membership(spark: SparkSession, path: str, ids: DataFrame) -> DataFrame:
-    """aop_id, ke_id, role, ord: key events first, then initiating events, then adverse outcomes."""
-    aops = elements(spark, path, "aop")
+    """aop_id, ke_id, role, ord (key events first, then initiating events, then adverse outcomes), examples (of adverse outcomes), aop_ord (the pathway's place in the export)."""
+    aops = elements(spark, path, "aop").withColumn("aop_ord", F.monotonically_increasing_id())
+    examples = lambda role: F.col("e.examples") if role == "AO" else F.lit(None).cast("string")
     lists = (("KE", "`key-events`.`key-event`", 0), ("MIE", "`molecular-initiating-event`", 1_000_000), ("AO", "`adverse-outcome`", 2_000_000))
-    parts = [aops.select(F.col("_id").alias("aop_xml"), F.lit(role).alias("role"), F.posexplode(column).alias("at", "e")).select("aop_xml", "role", (F.col("at") + base).alias("ord"), F.col("e.`_key-event-id`").alias("ke_xml")) for role, column, base in lists]
+    parts = [aops.select(F.col("_id").alias("aop_xml"), F.lit(role).alias("role"), "aop_ord", F.posexplode(column).alias("at", "e")).select("aop_xml", "role", (F.col("at") + base).alias("ord"), examples(role).alias("examples"), "aop_ord", F.col("e.`_key-event-id`").alias("ke_xml")) for role, column, base in lists]
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return _named(_named(rows, ids, "AOP", "aop_xml", "aop_id"), ids, "KE", "ke_xml", "ke_id")
 
