@@ -302,7 +302,7 @@ def duplicate_ranges(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     block = F.pmod(F.xxhash64("gram"), F.lit(blocks)).alias("block")
     parsed = parts.filter("words is not null").select(block, "id", "mark", "low", "only", "words").groupBy("block").applyInArrow(_parse_block, "id long, mark int, low int, high int")
     counted = parts.filter("digest is not null")
-    repeated = counted.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest")
+    repeated = written(counted.groupBy("digest").agg(F.count("*").alias("n")).filter("n > 1").select("digest"), "repeated-windows")
     common_ones = counted.filter("only").join(repeated, "digest").select("id", "mark", "low", F.col("low").alias("high"))
     return sure.unionByName(parsed).unionByName(common_ones)
 
