@@ -10,6 +10,7 @@ import argparse
 import importlib
 import os
 from datetime import date
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -267,6 +268,19 @@ def pair_mies_and_aos(kb: Knowledge, args: argparse.Namespace) -> list[str]:
     return [kb.save(pairs, "mie_ao_pairs", numeric), kb.save(sinks.markdown_lines(pairs), "mie_ao_table"), kb.report(sinks.unpivoted(summary), "mie_ao_summary"), kb.save(graph.kers_in_aops(kb.edges(), found), "mie_ao_kers")]
 
 
+def export_groups(kb: Knowledge, tables: dict[str, DataFrame], groups: list[str], kinds: list[str]) -> list[str]:
+    """Tables of some groups under their field sets as csv, as json, and as one workbook with a sheet for each (xlsx)."""
+    if unknown := sorted({*groups} - {*workbook.EXPORTS}) + sorted({*kinds} - {"csv", "json", "xlsx"}):
+        raise SystemExit(f"no group or kind of export {', '.join(unknown)}; groups: {', '.join(workbook.EXPORTS)}; kinds: csv, json, xlsx")
+    shown = {name: sinks.exported(tables[name], sinks.FIELD_SETS[fields]) for group in groups for name, fields in workbook.EXPORTS[group].items()}
+    saved = [kb.save(df, f"export_{name}") for name, df in shown.items()] if "csv" in kinds else []
+    saved += [kb.save_json(df, f"export_{name}") for name, df in shown.items()] if "json" in kinds else []
+    if "xlsx" in kinds:
+        rows = [spreadsheet.table_rows(df, name, at, [F.col(f"`{c}`") for c in df.columns]) for at, (name, df) in enumerate(shown.items())]
+        saved.append(kb.save_workbook(reduce(DataFrame.unionByName, rows), "curated"))
+    return saved
+
+
 def collect_sheets(kb: Knowledge, args: argparse.Namespace) -> list[str]:
     """Curated sheets as CSV files in one folder (harmonization.csv, assays.csv, chemicals.csv, target_families.csv) or as a workbook.
 
@@ -300,6 +314,11 @@ def collect_sheets(kb: Knowledge, args: argparse.Namespace) -> list[str]:
         kb.report(sinks.unpivoted(fuzzy.match_metrics(matched)), "target_family_metrics"),
         kb.save(workbook.normalized_chemicals(held["chemicals"].withColumn("row_ix", F.col("row_ix").cast("long"))), "chemicals"),
     ]
+    if args.export:
+        chemicals = workbook.normalized_chemicals(held["chemicals"].withColumn("row_ix", F.col("row_ix").cast("long")))
+        chemicals = chemicals if "chemical" in chemicals.columns else chemicals.withColumn("chemical", F.lit(None).cast("string"))
+        tables = workbook.export_tables(enriched, assays, workbook.family_sets(families, assays, events), mapped, chemicals)
+        saved += export_groups(kb, tables, _split(args.groups) or list(workbook.EXPORTS), _split(args.export))
     if args.decisions:
         decided = kb.spark.read.option("header", True).csv(args.decisions).withColumnRenamed("term", "target_family").withColumn("human_verified", F.col("human_verified").cast("boolean"))
         reviewed = graph.placed(fuzzy.reviewed(matched, decided, 0.0, "target_family"), [F.col("target_family")], "ord")
@@ -359,7 +378,7 @@ COMMANDS = {
     "harmonize-ker-evidence": (harmonize_evidence, [("--workbook", {"action": "store_true"}), ("--aop-ids", {}), ("--links", {"default": "https://kb.example"})]),
     "search-with-config": (search_with_config, [("--config", {"required": True}), ("--module", {}), ("--co-occurrence-only", {"action": "store_true"}), ("--index", {"action": "store_true"})]),
     "pair-mies-and-aos": (pair_mies_and_aos, [("--terms", {"required": True}), ("--limit", {"type": int, "default": 25})]),
-    "collect-harmonized-sheets": (collect_sheets, [("--sheets", {"required": True}), ("--pairs", {}), ("--decisions", {})]),
+    "collect-harmonized-sheets": (collect_sheets, [("--sheets", {"required": True}), ("--pairs", {}), ("--decisions", {}), ("--export", {"help": "csv, json, xlsx"}), ("--groups", {"help": "of exports; all"})]),
     "manually-review-matches": (review_matches, [("--matches", {"required": True}), ("--decisions", {"required": True}), ("--threshold", {"type": float, "default": 0.0})]),
     "event-content-internal-alignment": (align_levels, [("--definitions", {"required": True}), ("--ke-ids", {})]),
     "event-level-review": (review_events, [("--judge", {"required": True}), ("--definitions", {}), ("--ke-ids", {}), ("--limit", {"type": int})]),

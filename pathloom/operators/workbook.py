@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.citations import citation_kind, citation_url, citation_year
 from ..functions.evidence import target_family
+from ..functions.fuzzy import best_matches
 from .graph import carried_headers, coverage, placed
 
 # What marks a dropped event and the end of a sheet.
@@ -19,6 +20,8 @@ EXCLUDED = ("E", "nan")
 DROPPED = "DROPPED"
 SENTINEL = "N/A, NEURODEGENERATION"
 NEXT_CHARS = 100
+#: Fixed value: least likeness of an event's description in the assays' sheet to a harmonized title.
+LEAST_LIKENESS = 0.6
 # Sheets of the curated workbook, the columns kept of them (by header in lower case with underscores) and what they become.
 SHEETS = {
     "harmonization": ("Suppl2_KEs AOP Harmonization", {"aop_wiki_terminologies": "header", "standardized_term_applied_for_the_aop_network": "title", "references": "references", "target_family": "target_family", "category": "category"}),
@@ -212,7 +215,31 @@ def normalized_chemicals(chemicals: DataFrame) -> DataFrame:
     raw = F.trim("literature_citation")
     rows = chemicals.withColumn("_n", last).filter("_n = 1").drop("_n")
     return rows.select(
-        "casrn", "direction_of_effect", F.coalesce(F.lower("direction_of_effect").isin("positive", "negative"), F.lit(False)).alias("expected_direction"),
+        "casrn", *(["chemical"] if "chemical" in rows.columns else []), "direction_of_effect", F.coalesce(F.lower("direction_of_effect").isin("positive", "negative"), F.lit(False)).alias("expected_direction"),
         F.when(F.contains(seen, F.lit("Y")), "Yes").when(seen.isin("N", "NO"), "No").otherwise("Unknown").alias("pubchem_evidence"),
         F.when(raw.isNotNull(), F.struct(raw.alias("raw"), citation_kind(raw).alias("kind"), citation_year(raw).alias("year"), citation_url(raw).alias("url"))).alias("citation"),
     )
+
+
+#: Tables exported from the curated workbook by group, each with its field set.
+EXPORTS = {
+    "events": {"curated_events": "curated_event", "harmonized_summary": "harmonized_summary", "event_to_harmonized": "event_to_harmonized", "aop_to_harmonized": "aop_to_harmonized"},
+    "assays": {"assays_by_aeid": "assays_by_aeid", "assays_by_aop": "aop_id_mapping", "assays_by_ke_description": "ke_description_mapping", "ke_description_to_harmonized": "ke_description_to_harmonized"},
+    "target_families": {"target_family_sets": "target_families_summary", "tf_to_events_assays": "tf_to_events_assays"},
+    "chemicals": {"chemicals": "chemicals_by_casrn"},
+}
+
+
+def export_tables(enriched: DataFrame, assays: DataFrame, family_sets_: DataFrame, mapped: DataFrame, chemicals: DataFrame) -> dict[str, DataFrame]:
+    """The tables of ``EXPORTS`` by name, with the columns their field sets read."""
+    by = lambda kind, name: assays_by(assays, kind).select(F.col("key").alias(name), "assays", F.col("families").alias("target_families"))
+    curated = enriched.withColumnsRenamed({"row_ix": "row_index", "title": "harmonized_event"})
+    described = by("ke_descriptions", "ke_description")
+    titles = enriched.filter(F.col("title").isNotNull() & ~F.col("title").isin(*EXCLUDED)).groupBy("title").agg(F.min("row_ix").alias("ord"))
+    return {
+        "curated_events": curated, "harmonized_summary": harmonized_summary(enriched), "event_to_harmonized": curated.select("event_id", "harmonized_event").distinct(),
+        "aop_to_harmonized": curated.select("aop_id", "row_index", "harmonized_event", F.col("event_id").alias("original_event_id")),
+        "assays_by_aeid": by("aeid", "aeid"), "assays_by_aop": by("aop_ids", "aop_id"), "assays_by_ke_description": described,
+        "ke_description_to_harmonized": best_matches(described, titles, LEAST_LIKENESS, "ke_description").withColumnRenamed("ke_description", "input_term"),
+        "target_family_sets": family_sets_.groupBy("category").agg(F.array_sort(F.collect_set("family")).alias("target_families")), "tf_to_events_assays": mapped, "chemicals": chemicals,
+    }

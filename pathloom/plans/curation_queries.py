@@ -16,7 +16,7 @@ from ..operators import graph, harmonize, review, search, sheets, workbook
 from ..sources import json_documents, sinks, spreadsheet
 from ..sources.shared import shared_dir
 from . import queries as base
-from .queries import _I, _K, _ORDER, LINE_ORDER, _registered, key_events, read, relationships
+from .queries import _I, _K, _ORDER, LINE_ORDER, ORACLE_SQL, _registered, key_events, read, relationships
 from .result_queries import _T, kers_with_titles
 
 _TITLE = "CASE p_partkey % 5 WHEN 0 THEN 'E' WHEN 1 THEN 'nan' WHEN 2 THEN '' ELSE p_name END"
@@ -430,3 +430,49 @@ def reviewed_levels(spark, sf_dir):
     path, levels = f"{shared_dir(spark)}/verdicts-{uuid.uuid4().hex}", {"ECONOMY": "cheap", "SMALL": "little"}
     review.resumed_review(events, _length_judge, levels, path)
     return review.resumed_review(events, _length_judge, levels, path).drop("description_truncated")
+
+
+def _exported(columns: str, source: str):
+    """A query of one exported table: its field set over the table, its SQL over that of the table."""
+    return _registered(f"WITH source AS ({ORACLE_SQL[source]}) SELECT {columns} FROM source")
+
+
+_LISTED = "replace(assays, ',', ', ') AS \"Assays\", replace(families, ',', ', ') AS \"Target Families\""
+
+
+def _assays_exported(spark, sf_dir, by: str, name: str, fields: str):
+    rows = workbook.assays_by(assays(spark, sf_dir), by).select(F.col("key").alias(name), "assays", F.col("families").alias("target_families"))
+    return sinks.exported(rows, sinks.FIELD_SETS[fields])
+
+
+@_exported(f"key AS \"AEID\", {_LISTED}", "assays_by_aeid")
+def export_assays_by_aeid(spark, sf_dir):
+    return _assays_exported(spark, sf_dir, "aeid", "aeid", "assays_by_aeid")
+
+
+@_exported(f"key AS \"AOP ID\", {_LISTED}", "assays_by_aop")
+def export_assays_by_aop(spark, sf_dir):
+    return _assays_exported(spark, sf_dir, "aop_ids", "aop_id", "aop_id_mapping")
+
+
+@_exported(f"key AS \"KE Description\", {_LISTED}", "assays_by_description")
+def export_assays_by_description(spark, sf_dir):
+    return _assays_exported(spark, sf_dir, "ke_descriptions", "ke_description", "ke_description_mapping")
+
+
+@_registered(f"WITH s AS ({ORACLE_SQL['target_family_sets']}) SELECT category AS \"Category\", array_to_string(list(DISTINCT family ORDER BY family), ', ') AS \"Target Families\" FROM s GROUP BY category")
+def export_target_family_sets(spark, sf_dir):
+    found = workbook.family_sets(*_family_sources(spark, sf_dir)).groupBy("category").agg(F.array_sort(F.collect_set("family")).alias("target_families"))
+    return sinks.exported(found, sinks.FIELD_SETS["target_families_summary"])
+
+
+@_registered(f"WITH v AS ({ORACLE_SQL['sheet_harmonized_events']}) SELECT DISTINCT coalesce(event_id, '') AS \"Event ID\", coalesce(title, '') AS \"Harmonized Event\" FROM v")
+def export_event_to_harmonized(spark, sf_dir):
+    found = workbook.harmonized_events(sheet(spark, sf_dir)).select("event_id", F.col("title").alias("harmonized_event")).distinct()
+    return sinks.exported(found, sinks.FIELD_SETS["event_to_harmonized"])
+
+
+@_registered(f"WITH v AS ({ORACLE_SQL['sheet_harmonized_events']}) SELECT coalesce(aop_id, '') AS \"AOP ID\", row_ix::VARCHAR AS \"Row Index\", coalesce(title, '') AS \"Harmonized Event\", coalesce(event_id, '') AS \"Original Event ID\" FROM v")
+def export_aop_to_harmonized(spark, sf_dir):
+    found = workbook.harmonized_events(sheet(spark, sf_dir)).select("aop_id", F.col("row_ix").alias("row_index"), F.col("title").alias("harmonized_event"), F.col("event_id").alias("original_event_id"))
+    return sinks.exported(found, sinks.FIELD_SETS["aop_to_harmonized"])

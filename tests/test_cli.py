@@ -158,6 +158,15 @@ def test_curated_workbook(spark, folder):
     assert {(r["validation_type"], r["aop_id"]) for r in found["pair_checks"].collect()} == set()
     assert [(r["title"], r["event_id"], r["source"]) for r in found["bridged_events"].orderBy("title").collect()] == [("Altered Synaptic Serotonin Release", None, "harmonized_workbook"), ("Liver failure", "200", "fuzzy_matched")]
     assert [r["place"] for r in found["target_families"].collect()] == ["1", "2"]
+    saved = cli.run(spark, ["--data-dir", str(folder), "--date", "2026-01-05", "collect-harmonized-sheets", "--sheets", path, "--export", "csv,json,xlsx"])
+    names = [name for group in workbook.EXPORTS.values() for name in group]
+    assert [n for n, _ in spreadsheet.sheet_parts(saved[-1])] == names
+    found = outputs(spark, saved)
+    assert {tuple(r) for r in found["export_assays_by_aop"].collect()} == {("7", "A", "GABA-A Receptor"), ("8", "A", "GABA-A Receptor")}
+    assert spark.read.json(next(p for p in saved if "export_chemicals" in p and p.endswith(".json"))).first()["CASRN"] == "7-1"
+    assert [r["Chemical"] for r in spreadsheet.read_sheet(spark, saved[-1], "chemicals").collect()] == ["c"]
+    with pytest.raises(SystemExit, match="pdf"):
+        cli.run(spark, ["--data-dir", str(folder), "--date", "2026-01-05", "collect-harmonized-sheets", "--sheets", path, "--export", "pdf"])
     with pytest.raises(ValueError, match="category"):
         workbook.refined_sheet(spark.createDataFrame([(1, "x")], "row_ix int, `Target Family` string"), {"target_family": "f", "category": "c"}, "s")
 
