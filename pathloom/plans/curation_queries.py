@@ -320,18 +320,6 @@ def match_metrics(spark, sf_dir):
     return fuzzy.match_metrics(read(spark, sf_dir, "part").select(F.when(F.col("p_size") % 4 > 0, F.col("p_size") / 50.0).alias("match_score")))
 
 
-@_registered("SELECT event_type AS \"check\", count_if(event_id % 4 = 0)::BIGINT AS flag, count_if(event_id % 4 = 1)::BIGINT AS note, count_if(event_id % 4 = 2)::BIGINT AS unchecked, count_if(event_id % 4 = 3)::BIGINT AS error FROM events GROUP BY 1")
-def findings_by_check(spark, sf_dir):
-    severity = F.element_at(F.array(*map(F.lit, ("flag", "note", "unchecked", "error"))), (F.col("event_id") % 4 + 1).cast("int"))
-    return review.check_summary(read(spark, sf_dir, "events").select(F.col("event_type").alias("check"), severity.alias("severity")))
-
-
-@_registered("SELECT count_if(event_id % 4 = 0)::BIGINT AS flag, count_if(event_id % 4 = 1)::BIGINT AS note, count_if(event_id % 4 = 2)::BIGINT AS unchecked, count_if(event_id % 4 = 3)::BIGINT AS error FROM events")
-def findings_by_severity(spark, sf_dir):
-    severity = F.element_at(F.array(*map(F.lit, ("flag", "note", "unchecked", "error"))), (F.col("event_id") % 4 + 1).cast("int"))
-    return review.severity_summary(read(spark, sf_dir, "events").select(severity.alias("severity")))
-
-
 @_registered(f"WITH {_I} SELECT ke_id, bounded + aops AS integration_score, row_number() OVER (ORDER BY bounded + aops DESC, ke_id) AS place FROM b")
 def integration_places(spark, sf_dir):
     ranked = base._ranked(spark, sf_dir).select("ke_id", "integration_score")
@@ -409,6 +397,12 @@ def kers_without_tables(spark, sf_dir):
     return scoring.with_tables(rows.withColumn("has_any_tables", F.col("upstream_title") == F.col("downstream_title")), tables=False).select("ker_id")
 
 
+def _judged(spark, sf_dir):
+    """Parts as events with a level and a description, some without."""
+    level, told = F.when(F.col("p_size") % 7 > 0, F.col("p_type")), F.when(F.col("p_size") % 5 > 0, F.col("p_name"))
+    return read(spark, sf_dir, "part").select(F.col("p_partkey").alias("ke_id"), level.alias("level_of_biological_organization"), told.alias("description"))
+
+
 def _length_judge():
     """A judge by rule: it goes by the length of the description."""
 
@@ -426,7 +420,7 @@ CASE WHEN text = '' THEN 'no description' WHEN level IS NULL THEN 'no level is a
 CASE WHEN text <> '' AND level IS NOT NULL AND n % 11 <> 10 AND n % 2 = 1 AND (n % 3 = 0 OR n % 4 = 1) THEN 'Tissue' END AS best_fit_level FROM v) WHERE severity IS NOT NULL""")
 def reviewed_levels(spark, sf_dir):
     """Parts as events, reviewed with a table of verdicts: the second run asks nothing and finds the same."""
-    events = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("ke_id"), F.when(F.col("p_size") % 7 > 0, F.col("p_type")).alias("level_of_biological_organization"), F.when(F.col("p_size") % 5 > 0, F.col("p_name")).alias("description"))
+    events = _judged(spark, sf_dir)
     path, levels = f"{shared_dir(spark)}/verdicts-{uuid.uuid4().hex}", {"ECONOMY": "cheap", "SMALL": "little"}
     review.resumed_review(events, _length_judge, levels, path)
     return review.resumed_review(events, _length_judge, levels, path).drop("description_truncated")
@@ -476,3 +470,18 @@ def export_event_to_harmonized(spark, sf_dir):
 def export_aop_to_harmonized(spark, sf_dir):
     found = workbook.harmonized_events(sheet(spark, sf_dir)).select("aop_id", F.col("row_ix").alias("row_index"), F.col("title").alias("harmonized_event"), F.col("event_id").alias("original_event_id"))
     return sinks.exported(found, sinks.FIELD_SETS["aop_to_harmonized"])
+
+
+_COUNTED = ", ".join(f"count_if(severity = '{kind}')::BIGINT AS {kind}" for kind in ("flag", "note", "unchecked", "error"))
+
+
+@_registered(f"WITH f AS ({ORACLE_SQL['reviewed_levels']}) SELECT {_COUNTED} FROM f")
+def findings_by_severity(spark, sf_dir):
+    return review.severity_summary(review.reviewed_events(_judged(spark, sf_dir), _length_judge))
+
+
+@_registered(f"WITH f AS ({ORACLE_SQL['reviewed_levels']}) SELECT 'level ' || coalesce(p_type, '') AS \"check\", {_COUNTED} FROM f JOIN part ON p_partkey::VARCHAR = ke_id GROUP BY 1")
+def findings_by_check(spark, sf_dir):
+    """Findings of the review by the kind of part."""
+    kinds = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("ke_id"), F.concat(F.lit("level "), F.coalesce("p_type", F.lit(""))).alias("check"))
+    return review.check_summary(review.reviewed_events(_judged(spark, sf_dir), _length_judge).join(kinds, "ke_id"))
