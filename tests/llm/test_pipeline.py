@@ -1,5 +1,6 @@
 import corpus_pipeline
 import pytest
+from test_variants import brute, words_of
 
 from pathloom.llm import queries
 from pathloom.llm.decontaminate import contaminated
@@ -55,7 +56,7 @@ def test_stages_of_empty_tables(spark):
 
 
 #: Rows of each query's result: one for each row of a table, or of the queries among them.
-ROWS = {"documents": ["op1_token_counts", "op3_pii", "op5_simhash", "op6_byte_bpe", "op7_toxicity", "op9_suffix_array", "op10_language_id"], "pages": ["op4_warc"]}
+ROWS = {"documents": ["op1_token_counts", "op3_pii", "op5_simhash", "op6_byte_bpe", "op7_toxicity", "op9_suffix_array", "op10_language_id", "op11_merkle_manifest", "op12_substring_dedup"], "pages": ["op4_warc"]}
 
 
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
@@ -68,6 +69,9 @@ def test_queries_run(spark, name):
         assert sorted(r[0] for r in found.select(key).collect()) == sorted(r[0] for r in rows.select(key).collect())
     elif name == "op2_decontamination":
         assert found.count() > 0 and found.filter("distance > floor(0.2 * item_words)").count() == 0
+    elif name == "op13_spelling_variants":
+        docs = [tuple(r) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+        assert sorted(tuple(r) for r in found.select("word", "form", "root", "n", "n_near", "form_n").collect()) == brute(words_of(docs))
     else:
         asked = spark.read.parquet(f"{SF}/embeddings.parquet").filter("vec_id % 50 = 0").count()
         assert found.count() == 5 * asked
@@ -78,7 +82,7 @@ def test_agrees_with_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for table in ("pages", "embeddings"):
+    for table in ("pages", "embeddings", "documents"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{SF}/{table}.parquet')")
     told = con.execute(queries.ORACLE_SQL[name])
     names = [d[0] for d in told.description]
