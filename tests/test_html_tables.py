@@ -40,3 +40,25 @@ def test_as_rows(spark):
     found = html_tables.html_cells(spark.createDataFrame([(1, html)], "id int, html string"), ["id"], "html")
     rows = html_tables.table_frame(found, ["id"], ["b", "a"], [1]).orderBy("row_ix")
     assert [tuple(r) for r in rows.collect()] == [(1, 0, 0, "K: v", "1"), (1, 0, 1, "", "2")]
+
+
+def test_pages_of_one_layout_keep_their_own_texts():
+    page = "<table><tr><th>{0}</th><th>{1}</th></tr><tr><td> {2} <b>b</b></td><td><ul><li><span>k</span>{2}</li></ul></td></tr></table>"
+    for values in (("a", "b", "1"), ("a", "a", "2 &amp;amp; 3"), ("", "b", "")):
+        plain = list(html_tables.table_cells(page.format(*values)))
+        assert plain == list(html_tables.table_cells(page.format(*values) + "<!-- read by the standard library -->"))
+    assert cells(page.format("a", "a", "2")) == [(0, 0, 0, "a", "k2")]
+    assert html_tables._known_layout.cache_info().hits > 0
+
+
+def test_tags_that_are_not_plain_are_read_by_the_standard_library():
+    assert cells("<table><tr><td>h</td></tr><tr><td>1 < 2</td></tr></table>") == [(0, 0, 0, "h", "1 < 2")]
+    assert cells("<table><tr><td>h</td></tr><tr><td><script><td></script>x</td></tr></table>") == [(0, 0, 0, "h", "<td>x")]
+
+
+def test_rows_with_their_cells_need_no_shuffle(spark):
+    html = "<table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td><ul><li><span>k</span>v</li></ul></td></tr><tr><td>2</td></tr></table>"
+    pages = spark.createDataFrame([(1, html), (2, None), (3, "<table></table>")], "id int, html string")
+    rows = html_tables.row_frame(html_tables.html_rows(pages, ["id"], "html"), ["id"], ["b", "a", "none"], [1])
+    assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in rows.orderBy("row_ix").collect()] == [(1, 0, 0, "K: v", "1", ""), (1, 0, 1, "", "2", "")]
