@@ -166,10 +166,12 @@ def combined_hits(text_hits: DataFrame, member_hits: DataFrame, key: str) -> Dat
 
 def carried_headers(rows: DataFrame, group: str, order: list[str], is_header: Column, value: str) -> DataFrame:
     """Rows under the last header above them (``header``), numbered from 0 under it (``event_index``)."""
-    w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    headed = rows.withColumn("header", F.last(F.when(is_header, F.col(value)), ignorenulls=True).over(w)).withColumn("_block", F.count_if(is_header).over(w)).withColumn("_head", is_header)
-    under = headed.filter(~F.col("_head") & (F.col("_block") > 0))
-    return under.withColumn("event_index", F.row_number().over(Window.partitionBy(group, "_block").orderBy(*order)) - 1).drop("_block", "_head")
+    # Both windows go through one order, so rows are dealt and sorted once.
+    w = Window.partitionBy(group).orderBy(*order)
+    above = w.rowsBetween(Window.unboundedPreceding, 0)
+    headed = rows.withColumn("_head", is_header).withColumns({"_n": F.row_number().over(w), "header": F.last(F.when(F.col("_head"), F.col(value)), ignorenulls=True).over(above)})
+    under = headed.withColumn("_from", F.max(F.when(F.col("_head"), F.col("_n"))).over(above)).filter(~F.col("_head") & F.col("_from").isNotNull())
+    return under.withColumn("event_index", F.col("_n") - F.col("_from") - 1).drop("_head", "_n", "_from")
 
 
 def aop_to_kers(kers: DataFrame) -> DataFrame:

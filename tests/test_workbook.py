@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from pathloom.operators import review, workbook
+from pathloom.operators.graph import carried_headers
 from pathloom.plans import search_config
 from pathloom.streaming import stream_hits, text_stream
 
@@ -83,3 +84,28 @@ def test_places(spark):
     rows = spark.range(0, 500).withColumn("s", F.col("id") % 7)
     out = sorted((r["place"], r["s"], r["id"]) for r in placed(rows, [F.desc("s"), F.col("id")]).collect())
     assert out == [(i, s, k) for i, (s, k) in enumerate(sorted(((k % 7, k) for k in range(500)), key=lambda x: (-x[0], x[1])), 1)]
+
+
+def test_carried_headers_sort_rows_once_and_number_them_from_their_header(spark):
+    rows = [("s", 1, "x"), ("s", 2, "H 1"), ("s", 3, "a"), ("s", 4, "b"), ("s", 5, "H 2"), ("s", 6, "c"), ("t", 1, "d"), (None, 1, "H 3"), (None, 2, "e")]
+    table = spark.createDataFrame(rows, "sheet string, row_ix long, cell string")
+    found = carried_headers(table, "sheet", ["row_ix"], F.col("cell").startswith("H"), "cell")
+    assert sorted((r["cell"], r["header"], r["event_index"]) for r in found.collect()) == [("a", "H 1", 0), ("b", "H 1", 1), ("c", "H 2", 0), ("e", "H 3", 0)]
+    found.collect()
+    assert found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("Sort [") == 1
+
+
+def test_harmonized_events_keep_columns_without_a_second_reading(spark):
+    rows = [("s", 1, "AOP 1", None, None), ("s", 2, "KE 5", "old", "f"), ("s", 3, "KE 5", "new", "g")]
+    sheet = spark.createDataFrame(rows, "sheet string, row_ix long, header string, title string, family string")
+    found = workbook.harmonized_events(sheet, kept=("family",))
+    assert [(r["event_id"], r["title"], r["family"], r["event_index"]) for r in found.collect()] == [("5", "new", "g", 1)]
+
+
+def test_pair_checks_evaluate_paired_events_once(spark):
+    events = spark.createDataFrame([("1", "a", 1), ("1", "b", 2), ("1", "b", 3), ("2", "a", 4)], "aop_id string, title string, row_ix long")
+    pairs = spark.createDataFrame([(9, "a", "1", "2")], "pair long, mie string, one string, two string")
+    found = workbook.pair_checks(events, pairs)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "LogicalRDD" not in plan and "LocalRelation" not in plan
+    assert sorted(tuple(r) for r in found.select("validation_type", "aop_id", "title", "row_ix").collect()) == [("count_mismatch", "1", None, None), ("count_mismatch", "2", None, None), ("extra", "1", "b", 2), ("extra", "1", "b", 3), ("merged", "1", "b", None)]
