@@ -293,7 +293,7 @@ def collect_sheets(kb: Knowledge, args: argparse.Namespace) -> list[str]:
     else:
         held = {name: read(name) for name in ("harmonization", "assays", "chemicals", "target_families")}
     sheet = held["harmonization"].withColumn("row_ix", F.col("row_ix").cast("long"))
-    events = workbook.harmonized_events(sheet).join(sheet.select("sheet", "row_ix", "target_family", "references"), ["sheet", "row_ix"]).cache()
+    events = workbook.harmonized_events(sheet, kept=("target_family", "references")).cache()
     enriched = workbook.enriched_events(events, kb.events(), kb.aops()).cache()
     assays, families = held["assays"], held["target_families"]
     mapped = workbook.map_target_families(families.select("target_family").distinct(), events, assays)

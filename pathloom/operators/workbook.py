@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.citations import citation_kind, citation_url, citation_year
 from ..functions.evidence import target_family
 from ..functions.fuzzy import best_matches
+from ..sources.shared import written
 from .graph import carried_headers, coverage, placed
 
 # What marks a dropped event and the end of a sheet.
@@ -58,14 +59,14 @@ def refined_sheets(read: Callable[[str, int], DataFrame]) -> dict[str, DataFrame
     return found
 
 
-def harmonized_events(sheet: DataFrame, header: str = "header", title: str = "title") -> DataFrame:
-    """Rows under ``AOP <number>`` headers: aop_id, event_id, event_index, title; of a repeated event the last row; nothing from the sentinel on."""
+def harmonized_events(sheet: DataFrame, header: str = "header", title: str = "title", kept: tuple[str, ...] = ()) -> DataFrame:
+    """Rows under ``AOP <number>`` headers: aop_id, event_id, event_index, title and the columns ``kept``; of a repeated event the last row; nothing from the sentinel on."""
     ends = sheet.filter(F.col(header) == SENTINEL).groupBy("sheet").agg(F.min("row_ix").alias("_end"))
     rows = sheet.join(ends, "sheet", "left").filter(F.col("_end").isNull() | (F.col("row_ix") < F.col("_end")))
     is_header = F.coalesce(F.col("cell").rlike(r"^AOP (\d+)"), F.lit(False))
-    under = carried_headers(rows.withColumnRenamed(header, "cell"), "sheet", ["row_ix"], is_header, "cell")
+    under = carried_headers(rows.select("sheet", "row_ix", F.col(header).alias("cell"), title, *kept), "sheet", ["row_ix"], is_header, "cell")
     number = lambda c, p: F.nullif(F.regexp_extract(c, p, 1), F.lit(""))
-    events = under.select("sheet", "row_ix", "event_index", number(F.col("header"), r"^AOP (\d+)").alias("aop_id"), number(F.col("cell"), r"(\d+)").alias("event_id"), F.col(title).alias("title"))
+    events = under.select("sheet", "row_ix", "event_index", number(F.col("header"), r"^AOP (\d+)").alias("aop_id"), number(F.col("cell"), r"(\d+)").alias("event_id"), F.col(title).alias("title"), *kept)
     last = F.row_number().over(Window.partitionBy("sheet", "aop_id", "event_id").orderBy(F.desc("row_ix")))
     return events.withColumn("_n", last).filter("_n = 1").drop("_n")
 
@@ -95,7 +96,7 @@ def pair_checks(events: DataFrame, pairs: DataFrame) -> DataFrame:
     """
     sides = pairs.select("pair", "mie", F.inline(F.array(F.struct(F.col("one").alias("aop_id"), F.col("two").alias("other")), F.struct(F.col("two").alias("aop_id"), F.col("one").alias("other")))))
     low = F.lower(F.trim("title"))
-    held = events.join(sides, "aop_id").withColumn("low", low)
+    held = written(events.select("aop_id", "title", "row_ix").join(sides, "aop_id").withColumn("low", low), "paired-events")
     sizes = held.groupBy("pair", "aop_id", "other", "mie").agg(F.count("*").alias("n"), F.count_distinct("low").alias("titles"), F.bool_or(F.col("low") == F.lower(F.trim("mie"))).alias("has_mie"))
     facing = sizes.join(sizes.select("pair", F.col("aop_id").alias("other"), F.col("n").alias("n_other"), F.col("titles").alias("titles_other")), ["pair", "other"])
     row = lambda df, kind, title=None, at=None: df.select(F.lit(kind).alias("validation_type"), "pair", "aop_id", (F.lit(None).cast("string") if title is None else F.col(title)).alias("title"), (F.lit(None).cast("long") if at is None else F.col(at).cast("long")).alias("row_ix"))

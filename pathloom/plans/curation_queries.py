@@ -25,18 +25,18 @@ _TITLE = "CASE p_partkey % 5 WHEN 0 THEN 'E' WHEN 1 THEN 'nan' WHEN 2 THEN '' EL
 def sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """sheet, row_ix, header, title, target_family, references."""
 
-
-    lines = read(spark, sf_dir, "lineitem").join(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand", "p_type", "p_partkey"), "l_partkey", "left")
+    # Lines are numbered before the titles join them: the order of an order's lines is dealt without texts.
     n = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER))
-    events = lines.select((F.col("l_orderkey") % 97).alias("sheet"), (F.col("l_orderkey") * 1000 + n).alias("row_ix"), F.concat(F.lit("KE "), F.col("l_partkey")).alias("header"), F.expr(_TITLE).alias("title"), F.col("p_brand").alias("target_family"), F.when(F.col("l_partkey") % 3 == 0, "nan").otherwise(F.col("p_type")).alias("references"))
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", n.alias("n"))
+    lines = lines.join(read(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_brand", "p_type", "p_partkey"), "l_partkey", "left")
+    events = lines.select((F.col("l_orderkey") % 97).alias("sheet"), (F.col("l_orderkey") * 1000 + F.col("n")).alias("row_ix"), F.concat(F.lit("KE "), F.col("l_partkey")).alias("header"), F.expr(_TITLE).alias("title"), F.col("p_brand").alias("target_family"), F.when(F.col("l_partkey") % 3 == 0, "nan").otherwise(F.col("p_type")).alias("references"))
     none = F.lit(None).cast("string")
     heads = read(spark, sf_dir, "orders").select((F.col("o_orderkey") % 97).alias("sheet"), (F.col("o_orderkey") * 1000).alias("row_ix"), F.concat(F.lit("AOP "), F.col("o_orderkey")).alias("header"), none.alias("title"), none.alias("target_family"), none.alias("references"))
     return heads.unionByName(events)
 
 
 def sheet_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = sheet(spark, sf_dir)
-    return workbook.harmonized_events(rows).join(rows.select("sheet", "row_ix", "target_family", "references"), ["sheet", "row_ix"])
+    return workbook.harmonized_events(sheet(spark, sf_dir), kept=("target_family", "references"))
 
 
 _W = f"""l AS (SELECT l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY {_ORDER}) AS n, {_TITLE} AS title, p_brand, CASE WHEN l_partkey % 3 = 0 THEN 'nan' ELSE p_type END AS refs, p_partkey FROM lineitem LEFT JOIN part ON p_partkey = l_partkey),
