@@ -86,7 +86,7 @@ def _variants(bits: Column, width: int) -> Column:
 
 def _counted(keyed: DataFrame, names: list[str]) -> DataFrame:
     """Rows whose key others have too, with the number ``n`` of rows of the key: an aggregate and a join, so no task holds a whole key."""
-    return keyed.join(keyed.groupBy(*names).agg(F.count("*").alias("n")).filter("n > 1"), names)
+    return keyed.join(keyed.groupBy(*names).agg(F.count("*").alias("n")).filter("n > 1").hint("merge"), names)
 
 
 def near_links(fps: DataFrame) -> DataFrame:
@@ -123,7 +123,7 @@ def _other(fp: Column, depth: int) -> Column:
 def _pairs(rows: DataFrame, keys: list[str]) -> DataFrame:
     one = rows.select(*keys, F.col("fp").alias("a"))
     two = rows.select(*keys, F.col("fp").alias("b"))
-    return one.join(two, keys).filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 3))
+    return one.join(two.hint("merge"), keys).filter((F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 3))
 
 
 def _first_meeting(key: str) -> Column:
@@ -135,14 +135,18 @@ def _first_meeting(key: str) -> Column:
 
 
 def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """One row per row of ``docs``: the key, ``fingerprint`` (16 hex digits), ``component_id`` (smallest key reachable)."""
+    """One row per row of ``docs``: the key, ``fingerprint`` (16 hex digits), ``component_id`` (smallest key reachable).
+
+    Nothing is broadcast, small or not, so what the driver holds doesn't grow with the rows.
+    """
     rows = written(fingerprints(docs, id_col, text_col, words), "fingerprints")
     distinct = written(rows.groupBy("fp").agg(F.min("id").alias("rep")), "distinct-fingerprints")
     roots = written(components(near_links(distinct)), "fingerprint-roots")
-    linked = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
-    smallest = linked.filter("fp <> root or rep is null").select("root").distinct().join(linked, "root").groupBy("root").agg(F.min("rep").alias("least"))
-    classes = written(linked.join(smallest, "root", "left").select("fp", F.coalesce("least", "rep").alias("component_id")), "fingerprint-classes")
-    out = rows.join(classes, "fp")
+    linked = distinct.join(roots.hint("merge"), distinct["fp"] == roots["node"], "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+    smallest = linked.filter("fp <> root or rep is null").select("root").distinct().hint("merge").join(linked, "root").groupBy("root").agg(F.min("rep").alias("least"))
+    classes = written(linked.join(smallest.hint("merge"), "root", "left").select("fp", F.coalesce("least", "rep").alias("component_id")), "fingerprint-classes")
+    discard(distinct, roots)
+    out = rows.join(classes.hint("merge"), "fp")
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
