@@ -68,8 +68,12 @@ def level_cues(definitions: dict[str, str]) -> dict[str, list[str]]:
 
 def level_findings(events: DataFrame, definitions: dict[str, str], level: str = "level_of_biological_organization", description: str = "description", cell: str | None = None) -> DataFrame:
     """(ke_id, severity, message) rows: flags, notes and unchecked events."""
-    text = F.lower(F.coalesce(spaced_html(F.col(description)), F.lit("")))
-    cues = {name: F.coalesce(*[F.when(text.rlike("(?U)" + p), F.lit(True)) for p in ps], F.lit(False)) for name, ps in level_cues(definitions).items()}
+    # The text is made once a row however many cues look at it: nothing is pushed below a generator.
+    events = events.withColumn("_text", F.explode(F.array(F.lower(F.coalesce(spaced_html(F.col(description)), F.lit(""))))))
+    text = F.col("_text")
+    found = {name: F.coalesce(*[F.when(text.rlike("(?U)" + p), F.lit(True)) for p in ps], F.lit(False)) for name, ps in level_cues(definitions).items()}
+    events = events.withColumn("_cues", F.explode(F.array(F.struct(*[c.alias(n) for n, c in found.items()]))))
+    cues = {name: F.col("_cues")[name] for name in found}
     own = F.coalesce(*[F.when(F.col(level) == n, c) for n, c in cues.items()], F.lit(False))
     others = F.array_compact(F.array(*[F.when(c & (F.col(level) != n), F.lit(n)) for n, c in cues.items()]))
     any_cue = reduce(lambda a, b: a | b, cues.values(), F.lit(False))
