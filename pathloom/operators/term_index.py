@@ -15,7 +15,11 @@ import unicodedata
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 _WORD = r"(?U)\w+"
+#: Tasks that the texts of one word are dealt to: a word of nearly all texts isn't one task's.
+SPREAD = 64
 
 
 def term_words(term: str) -> list[str]:
@@ -26,11 +30,40 @@ def term_words(term: str) -> list[str]:
     return re.findall(r"\w+", low)
 
 
+def _merged(texts: DataFrame) -> DataFrame:
+    """entity_id, field, words: the words of each text in order; those of texts under one key (few, if any) one behind the other."""
+    words = texts.filter("text is not null").select("entity_id", "field", F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0)).alias("words"))
+    key = ["entity_id", "field"]
+    several = written(texts.groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1").drop("n"), "repeated-keys")
+    if several.isEmpty():
+        return words
+    known = several.select(*[F.col(k).alias(f"_{k}") for k in key])
+    same = F.col("entity_id").eqNullSafe(F.col("_entity_id")) & F.col("field").eqNullSafe(F.col("_field"))
+    merged = words.join(known, same, "left_semi").groupBy(*key).agg(F.flatten(F.collect_list("words")).alias("words"))
+    return words.join(known, same, "left_anti").unionByName(merged)
+
+
+def text_words(texts: DataFrame) -> DataFrame:
+    """word, entity_id, field, places (from 0, in order), n: a row for each different word of each text.
+
+    The words of a text are sorted within its row and cut where the word changes: no row for each
+    place is made, and nothing is shuffled.
+    """
+    spots = F.sort_array(F.transform("words", lambda w, i: F.struct(w.alias("word"), i.alias("place"))))
+    rows = _merged(texts).select("entity_id", "field", F.explode(F.array(spots)).alias("spots"))
+    new = lambda i: (i == 0) | (F.get("spots", i)["word"] != F.get("spots", i - 1)["word"])
+    starts = F.filter(F.sequence(F.lit(0), F.size("spots") - 1), new)
+    rows = rows.filter(F.size("spots") > 0).select("entity_id", "field", "spots", F.explode(F.array(starts)).alias("starts"))
+    ends = F.concat(F.slice("starts", 2, F.size("starts")), F.array(F.size("spots")))
+    cut = F.arrays_zip(F.col("starts").alias("start"), ends.alias("end"))
+    word = lambda c: F.struct(F.get("spots", c["start"])["word"].alias("word"), F.transform(F.slice("spots", c["start"] + 1, c["end"] - c["start"]), lambda s: s["place"]).alias("places"), (c["end"] - c["start"]).alias("n"))
+    return rows.select("entity_id", "field", F.inline(F.transform(cut, word))).select("word", "entity_id", "field", "places", "n")
+
+
 def term_index(texts: DataFrame) -> DataFrame:
-    """word, entity_id, field, places (from 0, in order), n: a row for each different word of each text, sorted by word within ranges."""
-    words = texts.filter("text is not null").select("entity_id", "field", F.posexplode(F.regexp_extract_all(F.lower("text"), F.lit(_WORD), F.lit(0))).alias("place", "word"))
-    held = words.groupBy("word", "entity_id", "field").agg(F.array_sort(F.collect_list("place")).alias("places"))
-    return held.select("word", "entity_id", "field", "places", F.size("places").alias("n")).repartitionByRange("word", "entity_id").sortWithinPartitions("word", "entity_id")
+    """``text_words``, dealt by word and sorted by it within each file; no sample is drawn first, so texts are cut once."""
+    spread = F.pmod(F.xxhash64("entity_id"), F.lit(SPREAD))
+    return text_words(texts).repartition("word", spread).sortWithinPartitions("word", "entity_id")
 
 
 def phrase_places(index: DataFrame, terms: list[str]) -> DataFrame:

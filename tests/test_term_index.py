@@ -51,3 +51,17 @@ def test_only_wanted_words_are_read(spark, tmp_path):
     term_index.term_index(fixture(spark)).write.parquet(f"{tmp_path}/index")
     plan = term_index.phrase_places(spark.read.parquet(f"{tmp_path}/index"), ["dose response"])._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
     assert "PushedFilters" in plan and "In(word, [dose,response])" in plan.replace("Or(EqualTo(word,dose),EqualTo(word,response))", "In(word, [dose,response])")
+
+
+def test_words_of_a_text_are_grouped_within_its_row(spark):
+    rows = [(1, "f", "b a b A-b"), (2, "f", None), (3, "f", "..."), (4, "f", "x")]
+    found = term_index.text_words(spark.createDataFrame(rows, "entity_id long, field string, text string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Aggregate" not in plan
+    assert sorted(tuple(r) for r in found.collect()) == [("a", 1, "f", [1, 3], 2), ("b", 1, "f", [0, 2, 4], 3), ("x", 4, "f", [0], 1)]
+
+
+def test_texts_under_one_key_are_one_text_to_the_index(spark):
+    rows = [(1, "f", "a b"), (1, "f", "a"), (None, "f", "c"), (None, "f", "c"), (2, "f", "a")]
+    found = term_index.text_words(spark.createDataFrame(rows, "entity_id long, field string, text string"))
+    assert sorted((r["word"], r["entity_id"] or 0, r["n"]) for r in found.collect()) == [("a", 1, 2), ("a", 2, 1), ("b", 1, 1), ("c", 0, 2)]
