@@ -87,10 +87,11 @@ def group_counts(records: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
 
 def co_occurring_records(records: DataFrame, groups: dict[str, list[str]]) -> DataFrame:
     """group_a, group_b and the records both are found in, with the terms and fields of each."""
-    pairs = records.sparkSession.createDataFrame(list(combinations(groups, 2)), "group_a string, group_b string")
-    one = records.select(F.col("grp").alias("group_a"), "entity", "entity_id", "label", "aop_ids", F.col("terms").alias("terms_a"), F.col("fields").alias("fields_a"))
-    two = records.select(F.col("grp").alias("group_b"), "entity", "entity_id", F.col("terms").alias("terms_b"), F.col("fields").alias("fields_b"))
-    return one.join(two, ["entity", "entity_id"]).join(F.broadcast(pairs), ["group_a", "group_b"], "left_semi")
+    held = records.groupBy("entity", "entity_id").agg(F.first("label").alias("label"), F.first("aop_ids").alias("aop_ids"), *[F.max(F.when(F.col("grp") == g, F.struct("terms", "fields"))).alias(f"g{i}") for i, g in enumerate(groups)])
+    pairs = [F.when(F.col(f"g{i}").isNotNull() & F.col(f"g{j}").isNotNull(), F.struct(F.lit(a).alias("group_a"), F.lit(b).alias("group_b"), *[F.col(f"g{k}")[c].alias(f"{c}_{side}") for c in ("terms", "fields") for k, side in ((i, "a"), (j, "b"))])) for (i, a), (j, b) in combinations(enumerate(groups), 2)]
+    none = F.lit(None).cast("struct<group_a: string, group_b: string, terms_a: array<string>, terms_b: array<string>, fields_a: array<string>, fields_b: array<string>>")
+    met = held.select("entity", "entity_id", "label", "aop_ids", F.inline(F.array_compact(F.array(none, *pairs))))
+    return met.select("group_a", "group_b", "entity", "entity_id", "label", "aop_ids", "terms_a", "fields_a", "terms_b", "fields_b")
 
 
 def tally(counts: DataFrame) -> DataFrame:

@@ -124,3 +124,13 @@ def test_places_of_many_rows(spark, tmp_path):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_co_occurring_records_read_records_once(spark):
+    from pathloom.operators import scope
+
+    records = spark.createDataFrame([("g", "events", "1", "x", [7], ["a"], ["t"]), ("h", "events", "1", "x", [7], ["b"], ["m"]), ("g", "events", "2", "y", [8], ["a"], ["t"])], "grp string, entity string, entity_id string, label string, aop_ids array<int>, terms array<string>, fields array<string>")
+    found = scope.co_occurring_records(records, {"g": ["a"], "h": ["b"], "i": ["c"]})
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert [tuple(r) for r in found.collect()] == [("g", "h", "events", "1", "x", [7], ["a"], ["t"], ["b"], ["m"])]
+    assert scope.co_occurring_records(records, {"g": ["a"]}).count() == 0
