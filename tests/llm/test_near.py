@@ -178,3 +178,10 @@ def test_fingerprints_by_the_definition(spark):
     texts = [pick(draw.randrange(60)) for _ in range(200)] + [None, "", " \t", "one", "One two", " ".join(f"w{draw.randrange(50)}" for _ in range(70_000))]
     found = {r["doc_id"]: r["fingerprint"] for r in simhash.simhash_classes(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert all(found[i] == plain_fingerprint(t) for i, t in enumerate(texts))
+
+
+def test_simhash_classes_broadcast_nothing(spark):
+    docs = spark.createDataFrame([(i, f"word{i} is here {i % 3}") for i in range(20)], "doc_id long, text string")
+    out = simhash.simhash_classes(docs)
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert out.count() == 20
