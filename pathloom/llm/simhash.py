@@ -150,7 +150,7 @@ def simhash_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-# Near-duplicates by similarity of word shingles: MinHash keys, verified on the shingles.
+# Near-duplicates by similarity of word shingles: SimHash classes and MinHash keys, verified on the shingles.
 
 BANDS, ROWS = 24, 6
 #: Classes of shingle hashes by which a bound on what two texts share is counted.
@@ -175,14 +175,15 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 _NONE = np.zeros(0, dtype=np.int32)
 
 
-def _profile(text: str | None, words: int) -> tuple[bytes | None, np.ndarray, np.ndarray, np.ndarray]:
-    """Digest of the word sequence (none without words), band keys, sizes of ``CLASSES`` classes of the shingles, sorted distinct 32-bit shingle hashes."""
+def _profile(text: str | None, words: int, fp_words: int) -> tuple[bytes | None, int | None, np.ndarray, np.ndarray, np.ndarray]:
+    """Digest of the word sequence and fingerprint (none without words), band keys, sizes of ``CLASSES`` classes of the shingles, sorted distinct 32-bit shingle hashes."""
     found = ascii_words(text)
     if not found:
-        return None, _NONE.astype(np.int64), _NONE, _NONE
+        return None, None, _NONE.astype(np.int64), _NONE, _NONE
     hashes = np.unique(np.concatenate(list(shingle_hashes(found, words))).astype(np.uint32)).view(np.int32)
     digest = hashlib.md5(b" ".join(found), usedforsecurity=False).digest()
-    return digest, band_keys(hashes), np.bincount(hashes % CLASSES, minlength=CLASSES).astype(np.int32), hashes
+    fp = majority_bits(shingle_hashes(found, fp_words))
+    return digest, fp, band_keys(hashes), np.bincount(hashes % CLASSES, minlength=CLASSES).astype(np.int32), hashes
 
 
 def _lists(parts: tuple[np.ndarray, ...]) -> pa.ListArray:
@@ -199,6 +200,17 @@ def has_words(text: Column) -> Column:
     return F.coalesce(text.cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
 
 
+def _class_keys(texts: DataFrame) -> DataFrame:
+    """``node`` and ``key``: the class of a text's fingerprint ``fp``, by links of at most 3 differing bits; texts alone in their class have none."""
+    distinct = written(texts.groupBy("fp").agg(F.count("*").alias("n")), "distinct-fingerprints")
+    roots = written(components(near_links(distinct.select("fp"))), "fingerprint-roots")
+    # A fingerprint without links is a class of its own, of the texts that share it.
+    classes = distinct.join(roots.hint("merge"), distinct["fp"] == roots["node"], "left").filter("n > 1 or root is not null").select("fp", F.coalesce("root", "fp").alias("key"))
+    keys = written(texts.select("node", "fp").join(classes.hint("merge"), "fp").select("node", "key"), "class-keys")
+    discard(distinct, roots)
+    return keys
+
+
 def _near(pairs: DataFrame, profiles: DataFrame, similarity: float) -> DataFrame:
     """Those of the pairs whose shingles are similar enough."""
     full = profiles.select("node", "shingles")
@@ -238,14 +250,17 @@ def _unlinked(met: DataFrame, roots: DataFrame, profiles: DataFrame, similarity:
     return pairs
 
 
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, fp_words: int = 3) -> DataFrame:
     """``id``, ``mark`` (``text_mark``), ``group_id`` and ``group_mark`` for every row of ``docs``.
 
     Groups are components of links between texts whose sets of ``words``-word shingles have a
     Jaccard similarity of at least ``similarity``; a group is named by the row in it with the
-    smallest key (null keys last; of equal keys the smallest mark).  Candidates share one of 24
-    MinHash keys, each made of 6 least shingle hashes; each is then verified on the shingles.
-    A pair of similarity ``s`` shares a key with probability ``1 - (1 - s^6)^24``, wherever its
+    smallest key (null keys last; of equal keys the smallest mark).  Candidates are in one class
+    of SimHash fingerprints (over ``fp_words`` words, linked by deletion variants as in
+    ``simhash_classes``) or share one of 24 MinHash keys, each made of 6 least shingle hashes,
+    since few pairs of that similarity are within 3 bits; a class is one more bucket, and each
+    candidate is then verified on the shingles.
+    A pair of similarity ``s`` shares a MinHash key with probability ``1 - (1 - s^6)^24``, wherever its
     shingles differ (scattered words or a block appended, cut or replaced): 0.999 at 0.8.  No
     bucket is capped: every text is compared with the most typical of its bucket, then all pairs of a
     bucket that these links leave in different components are compared too.  The pairs left out
@@ -258,24 +273,25 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        digests, *lists = zip(*(_profile(t.as_py(), words) for t in batch.column("text")), strict=True)
-        columns = [pa.array(digests, pa.binary()), *map(_lists, lists)]
-        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), *columns], ["id", "mark", "digest", "keys", "counts", "shingles"])
+        digests, fps, *lists = zip(*(_profile(t.as_py(), words, fp_words) for t in batch.column("text")), strict=True)
+        columns = [pa.array(digests, pa.binary()), pa.array(fps, pa.int64()), *map(_lists, lists)]
+        return pa.RecordBatch.from_arrays([batch.column("id"), batch.column("mark"), *columns], ["id", "mark", "digest", "fp", "keys", "counts", "shingles"])
 
     source = docs.select(F.col(id_col).alias("id"), text_mark(F.col(text_col)).alias("mark"), F.col(text_col).cast("string").alias("text"))
-    rows = arrow_map(source, run, f"id {kind}, mark binary, digest binary, keys array<long>, counts array<int>, shingles array<int>")
+    rows = arrow_map(source, run, f"id {kind}, mark binary, digest binary, fp long, keys array<long>, counts array<int>, shingles array<int>")
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "profiles")
     named = F.struct(F.col("id").isNull().alias("keyless"), "id", "mark", "row")
-    same = rows.filter("digest is not null").groupBy("digest").agg(F.min(named).alias("least"), F.first("keys").alias("keys"))
-    texts = written(same.select("digest", F.col("least.row").alias("node"), "least", "keys"), "distinct-texts")
-    keyed = texts.select("node", F.explode("keys").alias("key"))
+    same = rows.filter("digest is not null").groupBy("digest").agg(F.min(named).alias("least"), F.first("keys").alias("keys"), F.first("fp").alias("fp"))
+    texts = written(same.select("digest", F.col("least.row").alias("node"), "least", "keys", "fp"), "distinct-texts")
+    classed = _class_keys(texts)
+    keyed = texts.select("node", F.explode("keys").alias("key")).unionByName(classed)
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
     met = written(keyed.join(shared, "key"), "shared-keys")
     # The first of a bucket is its most typical text: the one whose buckets hold most texts in all.
     typical = met.groupBy("node").agg(F.sum("n").alias("score"))
     first = met.join(typical, "node").groupBy("key").agg(F.max(F.struct("score", "node")).alias("first"))
     keyed, met = met, written(met.join(first.select("key", F.col("first.node").alias("first")), "key"), "met-firsts")
-    discard(keyed)
+    discard(keyed, classed)
     # Not broadcast even where it is small: one plan at every size.
     wanted = met.select("node").distinct().hint("merge")
     profiles = written(rows.select(F.col("row").alias("node"), "counts", "shingles").join(wanted, "node"), "shared-texts")

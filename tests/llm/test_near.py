@@ -185,3 +185,21 @@ def test_simhash_classes_broadcast_nothing(spark):
     out = simhash.simhash_classes(docs)
     assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
     assert out.count() == 20
+
+
+def test_groups_come_by_fingerprints(spark, monkeypatch):
+    draw = random.Random(14)
+    words = [f"w{i}" for i in range(900)]
+    texts = []
+    for _ in range(8):
+        x = [draw.choice(words) for _ in range(400)]
+        texts += [" ".join(x), " ".join([*x[:-1], "other"]), " ".join(x[:-1])]
+    texts += ["one two three", "one two three four", "", None]
+    fps = [int(plain_fingerprint(t), 16) for t in texts]
+    want = brute_components(len(texts), lambda a, b: bool(texts[a] and texts[b]) and (fps[a] ^ fps[b]).bit_count() <= 3)
+    assert len(set(want)) < len(texts) - 8
+    profile = simhash._profile
+    without = lambda *args: (*(p := profile(*args))[:-3], p[-3][:0], *p[-2:])
+    monkeypatch.setattr(simhash, "_profile", without)  # no MinHash keys: only fingerprints bring texts together
+    found = {r["id"]: r["group_id"] for r in simhash.near_duplicate_groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [found[i] for i in range(len(texts))] == want
