@@ -8,11 +8,15 @@ from __future__ import annotations
 
 import re
 from difflib import SequenceMatcher
+from functools import lru_cache, reduce
+from operator import or_
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
+from pyspark.sql.types import IntegerType
 
 from ..functions.evidence import DOWN, REFERENCES, UP, harmonized_header
 
@@ -52,41 +56,60 @@ def _matching_form(text: str) -> str:
     return text.strip()
 
 
-def synonym_groups(text: Column) -> Column:
-    """For each group of ``SYNONYMS`` whether the text names it; the text is brought into its matching form once."""
+def synonym_groups(form: Column) -> Column:
+    """The groups of ``SYNONYMS`` that a text in its matching form names, as bits."""
     phrases = [sorted({name, *map(_matching_form, [name, *others])}) for name, others in SYNONYMS.items()]
-    groups = F.array(*[F.array(*map(F.lit, p)) for p in phrases])
-    named = lambda form: F.transform(groups, lambda group: F.exists(group, lambda p: F.contains(form, p)))
-    return F.transform(F.array(matching_form(text)), named)[0]
+    named = [F.when(reduce(or_, [F.contains(form, F.lit(p)) for p in some]), F.lit(1 << at)).otherwise(F.lit(0)) for at, some in enumerate(phrases)]
+    return reduce(Column.bitwiseOR, named)
 
 
 def same_thing(a: Column, b: Column) -> Column:
-    """Whether both groups of a text (``synonym_groups``) have one in common."""
-    return F.coalesce(F.exists(F.zip_with(a, b, lambda x, y: x & y), lambda x: x), F.lit(False))
+    """Whether the groups of two texts (``synonym_groups``) have one in common."""
+    return F.coalesce(a.bitwiseAND(b) != 0, F.lit(False))
 
 
+@lru_cache(10_000)  # the cells of a column ask the same
 def _alike(a: str, b: str) -> bool:
     """Whether the ratio of two texts is above ``LEAST_RATIO``: by lengths, then letters, then the ratio itself."""
-    m = SequenceMatcher(None, a.lower(), b.lower())
-    return m.real_quick_ratio() > LEAST_RATIO and m.quick_ratio() > LEAST_RATIO and m.ratio() > LEAST_RATIO
+    a, b = a.lower(), b.lower()
+    if (a or b) and 2.0 * min(len(a), len(b)) / (len(a) + len(b)) <= LEAST_RATIO:
+        return False  # before the texts are indexed
+    m = SequenceMatcher(None, a, b)
+    return m.quick_ratio() > LEAST_RATIO and m.ratio() > LEAST_RATIO
 
 
-@F.pandas_udf(BooleanType())
-def _likeness(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([_alike(x or "", y or "") for x, y in zip(a, b, strict=True)])
+@F.arrow_udf(IntegerType())
+def _likeness(text: pa.Array, up: pa.Array, down: pa.Array) -> pa.Array:
+    """1 for a text like the first title, else 2 for one like the second, else 0; a null text isn't asked for."""
+    asked = pc.indices_nonzero(text.is_valid())
+    told = np.zeros(len(text), dtype=np.int32)
+    rows = zip(*(x.take(asked).to_pylist() for x in (text, up, down)), strict=True)
+    told[asked.to_numpy()] = [1 if _alike(x, u or "") else 2 if _alike(x, d or "") else 0 for x, u, d in rows]
+    return pa.array(told)
 
 
-def matched_headers(cells: DataFrame, kers: DataFrame) -> DataFrame:
-    """ker_id, field, header, harmonized: by list, side words, synonyms of a title (upstream first), then likeness to one."""
-    rows = cells.select("ker_id", "field", "header").distinct().join(kers, "ker_id", "left")
-    low = F.trim(F.replace(F.trim(F.lower("header")), F.lit("ke:"), F.lit("")))
+def _harmonized(rows: DataFrame, kers: DataFrame) -> DataFrame:
+    """Rows and ``harmonized``: by list, side words, synonyms of a title (upstream first), then likeness to one.
+
+    One pass: the rows are read once, a title is looked through once for all of its headers, and
+    only the headers that nothing else settles are compared.
+    """
     header, up, down = F.col("header"), F.col("upstream_title"), F.col("downstream_title")
-    named = rows.withColumns({"_h": synonym_groups(header), "_u": synonym_groups(up), "_d": synonym_groups(down)})
-    told = F.coalesce(harmonized_header(header), F.when(same_thing(F.col("_h"), F.col("_u")), UP), F.when(same_thing(F.col("_h"), F.col("_d")), DOWN))
-    rows = named.withColumn("told", told).drop("_h", "_u", "_d")
-    open_ = rows.filter("told is null").withColumn("u", _likeness(low, up)).withColumn("d", _likeness(low, down))
-    liked = open_.select("ker_id", "field", "header", F.when(F.col("u"), UP).when(F.col("d"), DOWN).alias("harmonized"))
-    return rows.filter("told is not null").select("ker_id", "field", "header", F.col("told").alias("harmonized")).unionByName(liked)
+    titles = kers.select("ker_id", up, down, matching_form(up).alias("_u"), matching_form(down).alias("_d"))
+    titles = titles.withColumns({c: synonym_groups(F.col(c)) for c in ("_u", "_d")})
+    named = rows.join(titles, "ker_id", "left").withColumn("_listed", harmonized_header(header))
+    named = named.withColumn("_h", F.when(F.col("_listed").isNull(), matching_form(header)))
+    named = named.withColumn("_h", F.when(F.col("_listed").isNull(), synonym_groups(F.col("_h"))))
+    told = F.coalesce("_listed", F.when(same_thing(F.col("_h"), F.col("_u")), UP), F.when(same_thing(F.col("_h"), F.col("_d")), DOWN))
+    low = F.coalesce(F.trim(F.replace(F.trim(F.lower(header)), F.lit("ke:"), F.lit(""))), F.lit(""))
+    asked = lambda x: F.when(F.col("_told").isNull(), x)
+    liked = named.withColumn("_told", told).withColumn("_like", _likeness(asked(low), asked(up), asked(down)))
+    return liked.select(*rows.columns, F.coalesce("_told", F.when(F.col("_like") == 1, UP).when(F.col("_like") == 2, DOWN)).alias("harmonized"))
+
+
+def matched_headers(cells: DataFrame, kers: DataFrame) -> DataFrame:
+    """ker_id, field, header, harmonized: each header of a field once."""
+    return _harmonized(cells.select("ker_id", "field", "header").distinct(), kers)
 
 
 def harmonizable_fields(headers: DataFrame) -> DataFrame:
@@ -100,12 +123,14 @@ def harmonized_cells(cells: DataFrame, kers: DataFrame) -> DataFrame:
 
     Rows in which no header could be harmonized are left out.
     """
-    headers = matched_headers(cells, kers)
-    kept = cells.join(harmonizable_fields(headers), ["ker_id", "field"], "left_semi").join(headers, ["ker_id", "field", "header"])
     row = ["ker_id", "field", "table_ix", "row_ix"]
-    named = kept.withColumn("name", F.coalesce("harmonized", "header")).groupBy(*row, "name").agg(F.max_by("value", "col_ix").alias("value"), F.min("col_ix").alias("col_ix"), F.bool_or(F.col("harmonized").isNotNull()).alias("known"))
-    good = named.filter("known").select(*row).distinct()
-    return named.join(good, row, "left_semi").drop("known")
+    rows = _harmonized(cells.select(*row, "col_ix", "header", "value"), kers).filter("ker_id is not null and field is not null")
+    of_field = Window.partitionBy("ker_id", "field")
+    has = lambda n: F.coalesce(F.bool_or(F.col("harmonized") == n).over(of_field), F.lit(False))
+    kept = rows.withColumn("_ok", has(UP) & has(DOWN) & has(REFERENCES)).filter("_ok and header is not null")
+    known = F.bool_or(F.col("harmonized").isNotNull()).over(Window.partitionBy(*row))
+    good = kept.withColumn("_known", known).filter("_known and table_ix is not null and row_ix is not null")
+    return good.withColumn("name", F.coalesce("harmonized", "header")).groupBy(*row, "name").agg(F.max_by("value", "col_ix").alias("value"), F.min("col_ix").alias("col_ix"))
 
 
 def harmonization_summary(headers: DataFrame) -> DataFrame:

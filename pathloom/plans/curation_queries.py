@@ -227,8 +227,10 @@ _NAME = "CASE l_linenumber WHEN 1 THEN 'Upstream Key Event' WHEN 2 THEN 'Downstr
 
 def _cells(spark, sf_dir):
     """A table for each order: a column for each kind of line, a row for each of its suppliers' last digit."""
-    rows = read(spark, sf_dir, "lineitem")
-    return rows.groupBy(F.col("l_orderkey").alias("ker_id"), F.expr(_HEADER).alias("header"), F.col("l_linenumber").alias("col_ix")).agg(F.min(F.col("l_partkey").cast("string")).alias("value")).select("ker_id", F.lit("empirical_support").alias("field"), F.lit(0).alias("table_ix"), F.lit(0).alias("row_ix"), "col_ix", "header", "value")
+    # Dealt by order, which all that follows groups by; the line's number tells the header.
+    rows = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey").repartition("l_orderkey")
+    rows = rows.groupBy("l_orderkey", "l_linenumber").agg(F.min(F.col("l_partkey").cast("string")).alias("value"))
+    return rows.select(F.col("l_orderkey").alias("ker_id"), F.lit("empirical_support").alias("field"), F.lit(0).alias("table_ix"), F.lit(0).alias("row_ix"), F.col("l_linenumber").alias("col_ix"), F.expr(_HEADER).alias("header"), "value")
 
 
 def _titled(spark, sf_dir):
